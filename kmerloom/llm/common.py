@@ -24,11 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/kmerloom-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read back: lineage ends there."""
+def written(df: DataFrame, path: str | None = None, whole_files: bool = False) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read back: lineage ends there.
+
+    With ``whole_files`` a partition is one row group, so that no later task reads a part of it.
+    """
     spark = df.sparkSession
     path = path or shared_dir(spark)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    out = df.write.mode("overwrite").option("compression", "zstd")
+    if whole_files:
+        out = out.option("parquet.block.size", str(2**30))
+    out.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm import quality_rules
+from kmerloom.llm import language_id, language_model, packing, quality_model, quality_rules, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,43 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_documents(spark, sf_dir))
+
+
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(_documents(spark, sf_dir)).select(
+        "doc_id",
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        "component_id",
+    )
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir)).select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+        "sequence_length",
+    )
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_documents(spark, sf_dir))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encode_to_files(_documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(_documents(spark, sf_dir)))
     return rows.select(
@@ -70,7 +107,13 @@ FROM f
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_language_model": op3_language_model,
+        "op4_simhash_dedup": op4_simhash_dedup,
+        "op5_quality_classifier": op5_quality_classifier,
+        "op6_packing": op6_packing,
         "op7_quality_rules": op7_quality_rules,
+        "op9_language_id": op9_language_id,
+        "op10_token_files": op10_token_files,
     }
 
 
