@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm import language_id, language_model, packing, quality_model, quality_rules, simhash, token_files
+from kmerloom.llm import (
+    embedding_dedup,
+    language_id,
+    language_model,
+    packing,
+    quality_model,
+    quality_rules,
+    simhash,
+    suffix_dedup,
+    token_files,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +26,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(_documents(spark, sf_dir))
 
@@ -45,6 +59,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(_documents(spark, sf_dir))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_documents(spark, sf_dir))
 
@@ -107,11 +132,13 @@ FROM f
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_embedding_dedup": op2_embedding_dedup,
         "op3_language_model": op3_language_model,
         "op4_simhash_dedup": op4_simhash_dedup,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_packing": op6_packing,
         "op7_quality_rules": op7_quality_rules,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_language_id": op9_language_id,
         "op10_token_files": op10_token_files,
     }

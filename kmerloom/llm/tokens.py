@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -13,10 +16,28 @@ from tokenizers import Tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Words whose ids a Python worker keeps; beyond it the cache starts anew.
+#: Words (and as many pieces of words) whose ids a Python worker keeps; beyond it the cache starts anew.
 CACHE_WORDS = 400_000
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+# Words of these characters need no normalisation but lower case, and the tokenizer's pattern is plain on them.
+_PLAIN = [chr(c) for c in range(0x21, 0x180) if unicodedata.category(chr(c)) not in ("Cc", "Cf", "Zs") and c != 0x130]
+_LETTERS = "".join(c for c in _PLAIN if unicodedata.category(c)[0] == "L")
+_NUMBERS = "".join(c for c in _PLAIN if unicodedata.category(c)[0] == "N")
+_PLAIN_WORD = re.compile(f"[{re.escape(''.join(_PLAIN))}]+")
+#: The tokenizer's pattern (fixed) on such words.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+
+
+def _byte_characters() -> dict[int, str]:
+    """Byte-level models name a byte by its Latin-1 character if that is visible, else by the next free one from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -33,6 +54,8 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.pieces: dict[str, list[int]] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -41,9 +64,30 @@ class WordEncoder:
         self.starts = np.zeros(1 << 16, np.int64)
         self.n = 0
 
+    def _piece(self, piece: str) -> list[int]:
+        if piece.isascii():
+            named = piece
+        else:
+            named = "".join(map(_BYTE_CHARACTERS.__getitem__, piece.encode()))
+        return [t.id for t in self.model.tokenize(named)]
+
+    def _ids(self, word: bytes) -> list[int]:
+        """Ids of a word: of its pieces, each known once, or from the whole tokenizer where the word is not plain."""
+        text = word.decode()
+        if not _PLAIN_WORD.fullmatch(text) or "<|" in text:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        out: list[int] = []
+        for piece in _PIECES.findall(text.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = self.pieces[piece] = self._piece(piece)
+            out += ids
+        return out
+
     def _learn(self, words: list[bytes]) -> None:
-        encodings = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        lists = [e.ids for e in encodings]
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces = {}
+        lists = [self._ids(w) for w in words]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         first = int(self.starts[self.n])
         end = first + int(lengths.sum())
@@ -59,15 +103,15 @@ class WordEncoder:
     def encode(self, texts: Iterable[str | None], end_id: int | None = END_ID) -> list[np.ndarray]:
         """Per text its ids (uint32), with ``end_id`` behind them; null counts as empty."""
         split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        new = set().union(*split) - self.index.keys()
+        new = [w for w in set().union(*split) if w not in self.index]
         if len(self.index) + len(new) > CACHE_WORDS:
             self._reset()
-            new = set().union(*split)
+            new = list(set().union(*split))
         if new:
             self._learn(sorted(new))
         counts = np.fromiter(map(len, split), np.int64, len(split))
         at = self.index.__getitem__
-        words = np.fromiter((at(w) for ws in split for w in ws), np.int64, int(counts.sum()))
+        words = np.fromiter(map(at, chain.from_iterable(split)), np.int64, int(counts.sum()))
         lengths = self.starts[words + 1] - self.starts[words]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
