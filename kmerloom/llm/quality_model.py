@@ -204,3 +204,15 @@ def score(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text"
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Train on the labelled documents and score all."""
     return score(docs, train(docs, labels, **options))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", cutoff: float = CUTOFF, **options) -> DataFrame:
+    """The documents that the classifier does not reject, with all their columns."""
+    trees = train(docs, labels, key=key, text=text, **options)
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        x = np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS))
+        return pd.Series(np.concatenate([trees.score(x[i : i + 4096]) for i in range(0, len(x), 4096)]) if len(x) else [], dtype="float64")
+
+    return docs.where(scored(F.col(text)) >= cutoff)

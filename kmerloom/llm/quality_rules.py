@@ -50,8 +50,8 @@ BASE = Policy("base", ("few_words", "repeated_words"))
 STANDARD = Policy("standard-1", tuple(BITS))
 
 
-def measurements(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: the key and what the rules look at.
+def measurements(docs: DataFrame, key: str = "doc_id", text: str = "text", row: bool = False) -> DataFrame:
+    """One row per document: the key and what the rules look at; with ``row`` the input row as a struct, too.
 
     A repeated word stands in a 3-word window that the text holds twice or
     more.  Windows are hashed once, sorted next to their equals inside the
@@ -60,13 +60,16 @@ def measurements(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     blank = F.lit(SPACES)
     body = F.coalesce(F.col(text), F.lit(""))
+    carried = ["_row"] if row else []
     spaced = docs.select(
         F.col(key).alias("doc_id"),
+        *([F.struct("*").alias("_row")] if row else []),
         body.alias("_text"),
         F.translate(body, SPACES, " " * len(SPACES)).alias("_flat"),
     )
     split = spaced.select(
         "doc_id",
+        *carried,
         "_text",
         F.filter(F.split("_flat", " "), lambda w: w != "").alias("_words"),
         F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, blank) != "").alias("_lines"),
@@ -75,6 +78,7 @@ def measurements(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     )
     return split.select(
         "doc_id",
+        *carried,
         F.size("_words").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -101,13 +105,13 @@ def _repeat_words() -> Column:
     )
 
 
-def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", row: bool = False) -> DataFrame:
     """Measurements and ``failed_bits``: bit i is set where rule i of ``RULES`` fails."""
     bits = [F.expr(f"if({cond}, {1 << i}L, 0L)") for i, (_, cond) in enumerate(RULES)]
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    return measurements(docs, key, text).withColumn("failed_bits", total)
+    return measurements(docs, key, text, row).withColumn("failed_bits", total)
 
 
 def passes(policy: Policy) -> Column:
@@ -126,6 +130,11 @@ def apply_policy(rows: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     )
 
 
+def keep_passing(docs: DataFrame, policy: Policy = STANDARD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that pass the policy, with all their columns."""
+    return ledger(docs, key, text, row=True).where(passes(policy)).select("_row.*")
+
+
 def ablations(rows: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     """Per rule of the policy: documents that fail it, and documents that only it rejects.
 

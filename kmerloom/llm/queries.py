@@ -14,6 +14,7 @@ from kmerloom.llm import (
     packing,
     quality_model,
     quality_rules,
+    sentencepiece_scan,
     simhash,
     suffix_dedup,
     token_files,
@@ -26,6 +27,17 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece_scan.encode(_documents(spark, sf_dir))
+    return sentencepiece_scan.decode(encoded).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.crc32(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary")).alias("ids_crc32"),
+        F.char_length("decoded").cast("long").alias("decoded_chars"),
+        F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+    )
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -132,6 +144,7 @@ FROM f
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_embedding_dedup": op2_embedding_dedup,
         "op3_language_model": op3_language_model,
         "op4_simhash_dedup": op4_simhash_dedup,

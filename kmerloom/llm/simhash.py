@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.llm.common import written
@@ -160,3 +160,13 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: i
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(smallest, "component").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """The document of the smallest key of each group, with all its columns; of rows that agree in key and text, one."""
+    known = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
+    found = groups(docs.select(known.alias("doc_id"), F.col(text).alias("text")), max_bits=max_bits)
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_k")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), known.alias("_k"), F.xxhash64(F.col(text)).alias("_h"))
+    one = F.row_number().over(Window.partitionBy("_k", "_h").orderBy("_k"))
+    return rows.join(first, "_k", "left_semi").withColumn("_one", one).where("_one = 1").select("_row.*")

@@ -425,27 +425,67 @@ def _spans(rows: DataFrame) -> DataFrame:
     return whole.union(_by_suffixes(fetched.where("not crowd"))).union(_by_windows(fetched.where("crowd")))
 
 
+def _cut(data: bytes, spans_) -> tuple[bytes, list[int]]:
+    """What is left of the bytes, and the maximal spans removed as starts and ends in turn."""
+    merged: list[int] = []
+    if spans_ is not None:
+        flat = np.asarray(spans_, np.int64).reshape(-1, 2)
+        for lo, hi in flat[np.lexsort((flat[:, 1], flat[:, 0]))].tolist():
+            if merged and lo <= merged[-1]:
+                merged[-1] = max(merged[-1], hi)
+            else:
+                merged += [lo, hi]
+    edges = [0, *merged, len(data)]
+    return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), merged
+
+
+@F.pandas_udf("kept binary, removed array<bigint>")
+def _cut_rows(data: pd.Series, spans_: pd.Series) -> pd.DataFrame:
+    got = [_cut(bytes(d), s) for d, s in zip(data, spans_, strict=True)]
+    return pd.DataFrame({"kept": [g[0] for g in got], "removed": [np.array(g[1], np.int64) for g in got]})
+
+
+def _with_cuts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``_row`` (the input row) and ``_cut`` (what is left of its text, what was removed)."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    found = written(_spans(_keyed(docs, key, text)))
+    found = found.groupBy("k", "h").agg(F.flatten(F.collect_list(F.array("lo", "hi"))).alias("_spans"))
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("k"), F.xxhash64(body).alias("h"))
+    joined = rows.join(found, ["k", "h"], "left")
+    return joined.select("_row", _cut_rows(F.coalesce(F.col("_row")[text], F.lit("")).cast("binary"), "_spans").alias("_cut"))
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``n_bytes``, ``removed`` (maximal spans) and ``kept``, the bytes left."""
-    rows = _keyed(docs, key, text)
-    found = written(_spans(rows)).groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = rows.join(found, ["k", "h"], "left").select("doc_id", "data", "spans")
+    rows = _with_cuts(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+    pairs = F.expr("transform(sequence(0, size(_cut.removed) div 2), i -> struct(get(_cut.removed, 2 * i) as lo, get(_cut.removed, 2 * i + 1) as hi))")
+    return rows.select(
+        F.col("_row.doc_id").alias("doc_id"),
+        F.coalesce(F.octet_length("_row.text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.filter(pairs, lambda p: p["lo"].isNotNull()).alias("removed"),
+        F.col("_cut.kept").alias("kept"),
+    )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            removed, kept, sizes = [], [], []
-            for data, own in zip(batch["data"], batch["spans"], strict=True):
-                data = bytes(data)
-                merged: list[list[int]] = []
-                for lo, hi in sorted((s["lo"], s["hi"]) for s in own) if own is not None else ():
-                    if merged and lo <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], hi)
-                    else:
-                        merged.append([lo, hi])
-                cuts = [0, *(x for m in merged for x in m), len(data)]
-                kept.append(b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
-                removed.append([{"lo": a, "hi": b} for a, b in merged])
-                sizes.append(len(data))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_bytes": sizes, "removed": removed, "kept": kept})
-
-    return joined.mapInPandas(run, "doc_id bigint, n_bytes bigint, removed array<struct<lo: bigint, hi: bigint>>, kept binary")
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """The documents with their texts less the repeated bytes.
+
+    Bytes of a character that was cut apart go, too; a null text stays null;
+    a column of text lengths (``chars``) follows the texts.
+    """
+    left = _readable(F.col("_cut.kept"))
+    rows = _with_cuts(docs, key, text).select("_row", F.when(F.col("_row")[text].isNotNull(), left).alias("_left"))
+    columns = []
+    for c in docs.columns:
+        if c == text:
+            columns.append(F.col("_left").alias(c))
+        elif c == chars:
+            columns.append(F.coalesce(F.char_length("_left").cast(docs.schema[c].dataType), F.col("_row")[c]).alias(c))
+        else:
+            columns.append(F.col("_row")[c].alias(c))
+    return rows.select(*columns)
+
+
+@F.pandas_udf("string")
+def _readable(kept: pd.Series) -> pd.Series:
+    return pd.Series([bytes(k).decode("utf-8", "ignore") for k in kept], dtype=object)
