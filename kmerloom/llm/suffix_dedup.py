@@ -439,12 +439,15 @@ def _cut(data: bytes, spans_) -> tuple[bytes, list[int]]:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), merged
 
 
-@F.pandas_udf("kept binary, removed array<bigint>")
 def _cut_rows(data: pd.Series, spans_: pd.Series) -> pd.DataFrame:
     got = [_cut(bytes(d), s) for d, s in zip(data, spans_, strict=True)]
     return pd.DataFrame({"kept": [g[0] for g in got], "removed": [np.array(g[1], np.int64) for g in got]})
 
 
+def _readable(kept: pd.Series) -> pd.Series:
+    return pd.Series([bytes(k).decode("utf-8", "ignore") for k in kept], dtype=object)
+
+
 def _with_cuts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``_row`` (the input row) and ``_cut`` (what is left of its text, what was removed)."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -452,7 +455,8 @@ def _with_cuts(docs: DataFrame, key: str, text: str) -> DataFrame:
     found = found.groupBy("k", "h").agg(F.flatten(F.collect_list(F.array("lo", "hi"))).alias("_spans"))
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("k"), F.xxhash64(body).alias("h"))
     joined = rows.join(found, ["k", "h"], "left")
-    return joined.select("_row", _cut_rows(F.coalesce(F.col("_row")[text], F.lit("")).cast("binary"), "_spans").alias("_cut"))
+    cut = F.pandas_udf(_cut_rows, "kept binary, removed array<bigint>")
+    return joined.select("_row", cut(F.coalesce(F.col("_row")[text], F.lit("")).cast("binary"), "_spans").alias("_cut"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -473,7 +477,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
     Bytes of a character that was cut apart go, too; a null text stays null;
     a column of text lengths (``chars``) follows the texts.
     """
-    left = _readable(F.col("_cut.kept"))
+    left = F.pandas_udf(_readable, "string")(F.col("_cut.kept"))
     rows = _with_cuts(docs, key, text).select("_row", F.when(F.col("_row")[text].isNotNull(), left).alias("_left"))
     columns = []
     for c in docs.columns:
@@ -485,7 +489,3 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
             columns.append(F.col("_row")[c].alias(c))
     return rows.select(*columns)
 
-
-@F.pandas_udf("string")
-def _readable(kept: pd.Series) -> pd.Series:
-    return pd.Series([bytes(k).decode("utf-8", "ignore") for k in kept], dtype=object)
