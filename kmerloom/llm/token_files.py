@@ -167,9 +167,12 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edges = np.array(bounds, np.int64)
+        coder = tokens.encoder(tokenizer)
         for batch in batches:
-            batch["shard"] = np.searchsorted(edges, batch["doc_id"].to_numpy(), side="left").astype(np.int32)
-            yield batch[["shard", "doc_id", "ids"]]
+            for part in tokens.slices(batch):
+                keys = part["doc_id"].to_numpy()
+                ids = [x.astype("<u4").tobytes() for x in coder.encode(part["text"])]
+                yield pd.DataFrame({"shard": np.searchsorted(edges, keys, side="left").astype(np.int32), "doc_id": keys, "ids": ids})
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
@@ -195,8 +198,7 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
             )
 
     dealt = (
-        tokens.with_ids(rows, tokenizer=tokenizer)
-        .mapInPandas(deal, "shard int, doc_id bigint, ids binary")
+        rows.mapInPandas(deal, "shard int, doc_id bigint, ids binary")
         .repartitionById(len(bounds) + 1, F.col("shard"))
         .sortWithinPartitions("doc_id", "ids")
     )

@@ -1,4 +1,4 @@
-"""Token ids of whole texts with a word-cached tokenizer."""
+"""Token ids of whole texts with a tokenizer that sees every distinct word once."""
 
 from __future__ import annotations
 
@@ -16,18 +16,19 @@ from tokenizers import Tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Words (and as many pieces of words) whose ids a Python worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+#: Pieces of words whose ids a Python worker keeps; beyond it the cache starts anew.
+CACHE_PIECES = 500_000
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
-# Words of these characters need no normalisation but lower case, and the tokenizer's pattern is plain on them.
+_BLANKS = " \t\n\x0b\x0c\r"
+# Texts of these characters need no normalisation but lower case, and the tokenizer's pattern is plain on them.
 _PLAIN = [chr(c) for c in range(0x21, 0x180) if unicodedata.category(chr(c)) not in ("Cc", "Cf", "Zs") and c != 0x130]
 _LETTERS = "".join(c for c in _PLAIN if unicodedata.category(c)[0] == "L")
 _NUMBERS = "".join(c for c in _PLAIN if unicodedata.category(c)[0] == "N")
-_PLAIN_WORD = re.compile(f"[{re.escape(''.join(_PLAIN))}]+")
-#: The tokenizer's pattern (fixed) on such words.
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+_NOT_PLAIN = re.compile(f"[^{re.escape(''.join(_PLAIN))}{_BLANKS}]|<\\|")
+#: The tokenizer's pattern (fixed) on such texts.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -43,75 +44,70 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Encodes texts word by word, each distinct word once.
+    """Encodes texts piece by piece, each distinct piece once.
 
-    The tokenizer turns white space into separators before it looks for
-    tokens, so no token, special token or normalisation reaches over an
-    ASCII space character and the ids of a text are those of its words in
-    a row.
+    The tokenizer cuts a text into words, numbers and runs of marks before
+    it looks for tokens, so the ids of a text are those of these pieces in a
+    row.  Where a text holds characters on which the cut is less plain, its
+    space-separated words go through the whole tokenizer instead: no token,
+    special token or normalisation reaches over an ASCII space character.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.pieces: dict[str, list[int]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.n = 0
 
-    def _piece(self, piece: str) -> list[int]:
-        if piece.isascii():
-            named = piece
-        else:
-            named = "".join(map(_BYTE_CHARACTERS.__getitem__, piece.encode()))
-        return [t.id for t in self.model.tokenize(named)]
-
-    def _ids(self, word: bytes) -> list[int]:
-        """Ids of a word: of its pieces, each known once, or from the whole tokenizer where the word is not plain."""
-        text = word.decode()
-        if not _PLAIN_WORD.fullmatch(text) or "<|" in text:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for piece in _PIECES.findall(text.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.pieces[piece] = self._piece(piece)
-            out += ids
-        return out
+    def _ids(self, piece: str) -> list[int]:
+        if piece[:1] == " ":  # a word for the whole tokenizer
+            return self.tokenizer.encode(piece[1:], add_special_tokens=False).ids
+        if not piece.isascii():
+            piece = "".join(map(_BYTE_CHARACTERS.__getitem__, piece.encode()))
+        return [t.id for t in self.model.tokenize(piece)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces = {}
-        lists = [self._ids(w) for w in words]
+    def _learn(self, pieces: list[str]) -> None:
+        lists = [self._ids(p) for p in pieces]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         first = int(self.starts[self.n])
         end = first + int(lengths.sum())
         while len(self.flat) < end:
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while len(self.starts) <= self.n + len(words):
+        while len(self.starts) <= self.n + len(pieces):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.flat[first:end] = np.fromiter((i for x in lists for i in x), np.uint32, end - first)
-        self.starts[self.n + 1 : self.n + 1 + len(words)] = first + np.cumsum(lengths)
-        self.index.update(zip(words, range(self.n, self.n + len(words)), strict=True))
-        self.n += len(words)
+        self.flat[first:end] = np.fromiter(chain.from_iterable(lists), np.uint32, end - first)
+        self.starts[self.n + 1 : self.n + 1 + len(pieces)] = first + np.cumsum(lengths)
+        self.index.update(zip(pieces, range(self.n, self.n + len(pieces)), strict=True))
+        self.n += len(pieces)
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        if _NOT_PLAIN.search(text) is None:
+            return _PIECES.findall(text.lower())
+        out: list[str] = []
+        for word in text.encode("utf-8", "surrogatepass").split():
+            w = word.decode("utf-8", "surrogatepass")
+            out += _PIECES.findall(w.lower()) if _NOT_PLAIN.search(w) is None else [" " + w]
+        return out
 
     def encode(self, texts: Iterable[str | None], end_id: int | None = END_ID) -> list[np.ndarray]:
         """Per text its ids (uint32), with ``end_id`` behind them; null counts as empty."""
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        new = [w for w in set().union(*split) if w not in self.index]
-        if len(self.index) + len(new) > CACHE_WORDS:
+        split = [self._cut(t or "") for t in texts]
+        index = self.index
+        new = {p for pieces in split for p in pieces if p not in index}
+        if len(index) + len(new) > CACHE_PIECES:
             self._reset()
-            new = list(set().union(*split))
+            new = set().union(*split)
         if new:
             self._learn(sorted(new))
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = self.index.__getitem__
-        words = np.fromiter(map(at, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        words = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         lengths = self.starts[words + 1] - self.starts[words]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
@@ -133,23 +129,3 @@ def slices(batch: pd.DataFrame, column: str = "text") -> Iterator[pd.DataFrame]:
     sizes = batch[column].map(lambda t: len(t) if t is not None else 0)
     for _, part in batch.groupby((sizes.cumsum() // SLICE_BYTES).to_numpy(), sort=False):
         yield part
-
-
-def with_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and ``ids``: little-endian unsigned 32-bit ids, the end id last."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = encoder(tokenizer)
-        for batch in batches:
-            for part in slices(batch):
-                ids = coder.encode(part["text"], end_id)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"].astype("Int64"),
-                        "n_tokens": [len(x) for x in ids],
-                        "ids": [x.astype("<u4").tobytes() for x in ids],
-                    }
-                )
-
-    rows = docs.selectExpr(f"cast(`{key}` as bigint) as doc_id", f"`{text}` as text")
-    return rows.mapInPandas(run, "doc_id bigint, n_tokens bigint, ids binary")
