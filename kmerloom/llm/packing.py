@@ -29,7 +29,7 @@ CAPACITY = 2048
 #: Pieces that are packed together.
 GROUP = 4096
 #: What is left of a document is cut to at most this many ids, so that a window holds several pieces.
-LONGEST = 256
+LONGEST = 200
 
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, "
@@ -82,12 +82,16 @@ def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """Near-equal windows within the capacity; their number rises until all fit."""
     if sizes.max(initial=0) > capacity:
         raise ValueError("a piece is larger than a window")
-    k = max(1, -(-int(sizes.sum()) // capacity))
+    total = int(sizes.sum())
+    k = max(1, -(-total // capacity))
     while True:
         part = differencing(sizes, k)
-        if np.bincount(part, weights=sizes, minlength=k).max(initial=0) <= capacity:
+        fullest = int(np.bincount(part, weights=sizes, minlength=k).max(initial=0))
+        if fullest <= capacity:
             return part
-        k += max(1, k // 500)
+        # so many windows that the fullest would fit if it stayed as far above the mean
+        room = capacity - (fullest - total / k)
+        k = max(k + 1, int(total / room) + 1 if room > capacity / 2 else k + k // 8)
 
 
 def cut(n_tokens: int, capacity: int, longest: int) -> tuple[int, list[int]]:
@@ -95,8 +99,8 @@ def cut(n_tokens: int, capacity: int, longest: int) -> tuple[int, list[int]]:
     whole, left = divmod(n_tokens, capacity)
     if not left:
         return whole, []
-    parts = -(-left // longest)
-    return whole, [left // parts + (i < left % parts) for i in range(parts)]
+    # what is left over is of all sizes, and small pieces level the windows
+    return whole, [longest] * (left // longest) + ([left % longest] if left % longest else [])
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = tokens.TOKENIZER, capacity: int = CAPACITY, group: int = GROUP, longest: int = LONGEST) -> DataFrame:

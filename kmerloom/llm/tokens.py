@@ -43,6 +43,18 @@ _BYTE_CHARACTERS = _byte_characters()
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+class _Numbers(dict):
+    """Numbers pieces as they are first looked up, and remembers the new ones."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.fresh.append(piece)
+        return n
+
+
 class WordEncoder:
     """Encodes texts piece by piece, each distinct piece once.
 
@@ -60,7 +72,7 @@ class WordEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Numbers()
         self.flat = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.n = 0
@@ -72,7 +84,8 @@ class WordEncoder:
             piece = "".join(map(_BYTE_CHARACTERS.__getitem__, piece.encode()))
         return [t.id for t in self.model.tokenize(piece)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self) -> None:
+        pieces, self.index.fresh = self.index.fresh, []
         lists = [self._ids(p) for p in pieces]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         first = int(self.starts[self.n])
@@ -83,7 +96,6 @@ class WordEncoder:
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         self.flat[first:end] = np.fromiter(chain.from_iterable(lists), np.uint32, end - first)
         self.starts[self.n + 1 : self.n + 1 + len(pieces)] = first + np.cumsum(lengths)
-        self.index.update(zip(pieces, range(self.n, self.n + len(pieces)), strict=True))
         self.n += len(pieces)
 
     @staticmethod
@@ -98,16 +110,13 @@ class WordEncoder:
 
     def encode(self, texts: Iterable[str | None], end_id: int | None = END_ID) -> list[np.ndarray]:
         """Per text its ids (uint32), with ``end_id`` behind them; null counts as empty."""
-        split = [self._cut(t or "") for t in texts]
-        index = self.index
-        new = {p for pieces in split for p in pieces if p not in index}
-        if len(index) + len(new) > CACHE_PIECES:
+        if len(self.index) > CACHE_PIECES:
             self._reset()
-            new = set().union(*split)
-        if new:
-            self._learn(sorted(new))
+        split = [self._cut(t or "") for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         words = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        if self.index.fresh:
+            self._learn()
         lengths = self.starts[words + 1] - self.starts[words]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
