@@ -4,18 +4,427 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kmerloom.functions import stats
+from kmerloom.operators import decay, enrichment, kmers, logistic, motifs, peaks, presentation, regression, spikes
+from kmerloom.plans import fixtures as fx
+from kmerloom.plans import oracles
+from kmerloom.sources import tables
+from kmerloom.sources.tables import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
+PEAK_LEVEL = 0.4
+SEED = "TAA"
+#: Features of the small regressions: all words of two letters.
+PAIRS = [a + b for a in "ACGT" for b in "ACGT"]
+
+
+def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def _counts3(spark, d) -> DataFrame:
+    return kmers.counts(fx.sequences(spark, d), 3)
+
+
+def _scores(spark, d) -> DataFrame:
+    return regression.score(_counts3(spark, d), fx.model(spark), fx.B0)
+
+
+def _weights(spark, d) -> DataFrame:
+    return kmers.positional_weights(fx.sequences(spark, d), fx.model(spark))
+
+
+class _Decay:
+    """The decay chain on the count fixture: what each step hands to the next."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.counts = fx.counts(spark, d)
+        self.logs = fx.logs(self.counts)
+        self.times = decay.usable_times(self.counts)
+        self.reporters = decay.select_reporters(self.counts, self.times)
+        self.data = self.logs.join(F.broadcast(self.times), "tm").join(self.reporters.select("id"), "id")
+
+    @property
+    def noise(self) -> DataFrame:
+        return decay.column_noise(self.data)
+
+    @property
+    def floor(self) -> float:
+        return decay.detection_floor(self.logs).first()[0]
+
+    @property
+    def fits(self) -> DataFrame:
+        return decay.fit(self.data, self.noise, self.floor)
+
+    @property
+    def tests(self) -> DataFrame:
+        four = self.noise.orderBy("tm").limit(4)
+        return decay.goodness_of_fit(self.data, self.fits, four, self.floor)
+
+    @property
+    def tested(self) -> DataFrame:
+        return self.fits.join(self.tests, "id")
+
+
+def _peak_tables(spark, d) -> tuple[DataFrame, DataFrame]:
+    weights = stage(peaks.normalised(kmers.norm_weights(_weights(spark, d)))[0])
+    return weights, fx.sequences(spark, d)
+
+
+def _peaks(spark, d) -> DataFrame:
+    weights, seqs = _peak_tables(spark, d)
+    return peaks.extract(weights, seqs, PEAK_LEVEL)
+
+
+def _assigned(spark, d) -> DataFrame:
+    return motifs.assign(_peaks(spark, d), fx.MOTIFS, fx.BACKGROUND)
+
+
+def _seed_peaks(spark, d) -> DataFrame:
+    return _peaks(spark, d).where(F.col("weight") > 0).groupBy("seq").agg(F.max("weight").alias("weight"))
+
+
+def kmer_counts_k3_7(spark, d):
+    per = kmers.counts(fx.sequences(spark, d), range(3, 8))
+    return per.groupBy("k", "kmer").agg(F.count("*").alias("n_ids"), F.sum("cnt").alias("total"))
+
+
+def kmer_preselect_rank(spark, d):
+    per = _counts3(spark, d).groupBy("kmer").agg(F.round(F.count("*") / 1000, 6).alias("p_right"), F.round(F.avg("cnt") / 10, 6).alias("p_left"))
+    return kmers.preselect(per, 20)
+
+
+def sequence_score(spark, d):
+    rate = decay.clamp_rate(F.col("score"))
+    return _scores(spark, d).select("id", "score", rate.alias("rate"), F.round(decay.half_life(rate), 6).alias("half_life"))
+
+
+def sequence_length_filter(spark, d):
+    return tables.long_enough(fx.sequences(spark, d), 50).select("id", F.length("seq").cast("long").alias("len"))
+
+
+def length_slope_gate(spark, d):
+    long_ = fx.sequences(spark, d).select("id", F.length("seq").alias("len"))
+    rows = _scores(spark, d).join(long_, "id").select("len", (F.col("score") + 40).alias("d"))
+    return _rounded(regression.length_slope(rows), 6, "slope", "intercept")
+
+
+def rate_bounds(spark, d):
+    return _scores(spark, d).select("id", F.round(decay.clamp_rate(F.col("score")), 6).alias("rate"))
+
+
+def half_life(spark, d):
+    return _scores(spark, d).select("id", F.round(decay.half_life(decay.clamp_rate(F.col("score"))), 6).alias("half_life"))
+
+
+def counts_unpivot(spark, d):
+    times = [float(t) for t in range(7)]
+    wide = fx.counts(spark, d).groupBy("id").pivot("tm", times).agg(F.first("cnt")).fillna(0)
+    return tables.unpivot(wide.toDF("id", *[f"t{i}" for i in range(7)]), times)
+
+
+def spike_split(spark, d):
+    counted = fx.counts(spark, d)
+    both = counted.select(F.concat(F.lit("P"), "id").alias("id"), "tm", "cnt").union(
+        fx.spikes(counted).select(F.concat(F.lit(tables.SPIKE_PREFIX), "rank"), "tm", "q")
+    )
+    return tables.split_spikes(both).groupBy("is_spike", "tm").agg(F.count("*").alias("n"), F.sum("cnt").alias("total"))
+
+
+def spike_outliers(spark, d):
+    q = F.when((F.col("rank") == 2) & (F.col("tm") == 3), 5.0).otherwise(F.col("q"))
+    return spikes.drop_outliers(fx.spikes(fx.counts(spark, d)).withColumn("q", q)).select("rank", "tm", "q")
+
+
+def _spike_chain(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    counted = fx.counts(spark, d)
+    found = fx.spikes(counted)
+    columns = spikes.usable_columns(counted, found)
+    return counted, columns, spikes.redistribute(found, columns)
+
+
+def spike_usable_columns(spark, d):
+    return _spike_chain(spark, d)[1]
+
+
+def spike_redistribute(spark, d):
+    return _rounded(_spike_chain(spark, d)[2].select("rank", "tm", "q"), 6, "q")
+
+
+def spike_scale(spark, d):
+    counted, _, dealt = _spike_chain(spark, d)
+    return spikes.scale_fraction(counted, dealt).select("rank", "tm", "q")
+
+
+def spike_course(spark, d):
+    counted, _, dealt = _spike_chain(spark, d)
+    return spikes.cap(counted, spikes.smooth_totals(counted, spikes.scale_fraction(counted, dealt, 0.05)))
+
+
+def count_calibration_apply(spark, d):
+    counted = fx.counts(spark, d)
+    return _rounded(spikes.normalise(counted, spikes.mean_calibration(fx.spikes(counted))), 6, "log_x")
+
+
+def count_calibration_regression(spark, d):
+    counted = fx.counts(spark, d)
+    return spikes.normalise(counted, spikes.regression_calibration(counted, fx.spikes(counted)))
+
+
+def sample_share_neighbors(spark, d):
+    return _rounded(decay.shares(fx.counts(spark, d)), 9, "share", "near")
+
+
+def two_phase_eval(spark, d):
+    c = _Decay(spark, d)
+    rows = c.fits.join(F.broadcast(c.times))  # a row a time
+    y = decay.predict_two_phase(F.col("tm"), F.col("a"), F.col("a") / 2, F.col("b"), F.lit(3))
+    return rows.select("id", "tm", F.round(y, 6).alias("y"))
+
+
+def decay_predict(spark, d):
+    c = _Decay(spark, d)
+    y = decay.predict(F.col("tm"), F.col("a"), F.col("b"), F.col("t"), c.floor)
+    return c.data.select("id", "tm").join(c.fits, "id").select("id", "tm", F.round(y, 6).alias("y_hat"))
+
+
+def decay_wls(spark, d):
+    c = _Decay(spark, d)
+    t0 = c.data.agg(F.min("tm").alias("t0"))
+    rows = c.data.join(F.broadcast(c.noise), "tm").join(F.broadcast(t0))
+    w = F.when(F.col("log_x") <= c.floor, 0.0).otherwise(1 / F.col("sd"))
+    points = rows.select("id", (F.col("tm") - F.col("t0")).alias("x"), F.col("log_x").alias("y"), w.alias("w"))
+    return _rounded(decay.weighted_line(points), 6, "a", "b")
+
+
+def bh_fdr(spark, d):
+    return _rounded(stats.bh_threshold(_Decay(spark, d).tests.select(F.round("p", 9).alias("p")), "p"), 9, "threshold")
+
+
+def rate_phase_log(spark, d):
+    fits = _Decay(spark, d).fits.select("id", (F.col("t") + F.col("id") % 12).alias("t"), F.col("a").alias("a1"), (F.col("a") / 2).alias("a2"))
+    return _rounded(decay.phase_rates(fits), 6, "log_d1", "log_d10", "log_h1", "log_h10")
+
+
+def logistic_eval(spark, d):
+    y = logistic.evaluate(F.lit(0.25), F.lit(0.5), F.col("cnt"), F.lit(3.0), F.col("tm"))
+    return fx.counts(spark, d).select("id", "tm", F.round(y, 6).alias("y"))
+
+
+def logistic_series(spark, d):
+    rows = fx.logs(fx.counts(spark, d)).groupBy((F.col("id") % 10).alias("series"), F.col("tm").alias("x")).agg(F.avg("log_x").alias("y"))
+    return logistic.fit_series(rows, [0, -20, -20, 0], [5, 20, 20, 24], restarts=10)
+
+
+def threshold_classifier(spark, d):
+    pairs = _scores(spark, d).join(fx.lengths(spark, d), "id").select(F.col("score").alias("pred"), F.col("s").alias("d"))
+    return regression.best_threshold(pairs, 2000)
+
+
+def gram_matrix(spark, d):
+    c = _counts3(spark, d).select("id", "kmer", "cnt")
+    other = c.select("id", F.col("kmer").alias("y"), F.col("cnt").alias("c2"))
+    return c.join(other, "id").groupBy(F.col("kmer").alias("x"), "y").agg(F.sum(F.col("cnt") * F.col("c2")).cast("double").alias("v"))
+
+
+def _design(spark, d) -> DataFrame:
+    targets = fx.lengths(spark, d).select("id", (F.col("s") / 1024).alias("d"))
+    return regression.design(kmers.counts(fx.sequences(spark, d), 2), targets, PAIRS)
+
+
+def ols_predict(spark, d):
+    return regression.ols(_design(spark, d), len(PAIRS))[2]
+
+
+def cv_fold_predict(spark, d):
+    return regression.cross_validate(_design(spark, d), len(PAIRS))
+
+
+def lasso_path(spark, d):
+    path = regression.lasso(regression.gram(_design(spark, d), len(PAIRS)), 40)
+    rows = [
+        (i, float(lam), k, float(c), float(path.mse[i]), float(path.se[i]), i == path.chosen())
+        for i, lam in enumerate(path.penalties)
+        for k, c in zip(PAIRS, path.coefficients[i], strict=True)
+    ]
+    return spark.createDataFrame(rows, "lambda_idx int, lambda double, kmer string, coef double, mse double, se double, chosen boolean")
+
+
+def length_correction(spark, d):
+    long_ = fx.sequences(spark, d).select("id", F.length("seq").alias("len"))
+    return regression.correct_length(_scores(spark, d).withColumnRenamed("score", "raw").join(long_, "id"), fx.B0)
+
+
+def peak_threshold(spark, d):
+    weights, top = peaks.normalised(stage(kmers.norm_weights(_weights(spark, d))))
+    level = peaks.threshold(weights)
+    return spark.range(1).select(F.round(F.lit(level), 6).alias("threshold"), F.round(F.lit(top), 6).alias("largest"))
+
+
+def _runs(sign: int) -> Query:
+    def query(spark, d):
+        weights, seqs = _peak_tables(spark, d)
+        return _rounded(peaks.runs(weights, seqs, sign, PEAK_LEVEL), 6, "weight")
+
+    return query
+
+
+def peak_sequence_totals(spark, d):
+    return _rounded(peaks.sequence_totals(_rounded(_peaks(spark, d), 6, "weight")), 5, "weight")
+
+
+def pwm_scan(spark, d):
+    seqs = fx.sequences(spark, d).where(F.length("seq") > 0).select("id", F.substring("seq", 1, 60).alias("seq"))
+    return _rounded(motifs.scan(seqs, fx.MOTIFS), 9, "score").withColumn("position", F.col("position").cast("long"))
+
+
+def motif_filter(spark, d):
+    groups = motifs.group_stats(_assigned(spark, d)).withColumnRenamed("motif", "consensus")
+    return _rounded(motifs.heavy_motifs(groups, 0.25), 5, "weight")
+
+
+def pwm_build_from_alignment(spark, d):
+    out = motifs.from_alignment(motifs.seed_alignment(_seed_peaks(spark, d), SEED))
+    return _rounded(out, 6, "A", "C", "G", "T", "information")
+
+
+def seed_cover(spark, d):
+    return motifs.seed_cover(_peaks(spark, d).where(F.col("weight") > 0), limit=20)
+
+
+def motif_em(spark, d):
+    found = stage(_peaks(spark, d))
+    state, total = motifs.refine(found, fx.MOTIFS, fx.BACKGROUND, motifs.MotifOptions(max_rounds=3))
+    rows = [(m.name, m.sign, i + 1, *c, total) for m in state for i, c in enumerate(m.columns)]
+    return spark.createDataFrame(rows, "motif string, sign int, pos int, A double, C double, G double, T double, total double")
+
+
+def motif_threshold(spark, d):
+    points = _assigned(spark, d).select(F.col("llr").alias("x"), (F.col("weight") > 0).alias("hit"), F.lit(1.0).alias("weight"))
+    return _rounded(motifs.least_error_threshold(points), 6, "threshold")
+
+
+def motif_logo(spark, d):
+    matrix = motifs.from_alignment(motifs.seed_alignment(_seed_peaks(spark, d), SEED))
+    return presentation.logo(matrix, 100)
+
+
+def confusion_matrix(spark, d):
+    pairs = _scores(spark, d).join(fx.lengths(spark, d), "id").select(F.col("score").alias("pred"), F.col("s").alias("d"))
+    return presentation.confusion(pairs, -8.0, 2000)
+
+
+def fit_quality(spark, d):
+    pairs = _scores(spark, d).join(fx.lengths(spark, d), "id").select(F.col("score").alias("pred"), F.col("s").alias("d"))
+    return _rounded(presentation.fit_quality(pairs), 6, "r")
+
+
+def kmer_list_parse(spark, d):
+    per = _counts3(spark, d).groupBy("kmer").agg(F.collect_list(F.struct(F.col("id").cast("string").alias("i"), F.col("cnt").cast("string").alias("c"))).alias("x"))
+    joined = [F.array_join(F.col("x")[f], ",") for f in ("i", "c")]
+    return tables.parse_kmer_list(per.select(F.concat_ws("\t", "kmer", F.size("x").cast("string"), *joined).alias("value")))
+
+
+def weight_track(spark, d):
+    scores = _scores(spark, d)
+    rate: Column = decay.clamp_rate(F.col("score"))
+    tracks = presentation.weight_tracks(_weights(spark, d), scores.select("id", rate.alias("score"))).drop("score")
+    return _rounded(tracks.join(scores, "id"), 6, "half_life_minutes")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["sequence_score"](spark, sf_dir)
+    return sequence_score(spark, sf_dir)
+
+
+def _members(spark, d) -> DataFrame:
+    return _counts3(spark, d).select("id", "kmer")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    """All domain queries by name."""
+    return {
+        "kmer_lexicon": lambda s, d: kmers.lexicon(s, 5),
+        "kmer_counts_k3": _counts3,
+        "kmer_counts_k3_7": kmer_counts_k3_7,
+        "kmer_presence": lambda s, d: kmers.presence(_counts3(s, d)),
+        "kmer_positional_weights": _weights,
+        "kmer_norm_weights": lambda s, d: _rounded(kmers.norm_weights(_weights(s, d)), 10, "w"),
+        "kmer_preselect_rank": kmer_preselect_rank,
+        "kmer_list_parse": kmer_list_parse,
+        "sequence_score": sequence_score,
+        "sequence_length_filter": sequence_length_filter,
+        "length_slope_gate": length_slope_gate,
+        "length_correction": length_correction,
+        "rate_bounds": rate_bounds,
+        "half_life": half_life,
+        "counts_unpivot": counts_unpivot,
+        "spike_split": spike_split,
+        "spike_outliers": spike_outliers,
+        "spike_usable_columns": spike_usable_columns,
+        "spike_redistribute": spike_redistribute,
+        "spike_scale": spike_scale,
+        "spike_course": spike_course,
+        "count_calibration_apply": count_calibration_apply,
+        "count_calibration_regression": count_calibration_regression,
+        "sample_share_neighbors": sample_share_neighbors,
+        "sample_select": lambda s, d: decay.usable_times(fx.counts(s, d)),
+        "reporter_select": lambda s, d: _rounded(_Decay(s, d).reporters, 6, "mean_count"),
+        "detection_floor": lambda s, d: _rounded(decay.detection_floor(fx.logs(fx.counts(s, d))), 9, "floor"),
+        "column_noise": lambda s, d: _rounded(_Decay(s, d).noise, 6, "sd"),
+        "decay_wls": decay_wls,
+        "decay_fit": lambda s, d: _rounded(_Decay(s, d).fits, 6, "a", "b", "r"),
+        "decay_predict": decay_predict,
+        "decay_r2": lambda s, d: _rounded(_Decay(s, d).fits.select("id", "r"), 6, "r"),
+        "decay_gof_even_df": lambda s, d: _rounded(_Decay(s, d).tests, 6, "chi2", "p"),
+        "bh_fdr": bh_fdr,
+        "rate_phase_log": rate_phase_log,
+        "good_fit_mask": lambda s, d: _Decay(s, d).tested.select("id", decay.good_fit(F.col("b"), F.col("p"), F.col("r")).alias("good")),
+        "two_phase_eval": two_phase_eval,
+        "logistic_eval": logistic_eval,
+        "logistic_series": logistic_series,
+        "enrich_tstat": lambda s, d: _rounded(enrichment.t_statistics(_members(s, d), fx.lengths(s, d)), 6, "t"),
+        "enrich_ttest": lambda s, d: enrichment.t_test(_members(s, d), fx.lengths(s, d)),
+        "enrich_ks_stat": lambda s, d: _rounded(enrichment.ks_statistics(_members(s, d), fx.lengths(s, d)), 6, "d_less", "d_more"),
+        "enrich_ks_test": lambda s, d: enrichment.ks_test(_members(s, d), fx.lengths(s, d)),
+        "enrich_hypergeom": lambda s, d: _rounded(enrichment.hypergeometric(_members(s, d), fx.quality(s, d)), 6, "p_right", "p_left"),
+        "enrich_mutual_info": lambda s, d: _rounded(enrichment.mutual_information(_members(s, d), fx.lengths(s, d)), 6, "mi"),
+        "enrich_permutation": lambda s, d: enrichment.permutation_test(_members(s, d), fx.lengths(s, d)),
+        "regression_select_rows": lambda s, d: _rounded(regression.select_rows(_Decay(s, d).tested), 6, "d", "quality"),
+        "time_expand": lambda s, d: _rounded(regression.expand_times(_Decay(s, d).data, _Decay(s, d).fits), 6, "y"),
+        "threshold_classifier": threshold_classifier,
+        "gram_matrix": gram_matrix,
+        "ols_predict": ols_predict,
+        "cv_fold_predict": cv_fold_predict,
+        "lasso_path": lasso_path,
+        "peak_threshold": peak_threshold,
+        "peak_runs_pos": _runs(1),
+        "peak_runs_neg": _runs(-1),
+        "peaks_unique": lambda s, d: peaks.unique_peaks(_rounded(_peaks(s, d), 6, "weight")),
+        "peak_sequence_totals": peak_sequence_totals,
+        "peak_motif_hits": lambda s, d: _rounded(peaks.motif_hits(_assigned(s, d)), 6, "score_sum"),
+        "peak_hit_matrix": lambda s, d: peaks.hit_matrix(peaks.motif_hits(_assigned(s, d)), [*[m.name for m in fx.MOTIFS], motifs.NONE]),
+        "peak_summary": lambda s, d: _rounded(peaks.hit_summary(_assigned(s, d)), 6, "mean_motifs"),
+        "pwm_scan": pwm_scan,
+        "pwm_assign": lambda s, d: _rounded(_assigned(s, d).select("id", "start", "end", "motif", "llr"), 6, "llr"),
+        "motif_group_stats": lambda s, d: _rounded(motifs.group_stats(_assigned(s, d)), 5, "weight"),
+        "motif_filter": motif_filter,
+        "motif_threshold": motif_threshold,
+        "seed_align": lambda s, d: _rounded(motifs.seed_alignment(_seed_peaks(s, d), SEED), 6, "weight"),
+        "pwm_build_from_alignment": pwm_build_from_alignment,
+        "seed_cover": seed_cover,
+        "motif_em": motif_em,
+        "motif_logo": motif_logo,
+        "hist2d": lambda s, d: presentation.histogram_2d(_Decay(s, d).fits, "a", "b", 20),
+        "rate_hist": lambda s, d: presentation.histogram(_scores(s, d), "score", 32),
+        "weight_topn": lambda s, d: presentation.top_weights(fx.model(s), 15),
+        "weight_track": weight_track,
+        "confusion_matrix": confusion_matrix,
+        "fit_quality": fit_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_sql()
