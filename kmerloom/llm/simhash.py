@@ -147,7 +147,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     own = _keyed(distinct, False).withColumnRenamed("fp", "x")
     near = _keyed(distinct, True).withColumnRenamed("fp", "y")
     close = (F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_bits)
-    met = own.join(near, (own["key"] == near["key"]) & close)
+    # the planner takes both sides for as small as the fingerprints they are made from
+    met = own.join(near.hint("merge"), (own["key"] == near["key"]) & close)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

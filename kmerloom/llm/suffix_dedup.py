@@ -12,9 +12,9 @@ earlier: in a document of a smaller key, or earlier in the same one.
    shared passage.  Their bytes are fetched from the documents and dealt over
    tasks by anchor.  A task builds suffix arrays and Burrows-Wheeler
    transforms of shards of its segments and merges them by refining their
-   interleave one character at a time, to the depth of ``LENGTH``.  Places
-   where the refinement first tells two neighbours apart are their common
-   prefixes; intervals it never splits are the repeated strings.
+   interleave one character at a time, to the depth of ``LENGTH``.  The depth
+   at which the refinement tells a suffix from its neighbours is its common
+   prefix; intervals it never splits are the repeated strings.
 3. An anchor with more than ``MOST_SEGMENTS`` different segments would not
    fit a task; its windows are hashed and aggregated instead, which gives the
    same answer for any number of them.
@@ -42,11 +42,11 @@ from kmerloom.llm.common import written
 
 LENGTH = 100
 #: Bytes of an anchor; windows hold LENGTH - GRAM + 1 of them.
-GRAM = 24
+GRAM = 40
 #: Bytes whose segments a task deals out together, and bytes of text a bucket stands for.
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
 #: Segments of an anchor that suffix sorting takes; bytes that are sorted together; shards they are cut to.
-MOST_SEGMENTS, BATCH_BYTES, SHARDS = 1024, 1 << 20, 4
+MOST_SEGMENTS, BATCH_BYTES, SHARDS = 1 << 15, 1 << 20, 4
 NULL_KEY = -(2**63)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POS_BITS = 24
@@ -242,33 +242,40 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
             return order
 
 
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of sorted shards and common prefixes of neighbours, from their transforms alone.
+def merge(transforms: list[np.ndarray], room: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Repeated intervals of sorted shards, from their transforms alone.
 
-    The interleave starts with one shard behind the other.  A round sorts it
-    stably by the characters before its suffixes, which orders all suffixes
-    by one character more; places where a new block begins get the depth
-    reached as their common prefix.  Common prefixes of ``depth`` and more
-    are given as ``depth``.
+    The interleave of the shards' suffixes starts with one shard behind the
+    other.  A round sorts it stably by the characters before the suffixes,
+    which orders by one character more the suffixes that begin there; a
+    block is split where character or former block change.  A suffix leaves
+    when it is alone in its block or when the depth passes its ``room`` (the
+    characters up to its string's end).  Given are the suffixes left at
+    ``depth`` (numbers in the stacked shards), their blocks, and for every
+    suffix the common prefix at which it left.
     """
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
     stacked = np.concatenate(transforms)
-    n = len(stacked)
-    prefix = np.full(n, depth)
-    block = np.zeros(n, np.int32)
-    for t in range(depth):
-        before = np.empty(n, np.uint16)
-        before[np.argsort(shard, kind="stable")] = stacked
-        order = np.argsort(before, kind="stable")
-        shard, moved, before = shard[order], block[order], before[order]
-        fresh = np.ones(n, bool)
-        fresh[1:] = (before[1:] != before[:-1]) | (moved[1:] != moved[:-1])
-        now = np.cumsum(fresh, dtype=np.int32) - 1
-        prefix[fresh & (prefix == depth)] = t
-        block = now
-        if now[-1] == n - 1:
+    before = np.empty(len(stacked), np.int32)  # of a suffix: the number of the one that begins a character earlier
+    at = 0
+    for t in transforms:
+        before[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t))
+        at += len(t)
+    prefix = np.full(len(stacked), depth)
+    suffix, block = np.arange(len(stacked), dtype=np.int32), np.zeros(len(stacked), np.int32)
+    for t in range(1, depth + 1):
+        character = stacked[suffix]
+        order = np.argsort(character, kind="stable")
+        character, block, suffix = character[order], block[order], before[suffix][order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (character[1:] != character[:-1]) | (block[1:] != block[:-1])
+        block = np.cumsum(fresh, dtype=np.int32) - 1
+        stays = room[suffix] >= t
+        stays &= np.bincount(block[stays], minlength=int(block[-1]) + 1)[block] > 1 if len(block) else True
+        prefix[suffix[~stays]] = t - 1
+        suffix, block = suffix[stays], block[stays]
+        if not len(suffix):
             break
-    return shard, prefix
+    return suffix, block, prefix
 
 
 def repeats(strings: list[bytes], order: np.ndarray, length: int = LENGTH, shards: int = SHARDS) -> list[np.ndarray]:
@@ -289,13 +296,10 @@ def repeats(strings: list[bytes], order: np.ndarray, length: int = LENGTH, shard
         transforms.append(text[suffixes - 1])
         own = np.minimum(np.searchsorted(ends, suffixes, side="right"), len(part) - 1)
         start = suffixes - (ends - sizes)[own]
-        full = (start + length < sizes[own]) & (suffixes < len(flat))
-        where.append((part[own], start, full))
-    shard, prefix = merge(transforms, length)
-    at = np.argsort(shard, kind="stable")
-    string, start, full = _spread(where, at)
-    interval = np.cumsum(prefix < length)
-    string, start, interval = string[full], start[full], interval[full]
+        where.append((part[own], start, np.where(suffixes < len(flat), sizes[own] - 1 - start, 0)))
+    string, start, room = (np.concatenate(x) for x in zip(*where, strict=True))
+    suffix, interval, _ = merge(transforms, room, length)
+    string, start = string[suffix], start[suffix]
     by = np.lexsort((start, order[string], interval))
     later = np.zeros(len(by), bool)
     later[1:] = interval[by][1:] == interval[by][:-1]
@@ -305,17 +309,6 @@ def repeats(strings: list[bytes], order: np.ndarray, length: int = LENGTH, shard
     return [start[hit[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _spread(where: list[tuple], at: np.ndarray) -> list[np.ndarray]:
-    """What the shards know of their suffixes, in the order of the interleave."""
-    out = []
-    for i in range(3):
-        stacked = np.concatenate([w[i] for w in where])
-        placed = np.empty_like(stacked)
-        placed[at] = stacked
-        out.append(placed)
-    return out
-
-
 def _runs(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
     """Spans that windows at ascending starts cover."""
     if not len(starts):
@@ -402,7 +395,7 @@ def _by_windows(fetched: DataFrame) -> DataFrame:
 
     windows = fetched.mapInPandas(run, "w1 bigint, w2 bigint, k bigint, h bigint, at bigint").distinct()
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("k", "h", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, ["w1", "w2"]).where(F.struct("k", "h", "at") != F.col("first"))
+    later = windows.join(first.hint("merge"), ["w1", "w2"]).where(F.struct("k", "h", "at") != F.col("first"))
     return later.select("k", "h", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
 
 
