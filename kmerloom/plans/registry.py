@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,28 +42,28 @@ class _Decay:
     """The decay chain on the count fixture: what each step hands to the next."""
 
     def __init__(self, spark: SparkSession, d: str):
-        self.counts = fx.counts(spark, d)
+        self.counts = stage(fx.counts(spark, d))
         self.logs = fx.logs(self.counts)
         self.times = decay.usable_times(self.counts)
         self.reporters = decay.select_reporters(self.counts, self.times)
         self.data = self.logs.join(F.broadcast(self.times), "tm").join(self.reporters.select("id"), "id")
 
-    @property
+    @cached_property
     def noise(self) -> DataFrame:
-        return decay.column_noise(self.data)
+        return stage(decay.column_noise(self.data))
 
-    @property
+    @cached_property
     def floor(self) -> float:
         return decay.detection_floor(self.logs).first()[0]
 
-    @property
+    @cached_property
     def fits(self) -> DataFrame:
-        return decay.fit(self.data, self.noise, self.floor)
+        return stage(decay.fit(self.data, self.noise, self.floor))
 
-    @property
+    @cached_property
     def tests(self) -> DataFrame:
-        four = self.noise.orderBy("tm").limit(4)
-        return decay.goodness_of_fit(self.data, self.fits, four, self.floor)
+        four = stage(self.noise.orderBy("tm").limit(4))
+        return stage(decay.goodness_of_fit(self.data, self.fits, four, self.floor))
 
     @property
     def tested(self) -> DataFrame:
@@ -393,7 +394,7 @@ def queries() -> dict[str, Query]:
         "enrich_mutual_info": lambda s, d: _rounded(enrichment.mutual_information(_members(s, d), fx.lengths(s, d)), 6, "mi"),
         "enrich_permutation": lambda s, d: enrichment.permutation_test(_members(s, d), fx.lengths(s, d)),
         "regression_select_rows": lambda s, d: _rounded(regression.select_rows(_Decay(s, d).tested), 6, "d", "quality"),
-        "time_expand": lambda s, d: _rounded(regression.expand_times(_Decay(s, d).data, _Decay(s, d).fits), 6, "y"),
+        "time_expand": lambda s, d: (lambda c: _rounded(regression.expand_times(c.data, c.fits), 6, "y"))(_Decay(s, d)),
         "threshold_classifier": threshold_classifier,
         "gram_matrix": gram_matrix,
         "ols_predict": ols_predict,
