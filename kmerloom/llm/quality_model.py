@@ -186,7 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     share = min(1.0, rows / n)
     chosen = known.where(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
     # the sample is bounded by ``rows`` in expectation, so it can go to every task
-    sample = docs.join(F.broadcast(chosen), docs[key] == chosen["k"]).select("k", "y", docs[text].alias("text"))
+    narrow = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
+    sample = narrow.join(F.broadcast(chosen.withColumn("k", F.col("k").cast("long"))), "k").select("k", "y", "text")
     got = _with_statistics(sample, "k bigint, y double", None).toPandas().sort_values("k", kind="stable")
     if got.empty:
         return fit(np.zeros((0, len(STATISTICS))), np.zeros(0))
