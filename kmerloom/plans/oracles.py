@@ -76,7 +76,7 @@ ps_{n} AS (SELECT s.id, a, b, sum(w) AS weight, count(*) AS n FROM sp_{n} s JOIN
 peaks_{n} AS (SELECT p.id, a AS start, b AS "end", weight, substr(seq, a::INT, n::INT) AS seq FROM ps_{n} p JOIN seqs USING (id), thr WHERE n >= 5 AND {sign} * weight / n >= 0.5 * v)"""
 
 
-THR = "edge AS (SELECT min(pos) AS first, max(pos) AS last FROM wn WHERE w <> 0), thr AS (SELECT 0.4::DOUBLE AS v)"
+THR = "edge AS (SELECT min(pos) AS first, max(pos) AS last FROM wn WHERE w <> 0), thr AS (SELECT 0.4137::DOUBLE AS v)"
 PEAKS = ", ".join([BASE, W, NORM, THR, _runs(1), _runs(-1)]) + ", peaks AS (SELECT * FROM peaks_pos UNION ALL SELECT * FROM peaks_neg)"
 
 

@@ -16,7 +16,7 @@ from kmerloom.sources import tables
 from kmerloom.sources.tables import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
-PEAK_LEVEL = 0.4
+PEAK_LEVEL = 0.4137
 SEED = "TAA"
 #: Features of the small regressions: all words of two letters.
 PAIRS = [a + b for a in "ACGT" for b in "ACGT"]
