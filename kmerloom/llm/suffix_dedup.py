@@ -44,7 +44,7 @@ LENGTH = 100
 #: Bytes of an anchor; windows hold LENGTH - GRAM + 1 of them.
 GRAM = 40
 #: Bytes whose segments a task deals out together, and bytes of text a bucket stands for.
-CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 1 << 20, 16 << 20
 #: Segments of an anchor that suffix sorting takes; bytes that are sorted together; shards they are cut to.
 MOST_SEGMENTS, BATCH_BYTES, SHARDS = 1 << 15, 1 << 20, 4
 NULL_KEY = -(2**63)

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Pieces of words whose ids a Python worker keeps; beyond it the cache starts anew.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 #: Bytes of text that are encoded at a time.
 SLICE_BYTES = 1 << 20
 
