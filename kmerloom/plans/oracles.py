@@ -122,8 +122,8 @@ def all_sql() -> dict[str, str]:
             "(SELECT id, seq, k, unnest(range(1, length(seq) - k + 2)) AS i FROM seqs, range(3, 8) AS t(k) WHERE length(seq) >= k)) GROUP BY ALL",
         ),
         "kmer_presence": _with(f"{SEQS}, {OCC}, {KC}", "SELECT kmer, count(*) AS n_ids, sum(cnt)::BIGINT AS total FROM kc GROUP BY kmer HAVING count(*) >= 2"),
-        "kmer_positional_weights": _with(f"{BASE}, {W}", "SELECT id, pos, w FROM w"),
-        "kmer_norm_weights": _with(f"{BASE}, {W}, {NORM}", "SELECT id, pos, round(w, 10) AS w FROM nw"),
+        "kmer_positional_weights": _with(f"{BASE}, {W}", "SELECT id, pos::INT AS pos, w FROM w"),
+        "kmer_norm_weights": _with(f"{BASE}, {W}, {NORM}", "SELECT id, pos::INT AS pos, round(w, 10) AS w FROM nw"),
         "kmer_preselect_rank": _with(
             f"{BASE}, {W}",
             "SELECT kmer, p_right, p_left, v FROM (SELECT *, rank() OVER (ORDER BY v) AS rk FROM (SELECT kmer, p_right, p_left, least(p_right, p_left) AS v FROM "
@@ -241,18 +241,18 @@ def all_sql() -> dict[str, str]:
             f"fw AS (SELECT m FROM mo WHERE n = 5), {hazen('fw', 'm', 0.99, 'pt')}",
             "SELECT round(v, 6) AS threshold, round(mw, 6) AS largest FROM pt, top",
         ),
-        "peak_runs_pos": _with(PEAKS, 'SELECT id, start, "end", round(weight, 6) AS weight, seq FROM peaks_pos'),
-        "peak_runs_neg": _with(PEAKS, 'SELECT id, start, "end", round(weight, 6) AS weight, seq FROM peaks_neg'),
+        "peak_runs_pos": _with(PEAKS, 'SELECT id, start::INT AS start, "end"::INT AS "end", round(weight, 6) AS weight, seq FROM peaks_pos'),
+        "peak_runs_neg": _with(PEAKS, 'SELECT id, start::INT AS start, "end"::INT AS "end", round(weight, 6) AS weight, seq FROM peaks_neg'),
         "peaks_unique": _with(PEAKS, "SELECT DISTINCT round(weight, 6) AS weight, seq FROM peaks"),
         "peak_sequence_totals": _with(PEAKS, "SELECT seq, round(sum(weight), 5) AS weight FROM (SELECT DISTINCT round(weight, 6) AS weight, seq FROM peaks) GROUP BY seq"),
-        "peak_motif_hits": _with(ASSIGNED, "SELECT id, motif, round(sum(abs(weight)), 6) AS score_sum, min(start) AS min_pos, count(*) AS n FROM asg GROUP BY id, motif"),
+        "peak_motif_hits": _with(ASSIGNED, "SELECT id, motif, round(sum(abs(weight)), 6) AS score_sum, min(start)::INT AS min_pos, count(*) AS n FROM asg GROUP BY id, motif"),
         "peak_hit_matrix": _with(ASSIGNED, "SELECT id, " + ", ".join(f"count(*) FILTER (motif = '{m}') AS {m}" for m in ("m1", "m2", "m3", "m4", "NA")) + " FROM asg GROUP BY id"),
         "peak_summary": _with(
             f"{ASSIGNED}, e AS (SELECT id, count(*) FILTER (weight > 0) AS p, count(*) FILTER (weight < 0) AS n, count(DISTINCT motif) AS m FROM asg GROUP BY id)",
             "SELECT sum(p)::BIGINT AS n_positive, sum(n)::BIGINT AS n_negative, round(avg(m), 6) AS mean_motifs, max(m) AS max_motifs FROM e",
         ),
         "pwm_scan": _with(f"{SEQS}, src AS (SELECT id AS sid, substr(seq, 1, 60) AS seq FROM seqs WHERE length(seq) > 0), {PWM}, {PADDED}", "SELECT sid AS id, motif, round(pow(2, sc), 9) AS score, (i - m)::BIGINT AS position FROM best"),
-        "pwm_assign": _with(ASSIGNED, 'SELECT id, start, "end", motif, round(llr, 6) AS llr FROM asg'),
+        "pwm_assign": _with(ASSIGNED, 'SELECT id, start::INT AS start, "end"::INT AS "end", motif, round(llr, 6) AS llr FROM asg'),
         "motif_group_stats": _with(ASSIGNED, "SELECT motif, sign(weight)::INT AS sign, count(*) AS n_peaks, round(sum(abs(weight)), 5) AS weight FROM asg GROUP BY ALL"),
         "motif_filter": _with(
             f"{ASSIGNED}, g AS (SELECT motif AS consensus, sign(weight)::INT AS sign, sum(abs(weight)) AS weight FROM asg GROUP BY ALL), "
@@ -286,5 +286,5 @@ def all_sql() -> dict[str, str]:
             "er AS (SELECT x, sum(h) OVER (ORDER BY x) - h + (SELECT coalesce(sum(w) FILTER (NOT hit), 0) FROM pt) - sum(f) OVER (ORDER BY x) + f AS error FROM ea)",
             "SELECT round(x, 6) AS threshold, error::DOUBLE AS error FROM er ORDER BY error, x LIMIT 1",
         ),
-        "weight_track": _with(f"{BASE}, {SCORE}, {W}", f"SELECT id, pos, w, score, round({60 * math.log(2)!r} / greatest({math.log(2) / 24!r}, least({math.log(2) / 0.25!r}, score)), 6) AS half_life_minutes FROM w JOIN sc USING (id)"),
+        "weight_track": _with(f"{BASE}, {SCORE}, {W}", f"SELECT id, pos::INT AS pos, w, score, round({60 * math.log(2)!r} / greatest({math.log(2) / 24!r}, least({math.log(2) / 0.25!r}, score)), 6) AS half_life_minutes FROM w JOIN sc USING (id)"),
     }
