@@ -272,9 +272,12 @@ def refine(peaks: DataFrame, motifs: Sequence[Motif], shares: Sequence[float], o
     Groups lighter than ``min_weight`` are dropped, but the heaviest stays;
     peaks without a motif form a group that can become one.
     """
-    state, best = list(motifs), -math.inf
+    from kmerloom.sources.tables import stage
+
+    state, best, kept = list(motifs), -math.inf, list(motifs)
     for _ in range(options.max_rounds):
-        assigned = assign(peaks, state, shares, options)
+        # written once a round, as several aggregations read it
+        assigned = stage(assign(peaks, state, shares, options))
         total = assigned.agg(F.sum(F.when(F.col("motif") != NONE, F.col("llr")))).first()[0] or 0.0
         if total <= best:
             break
