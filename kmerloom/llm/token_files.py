@@ -142,6 +142,12 @@ def shard_bytes(keys: np.ndarray, ids: list[np.ndarray]) -> bytes:
     return b"".join([MAGIC, len(head).to_bytes(8, "little"), head, *(v.tobytes() for v in parts.values())])
 
 
+def _narrow(ids: np.ndarray) -> bytes:
+    """Ids in two bytes each where they fit, else four; the first byte says which."""
+    width = 2 if ids.max(initial=0) < 1 << 16 else 4
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
+
+
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
 
@@ -171,7 +177,7 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
         for batch in batches:
             for part in tokens.slices(batch):
                 keys = part["doc_id"].to_numpy()
-                ids = [x.astype("<u4").tobytes() for x in coder.encode(part["text"])]
+                ids = [_narrow(x) for x in coder.encode(part["text"])]
                 yield pd.DataFrame({"shard": np.searchsorted(edges, keys, side="left").astype(np.int32), "doc_id": keys, "ids": ids})
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +188,7 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
         store.create_dir(base)
         for shard, rows_ in pd.concat(parts).groupby("shard", sort=True):
             keys = rows_["doc_id"].to_numpy()
-            ids = [np.frombuffer(x, "<u4") for x in rows_["ids"]]
+            ids = [np.frombuffer(x, f"<u{x[0]}", offset=1) for x in rows_["ids"]]
             draft = f"{base}/.{uuid.uuid4().hex}"
             with store.open_output_stream(draft) as out:
                 out.write(shard_bytes(keys, ids))
