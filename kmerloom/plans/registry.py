@@ -278,7 +278,7 @@ def peak_sequence_totals(spark, d):
 
 
 def pwm_scan(spark, d):
-    seqs = fx.sequences(spark, d).where(F.length("seq") > 0).select("id", F.substring("seq", 1, 60).alias("seq"))
+    seqs = fx.sequences(spark, d).where(F.length("seq") > 0)
     return _rounded(motifs.scan(seqs, fx.MOTIFS), 9, "score").withColumn("position", F.col("position").cast("long"))
 
 
