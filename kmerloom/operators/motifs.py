@@ -221,33 +221,28 @@ def seed_cover(peaks: DataFrame, lengths: Sequence[int] = (4, 5, 6), limit: int
     from kmerloom.sources.tables import stage
 
     whole = peaks.select("seq", "weight").distinct()
-    rest, parts, number = whole, [], 0
-    pairs = None
+    parts, pairs = [], None
     for k in lengths:
         each = whole.where(F.length("seq") >= k).select("seq", "weight", F.explode(F.sequence(F.lit(1), F.length("seq") - (k - 1))).alias("i"))
         one = each.select("seq", "weight", F.expr(f"substr(seq, i, {k})").alias("seed")).distinct()
         pairs = one if pairs is None else pairs.union(one)
-    pairs = stage(pairs.select("seq", "weight", "seed", (F.length("seed") * F.abs("weight") / F.length("seq")).alias("v")))
-    while limit is None or number < limit:
+    held = pairs = stage(pairs.select("seq", "weight", "seed", (F.length("seed") * F.abs("weight") / F.length("seq")).alias("v")))
+    while limit is None or len(parts) < limit:
         sums = pairs.groupBy("seed").agg(F.sum("v").alias("v"))
         best = sums.orderBy(F.desc(F.round("v", 9)), F.desc(F.length("seed")), "seed").first()
         if best is None or not best["v"]:
             break
-        number += 1
-        covered = rest.where(F.col("seq").contains(best["seed"]))
-        parts.append((best["seed"], number))
-        rest = rest.where(~F.col("seq").contains(best["seed"]))
+        parts.append((best["seed"], len(parts) + 1))
         pairs = pairs.where(~F.col("seq").contains(best["seed"]))
-        del covered
-        if number % 8 == 0:
-            pairs, rest = stage(pairs), stage(rest)
+        if len(parts) % 8 == 0:
+            pairs = stage(pairs)
     # the first seed in the order of the rounds that a peak holds
-    seed = F.lit(None).cast("string")
-    rank = F.lit(None).cast("int")
-    for name, i in reversed(parts):
-        seed = F.when(F.col("seq").contains(name), F.lit(name)).otherwise(seed)
-        rank = F.when(F.col("seq").contains(name), F.lit(i)).otherwise(rank)
-    return whole.select("seq", "weight", F.coalesce(seed, F.lit(NONE)).alias("seed"), rank.alias("round"))
+    seeds = peaks.sparkSession.createDataFrame(parts, "seed string, round int")
+    hit = F.struct("round", "seed")
+    hits = held.join(seeds, "seed").select("seq", "weight", hit.alias("hit"))
+    every = whole.select("seq", "weight", F.lit(None).cast("struct<round:int,seed:string>").alias("hit")).union(hits)
+    first = every.groupBy("seq", "weight").agg(F.min("hit").alias("hit"))
+    return first.select("seq", "weight", F.coalesce("hit.seed", F.lit(NONE)).alias("seed"), F.col("hit.round").alias("round"))
 
 
 def rebuild(assigned: DataFrame, sign: int, options: MotifOptions = MotifOptions(), members: int = 200) -> list[Motif]:

@@ -293,7 +293,7 @@ def pwm_build_from_alignment(spark, d):
 
 
 def seed_cover(spark, d):
-    return motifs.seed_cover(_peaks(spark, d).where(F.col("weight") > 0), limit=20)
+    return motifs.seed_cover(_peaks(spark, d).where(F.col("weight") > 0))
 
 
 def motif_em(spark, d):

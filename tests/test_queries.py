@@ -30,3 +30,22 @@ def test_pwm_scan_reads_whole_sequences(spark, tmp_path):
     for k, (position, value) in want.items():
         assert got[k] == (position, pytest.approx(value, abs=1e-8))
     assert max(position for position, _ in got.values()) > 60
+
+
+def test_seed_cover_goes_on(spark, tmp_path, monkeypatch):
+    words = ["".join(x) for x in np.random.default_rng(1).permutation([(a, b, c, a, b) for a in "ACGT" for b in "ACGT" for c in "ACGT"])][:30]
+    made = spark.createDataFrame([(w, 1.0 + i / 8) for i, w in enumerate(words)] + [("AC", 1.0)], "seq string, weight double")
+    monkeypatch.setattr(registry, "_peaks", lambda s, d: made)
+    got = {r["seq"]: (r["seed"], r["round"]) for r in registry.seed_cover(spark, str(tmp_path)).collect()}
+    rest, want = {w: 1.0 + i / 8 for i, w in enumerate(words)}, {"AC": ("NA", None)}
+    number = 0
+    while rest:
+        number += 1
+        sums = {}
+        for w, v in rest.items():
+            for seed in {w[i : i + k] for k in (4, 5, 6) for i in range(len(w) - k + 1)}:
+                sums[seed] = sums.get(seed, 0) + len(seed) * v / len(w)
+        seed = min(sums, key=lambda x: (-round(sums[x], 9), -len(x), x))
+        want |= {w: (seed, number) for w in rest if seed in w}
+        rest = {w: v for w, v in rest.items() if seed not in w}
+    assert number > 20 and got == want
