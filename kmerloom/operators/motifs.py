@@ -197,6 +197,11 @@ def build_matrix(aligned: Sequence[str], weights: Sequence[float], options: Moti
         for i, c in enumerate(s):
             if c in "ACGT-":
                 counts[i, "ACGT-".index(c)] += n
+    return _matrix(counts, options)
+
+
+def _matrix(counts: np.ndarray, options: MotifOptions) -> tuple[tuple[float, ...], ...]:
+    """Shares of the letters between the first and last informative position, from counts of A, C, G, T and dashes."""
     letters = counts[:, :4] + np.floor(counts[:, 4:] / 4 + 0.5)
     p = letters / np.maximum(letters.sum(1, keepdims=True), 1)
     info = 2 + np.where(p > 0, p * np.log2(np.maximum(p, 1e-300)), 0).sum(1)
@@ -245,17 +250,35 @@ def seed_cover(peaks: DataFrame, lengths: Sequence[int] = (4, 5, 6), limit: int
     return first.select("seq", "weight", F.coalesce("hit.seed", F.lit(NONE)).alias("seed"), F.col("hit.round").alias("round"))
 
 
-def rebuild(assigned: DataFrame, sign: int, options: MotifOptions = MotifOptions(), members: int = 200) -> list[Motif]:
-    """A motif for every group of peaks of a sign, from its ``members`` heaviest sequences."""
-    by = Window.partitionBy("motif").orderBy(F.desc(F.abs("weight")), "seq")
-    own = assigned.where(F.signum("weight") == sign).withColumn("i", F.row_number().over(by)).where(F.col("i") <= members)
+def group_counts(assigned: DataFrame, options: MotifOptions = MotifOptions()) -> DataFrame:
+    """``motif``, ``pos``, weighted counts ``A``, ``C``, ``G``, ``T`` and ``gap`` of all peaks of each group.
+
+    Peaks are shifted as by ``align`` and weigh as in ``from_alignment``.
+    """
+    each = assigned.groupBy("motif", "seq", F.abs("weight").alias("w")).agg(F.count("*").alias("c"))
+    group = each.groupBy("motif").agg(F.min(F.struct((-F.col("w")).alias("w"), "seq"))["seq"].alias("anchor"), F.sum(F.col("w") * F.col("c")).alias("total"))
+    # a row a group
+    members = each.join(F.broadcast(group), "motif").withColumn("n", F.col("c") * F.greatest(F.floor(F.try_divide("w", "total") * options.weight_scale + 0.5), F.lit(1)))
+    same = "size(filter(sequence(1, length(seq)), i -> i + d between 1 and length(anchor) and substr(anchor, i + d, 1) = substr(seq, i, 1)))"
+    best = F.expr(f"array_max(transform(sequence(1 - length(seq), length(anchor) - 1), d -> struct({same} as same, -abs(d) as near, -d as back)))")
+    # each distinct sequence is shifted once
+    shifts = members.select("motif", "seq", "anchor").distinct().select("motif", "seq", (-best["back"]).alias("shift"))
+    letters = members.join(shifts, ["motif", "seq"]).select("motif", "n", "shift", F.posexplode(F.split("seq", "")).alias("i", "letter"))
+    sums = [F.sum(F.when(F.col("letter") == x, F.col("n")).otherwise(0)).alias(x) for x in LETTERS]
+    dashes = F.sum(F.when(F.col("letter") != "-", F.col("n")).otherwise(0)).alias("here")
+    per = letters.groupBy("motif", (F.col("shift") + F.col("i")).alias("pos")).agg(*sums, dashes)
+    whole = members.groupBy("motif").agg(F.sum("n").alias("whole"))
+    return per.join(F.broadcast(whole), "motif").select("motif", "pos", *LETTERS, (F.col("whole") - F.col("here")).alias("gap"))  # a row a group
+
+
+def rebuild(assigned: DataFrame, sign: int, options: MotifOptions = MotifOptions()) -> list[Motif]:
+    """A motif for every group of peaks of a sign, from all of its peaks; only matrices reach the driver."""
     groups: dict[str, list] = {}
-    for r in own.select("motif", "seq", "weight").collect():
-        groups.setdefault(r["motif"], []).append((r["seq"], r["weight"]))
+    for r in group_counts(assigned.where(F.signum("weight") == sign), options).collect():
+        groups.setdefault(r["motif"], []).append((r["pos"], *(r[x] for x in (*LETTERS, "gap"))))
     out: dict[str, Motif] = {}
     for name in sorted(groups):
-        rows = sorted(groups[name])
-        columns = build_matrix(align([s for s, _ in rows], [w for _, w in rows]), [w for _, w in rows], options)
+        columns = _matrix(np.array([row[1:] for row in sorted(groups[name])], float), options)
         name = f"{consensus(columns)}{'+' if sign > 0 else '-'}"
         out.setdefault(name, Motif(name, sign, columns))
     return list(out.values())

@@ -298,7 +298,7 @@ def seed_cover(spark, d):
 
 def motif_em(spark, d):
     found = stage(_peaks(spark, d))
-    state, total = motifs.refine(found, fx.MOTIFS, fx.BACKGROUND, motifs.MotifOptions(max_rounds=3))
+    state, total = motifs.refine(found, fx.MOTIFS, fx.BACKGROUND)
     rows = [(m.name, m.sign, i + 1, *c, total) for m in state for i, c in enumerate(m.columns)]
     return spark.createDataFrame(rows, "motif string, sign int, pos int, A double, C double, G double, T double, total double")
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from kmerloom.operators import motifs
 from kmerloom.plans import fixtures as fx
 from kmerloom.plans import registry
 
@@ -49,3 +50,26 @@ def test_seed_cover_goes_on(spark, tmp_path, monkeypatch):
         want |= {w: (seed, number) for w in rest if seed in w}
         rest = {w: v for w, v in rest.items() if seed not in w}
     assert number > 20 and got == want
+
+
+def test_motifs_are_rebuilt_from_all_peaks(spark):
+    rng = np.random.default_rng(2)
+    rows = [("m", "TACG" + "".join(rng.choice(list("ACGT"), rng.integers(0, 3))), 2.0 + i / 1024) for i in range(210)]
+    rows += [("m", "".join(rng.choice(list("ACGT"), rng.integers(1, 4))) + "GACC", 1.0) for _ in range(600)] + [("NA", "GG", 1.0), ("NA", "GGT", 1.0)]
+    got = motifs.rebuild(spark.createDataFrame(rows, "motif string, seq string, weight double"), 1)
+    want = []
+    for name in ("NA", "m"):
+        own = sorted((s, w) for m, s, w in rows if m == name)
+        seqs, weights = [s for s, _ in own], [w for _, w in own]
+        want.append(motifs.build_matrix(motifs.align(seqs, weights), weights))
+    assert len(got) == len(want)
+    for m, columns in zip(got, want, strict=True):
+        assert np.allclose(m.columns, columns)
+
+
+def test_motif_em_rounds(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(registry, "_peaks", lambda s, d: s.createDataFrame([("TACG", 1.0)], "seq string, weight double"))
+    monkeypatch.setattr(motifs, "refine", lambda peaks, found, shares, options=motifs.MotifOptions(): seen.append(options) or (list(found), 0.0))
+    registry.motif_em(spark, "")
+    assert seen[0].max_rounds == 25
