@@ -1,22 +1,25 @@
 """Language-model scores from a hierarchical Pitman-Yor bigram model.
 
-Every frequent word is a context with a restaurant of its own; all context
+Every training word is a context with a restaurant of its own; all context
 restaurants share the unigram restaurant as their parent, whose base is
 uniform over the training vocabulary and one unseen word.  A customer of a
 context is a training token behind that word; the tables of the contexts are
 the customers of the parent.  Seating is sampled in blocks: all customers of
-one dish in one restaurant are seated anew, given everyone else's tables.
-The predictive probabilities of several samples are averaged and summed per
-document as log10; held-out documents give the perplexity.
+one dish in one restaurant are seated anew, given everyone else's tables of
+the sweep before (all blocks of a sweep at once).  Sweeps form a chain: each
+starts from the tables that the one before left.  The first ``ROUNDS`` sweeps
+are burn-in; each later one is a sample, scored with its own tables and
+totals.  The predictive probabilities of the samples are averaged and summed
+per document as log10; held-out documents give the perplexity.
 
 How it runs: tokens go once through a shuffle, as compressed runs dealt over
 buckets by word (words above a thousandth of all tokens by word and
 context, so no bucket is hot), and are stored there.  A bucket then holds all
-that concerns its words, and a sampling round is one pass over the buckets.
-What rounds exchange is bounded by construction: contexts are the words with
-at least a millionth of the training tokens (at most a million), words
-treated as hot have a thousandth (at most a thousand).  Behind rarer words
-the parent predicts.
+that concerns its words, and a sweep is one pass over the buckets, which
+writes their tables.  Totals of contexts are kept by context: each bucket
+sends one sum per context to the context's home, and the homes answer with
+the totals, so a hot context costs its home one number a bucket.  The driver
+sees totals and the words treated as hot (at most a thousand).
 
 Words are known by 64-bit hashes.  Defined results: a null text is empty and
 has the end token alone; without training documents every token is unseen;
@@ -38,14 +41,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import key_mod, written
+from kmerloom.llm.common import key_mod, remove, shared_dir, written
 
 FOLDS, TEST_FOLD = 7, 2
-CONTEXT_SHARE, HOT_SHARE = 1_000_000, 1_000
+HOT_SHARE = 1_000
 #: Tokens that a task gathers before it deals them out, and tokens a bucket is meant to hold.
 CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 2_000_000
 STRENGTH = 1.0
-#: Rounds of seating before the samples that are averaged.
+#: Sweeps of burn-in before the samples that are averaged, one sweep each.
 ROUNDS, SAMPLES = 1, 3
 SLICE_BYTES = 4 << 20
 
@@ -119,12 +122,10 @@ def vocabulary(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class _Common:
-    """What every task knows: totals, the contexts with their training tokens, the hot words."""
+    """What every task knows: totals and the hot words."""
 
     tokens: int
     types: int
-    contexts: np.ndarray
-    context_tokens: np.ndarray
     hot: np.ndarray
     hot_tokens: np.ndarray
     buckets: int
@@ -132,10 +133,10 @@ class _Common:
 
 @dataclass
 class _State:
-    """What a seating round leaves for the next: tables of each context, hot words' customers, totals, discounts."""
+    """What a sweep leaves for the next beside the tables: hot words' customers and root tables, totals, discounts."""
 
-    context_tables: np.ndarray
     hot_customers: np.ndarray
+    hot_tables: np.ndarray
     customers: float
     root_tables: float
     discount: float
@@ -151,11 +152,19 @@ def _find(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _pack(arrays: tuple) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, 5))
+    """Arrays as planes of first, second ... bytes, which compress better than whole numbers."""
+
+    def planes(x):
+        if not isinstance(x, np.ndarray) or x.itemsize == 1:
+            return x
+        return x.dtype.str, np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T)
+
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(tuple(map(planes, arrays)), 5))
 
 
 def _unpack(blob: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    arrays = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    return tuple(np.ascontiguousarray(x[1].T).view(x[0]).ravel() if isinstance(x, tuple) else x for x in arrays)
 
 
 def _deal(rows: DataFrame, common: _Common) -> DataFrame:
@@ -163,24 +172,23 @@ def _deal(rows: DataFrame, common: _Common) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        width = len(common.contexts) + 1
         for number, chunk in enumerate(_chunks(batches)):
             name = (part << 20) + number
             hashes = chunk.hashes()
-            context = _find(common.contexts, hashes) + 1  # 0: the parent predicts
+            width = len(hashes)
             sizes = np.array([len(x) for x in chunk.ids])
             w = np.concatenate(chunk.ids).astype(np.int64)
             u = np.concatenate([[0], w[:-1]])
             u[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = 0
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            pair = w * width + context[u]
+            pair = w * width + u
             order = np.argsort(pair, kind="stable")
             pair, doc = pair[order], doc[order]
             fresh = np.concatenate([[True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])])
             times = np.diff(np.concatenate([np.flatnonzero(fresh), [len(pair)]]))
             pair, doc = pair[fresh], doc[fresh]
             w, c = pair // width, pair % width
-            spread = hashes[w] ^ np.where((_find(common.hot, hashes) >= 0)[w], c * 0x9E3779B97F4A7C1, 0)
+            spread = hashes[w] ^ np.where((_find(common.hot, hashes) >= 0)[w], hashes[c] * 0x9E3779B97F4A7C1, 0)
             bucket = ((spread ^ (spread >> 29)) & 0x7FFFFFFF) % common.buckets
             by = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(common.buckets + 1))
@@ -198,7 +206,8 @@ def _deal(rows: DataFrame, common: _Common) -> DataFrame:
                 word_first = np.flatnonzero(np.concatenate([[True], w[own][1:] != w[own][:-1]]))
                 n_pairs = np.diff(np.append(word_first, len(w[own]))).astype(np.int32)
                 words_.append(n_pairs)
-                out.append((int(b), name, _pack((hashes[w[own][word_first]], n_pairs, c[own].astype(np.int32), train[own].astype(np.int32)))))
+                behind, context = np.unique(c[own], return_inverse=True)
+                out.append((int(b), name, _pack((hashes[w[own][word_first]], n_pairs, hashes[behind], context.astype(np.int32), train[own].astype(np.int32)))))
             # which document a pair stands in stays with the chunk, and meets the scores of its pairs in the end
             kept = (
                 [d[0] for d in chunk.docs],
@@ -217,69 +226,110 @@ def _deal(rows: DataFrame, common: _Common) -> DataFrame:
     return dealt.repartitionById(common.buckets, F.col("bucket"))
 
 
+def _home(contexts: np.ndarray, common: _Common) -> np.ndarray:
+    """The bucket that keeps a context's totals."""
+    return ((contexts ^ (contexts >> 31)) & 0x7FFFFFFF) % common.buckets
+
+
 class _Bucket:
-    """All tokens of a bucket's words, pairs of word and context merged over chunks."""
+    """All tokens of a bucket's words, pairs of word and context merged over chunks.
+
+    ``contexts`` stand in the order of their homes, as the homes' answers do.
+    """
 
     def __init__(self, frame: pd.DataFrame, common: _Common):
-        self.common = common
         self.number = int(frame["bucket"].iloc[0])
-        self.parts, hashes, contexts, counts, sizes = [], [], [], [], []
-        for chunk, blob in frame[["chunk", "blob"]].itertuples(index=False):
-            word, n_pairs, context, train = _unpack(blob)
+        self.parts, hashes, behind, contexts, counts, sizes = [], [], [], [], [], []
+        at = 0
+        for chunk, blob in frame[["chunk", "blob"]].sort_values("chunk").itertuples(index=False):
+            word, n_pairs, own, context, train = _unpack(blob)
             self.parts.append((chunk, len(word), len(context)))
             hashes.append(word)
             sizes.append(n_pairs)
-            contexts.append(context)
+            behind.append(own)
+            contexts.append(context.astype(np.int64) + at)
             counts.append(train)
+            at += len(own)
         self.words, self.word_of = np.unique(np.concatenate(hashes), return_inverse=True)
         word = np.repeat(self.word_of, np.concatenate(sizes))
-        width = len(common.contexts) + 1
-        pairs, self.pair_of = np.unique(word * width + np.concatenate(contexts), return_inverse=True)
+        self.contexts, number = np.unique(np.concatenate(behind), return_inverse=True)
+        home = _home(self.contexts, common)
+        order = np.argsort(home, kind="stable")
+        self.contexts, self.home = self.contexts[order], home[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        width = len(self.contexts)
+        pairs, self.pair_of = np.unique(word * width + place[number][np.concatenate(contexts)], return_inverse=True)
         self.word, self.context = pairs // width, pairs % width
         self.count = np.bincount(self.pair_of, np.concatenate(counts), len(pairs)).astype(np.int64)
         self.hot = _find(common.hot, self.words)
         self.tokens = np.bincount(self.word, self.count, len(self.words))
         self.tokens[self.hot >= 0] = common.hot_tokens[self.hot[self.hot >= 0]]
-        self.own = (self.context > 0) & (self.count > 0)
-
-    def customers(self, tables: np.ndarray) -> np.ndarray:
-        """Customers that each word sends to the parent from this bucket."""
-        return np.bincount(self.word, np.where(self.context > 0, tables, self.count), len(self.words))
-
-    def parent(self, state: _State, customers: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """Root tables and probability of every word of the bucket."""
-        base = 1 / (self.common.types + 1)
-        m = customers.copy()
-        m[self.hot >= 0] = state.hot_customers[self.hot[self.hot >= 0]]
-        new = np.full(len(m), (STRENGTH + state.root_discount * state.root_tables) * base)
-        tables = seat(m.astype(np.int64), new, state.root_discount, rng)
-        p = (m - state.root_discount * tables + new) / (STRENGTH + state.customers)
-        return tables, p
-
-    def tables(self, state: _State, parent: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """Tables of every pair, seated anew."""
-        out = np.zeros(len(self.count))
-        at = np.flatnonzero(self.own)
-        new = (STRENGTH + state.discount * state.context_tables[self.context[at] - 1]) * parent[self.word[at]]
-        out[at] = seat(self.count[at], new, state.discount, rng)
-        return out
-
-
-def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+
+    def fixed(self) -> tuple:
+        """What sweeps need, which no sweep changes."""
+        return self.word.astype(np.int32), self.context.astype(np.int32), self.count.astype(np.int32), self.contexts, self.hot.astype(np.int16)
+
+
+class _Seating:
+    """The tables of a bucket after a sweep, and what is known of the rest."""
+
+    def __init__(self, number: int, fixed: tuple, seated: tuple, answers: list[tuple], common: _Common, state: _State):
+        self.number, self.fixed, self.common, self.state = number, fixed, common, state
+        self.word, self.context, self.count, self.contexts, self.hot = (x if i == 3 else x.astype(np.int64) for i, x in enumerate(fixed))
+        self.tables, root, self.total = (x.astype(np.float64) for x in seated)
+        self.context_tables, self.context_tokens = (np.concatenate([a[i] for a in answers]).astype(np.float64) for i in (0, 1))
+        hot = self.hot >= 0
+        self.customers = np.bincount(self.word, self.tables, len(self.hot))
+        self.customers[hot] = state.hot_customers[self.hot[hot]]
+        root[hot] = state.hot_tables[self.hot[hot]]
+        self.root = root
+        self.base = 1 / (common.types + 1)
+
+    def probability(self) -> np.ndarray:
+        """Of every pair's word behind its context, by the tables as they are."""
+        s = self.state
+        parent = (self.customers - s.root_discount * self.root + (STRENGTH + s.root_discount * s.root_tables) * self.base) / (STRENGTH + s.customers)
+        back = STRENGTH + s.discount * self.context_tables[self.context]
+        return (self.count - s.discount * self.tables + back * parent[self.word]) / (STRENGTH + self.context_tokens[self.context])
+
+    def sweep(self, seed: int) -> None:
+        """Seat the customers of every pair, then those of the words in the root, given all others' tables."""
+        s = self.state
+        rng = np.random.default_rng([seed, self.number])
+        others = self.customers[self.word] - self.tables
+        root = np.minimum(self.root[self.word], others)
+        new = (STRENGTH + s.root_discount * (s.root_tables - self.root[self.word] + root)) * self.base
+        parent = (others - s.root_discount * root + new) / (STRENGTH + s.customers - self.tables)
+        back = STRENGTH + s.discount * (self.context_tables[self.context] - self.tables)
+        self.tables = seat(self.count, back * parent, s.discount, rng, s.discount * parent)
+        sent = np.bincount(self.word, self.tables, len(self.hot))
+        self.root = _seat_root(sent, self.root, s, self.base, rng)
+
+
+def _seat_root(customers: np.ndarray, root: np.ndarray, s: _State, base: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of words in the root, given those of the others."""
+    new = (STRENGTH + s.root_discount * (s.root_tables - root)) * base
+    return seat(customers.astype(np.int64), new, s.root_discount, rng, np.full(len(customers), s.root_discount * base))
+
+
+def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator, more: np.ndarray | None = None) -> np.ndarray:
     """Tables taken when each row's customers sit down one after another.
 
-    A customer takes a new table by the weight ``new`` and joins the others
-    by their number less the discount for each table.  Behind the 64th, an
+    A customer takes a new table by the weight ``new``, and ``more`` for each
+    table that the row has already, and joins the others by their number less the discount for each table.  Behind the 64th, an
     eighth of those present sit down at a time by the same chances.
     """
     order = np.argsort(-customers, kind="stable")
     n, weight = customers[order], new[order]
+    extra = np.zeros(len(n)) if more is None else more[order]
     tables = (n > 0).astype(np.float64)
     present = 1
     while len(n) and present < n[0]:
         step = 1 if present < 64 else present // 8
         active = int(np.searchsorted(-n, -present, side="left"))
-        t, w = tables[:active], weight[:active]
+        t = tables[:active]
+        w = weight[:active] + extra[:active] * t
         chance = w / (w + np.maximum(present + (step - 1) / 2 - discount * t, 1e-9))
         if step == 1:
             t += rng.random(active) < chance
@@ -291,91 +341,148 @@ def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random
     return out
 
 
-def _per_bucket(stored: DataFrame, common: _Common, work, schema: str) -> DataFrame:
-    """``work(bucket)`` for each bucket; rows of a bucket lie together in the stored files."""
+SWEPT = "kind int, bucket int, at bigint, v double, blob binary"
+#: Kinds of rows: what stays fixed of a bucket, its tables, sums for the homes of contexts, their answers, totals for the driver.
+FIXED, TABLES, SUMS, ANSWER, HOT, TOTAL = range(6)
+
+
+def _left(number: int, fixed: tuple, tables: np.ndarray, root: np.ndarray, total: np.ndarray, common: _Common, first: bool) -> Iterator[pd.DataFrame]:
+    """The rows that a bucket leaves behind after a sweep."""
+    word, context, count, contexts, hot = fixed
+    word, hot = word.astype(np.int64), hot.astype(np.int64)
+    rows = [(FIXED, number, 0, None, _pack(fixed))] if first else []
+    small = np.uint8 if tables.max(initial=0) < 256 else np.int32
+    rows.append((TABLES, number, 0, None, _pack((tables.astype(small), root.astype(np.int32), total.astype(np.float32)))))
+    home = _home(contexts, common)
+    sums = np.bincount(context, tables, len(contexts)).astype(np.int64), np.bincount(context, count, len(contexts)).astype(np.int64)
+    cuts = np.searchsorted(home, np.arange(common.buckets + 1))
+    for b in np.flatnonzero(np.diff(cuts)):
+        own = slice(cuts[b], cuts[b + 1])
+        rows.append((SUMS, int(b), number, None, _pack((contexts[own], *(x[own].astype(np.int32 if x[own].max() < 1 << 31 else np.int64) for x in sums)))))
+    m = np.bincount(word, tables, len(hot))
+    cold = hot < 0
+    rows += [(HOT, -1, int(h), float(v), None) for h, v in zip(hot[~cold & (m > 0)], m[~cold & (m > 0)], strict=True)]
+    totals = [m.sum(), root[cold].sum(), (count == 1).sum(), (count == 2).sum(), (m[cold] == 1).sum(), (m[cold] == 2).sum()]
+    rows += [(TOTAL, -1, i, float(v), None) for i, v in enumerate(totals)]
+    yield pd.DataFrame(rows, columns=["kind", "bucket", "at", "v", "blob"])
+
+
+def _start(stored: DataFrame, common: _Common) -> DataFrame:
+    """One table a dish in every restaurant."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        rows = pd.concat(frames)
-        del frames
-        for _, part in rows.groupby("bucket", sort=True):
-            yield from work(_Bucket(part, common))
-
-    return stored.where("chunk >= 0").mapInPandas(run, schema)
-
-
-def _round(stored: DataFrame, common: _Common, state: _State | None, seed: int) -> _State:
-    """Seat all customers (one table a dish at first) and gather what the next round needs."""
-
-    def work(b: _Bucket) -> Iterator[pd.DataFrame]:
-        rng = np.random.default_rng([seed, b.number])
-        tables = b.own.astype(np.float64)
-        root = np.zeros(len(b.words))
-        if state is not None:
-            _, parent = b.parent(state, b.customers(tables), rng)
-            tables = b.tables(state, parent, rng)
-        m = b.customers(tables)
-        cold = b.hot < 0
-        if state is not None:
-            root, _ = b.parent(state, m, rng)
-        else:
-            root = (m > 0).astype(np.float64)
-        sums = np.bincount(b.context[b.own], tables[b.own], len(common.contexts) + 1)[1:]
-        at = np.flatnonzero(sums)
-        hot = np.flatnonzero(~cold & (m > 0))
-        own = b.count[b.own]
-        totals = [m.sum(), root[cold].sum(), (own == 1).sum(), (own == 2).sum(), (m[cold] == 1).sum(), (m[cold] == 2).sum()]
-        yield pd.DataFrame(
-            {
-                "kind": np.concatenate([np.zeros(len(at), int), np.ones(len(hot), int), np.full(6, 2)]),
-                "at": np.concatenate([at, b.hot[hot], np.arange(6)]),
-                "v": np.concatenate([sums[at], m[hot], totals]),
-            }
-        )
-
-    got = _per_bucket(stored, common, work, "kind int, at bigint, v double").groupBy("kind", "at").agg(F.sum("v").alias("v")).toPandas()
-    arrays = [np.zeros(n) for n in (len(common.contexts), len(common.hot), 6)]
-    for kind, array in enumerate(arrays):
+        for _, part in pd.concat(frames).groupby("bucket") if frames else ():
+            b = _Bucket(part, common)
+            tables = (b.count > 0).astype(np.float64)
+            root = (np.bincount(b.word, tables, len(b.words)) > 0).astype(np.float64)
+            yield from _left(b.number, b.fixed(), tables, root, np.zeros(len(tables)), common, True)
+
+    return written(stored.where("chunk >= 0").mapInPandas(run, SWEPT))
+
+
+def _answers(swept: DataFrame, common: _Common) -> DataFrame:
+    """The totals of each bucket's contexts, added up at the contexts' homes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = [b for b in batches if len(b)]
+        for home, part in pd.concat(frames).groupby("bucket") if frames else ():
+            sent = [_unpack(x) for x in part["blob"]]
+            _, place = np.unique(np.concatenate([x[0] for x in sent]), return_inverse=True)
+            sums = [np.bincount(place, np.concatenate([x[i] for x in sent]))[place].astype(np.int64) for i in (1, 2)]
+            ends = np.cumsum([len(x[0]) for x in sent])
+            for bucket, end, x in zip(part["at"], ends, sent, strict=True):
+                own = slice(end - len(x[0]), end)
+                blob = _pack(tuple(v[own].astype(np.int32 if v[own].max() < 1 << 31 else np.int64) for v in sums))
+                yield pd.DataFrame({"kind": [ANSWER], "bucket": [bucket], "at": [home], "v": [None], "blob": [blob]})
+
+    return swept.where(F.col("kind") == SUMS).repartitionById(common.buckets, F.col("bucket")).mapInPandas(run, SWEPT)
+
+
+def _state(swept: DataFrame, common: _Common, before: _State | None, seed: int) -> _State:
+    """Totals after a sweep; the hot words, whose customers sit in many buckets, are seated in the root here."""
+    got = swept.where(F.col("kind") >= HOT).groupBy("kind", "at").agg(F.sum("v").alias("v")).toPandas()
+    hot, totals = np.zeros(len(common.hot)), np.zeros(6)
+    for kind, array in ((HOT, hot), (TOTAL, totals)):
         own = got[got["kind"] == kind]
         array[own["at"].to_numpy(int)] = own["v"].to_numpy()
-    context_tables, hot, totals = arrays
 
     def discount(n1: float, n2: float) -> float:
         return float(np.clip(n1 / (n1 + 2 * n2), 0.1, 0.95)) if n1 else 0.5
 
-    if state is None:
+    if before is None:
+        tables = (hot > 0).astype(np.float64)
         d, d0 = discount(totals[2], totals[3]), discount(totals[4], totals[5])
     else:
-        d, d0 = state.discount, state.root_discount
-    return _State(context_tables, hot, totals[0], totals[1] + (hot > 0).sum(), d, d0)
+        tables = _seat_root(hot, before.hot_tables, before, 1 / (common.types + 1), np.random.default_rng([seed, 1 << 31]))
+        d, d0 = before.discount, before.root_discount
+    return _State(hot, tables, totals[0], totals[1] + tables.sum(), d, d0)
+
+
+def _seatings(part: pd.DataFrame, common: _Common, state: _State) -> _Seating:
+    """The seating of one bucket, from all rows that concern it."""
+    blobs = {k: [_unpack(x) for x in own.sort_values("at")["blob"]] for k, own in part.groupby("kind")}
+    return _Seating(int(part["bucket"].iloc[0]), blobs[FIXED][0], blobs[TABLES][0], blobs[ANSWER], common, state)
 
 
-def _score(stored: DataFrame, common: _Common, state: _State, samples: int) -> DataFrame:
+def _met(fixed: DataFrame, swept: DataFrame, common: _Common, beside: DataFrame | None = None) -> DataFrame:
+    """A bucket's rows in one task: what is fixed, its tables, and the totals of its contexts."""
+    rows = fixed.where(F.col("kind") == FIXED).union(swept.where(F.col("kind") == TABLES)).union(_answers(swept, common))
+    rows = rows if beside is None else rows.union(beside)
+    return rows.repartitionById(common.buckets, F.col("bucket"))
+
+
+def _sweep(fixed: DataFrame, swept: DataFrame, common: _Common, state: _State, seed: int, sample: bool, path: str) -> DataFrame:
+    """The next sweep from the tables of the last; if that was a sample, its probabilities are added up first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = [b for b in batches if len(b)]
+        for _, part in pd.concat(frames).groupby("bucket") if frames else ():
+            b = _seatings(part, common, state)
+            if sample:
+                b.total += b.probability()
+            b.sweep(seed)
+            yield from _left(b.number, b.fixed, b.tables, b.root, b.total, common, False)
+
+    return written(_met(fixed, swept, common).mapInPandas(run, SWEPT), path)
+
+
+def _chain(stored: DataFrame, common: _Common, sweeps: int, burn_in: int) -> Iterator[tuple[DataFrame, DataFrame, _State]]:
+    """The fixed rows, the rows left and the state: at the start, then after each sweep."""
+    fixed = swept = _start(stored, common)
+    state = _state(swept, common, None, 0)
+    yield fixed, swept, state
+    spark, before = stored.sparkSession, None
+    for i in range(1, sweeps + 1):
+        # files of shuffles go when the driver's JVM collects what refers to them
+        spark._jvm.System.gc()
+        path = shared_dir(spark)
+        swept = _sweep(fixed, swept, common, state, i, i - 1 > burn_in, path)
+        state = _state(swept, common, state, i)
+        if before:
+            remove(spark, before)
+        before = path
+        yield fixed, swept, state
+    spark._jvm.System.gc()
+
+
+def _score(stored: DataFrame, fixed: DataFrame, swept: DataFrame, common: _Common, state: _State, samples: int) -> DataFrame:
     """Sums of every document: buckets send the scores of their pairs back to the chunks these came from."""
     floor = np.log10(common.tokens + common.types + 1)
 
-    def work(b: _Bucket) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(b.count))
-        for s in range(samples):
-            rng = np.random.default_rng([1000 + s, b.number])
-            start = b.own.astype(np.float64)
-            _, parent = b.parent(state, b.customers(start), rng)
-            tables = b.tables(state, parent, rng)
-            _, parent = b.parent(state, b.customers(tables), rng)
-            p = parent[b.word]
-            at = np.flatnonzero(b.context > 0)
-            c = b.context[at] - 1
-            p[at] = (b.count[at] - state.discount * tables[at] + (STRENGTH + state.discount * state.context_tables[c]) * p[at]) / (STRENGTH + common.context_tokens[c])
-            total += p
-        score = np.log10(np.maximum(total / samples, 1e-300)).astype(np.float32)
-        word_at = pair_at = 0
-        for chunk, n_words, n_pairs in b.parts:
-            own = b.word_of[word_at : word_at + n_words], b.pair_of[pair_at : pair_at + n_pairs]
-            word_at, pair_at = word_at + n_words, pair_at + n_pairs
-            blob = _pack((b.tokens[own[0]].astype(np.int64), score[own[1]]))
-            yield pd.DataFrame({"bucket": [b.number], "chunk": [chunk], "blob": [blob]})
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = [b for b in batches if len(b)]
+        for _, part in pd.concat(frames).groupby("bucket") if frames else ():
+            seating = _seatings(part[part["kind"] >= 0], common, state)
+            score = np.log10(np.maximum((seating.total + seating.probability()) / samples, 1e-300)).astype(np.float32)
+            del seating
+            b = _Bucket(part[part["kind"] < 0].rename(columns={"at": "chunk"}), common)
+            word_at = pair_at = 0
+            for chunk, n_words, n_pairs in b.parts:
+                own = b.word_of[word_at : word_at + n_words], b.pair_of[pair_at : pair_at + n_pairs]
+                word_at, pair_at = word_at + n_words, pair_at + n_pairs
+                blob = _pack((b.tokens[own[0]].astype(np.int64), score[own[1]]))
+                yield pd.DataFrame({"bucket": [b.number], "chunk": [chunk], "blob": [blob]})
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = [b for b in batches if len(b)]
@@ -403,39 +510,37 @@ def _score(stored: DataFrame, common: _Common, state: _State, samples: int) -> D
             )
 
     schema = "bucket int, chunk bigint, blob binary"
-    sent = _per_bucket(stored, common, work, schema)
+    pairs = stored.where("chunk >= 0").select(F.lit(-1).alias("kind"), "bucket", F.col("chunk").alias("at"), F.lit(None).cast("double").alias("v"), "blob")
+    sent = _met(fixed, swept, common, pairs).mapInPandas(work, schema)
     home = stored.where("chunk < 0").select(F.lit(-1).alias("bucket"), (-1 - F.col("chunk")).alias("chunk"), "blob")
     met = home.union(sent).repartitionById(common.buckets, F.pmod("chunk", F.lit(common.buckets)).cast("int"))
     return met.mapInPandas(add_up, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, samples: int = SAMPLES) -> DataFrame:
-    """Base score and model score of every document, learned from those whose crc32(key) mod 7 is not 2."""
-    rows = _rows(docs, key, text)
+def _stored(rows: DataFrame) -> tuple[DataFrame, _Common]:
+    """The dealt tokens and what every task knows."""
     vocab = written(vocabulary(rows))
     tokens, types = vocab.agg(F.sum("n"), F.count("*")).first()
     tokens = tokens or 0
-    # at most a million rows, as each has a millionth of all tokens
-    contexts = vocab.where(F.col("n") * CONTEXT_SHARE >= tokens).toPandas().sort_values("word", ignore_index=True)
-    hot = contexts[contexts["n"] * HOT_SHARE >= tokens]
-    train_docs = contexts.loc[contexts["word"] == _hash(END), "n"].sum()
-    contexts = pd.concat([contexts[contexts["word"] != _hash(END)], pd.DataFrame({"word": [_hash(BEGIN)], "n": [max(train_docs, 1)]})])
-    contexts = contexts.sort_values("word", ignore_index=True)
+    # at most a thousand rows, as each has a thousandth of all tokens
+    hot = vocab.where(F.col("n") * HOT_SHARE >= tokens).toPandas().sort_values("word", ignore_index=True)
     common = _Common(
         tokens,
         types,
-        contexts["word"].to_numpy(np.int64),
-        contexts["n"].to_numpy(float),
         hot["word"].to_numpy(np.int64),
         hot["n"].to_numpy(float),
-        max(1, -(-tokens // BUCKET_TOKENS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if tokens > BUCKET_TOKENS else 1),
+        max(1, -(-tokens // BUCKET_TOKENS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) if tokens > BUCKET_TOKENS else 1),
     )
-    stored = written(_deal(rows, common), whole_files=True)
-    state = None
-    for i in range(rounds + 1):
-        state = _round(stored, common, state, i)
-    sums = _score(stored, common, state, samples)
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return written(_deal(rows, common), whole_files=True), common
+
+
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, samples: int = SAMPLES) -> DataFrame:
+    """Base score and model score of every document, learned from those whose crc32(key) mod 7 is not 2."""
+    stored, common = _stored(_rows(docs, key, text))
+    for last in _chain(stored, common, rounds + samples, rounds):
+        fixed, swept, state = last
+    sums = _score(stored, fixed, swept, common, state, samples)
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(common.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def perplexity(scores: DataFrame, column: str = "score") -> DataFrame:

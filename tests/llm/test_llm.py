@@ -258,6 +258,70 @@ def test_language_model(spark, docs):
     assert language_model.score(docs.limit(0)).count() == 0
 
 
+def test_language_model_chain(spark):
+    """Each sweep starts from the tables of the one before; a context's probabilities sum to 1 after every sweep."""
+    from pyspark.sql import functions as F
+
+    made = spark.createDataFrame([(i, text(i, 300)) for i in range(40)], "doc_id long, text string").withColumn("held_out", F.lit(False))
+    every = spark.createDataFrame([(99, " ".join(f"{a} {b}" for a in WORDS for b in WORDS))], "doc_id long, text string").withColumn("held_out", F.lit(True))
+    stored, common = language_model._stored(made.union(every))
+    seen = []
+    for fixed, swept, state in language_model._chain(stored, common, 3, 1):
+        rows = language_model._met(fixed, swept, common).toPandas()
+        parts = [language_model._seatings(p, common, state) for _, p in rows.groupby("bucket")]
+        seen.append(np.concatenate([b.tables for b in parts]))
+        assert state.customers == seen[-1].sum() and len(parts) == 1
+        b = parts[0]
+        tables = np.bincount(b.context, b.tables, len(b.contexts))
+        assert (tables == b.context_tables).all()
+        # words never seen behind a context, and the unseen word, have the parent's share
+        s = state
+        back = (language_model.STRENGTH + s.root_discount * s.root_tables) * b.base
+        parent = (b.customers - s.root_discount * b.root + back) / (language_model.STRENGTH + s.customers)
+        assert parent.sum() + back / (language_model.STRENGTH + s.customers) == pytest.approx(1)
+        known, listed = np.bincount(b.context, b.probability()), np.bincount(b.context, parent[b.word])
+        new = (language_model.STRENGTH + s.discount * b.context_tables) / (language_model.STRENGTH + b.context_tokens)
+        assert known + (1 - listed) * new == pytest.approx(np.ones(len(known)))
+    assert all((x != y).any() for x, y in zip(seen, seen[1:], strict=False))
+    b.sweep(7)
+    again = language_model._Seating(b.number, b.fixed, (np.minimum(b.count, 1), np.ones(len(b.hot)), np.zeros(len(b.count))), [(b.context_tables, b.context_tokens)], common, state)
+    again.sweep(7)
+    assert (b.tables != again.tables).any()  # the start matters
+
+
+def test_language_model_rare_contexts(spark, monkeypatch):
+    """A rare context has a restaurant at every size, and buckets agree on totals of contexts."""
+    monkeypatch.setattr(language_model, "BUCKET_TOKENS", 4000)
+    made = [(i, text(i, 300)) for i in range(60)] + [(1000 + i, f"rare{i % 3} follower{i % 3} " * 2) for i in range(60)]
+    stored, common = language_model._stored(language_model._rows(spark.createDataFrame(made, "doc_id long, text string"), "doc_id", "text"))
+    assert common.buckets > 1
+    for fixed, swept, state in language_model._chain(stored, common, 1, 1):
+        pass
+    rows = language_model._met(fixed, swept, common).toPandas()
+    parts = [language_model._seatings(p, common, state) for _, p in rows.groupby("bucket")]
+    want, tokens = {}, {}
+    for b in parts:
+        for c, t, n in zip(b.contexts[b.context], b.tables, b.count, strict=True):
+            want[c], tokens[c] = want.get(c, 0) + t, tokens.get(c, 0) + n
+    for b in parts:
+        assert [want[c] for c in b.contexts] == list(b.context_tables) and [tokens[c] for c in b.contexts] == list(b.context_tokens)
+    rare = language_model._hash(b"rare0")
+    assert tokens[rare] > 0 and {w for b in parts for w in b.contexts} >= {rare, language_model._hash(language_model.BEGIN)}
+    assert len(language_model.score(spark.createDataFrame(made, "doc_id long, text string")).toPandas()) == len(made)
+
+
+def test_language_model_context_bar(spark):
+    """Above a million tokens, a context seen once still predicts what stood behind it."""
+    made = [(10 + i, "a b " * 25000) for i in range(48)] + [(i, "y z " * 50) for i in (100, 101)] + [(102, "x y")]
+    docs = spark.createDataFrame([(i, t) for i, t in made if zlib.crc32(str(i).encode()) % 7 != 2 or i == 102], "doc_id long, text string")
+    train, *twice = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 != 2][:3]
+    held = [i for i in range(2000, 3000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    docs = docs.where("doc_id <> 102").union(spark.createDataFrame([(train, "x y"), (held[0], "x y"), (held[1], "x z"), *((i, " ".join(f"w{n}" for n in range(500))) for i in twice)], "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in language_model.score(docs).collect()}
+    assert got[train]["train_tokens"] > 1_500_000
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 1
+
+
 def test_seating():
     rng = np.random.default_rng(0)
     n = np.full(20000, 10)
