@@ -16,8 +16,8 @@ from tokenizers import Tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Pieces of words whose ids a Python worker keeps; beyond it the cache starts anew.
-CACHE_PIECES = 300_000
+#: Units whose ids a Python worker keeps, and their characters; beyond either the cache starts anew.
+CACHE_UNITS, CACHE_CHARS = 400_000, 16 << 20
 #: Bytes of text that are encoded at a time.
 SLICE_BYTES = 1 << 20
 
@@ -55,77 +55,98 @@ class _Numbers(dict):
         return n
 
 
-class WordEncoder:
-    """Encodes texts piece by piece, each distinct piece once.
+class UnitEncoder:
+    """Encodes texts unit by unit, each distinct unit once.
 
-    The tokenizer cuts a text into words, numbers and runs of marks before
-    it looks for tokens, so the ids of a text are those of these pieces in a
-    row.  Where a text holds characters on which the cut is less plain, its
-    space-separated words go through the whole tokenizer instead: no token,
-    special token or normalisation reaches over an ASCII space character.
+    A kind of encoder says how a text is cut (``_cut``) and what ids a unit
+    has (``_ids``).  Units are numbered as they are first seen; the ids of
+    all units lie in one flat array, from which those of a text are gathered.
     """
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+    def __init__(self) -> None:
         self._reset()
 
     def _reset(self) -> None:
         self.index = _Numbers()
         self.flat = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
-        self.n = 0
+        self.n = self.chars = 0
+
+    def _cut(self, text: str) -> list[str]:
+        raise NotImplementedError
 
-    def _ids(self, piece: str) -> list[int]:
-        if piece[:1] == " ":  # a word for the whole tokenizer
-            return self.tokenizer.encode(piece[1:], add_special_tokens=False).ids
-        if not piece.isascii():
-            piece = "".join(map(_BYTE_CHARACTERS.__getitem__, piece.encode()))
-        return [t.id for t in self.model.tokenize(piece)]
+    def _ids(self, unit: str) -> list[int]:
+        raise NotImplementedError
 
     def _learn(self) -> None:
-        pieces, self.index.fresh = self.index.fresh, []
-        lists = [self._ids(p) for p in pieces]
+        units, self.index.fresh = self.index.fresh, []
+        lists = list(map(self._ids, units))
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         first = int(self.starts[self.n])
         end = first + int(lengths.sum())
         while len(self.flat) < end:
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while len(self.starts) <= self.n + len(pieces):
+        while len(self.starts) <= self.n + len(units):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         self.flat[first:end] = np.fromiter(chain.from_iterable(lists), np.uint32, end - first)
-        self.starts[self.n + 1 : self.n + 1 + len(pieces)] = first + np.cumsum(lengths)
-        self.n += len(pieces)
+        self.starts[self.n + 1 : self.n + 1 + len(units)] = first + np.cumsum(lengths)
+        self.n += len(units)
+        self.chars += sum(map(len, units))
 
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        if _NOT_PLAIN.search(text) is None:
-            return _PIECES.findall(text.lower())
-        out: list[str] = []
-        for word in text.encode("utf-8", "surrogatepass").split():
-            w = word.decode("utf-8", "surrogatepass")
-            out += _PIECES.findall(w.lower()) if _NOT_PLAIN.search(w) is None else [" " + w]
-        return out
-
-    def encode(self, texts: Iterable[str | None], end_id: int | None = END_ID) -> list[np.ndarray]:
+    def encode(self, texts: Iterable[str | None], end_id: int | None = None) -> list[np.ndarray]:
         """Per text its ids (uint32), with ``end_id`` behind them; null counts as empty."""
-        if len(self.index) > CACHE_PIECES:
+        if len(self.index) > CACHE_UNITS or self.chars > CACHE_CHARS:
             self._reset()
         split = [self._cut(t or "") for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        words = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        units = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         if self.index.fresh:
             self._learn()
-        lengths = self.starts[words + 1] - self.starts[words]
+        lengths = self.starts[units + 1] - self.starts[units]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[words] - (ends - lengths), lengths) + np.arange(total)]
+        ids = self.flat[np.repeat(self.starts[units] - (ends - lengths), lengths) + np.arange(total)]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         tail = np.array([] if end_id is None else [end_id], np.uint32)
         return [np.concatenate([ids[a:b], tail]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+class WordEncoder(UnitEncoder):
+    """Encodes texts by the pieces that the tokenizer cuts first.
+
+    The tokenizer cuts a text into words, numbers and runs of marks before
+    it looks for tokens, so the ids of a text are those of these pieces in a
+    row.  Where a text holds characters on which the cut is less plain, its
+    space-separated words go through the whole tokenizer instead: no token,
+    special token or normalisation reaches over an ASCII space character.
+    """
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        super().__init__()
+
+    def _ids(self, unit: str) -> list[int]:
+        if unit[:1] == " ":  # a word for the whole tokenizer
+            return self.tokenizer.encode(unit[1:], add_special_tokens=False).ids
+        if not unit.isascii():
+            unit = "".join(map(_BYTE_CHARACTERS.__getitem__, unit.encode()))
+        return [t.id for t in self.model.tokenize(unit)]
+
+    def _cut(self, text: str) -> list[str]:
+        if _NOT_PLAIN.search(text) is None:
+            return _PIECES.findall(text.lower())
+        out: list[str] = []
+        for word in text.encode("utf-8", "surrogatepass").split():
+            w = word.decode("utf-8", "surrogatepass")
+            out += _PIECES.findall(w.lower()) if _NOT_PLAIN.search(w) is None else [" " + w]
+        return out
+
+    def encode(self, texts: Iterable[str | None], end_id: int | None = END_ID) -> list[np.ndarray]:
+        return super().encode(texts, end_id)
+
+
 def encoder(name: str = TOKENIZER) -> WordEncoder:
     """The worker's encoder for a tokenizer file, by its public name or its path."""
     if name not in _ENCODERS:
