@@ -7,7 +7,8 @@ earlier: in a document of a smaller key, or earlier in the same one.
    hash inside it, its anchor.  Equal windows have equal anchors, so all work
    is local to an anchor.  Windows in a row with one anchor form a segment.
    Segments travel as hashes, never as text: anchors that occur once are
-   done, and of equal segments all but the first are removed whole.
+   done, and of equal segments (64 bits of the segment beside the anchor's
+   64) all but the first are removed whole.
 2. What is left are anchors with different segments, as at the edges of a
    shared passage.  Their bytes are fetched from the documents and dealt over
    tasks by anchor.  A task builds suffix arrays and Burrows-Wheeler
@@ -15,20 +16,27 @@ earlier: in a document of a smaller key, or earlier in the same one.
    interleave one character at a time, to the depth of ``LENGTH``.  The depth
    at which the refinement tells a suffix from its neighbours is its common
    prefix; intervals it never splits are the repeated strings.
-3. An anchor with more than ``MOST_SEGMENTS`` different segments would not
-   fit a task; its windows are hashed and aggregated instead, which gives the
-   same answer for any number of them.
+3. An anchor with more than ``MOST_SEGMENTS`` different segments is split:
+   its segments go through both steps again as if they were documents, with
+   longer grams, which share fewer neighbours (``GRAMS``).  At the longest,
+   a segment is a window and its anchor all of it, so every split ends.
+   Anchors that a sample finds hot are dealt by anchor and segment from the
+   start and split like the others; what the sample misses costs time, not
+   results.
 
 Defined results: a null text is empty; empty and short texts lose nothing;
 rows that agree in key and text are one document, each row with its result;
 rows that share only the key come in the order of their texts' hashes; a
-null key comes first.
+null key comes first; columns beside key and text do not matter, whatever
+their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import functools
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -41,17 +49,20 @@ from pyspark.sql import functions as F
 from kmerloom.llm.common import written
 
 LENGTH = 100
-#: Bytes of an anchor; windows hold LENGTH - GRAM + 1 of them.
-GRAM = 40
-#: Bytes whose segments a task deals out together, and bytes of text a bucket stands for.
-CHUNK_BYTES, BUCKET_BYTES = 1 << 20, 16 << 20
+#: Bytes of an anchor, each for the anchors that those before leave crowded; windows hold LENGTH - gram + 1 of them.
+GRAMS = (40, 70, LENGTH)
+#: Bytes that a task cuts into segments at once, bytes whose segments it deals out together, and bytes a bucket stands for.
+PIECE_BYTES, CHUNK_BYTES, BUCKET_BYTES = 1 << 18, 1 << 20, 16 << 20
 #: Segments of an anchor that suffix sorting takes; bytes that are sorted together; shards they are cut to.
-MOST_SEGMENTS, BATCH_BYTES, SHARDS = 1 << 15, 1 << 20, 4
+MOST_SEGMENTS, BATCH_BYTES, SHARDS = 1 << 12, 1 << 19, 4
+#: Hot anchors are looked for in this many bytes and at least this share of the input; at most so many are told apart.
+SAMPLE_BYTES, SAMPLE_SHARE, MOST_HOT = 4 << 20, 1 / 256, 1 << 16
 NULL_KEY = -(2**63)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POS_BITS = 24
 
 
+@functools.lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     inverse = pow(_BASE, -1, 2**64)
@@ -63,7 +74,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAMS[0]) -> tuple[np.ndarray, ...]:
     """Segments of texts laid end to end: anchor hash, first window, number of windows.
 
     ``ends`` are the texts' ends in ``data``.  No window reaches over an end.
@@ -72,9 +83,11 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     if n < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
-        power, inverse = _powers(n + 1)
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n])])
+        power, inverse = _powers(max(n, PIECE_BYTES))
+        prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
         h = (prefix[gram:] - prefix[:-gram]) * inverse[: n - gram + 1]
+        del prefix
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
@@ -91,8 +104,9 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     starts = n - length + 1
     least = np.minimum(right[:starts], left[span - 1 : span - 1 + starts])
     anchor = (least & mask).astype(np.int64)
-    text = np.searchsorted(ends, np.arange(0, starts, dtype=np.int64), side="right")
-    valid = np.arange(starts) + length <= ends[np.minimum(text, len(ends) - 1)]
+    del ranked, padded, grid, left, right, least
+    text = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))[:starts]
+    valid = np.arange(starts) + length <= ends[text]
     fresh = np.ones(starts, bool)
     fresh[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | ~valid[:-1]
     first = np.flatnonzero(fresh & valid)
@@ -126,103 +140,157 @@ def _firsts(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
 
 
-def _deal(rows: DataFrame, buckets: int) -> DataFrame:
-    """Segments of chunks of documents as packed arrays, dealt over buckets by anchor.
+@dataclass
+class _Chunk:
+    """Segments of some texts; of equal ones the first alone in ``order``, the others in ``again``."""
+
+    k: np.ndarray
+    h: np.ndarray
+    base: np.ndarray
+    text: np.ndarray
+    anchor: np.ndarray
+    digest: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    order: np.ndarray
+    again: np.ndarray
+
+
+def _chunk(texts: list[tuple], gram: int) -> _Chunk | None:
+    """Segments of texts (``k``, ``h``, ``base``, ``within``, bytes); equal rows count once."""
+    texts.sort(key=lambda d: d[:3])
+    texts = [d for i, d in enumerate(texts) if not i or d[:3] != texts[i - 1][:3]]
+    sizes = np.array([len(d[4]) for d in texts])
+    ends = np.cumsum(sizes)
+    flat = b"".join(d[4] for d in texts)
+    data = np.frombuffer(flat, np.uint8)
+    anchors, starts, counts = [], [], []
+    at = 0
+    while at < len(data):  # pieces overlap by LENGTH - 1
+        stop = min(len(data), at + PIECE_BYTES)
+        a, s, c = segments(data[at:stop], np.concatenate([ends[(ends > at) & (ends < stop)] - at, [stop - at]]), gram=gram)
+        anchors.append(a)
+        starts.append(s + at)
+        counts.append(c)
+        at = stop if stop == len(data) else stop - LENGTH + 1
+    if not sum(map(len, anchors)):
+        return None
+    start, count = np.concatenate(starts), np.concatenate(counts)
+    digest = np.fromiter((xxhash.xxh3_64_intdigest(flat[s : s + c + LENGTH - 1]) for s, c in zip(start.tolist(), count.tolist(), strict=True)), np.uint64, len(start)).view(np.int64)
+    text = np.searchsorted(ends, start, side="right")
+    start = start - (ends - sizes)[text]
+    k, h, base, within = (np.array([d[i] for d in texts], np.int64) for i in range(4))
+    with np.errstate(over="ignore"):
+        anchor = np.concatenate(anchors).view(np.int64) ^ (within[text] * np.int64(0x9E3779B97F4A7C1))
+    order, first = _firsts(start + base[text], h[text], k[text], digest, anchor)
+    return _Chunk(k, h, base, text, anchor, digest, start, count, order[first], order[~first])
+
+
+def _chunks(batches: Iterator[pd.DataFrame], gram: int) -> Iterator[_Chunk]:
+    texts, size = [], 0
+    for batch in batches:
+        for k, h, base, within, data in batch[["k", "h", "base", "within", "data"]].itertuples(index=False):
+            texts.append((k, h, base, within, bytes(data)))
+            size += len(texts[-1][4])
+            if size >= CHUNK_BYTES:
+                chunk = _chunk(texts, gram)
+                texts, size = [], 0
+                if chunk:
+                    yield chunk
+    chunk = _chunk(texts, gram) if texts else None
+    if chunk:
+        yield chunk
+
+
+def _hot(texts: DataFrame, gram: int, total: int) -> np.ndarray:
+    """Anchors that would fill a good part of a bucket, as far as a sample tells."""
+    share = max(SAMPLE_BYTES / total, SAMPLE_SHARE) if total > SAMPLE_BYTES else 1.0
+    some = texts.where(F.xxhash64("k", "h", "base").bitwiseAND(F.lit(2**63 - 1)) <= min(int(share * 2**63), 2**63 - 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for c in _chunks(batches, gram):
+            anchor, n = np.unique(c.anchor[c.order], return_counts=True)
+            yield pd.DataFrame({"anchor": anchor, "n": n})
+
+    found = some.mapInPandas(run, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
+    # a segment stands for 30 bytes of text or so
+    least = max(share * BUCKET_BYTES / 120, share * total / 30 / MOST_HOT, 16)
+    return np.sort(np.array([r["anchor"] for r in found.where(F.col("n") >= least).select("anchor").collect()], np.int64))
+
+
+def _deal(texts: DataFrame, buckets: int, gram: int, hot: np.ndarray) -> DataFrame:
+    """Segments of chunks of texts as packed arrays, dealt over buckets by anchor, those of hot anchors by segment, too.
 
     Of equal segments in a chunk only the first travels; the others are
     removed whole already.
     """
 
-    def chunk(docs: list[tuple], name: int) -> pd.DataFrame:
-        docs.sort(key=lambda d: d[:2])
-        docs = [d for i, d in enumerate(docs) if not i or d[:2] != docs[i - 1][:2]]
-        sizes = np.array([len(d[2]) for d in docs])
-        ends = np.cumsum(sizes)
-        flat = b"".join(d[2] for d in docs)
-        data = np.frombuffer(flat, np.uint8)
-        anchors, starts, counts = [], [], []
-        # positions inside a piece fit their bits; a long text is cut with an overlap of LENGTH - 1
-        at = 0
-        while at < len(data):
-            stop = min(len(data), at + (CHUNK_BYTES << 1))
-            a, s, c = segments(data[at:stop], np.concatenate([ends[(ends > at) & (ends < stop)] - at, [stop - at]]))
-            anchors.append(a)
-            starts.append(s + at)
-            counts.append(c)
-            at = stop if stop == len(data) else stop - LENGTH + 1
-        if not anchors or not sum(map(len, anchors)):
-            return pd.DataFrame({"bucket": [], "blob": []})
-        anchor, start, count = np.concatenate(anchors).view(np.int64), np.concatenate(starts), np.concatenate(counts)
-        digest = np.fromiter((xxhash.xxh3_64_intdigest(flat[s : s + c + LENGTH - 1]) for s, c in zip(start.tolist(), count.tolist(), strict=True)), np.uint64, len(start)).view(np.int64)
-        doc = np.searchsorted(ends, start, side="right")
-        start = start - (ends - sizes)[doc]
-        key, hashed = np.array([d[0] for d in docs]), np.array([d[1] for d in docs])
-        order, first = _firsts(start, doc, digest, anchor)
-        again = order[~first]
-        order = order[first]
-        bucket = (((anchor[order] ^ (anchor[order] >> 31)) & 0x7FFFFFFF) % buckets).astype(np.int32)
+    def blobs(c: _Chunk, name: int) -> pd.DataFrame:
+        anchor, digest = c.anchor[c.order], c.digest[c.order]
+        spread = anchor ^ np.where(np.isin(anchor, hot), digest, 0)
+        bucket = (((spread ^ (spread >> 31)) & 0x7FFFFFFF) % buckets).astype(np.int32)
         by = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
         out = []
         for b in np.flatnonzero(np.diff(cuts)):
-            i = order[by[cuts[b] : cuts[b + 1]]]
-            used, small = np.unique(doc[i], return_inverse=True)
-            out.append((int(b), _pack((key[used], hashed[used], small.astype(np.int32), anchor[i], digest[i], start[i].astype(np.int32), count[i].astype(np.uint8)))))
-        if len(again):
-            out.append((name % buckets, _pack(("again", key[doc[again]], hashed[doc[again]], start[again], count[again]))))
+            i = c.order[by[cuts[b] : cuts[b + 1]]]
+            used, small = np.unique(c.text[i], return_inverse=True)
+            out.append((int(b), _pack((c.k[used], c.h[used], c.base[used], small.astype(np.int32), c.anchor[i], c.digest[i], c.start[i].astype(np.int32), c.count[i].astype(np.uint8)))))
+        if len(c.again):
+            i = c.text[c.again]
+            out.append((name % buckets, _pack(("again", c.k[i], c.h[i], c.base[i], c.start[c.again], c.count[c.again]))))
         return pd.DataFrame(out, columns=["bucket", "blob"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs, size, number = [], 0, TaskContext.get().partitionId()
-        for batch in batches:
-            for k, h, data in batch[["k", "h", "data"]].itertuples(index=False):
-                docs.append((k, h, bytes(data)))
-                size += len(docs[-1][2])
-                if size >= CHUNK_BYTES:
-                    yield chunk(docs, number)
-                    docs, size, number = [], 0, number + 1
-        if docs:
-            yield chunk(docs, number)
+        for number, c in enumerate(_chunks(batches, gram), TaskContext.get().partitionId()):
+            yield blobs(c, number)
+
+    return texts.mapInPandas(run, "bucket int, blob binary").repartitionById(buckets, F.col("bucket"))
+
 
-    return rows.select("k", "h", "data").mapInPandas(run, "bucket int, blob binary").repartitionById(buckets, F.col("bucket"))
+def _sort_out(dealt: DataFrame, hot: np.ndarray, last: bool, most: int) -> DataFrame:
+    """``k``, ``h``, ``base``, ``start``, ``windows``, ``anchor`` and ``crowd``: the anchor is null where the segment is removed whole, else bytes decide.
 
+    ``crowd`` tells anchors with more than ``most`` different segments; there are none in the ``last`` turn.
+    """
 
-def _sort_out(dealt: DataFrame) -> DataFrame:
-    """``k``, ``h``, ``start``, ``windows`` and ``anchor``: null where the segment is removed whole, else where bytes decide."""
+    def frame(k, h, base, start, count, anchor=None, crowd=False) -> Iterator[pd.DataFrame]:
+        for lo in range(0, len(k), 1 << 16):
+            i = slice(lo, lo + (1 << 16))
+            anchors = pd.array([None] * len(k[i]), "Int64") if anchor is None else anchor[i]
+            yield pd.DataFrame({"k": k[i], "h": h[i], "base": base[i], "start": start[i].astype(np.int64), "windows": count[i].astype(np.int64), "anchor": anchors, "crowd": False if anchor is None else crowd[i]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done, parts = [], []
+        parts = []
         for batch in batches:
             for blob in batch["blob"]:
                 got = _unpack(blob)
                 if isinstance(got[0], str):
-                    done.append(got[1:])
+                    yield from frame(*got[1:])
                 else:
-                    key, hashed, doc, *rest = got
-                    parts.append((key[doc], hashed[doc], *rest))
-
-        def frame(k, h, start, count, anchor) -> pd.DataFrame:
-            return pd.DataFrame({"k": k, "h": h, "start": start.astype(np.int64), "windows": count.astype(np.int64), "anchor": pd.array(anchor, "Int64")})
-
-        for k, h, start, count in done:
-            yield frame(k, h, start, count, [None] * len(k))
+                    parts.append(got)
         if not parts:
             return
-        k, h, anchor, digest, start, count = (np.concatenate([p[i] for p in parts]) for i in range(6))
+        text = np.concatenate([p[3] + at for p, at in zip(parts, np.cumsum([0] + [len(p[0]) for p in parts]), strict=False)])
+        k, h, base, _, anchor, digest, start, count = (np.concatenate([p[i] for p in parts]) for i in range(8))
         del parts
-        order, first = _firsts(start, h, k, digest, anchor)
-        k, h, anchor, start, count = (x[order] for x in (k, h, anchor, start, count))
-        same = np.zeros(len(k), bool)  # the same document in two chunks
-        same[1:] = (k[1:] == k[:-1]) & (h[1:] == h[:-1]) & (start[1:] == start[:-1]) & ~first[1:]
-        again = ~first & ~same
-        yield frame(k[again], h[again], start[again], count[again], [None] * int(again.sum()))
-        k, h, anchor, start, count = (x[first] for x in (k, h, anchor, start, count))
-        several = np.zeros(len(k), bool)
-        several[1:] |= anchor[1:] == anchor[:-1]
-        several[:-1] |= anchor[1:] == anchor[:-1]
-        yield frame(k[several], h[several], start[several], count[several], anchor[several])
-
-    return dealt.mapInPandas(run, "k bigint, h bigint, start bigint, windows bigint, anchor bigint")
+        order, first = _firsts(start + base[text], h[text], k[text], digest, anchor)
+        text, anchor, start, count = (x[order] for x in (text, anchor, start, count))
+        del order, digest
+        same = np.zeros(len(text), bool)  # the same text in two chunks
+        same[1:] = (k[text[1:]] == k[text[:-1]]) & (h[text[1:]] == h[text[:-1]]) & (base[text[1:]] == base[text[:-1]]) & (start[1:] == start[:-1]) & ~first[1:]
+        again = np.flatnonzero(~first & ~same)
+        i = text[again]
+        yield from frame(k[i], h[i], base[i], start[again], count[again])
+        text, anchor, start, count = (x[first] for x in (text, anchor, start, count))
+        edges = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
+        n = np.repeat(np.diff(edges), np.diff(edges))
+        split = np.zeros(len(n), bool) if last else (n > most) | np.isin(anchor, hot)
+        left = np.flatnonzero((n > 1) | split)
+        i = text[left]
+        yield from frame(k[i], h[i], base[i], start[left], count[left], anchor[left], split[left])
+
+    return dealt.mapInPandas(run, "k bigint, h bigint, base bigint, start bigint, windows bigint, anchor bigint, crowd boolean")
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -319,24 +387,27 @@ def _runs(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
     return [(int(starts[a]), int(starts[b]) + length) for a, b in zip(first, last, strict=True)]
 
 
-def _fetch(rows: DataFrame, open_: DataFrame) -> DataFrame:
-    """The bytes of the segments that are not decided yet."""
-    wanted = open_.groupBy("k", "h").agg(F.collect_list(F.struct("start", "windows", "anchor", "crowd")).alias("want"))
-    joined = rows.select("k", "h", "data").join(wanted, ["k", "h"])
+def _fetch(texts: DataFrame, open_: DataFrame) -> DataFrame:
+    """The bytes of the segments that are not decided yet; ``start`` counts from the document's start."""
+    wanted = open_.groupBy("k", "h", "base").agg(F.collect_list(F.struct("start", "windows", "anchor", "crowd")).alias("want"))
+    joined = texts.select("k", "h", "base", "data").join(wanted, ["k", "h", "base"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for k, h, data, want in batch[["k", "h", "data", "want"]].itertuples(index=False):
+            for k, h, base, data, want in batch[["k", "h", "base", "data", "want"]].itertuples(index=False):
                 for w in want:
                     at = w["start"]
-                    out.append((w["anchor"], w["crowd"], k, h, at, bytes(data[at : at + w["windows"] + LENGTH - 1])))
+                    out.append((w["anchor"], w["crowd"], k, h, base + at, bytes(data[at : at + w["windows"] + LENGTH - 1])))
+                if len(out) > 1 << 14:
+                    yield pd.DataFrame(out, columns=["anchor", "crowd", "k", "h", "start", "data"])
+                    out = []
             yield pd.DataFrame(out, columns=["anchor", "crowd", "k", "h", "start", "data"])
 
     return joined.mapInPandas(run, "anchor bigint, crowd boolean, k bigint, h bigint, start bigint, data binary")
 
 
-def _by_suffixes(fetched: DataFrame) -> DataFrame:
+def _by_suffixes(fetched: DataFrame, parts: int) -> DataFrame:
     """Spans that repeat, by merged transforms over batches of whole anchors."""
 
     def batch_spans(f: pd.DataFrame) -> pd.DataFrame:
@@ -375,47 +446,34 @@ def _by_suffixes(fetched: DataFrame) -> DataFrame:
         if held:
             yield batch_spans(pd.concat(held, ignore_index=True))
 
-    dealt = fetched.repartition(F.col("anchor")).sortWithinPartitions("anchor")
+    dealt = fetched.repartition(parts, F.col("anchor")).sortWithinPartitions("anchor")
     return dealt.select("anchor", "k", "h", "start", "data").mapInPandas(run, "k bigint, h bigint, lo bigint, hi bigint")
 
 
-def _by_windows(fetched: DataFrame) -> DataFrame:
-    """Spans that repeat, by hashes of single windows: for anchors with any number of segments."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo in range(0, len(batch), 2048):
-                out = []
-                for anchor, k, h, start, data in batch[["anchor", "k", "h", "start", "data"]].iloc[lo : lo + 2048].itertuples(index=False):
-                    data = bytes(data)
-                    for i in range(len(data) - LENGTH + 1):
-                        w = xxhash.xxh3_128_intdigest(data[i : i + LENGTH])
-                        out.append(((w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63), k, h, start + i))
-                yield pd.DataFrame(out, columns=["w1", "w2", "k", "h", "at"])
-
-    windows = fetched.mapInPandas(run, "w1 bigint, w2 bigint, k bigint, h bigint, at bigint").distinct()
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("k", "h", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(first.hint("merge"), ["w1", "w2"]).where(F.struct("k", "h", "at") != F.col("first"))
-    return later.select("k", "h", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
-
-
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``k`` (key), ``h`` (hash of the text), ``lo`` and ``hi``: spans whose windows all start earlier too; they may overlap."""
     return _spans(_keyed(docs, key, text))
 
 
 def _spans(rows: DataFrame) -> DataFrame:
-    spark = rows.sparkSession
-    total = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    buckets = -(-total // BUCKET_BYTES)
-    if total > BUCKET_BYTES:
-        buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sorted_out = written(_sort_out(_deal(rows, max(1, buckets))))
-    whole = sorted_out.where("anchor is null").select("k", "h", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + (LENGTH - 1)).alias("hi"))
-    open_ = sorted_out.where("anchor is not null")
-    crowds = open_.groupBy("anchor").agg((F.count("*") > MOST_SEGMENTS).alias("crowd"))
-    fetched = written(_fetch(rows, open_.join(crowds, "anchor")))
-    return whole.union(_by_suffixes(fetched.where("not crowd"))).union(_by_windows(fetched.where("crowd")))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = rows.select("k", "h", F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("within"), "data")
+    found = None
+    for gram in GRAMS:
+        total = texts.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+        if found is not None and not total:
+            break
+        several = total > BUCKET_BYTES
+        buckets = max(-(-total // BUCKET_BYTES), parts if several else 1)
+        hot = _hot(texts, gram, total) if several else np.zeros(0, np.int64)
+        sorted_out = written(_sort_out(_deal(texts, buckets, gram, hot), hot, gram == LENGTH, MOST_SEGMENTS))
+        at = F.col("base") + F.col("start")
+        whole = sorted_out.where("anchor is null").select("k", "h", at.alias("lo"), (at + F.col("windows") + (LENGTH - 1)).alias("hi"))
+        fetched = written(_fetch(texts, sorted_out.where("anchor is not null")))
+        here = whole.union(_by_suffixes(fetched.where("not crowd"), buckets))
+        found = here if found is None else found.union(here)
+        texts = fetched.where("crowd").select("k", "h", F.col("start").alias("base"), F.col("anchor").alias("within"), "data")
+    return found
 
 
 def _cut(data: bytes, spans_) -> tuple[bytes, list[int]]:

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kmerloom.llm import (
@@ -139,12 +140,22 @@ def brute_repeats(documents):
 
 
 def test_suffix_dedup(spark, docs, monkeypatch):
-    unique = sorted(dict(r for r in rows() if r[0] is not None and r[0] != 10).items())
+    rng = np.random.default_rng(8)
+    # 45 bytes with a hundred neighbourhoods, some of which share more of it
+    crowd = [(100 + i, text(500 + i % 70, 12) + " the forty five bytes that everybody quotes here " + text(600 + i % 23, 12 + i % 5)) for i in range(100)]
+    runs = [(300 + i, "ab" * int(rng.integers(40, 90)) + text(700 + i, 5)) for i in range(10)]
+    unique = sorted([r for r in dict(rows()).items() if r[0] is not None and r[0] != 10] + crowd + runs)
     some = table(spark, unique).repartition(3)
     want = brute_repeats(unique)
-    for most in (suffix_dedup.MOST_SEGMENTS, 1):  # the second takes every anchor through single windows
-        monkeypatch.setattr(suffix_dedup, "MOST_SEGMENTS", most)
-        got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(some).collect()}
+    # as it is; every anchor split to the end; many buckets, hot anchors dealt by segment
+    for names in ({}, {"MOST_SEGMENTS": 1}, {"BUCKET_BYTES": 1500, "MOST_SEGMENTS": 20, "CHUNK_BYTES": 3000, "PIECE_BYTES": 1000, "BATCH_BYTES": 2000}):
+        with monkeypatch.context() as m:
+            for name, value in names.items():
+                m.setattr(suffix_dedup, name, value)
+            if "BUCKET_BYTES" in names:
+                texts = suffix_dedup._keyed(some, "doc_id", "text").withColumn("base", F.lit(0).cast("long")).withColumn("within", F.lit(0).cast("long"))
+                assert len(suffix_dedup._hot(texts, 40, 20_000))
+            got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(some).collect()}
         assert got == want
     again = suffix_dedup.remove_repeats(docs).toPandas()
     assert len(again) == len(rows())
