@@ -78,9 +78,12 @@ class UnitEncoder:
     def _ids(self, unit: str) -> list[int]:
         raise NotImplementedError
 
+    def _ids_of(self, units: list[str]) -> list[list[int]]:
+        return list(map(self._ids, units))
+
     def _learn(self) -> None:
         units, self.index.fresh = self.index.fresh, []
-        lists = list(map(self._ids, units))
+        lists = self._ids_of(units)
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         first = int(self.starts[self.n])
         end = first + int(lengths.sum())
