@@ -38,6 +38,19 @@ def written(df: DataFrame, path: str | None = None, whole_files: bool = False) -
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_in_buckets(df: DataFrame, buckets: int, path: str, column: str = "bucket") -> DataFrame:
+    """``df`` written as a table in buckets of a column and read back, so that joins on the column need no shuffle.
+
+    The catalog forgets the table's name at once; its files stay at ``path``.
+    """
+    spark = df.sparkSession
+    name = f"kmerloom_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared storage."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

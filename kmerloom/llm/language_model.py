@@ -13,18 +13,20 @@ totals.  The predictive probabilities of the samples are averaged and summed
 per document as log10; held-out documents give the perplexity.
 
 How it runs: tokens go once through a shuffle, as compressed runs dealt over
-buckets by word (words above a thousandth of all tokens by word and
-context, so no bucket is hot), and are stored there.  A bucket then holds all
-that concerns its words, and a sweep is one pass over the buckets, which
-writes their tables.  Totals of contexts are kept by context: each bucket
-sends one sum per context to the context's home, and the homes answer with
-the totals, so a hot context costs its home one number a bucket.  The driver
-sees totals and the words treated as hot (at most a thousand).
+buckets by word, and words that would fill a good part of a bucket by word
+and context, so no bucket is hot.  A bucket then holds all that concerns its
+words, in a table that Spark keeps in buckets: a sweep joins what stays fixed
+of a bucket with its tables where they lie, and only totals of contexts move.
+These are kept by context: each bucket sends one sum per context to the
+context's home, and the homes answer with the totals, so a hot context costs
+its home one number a bucket.  The driver sees totals and the words treated
+as hot (at most ``MOST_HOT``).
 
 Words are known by 64-bit hashes.  Defined results: a null text is empty and
 has the end token alone; without training documents every token is unseen;
 repeated rows are scored once each; a null key counts as the empty text in
-the split.
+the split; columns beside key and text do not matter; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -41,12 +43,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import key_mod, remove, shared_dir, written
+from kmerloom.llm.common import key_mod, remove, shared_dir, written, written_in_buckets
 
 FOLDS, TEST_FOLD = 7, 2
-HOT_SHARE = 1_000
 #: Tokens that a task gathers before it deals them out, and tokens a bucket is meant to hold.
 CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 2_000_000
+#: Words with a quarter of a bucket's tokens are hot, but not more words than this.
+MOST_HOT = 1 << 16
 STRENGTH = 1.0
 #: Sweeps of burn-in before the samples that are averaged, one sweep each.
 ROUNDS, SAMPLES = 1, 3
@@ -222,8 +225,7 @@ def _deal(rows: DataFrame, common: _Common) -> DataFrame:
             out.append((name % common.buckets, -1 - name, _pack(kept)))
             yield pd.DataFrame(out, columns=["bucket", "chunk", "blob"])
 
-    dealt = rows.mapInPandas(run, "bucket int, chunk bigint, blob binary")
-    return dealt.repartitionById(common.buckets, F.col("bucket"))
+    return rows.mapInPandas(run, "bucket int, chunk bigint, blob binary").repartition(common.buckets, "bucket")
 
 
 def _home(contexts: np.ndarray, common: _Common) -> np.ndarray:
@@ -268,7 +270,16 @@ class _Bucket:
 
     def fixed(self) -> tuple:
         """What sweeps need, which no sweep changes."""
-        return self.word.astype(np.int32), self.context.astype(np.int32), self.count.astype(np.int32), self.contexts, self.hot.astype(np.int16)
+        return self.word.astype(np.int32), self.context.astype(np.int32), self.count.astype(np.int32), self.contexts, self.hot.astype(np.int32)
+
+    def maps(self) -> list[tuple]:
+        """Per chunk its number, the training tokens of its words and the places of its pairs."""
+        out, word_at, pair_at = [], 0, 0
+        for chunk, n_words, n_pairs in self.parts:
+            tokens = self.tokens[self.word_of[word_at : word_at + n_words]].astype(np.int64)
+            out.append((chunk, _pack((tokens, self.pair_of[pair_at : pair_at + n_pairs].astype(np.int32)))))
+            word_at, pair_at = word_at + n_words, pair_at + n_pairs
+        return out
 
 
 class _Seating:
@@ -342,61 +353,71 @@ def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random
 
 
 SWEPT = "kind int, bucket int, at bigint, v double, blob binary"
-#: Kinds of rows: what stays fixed of a bucket, its tables, sums for the homes of contexts, their answers, totals for the driver.
-FIXED, TABLES, SUMS, ANSWER, HOT, TOTAL = range(6)
+#: Kinds of rows, all of the bucket that they come from: what stays fixed, its tables, how its pairs stand in chunks,
+#: what stays with a chunk, sums for the homes of contexts (``at``), totals of hot words and of all for the driver.
+FIXED, TABLES, MAP, KEPT, SUMS, HOT, TOTAL = range(7)
 
 
-def _left(number: int, fixed: tuple, tables: np.ndarray, root: np.ndarray, total: np.ndarray, common: _Common, first: bool) -> Iterator[pd.DataFrame]:
+def _left(number: int, fixed: tuple, tables: np.ndarray, root: np.ndarray, total: np.ndarray, common: _Common) -> Iterator[pd.DataFrame]:
     """The rows that a bucket leaves behind after a sweep."""
     word, context, count, contexts, hot = fixed
     word, hot = word.astype(np.int64), hot.astype(np.int64)
-    rows = [(FIXED, number, 0, None, _pack(fixed))] if first else []
     small = np.uint8 if tables.max(initial=0) < 256 else np.int32
-    rows.append((TABLES, number, 0, None, _pack((tables.astype(small), root.astype(np.int32), total.astype(np.float32)))))
+    rows = [(TABLES, number, 0, None, _pack((tables.astype(small), root.astype(np.int32), total.astype(np.float32))))]
     home = _home(contexts, common)
     sums = np.bincount(context, tables, len(contexts)).astype(np.int64), np.bincount(context, count, len(contexts)).astype(np.int64)
     cuts = np.searchsorted(home, np.arange(common.buckets + 1))
     for b in np.flatnonzero(np.diff(cuts)):
         own = slice(cuts[b], cuts[b + 1])
-        rows.append((SUMS, int(b), number, None, _pack((contexts[own], *(x[own].astype(np.int32 if x[own].max() < 1 << 31 else np.int64) for x in sums)))))
+        rows.append((SUMS, number, int(b), None, _pack((contexts[own], *(x[own].astype(np.int32 if x[own].max() < 1 << 31 else np.int64) for x in sums)))))
     m = np.bincount(word, tables, len(hot))
     cold = hot < 0
-    rows += [(HOT, -1, int(h), float(v), None) for h, v in zip(hot[~cold & (m > 0)], m[~cold & (m > 0)], strict=True)]
+    rows += [(HOT, number, int(h), float(v), None) for h, v in zip(hot[~cold & (m > 0)], m[~cold & (m > 0)], strict=True)]
     totals = [m.sum(), root[cold].sum(), (count == 1).sum(), (count == 2).sum(), (m[cold] == 1).sum(), (m[cold] == 2).sum()]
-    rows += [(TOTAL, -1, i, float(v), None) for i, v in enumerate(totals)]
+    rows += [(TOTAL, number, i, float(v), None) for i, v in enumerate(totals)]
     yield pd.DataFrame(rows, columns=["kind", "bucket", "at", "v", "blob"])
 
 
-def _start(stored: DataFrame, common: _Common) -> DataFrame:
-    """One table a dish in every restaurant."""
+def _start(rows: DataFrame, common: _Common) -> DataFrame:
+    """The dealt tokens in buckets, with one table a dish in every restaurant."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [b for b in batches if len(b)]
-        for _, part in pd.concat(frames).groupby("bucket") if frames else ():
-            b = _Bucket(part, common)
+        held: dict[int, list[pd.DataFrame]] = {}
+        for batch in batches:
+            kept = batch[batch["chunk"] < 0]
+            if len(kept):
+                yield pd.DataFrame({"kind": KEPT, "bucket": kept["bucket"], "at": -1 - kept["chunk"], "v": None, "blob": kept["blob"]})
+            for bucket, part in batch[batch["chunk"] >= 0].groupby("bucket"):
+                held.setdefault(bucket, []).append(part)
+        for bucket in sorted(held):
+            b = _Bucket(pd.concat(held.pop(bucket)), common)
             tables = (b.count > 0).astype(np.float64)
             root = (np.bincount(b.word, tables, len(b.words)) > 0).astype(np.float64)
-            yield from _left(b.number, b.fixed(), tables, root, np.zeros(len(tables)), common, True)
+            stay = [(FIXED, b.number, 0, None, _pack(b.fixed()))] + [(MAP, b.number, chunk, None, blob) for chunk, blob in b.maps()]
+            yield pd.DataFrame(stay, columns=["kind", "bucket", "at", "v", "blob"])
+            yield from _left(b.number, b.fixed(), tables, root, np.zeros(len(tables)), common)
 
-    return written(stored.where("chunk >= 0").mapInPandas(run, SWEPT))
+    return written_in_buckets(_deal(rows, common).mapInPandas(run, SWEPT), common.buckets, shared_dir(rows.sparkSession))
 
 
 def _answers(swept: DataFrame, common: _Common) -> DataFrame:
-    """The totals of each bucket's contexts, added up at the contexts' homes."""
+    """Per bucket the ``answers``: totals of its contexts, added up at the contexts' homes (``at``)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = [b for b in batches if len(b)]
-        for home, part in pd.concat(frames).groupby("bucket") if frames else ():
+        for home, part in pd.concat(frames).groupby("at") if frames else ():
             sent = [_unpack(x) for x in part["blob"]]
             _, place = np.unique(np.concatenate([x[0] for x in sent]), return_inverse=True)
             sums = [np.bincount(place, np.concatenate([x[i] for x in sent]))[place].astype(np.int64) for i in (1, 2)]
             ends = np.cumsum([len(x[0]) for x in sent])
-            for bucket, end, x in zip(part["at"], ends, sent, strict=True):
+            for bucket, end, x in zip(part["bucket"], ends, sent, strict=True):
                 own = slice(end - len(x[0]), end)
                 blob = _pack(tuple(v[own].astype(np.int32 if v[own].max() < 1 << 31 else np.int64) for v in sums))
-                yield pd.DataFrame({"kind": [ANSWER], "bucket": [bucket], "at": [home], "v": [None], "blob": [blob]})
+                yield pd.DataFrame({"bucket": [bucket], "at": [home], "blob": [blob]})
 
-    return swept.where(F.col("kind") == SUMS).repartitionById(common.buckets, F.col("bucket")).mapInPandas(run, SWEPT)
+    sums = swept.where(F.col("kind") == SUMS).select("bucket", "at", "blob")
+    homes = sums.repartitionById(common.buckets, F.col("at").cast("int")).mapInPandas(run, "bucket int, at bigint, blob binary")
+    return homes.groupBy("bucket").agg(F.collect_list(F.struct("at", "blob")).alias("answers"))
 
 
 def _state(swept: DataFrame, common: _Common, before: _State | None, seed: int) -> _State:
@@ -419,70 +440,66 @@ def _state(swept: DataFrame, common: _Common, before: _State | None, seed: int)
     return _State(hot, tables, totals[0], totals[1] + tables.sum(), d, d0)
 
 
-def _seatings(part: pd.DataFrame, common: _Common, state: _State) -> _Seating:
-    """The seating of one bucket, from all rows that concern it."""
-    blobs = {k: [_unpack(x) for x in own.sort_values("at")["blob"]] for k, own in part.groupby("kind")}
-    return _Seating(int(part["bucket"].iloc[0]), blobs[FIXED][0], blobs[TABLES][0], blobs[ANSWER], common, state)
+def _met(first: DataFrame, swept: DataFrame, common: _Common) -> DataFrame:
+    """A row per bucket: what is ``fixed``, its ``tables``, and the ``answers`` about its contexts."""
+    fixed = first.where(F.col("kind") == FIXED).select("bucket", F.col("blob").alias("fixed"))
+    tables = swept.where(F.col("kind") == TABLES).select("bucket", F.col("blob").alias("tables"))
+    # merge joins, as blobs are for no hash table; both sides lie in buckets
+    return fixed.join(tables.hint("merge"), "bucket").join(_answers(swept, common).hint("merge"), "bucket")
 
 
-def _met(fixed: DataFrame, swept: DataFrame, common: _Common, beside: DataFrame | None = None) -> DataFrame:
-    """A bucket's rows in one task: what is fixed, its tables, and the totals of its contexts."""
-    rows = fixed.where(F.col("kind") == FIXED).union(swept.where(F.col("kind") == TABLES)).union(_answers(swept, common))
-    rows = rows if beside is None else rows.union(beside)
-    return rows.repartitionById(common.buckets, F.col("bucket"))
+def _seating(row, common: _Common, state: _State) -> _Seating:
+    answers = [_unpack(a["blob"]) for a in sorted(row.answers, key=lambda a: a["at"])]
+    return _Seating(int(row.bucket), _unpack(row.fixed), _unpack(row.tables), answers, common, state)
 
 
-def _sweep(fixed: DataFrame, swept: DataFrame, common: _Common, state: _State, seed: int, sample: bool, path: str) -> DataFrame:
+def _sweep(first: DataFrame, swept: DataFrame, common: _Common, state: _State, seed: int, sample: bool, path: str) -> DataFrame:
     """The next sweep from the tables of the last; if that was a sample, its probabilities are added up first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [b for b in batches if len(b)]
-        for _, part in pd.concat(frames).groupby("bucket") if frames else ():
-            b = _seatings(part, common, state)
-            if sample:
-                b.total += b.probability()
-            b.sweep(seed)
-            yield from _left(b.number, b.fixed, b.tables, b.root, b.total, common, False)
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                b = _seating(row, common, state)
+                if sample:
+                    b.total += b.probability()
+                b.sweep(seed)
+                yield from _left(b.number, b.fixed, b.tables, b.root, b.total, common)
 
-    return written(_met(fixed, swept, common).mapInPandas(run, SWEPT), path)
+    return written_in_buckets(_met(first, swept, common).mapInPandas(run, SWEPT), common.buckets, path)
 
 
-def _chain(stored: DataFrame, common: _Common, sweeps: int, burn_in: int) -> Iterator[tuple[DataFrame, DataFrame, _State]]:
-    """The fixed rows, the rows left and the state: at the start, then after each sweep."""
-    fixed = swept = _start(stored, common)
+def _chain(rows: DataFrame, common: _Common, sweeps: int, burn_in: int) -> Iterator[tuple[DataFrame, DataFrame, _State]]:
+    """The first rows, the rows left and the state: at the start, then after each sweep."""
+    spark, before = rows.sparkSession, None
+    first = swept = _start(rows, common)
     state = _state(swept, common, None, 0)
-    yield fixed, swept, state
-    spark, before = stored.sparkSession, None
+    yield first, swept, state
     for i in range(1, sweeps + 1):
         # files of shuffles go when the driver's JVM collects what refers to them
         spark._jvm.System.gc()
         path = shared_dir(spark)
-        swept = _sweep(fixed, swept, common, state, i, i - 1 > burn_in, path)
+        swept = _sweep(first, swept, common, state, i, i - 1 > burn_in, path)
         state = _state(swept, common, state, i)
         if before:
             remove(spark, before)
         before = path
-        yield fixed, swept, state
+        yield first, swept, state
     spark._jvm.System.gc()
 
 
-def _score(stored: DataFrame, fixed: DataFrame, swept: DataFrame, common: _Common, state: _State, samples: int) -> DataFrame:
+def _score(first: DataFrame, swept: DataFrame, common: _Common, state: _State, samples: int) -> DataFrame:
     """Sums of every document: buckets send the scores of their pairs back to the chunks these came from."""
     floor = np.log10(common.tokens + common.types + 1)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [b for b in batches if len(b)]
-        for _, part in pd.concat(frames).groupby("bucket") if frames else ():
-            seating = _seatings(part[part["kind"] >= 0], common, state)
-            score = np.log10(np.maximum((seating.total + seating.probability()) / samples, 1e-300)).astype(np.float32)
-            del seating
-            b = _Bucket(part[part["kind"] < 0].rename(columns={"at": "chunk"}), common)
-            word_at = pair_at = 0
-            for chunk, n_words, n_pairs in b.parts:
-                own = b.word_of[word_at : word_at + n_words], b.pair_of[pair_at : pair_at + n_pairs]
-                word_at, pair_at = word_at + n_words, pair_at + n_pairs
-                blob = _pack((b.tokens[own[0]].astype(np.int64), score[own[1]]))
-                yield pd.DataFrame({"bucket": [b.number], "chunk": [chunk], "blob": [blob]})
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                seating = _seating(row, common, state)
+                score = np.log10(np.maximum((seating.total + seating.probability()) / samples, 1e-300)).astype(np.float32)
+                del seating
+                for m in sorted(row.maps, key=lambda m: m["at"]):
+                    tokens, pairs = _unpack(m["blob"])
+                    yield pd.DataFrame({"bucket": [row.bucket], "chunk": [m["at"]], "blob": [_pack((tokens, score[pairs]))]})
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = [b for b in batches if len(b)]
@@ -509,37 +526,36 @@ def _score(stored: DataFrame, fixed: DataFrame, swept: DataFrame, common: _Commo
                 }
             )
 
-    schema = "bucket int, chunk bigint, blob binary"
-    pairs = stored.where("chunk >= 0").select(F.lit(-1).alias("kind"), "bucket", F.col("chunk").alias("at"), F.lit(None).cast("double").alias("v"), "blob")
-    sent = _met(fixed, swept, common, pairs).mapInPandas(work, schema)
-    home = stored.where("chunk < 0").select(F.lit(-1).alias("bucket"), (-1 - F.col("chunk")).alias("chunk"), "blob")
+    maps = first.where(F.col("kind") == MAP).groupBy("bucket").agg(F.collect_list(F.struct("at", "blob")).alias("maps"))
+    sent = _met(first, swept, common).join(maps.hint("merge"), "bucket").mapInPandas(work, "bucket int, chunk bigint, blob binary")
+    home = first.where(F.col("kind") == KEPT).select(F.lit(-1).alias("bucket"), F.col("at").alias("chunk"), "blob")
     met = home.union(sent).repartitionById(common.buckets, F.pmod("chunk", F.lit(common.buckets)).cast("int"))
     return met.mapInPandas(add_up, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
-def _stored(rows: DataFrame) -> tuple[DataFrame, _Common]:
-    """The dealt tokens and what every task knows."""
+def _common(rows: DataFrame) -> _Common:
+    """What every task knows, from the counts of all training words."""
     vocab = written(vocabulary(rows))
     tokens, types = vocab.agg(F.sum("n"), F.count("*")).first()
     tokens = tokens or 0
-    # at most a thousand rows, as each has a thousandth of all tokens
-    hot = vocab.where(F.col("n") * HOT_SHARE >= tokens).toPandas().sort_values("word", ignore_index=True)
-    common = _Common(
+    # at most MOST_HOT rows
+    hot = vocab.where((F.col("n") * 4 >= BUCKET_TOKENS) & (F.col("n") * MOST_HOT >= tokens)).toPandas().sort_values("word", ignore_index=True)
+    return _Common(
         tokens,
         types,
         hot["word"].to_numpy(np.int64),
         hot["n"].to_numpy(float),
         max(1, -(-tokens // BUCKET_TOKENS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) if tokens > BUCKET_TOKENS else 1),
     )
-    return written(_deal(rows, common), whole_files=True), common
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, samples: int = SAMPLES) -> DataFrame:
     """Base score and model score of every document, learned from those whose crc32(key) mod 7 is not 2."""
-    stored, common = _stored(_rows(docs, key, text))
-    for last in _chain(stored, common, rounds + samples, rounds):
-        fixed, swept, state = last
-    sums = _score(stored, fixed, swept, common, state, samples)
+    rows = _rows(docs, key, text)
+    common = _common(rows)
+    for first, swept, state in _chain(rows, common, rounds + samples, rounds):
+        pass
+    sums = _score(first, swept, common, state, samples)
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(common.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -308,11 +308,12 @@ def test_language_model_chain(spark):
 
     made = spark.createDataFrame([(i, text(i, 300)) for i in range(40)], "doc_id long, text string").withColumn("held_out", F.lit(False))
     every = spark.createDataFrame([(99, " ".join(f"{a} {b}" for a in WORDS for b in WORDS))], "doc_id long, text string").withColumn("held_out", F.lit(True))
-    stored, common = language_model._stored(made.union(every))
+    both = made.union(every)
+    common = language_model._common(both)
     seen = []
-    for fixed, swept, state in language_model._chain(stored, common, 3, 1):
-        rows = language_model._met(fixed, swept, common).toPandas()
-        parts = [language_model._seatings(p, common, state) for _, p in rows.groupby("bucket")]
+    for first, swept, state in language_model._chain(both, common, 3, 1):
+        met = language_model._met(first, swept, common).toPandas()
+        parts = [language_model._seating(r, common, state) for r in met.itertuples(index=False)]
         seen.append(np.concatenate([b.tables for b in parts]))
         assert state.customers == seen[-1].sum() and len(parts) == 1
         b = parts[0]
@@ -337,12 +338,13 @@ def test_language_model_rare_contexts(spark, monkeypatch):
     """A rare context has a restaurant at every size, and buckets agree on totals of contexts."""
     monkeypatch.setattr(language_model, "BUCKET_TOKENS", 4000)
     made = [(i, text(i, 300)) for i in range(60)] + [(1000 + i, f"rare{i % 3} follower{i % 3} " * 2) for i in range(60)]
-    stored, common = language_model._stored(language_model._rows(spark.createDataFrame(made, "doc_id long, text string"), "doc_id", "text"))
+    rows = language_model._rows(spark.createDataFrame(made, "doc_id long, text string"), "doc_id", "text")
+    common = language_model._common(rows)
     assert common.buckets > 1
-    for fixed, swept, state in language_model._chain(stored, common, 1, 1):
+    for first, swept, state in language_model._chain(rows, common, 1, 1):
         pass
-    rows = language_model._met(fixed, swept, common).toPandas()
-    parts = [language_model._seatings(p, common, state) for _, p in rows.groupby("bucket")]
+    met = language_model._met(first, swept, common).toPandas()
+    parts = [language_model._seating(r, common, state) for r in met.itertuples(index=False)]
     want, tokens = {}, {}
     for b in parts:
         for c, t, n in zip(b.contexts[b.context], b.tables, b.count, strict=True):
