@@ -47,7 +47,7 @@ from kmerloom.llm.common import key_mod, remove, shared_dir, written, written_in
 
 FOLDS, TEST_FOLD = 7, 2
 #: Tokens that a task gathers before it deals them out, and tokens a bucket is meant to hold.
-CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 2_000_000
+CHUNK_TOKENS, BUCKET_TOKENS = 500_000, 1_000_000
 #: Words with a quarter of a bucket's tokens are hot, but not more words than this.
 MOST_HOT = 1 << 16
 STRENGTH = 1.0
