@@ -181,8 +181,8 @@ def squared_error(pairs: DataFrame) -> DataFrame:
 
 
 def clamp_rate(d: Column) -> Column:
-    """Positive rates between half-lives of a day and of a quarter of an hour."""
-    return F.greatest(F.lit(-SLOWEST), F.least(F.lit(-FASTEST), d))
+    """Positive rates between half-lives of a day and of a quarter of an hour; null stays null."""
+    return F.when(d.isNotNull(), F.greatest(F.lit(-SLOWEST), F.least(F.lit(-FASTEST), d)))
 
 
 def half_life(d: Column) -> Column:

@@ -164,3 +164,38 @@ def permutation_test(members: DataFrame, scores: DataFrame, tail: str = "right",
         return pd.DataFrame({"kmer": [kmer], "n": [n], "diff": [diff], "p": [p]})
 
     return own.groupBy("kmer").applyInPandas(one, "kmer string, n bigint, diff double, p double")
+
+
+def both_tails(members: DataFrame, scores: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
+    """``kmer``, ``p_right``, ``p_left`` of the t-test, for the choice of features."""
+    right = t_test(members, scores, "right", min_items)
+    enough = F.col("t").isNotNull()
+    return right.select("kmer", F.col("p").alias("p_right"), F.when(enough, 1 - F.col("p")).otherwise(1.0).alias("p_left"))
+
+
+#: Tests by name; all but the last two take a tail.
+TESTS = ("t", "ks", "permutation", "hypergeometric", "information")
+
+
+def test(members: DataFrame, scores: DataFrame, kind: str = "t", tail: str = "two", min_items: int = MIN_ITEMS) -> DataFrame:
+    """``kmer`` and ``p`` of a test by name; ``hypergeometric`` has a row per distinct score (``value``), ``information`` bits (``mi``) in place of p.
+
+    K-mers in fewer than two scored sequences have no row; with fewer than
+    ``min_items`` p is 1.
+    """
+    if kind not in TESTS:
+        raise ValueError(f"no test named {kind}")
+    if tail not in ("two", "right", "left"):
+        raise ValueError(f"no tail named {tail}")
+    if kind == "t":
+        return t_test(members, scores, tail, min_items).select("kmer", "p")
+    if kind == "ks":
+        few = scored(members, scores).select("kmer").distinct()
+        found = ks_test(members, scores, tail, min_items).select("kmer", "p")
+        return few.join(found, "kmer", "left").fillna(1.0, ["p"])
+    if kind == "permutation":
+        return permutation_test(members, scores, tail, min_items=min_items).select("kmer", "p")
+    if kind == "information":
+        return mutual_information(members, scores, min_items=min_items).select("kmer", "mi")
+    p = {"right": F.col("p_right"), "left": F.col("p_left"), "two": F.least(F.lit(1.0), 2 * F.least("p_right", "p_left"))}[tail]
+    return hypergeometric(members, scores, min_items).select("kmer", "value", p.alias("p"))

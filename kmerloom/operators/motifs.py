@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LETTERS = "ACGT"
 NONE = "NA"
+#: Letters of sequences that are scored together.
+SLICE = 1 << 20
+
+_CODES = np.full(256, 5, np.uint8)
+_CODES[np.frombuffer(b"ACGT-", np.uint8)] = np.arange(5)
 
 
 @dataclass(frozen=True)
@@ -44,24 +50,36 @@ class Motif:
         return out
 
 
-def _codes(seq: Column) -> Column:
-    """Letters as 0 to 3, dash as 4, anything else null."""
-    return F.transform(F.split(seq, ""), lambda c: F.nullif(F.instr(F.lit("ACGT-"), c), F.lit(0)) - 1)
-
+def best_windows(seqs: Sequence[str], table: Sequence[Sequence[float]], digits: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """Per sequence the score of its best window and the window's place, the first of equals.
 
-def _best_window(codes: Column, table: Sequence[Sequence[float]], digits: int = 9) -> Column:
-    """The first of the best windows as (score, -place), places from 0; windows with unknown letters do not count."""
+    ``table`` has log2 probabilities of A, C, G, T and the dash per position.
+    A sequence is padded with as many dashes on both sides as the table has
+    positions, and places count from the first dash; windows with unknown
+    letters do not count (minus infinity).
+    """
     m = len(table)
-    flat = F.array(*[F.lit(float(x)) for column in table for x in column])
-
-    def window(i: Column) -> Column:
-        total = F.lit(0.0)
-        for j in range(m):
-            total = total + F.get(flat, F.lit(5 * j) + F.get(codes, i + j))
-        return F.struct(F.round(total, digits).alias("s"), (-i).alias("i"))
-
-    usable = F.filter(F.transform(F.sequence(F.lit(0), F.size(codes) - m - 1), window), lambda w: w["s"].isNotNull())
-    return F.array_max(usable)
+    pad = "-" * m
+    flat = _CODES[np.frombuffer("".join(f"{pad}{x}{pad}" for x in seqs).encode("ascii", "replace"), np.uint8)]
+    n = np.fromiter(map(len, seqs), np.int64, len(seqs)) + m  # windows of each sequence
+    at = np.concatenate([[0], np.cumsum(n)[:-1]])
+    place = np.arange(int(n.sum())) + np.repeat(np.arange(len(seqs)) * m, n)
+    total = np.zeros(len(place))
+    for j, row in enumerate(table):
+        total += np.array([*row, -np.inf])[flat[place + j]]
+    total = np.round(total, digits)
+    best = np.maximum.reduceat(total, at)
+    hit = np.flatnonzero(total == np.repeat(best, n))
+    of = np.repeat(np.arange(len(seqs)), n)[hit]
+    _, first = np.unique(of, return_index=True)
+    return best, hit[first] - at
+
+
+def _parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows with a sequence, about ``SLICE`` letters of them together."""
+    cuts = (batch["seq"].map(len).cumsum() // SLICE).to_numpy()
+    for _, part in batch.groupby(cuts, sort=False):
+        yield part
 
 
 def scan(seqs: DataFrame, motifs: Sequence[Motif], scale: float = 20.0, pseudo: float = 1.0) -> DataFrame:
@@ -70,19 +88,20 @@ def scan(seqs: DataFrame, motifs: Sequence[Motif], scale: float = 20.0, pseudo:
     Sequences are padded with as many dashes on both sides as the motif is
     long, so that a motif may hang over an end; positions can be 0 or less.
     """
-    out = None
-    for motif in motifs:
-        m = len(motif.columns)
-        padded = seqs.select("id", _codes(F.concat(F.lit("-" * m), F.col("seq"), F.lit("-" * m))).alias("codes"))
-        best = padded.select("id", _best_window(F.col("codes"), motif.log2(scale, pseudo)).alias("b"))
-        one = best.select(
-            "id",
-            F.lit(motif.name).alias("motif"),
-            F.pow(F.lit(2.0), F.col("b.s")).alias("score"),
-            (1 - F.col("b.i") - m).alias("position"),
-        )
-        out = one if out is None else out.union(one)
-    return out
+    tables = [(motif.name, len(motif.columns), motif.log2(scale, pseudo)) for motif in motifs]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in _parts(batch):
+                for name, m, table in tables:
+                    best, place = best_windows(part["seq"].tolist(), table)
+                    known = np.isfinite(best)
+                    score = pd.array(np.where(known, 2.0 ** np.where(known, best, 0), 0), "Float64")
+                    score[~known] = None
+                    yield pd.DataFrame({"id": part["id"], "motif": name, "score": score, "position": (place + 1 - m).astype(np.int32)})
+
+    kind = seqs.schema["id"].dataType.simpleString()
+    return seqs.where("seq is not null").select("id", "seq").mapInPandas(run, f"id {kind}, motif string, score double, position int")
 
 
 def background(seqs: DataFrame) -> list[float]:
@@ -92,28 +111,51 @@ def background(seqs: DataFrame) -> list[float]:
     return [(v or 0) / total for v in n] if total else [0.25] * 4
 
 
-def assign(peaks: DataFrame, motifs: Sequence[Motif], shares: Sequence[float], options: MotifOptions = MotifOptions()) -> DataFrame:
+def assign(peaks: DataFrame, motifs: Sequence[Motif], shares: Sequence[float], options: MotifOptions = MotifOptions(), windows: bool = False) -> DataFrame:
     """``peaks`` (``seq``, ``weight``) with ``motif`` and ``llr``, its log2 odds over the background.
 
     A peak takes the motif of its sign whose best window is best above the
     best window of background letters; the first of equals, and none if all
-    are below the background.
+    are below the background.  ``windows`` adds the motif's best ``window``
+    with its dashes.  Null sequences and weights take no motif.
     """
-    scored = peaks
-    odds = []
-    for n, motif in enumerate(motifs):
-        m = len(motif.columns)
-        plain = Motif(NONE, 0, (tuple(shares),) * m)
-        padded = _codes(F.concat(F.lit("-" * m), F.col("seq"), F.lit("-" * m)))
-        here, there = (_best_window(F.col(f"_c{m}"), x.log2(options.count_scale, options.pseudo_count)) for x in (motif, plain))
-        if f"_c{m}" not in scored.columns:
-            scored = scored.withColumn(f"_c{m}", padded)
-        right = F.signum("weight") == motif.sign
-        odds.append(F.when(right, F.struct(F.round(here["s"] - there["s"], 9).alias("llr"), F.lit(-n).alias("n"), F.lit(motif.name).alias("motif"))))
-    best = F.array_max(F.filter(F.array(*odds), lambda o: o.isNotNull())) if odds else F.lit(None).cast("struct<llr:double,n:int,motif:string>")
-    found = scored.withColumn("_best", best).withColumn("llr", F.col("_best.llr"))
-    name = F.when(F.col("llr") >= 0, F.col("_best.motif")).otherwise(F.lit(NONE))
-    return found.withColumn("motif", name).select(*peaks.columns, "motif", "llr")
+    tables = [(m.name, m.sign, m.log2(options.count_scale, options.pseudo_count)) for m in motifs]
+    plain = {len(t): Motif(NONE, 0, (tuple(shares),) * len(t)).log2(options.count_scale, options.pseudo_count) for _, _, t in tables}
+
+    def of_part(part: pd.DataFrame) -> pd.DataFrame:
+        seqs, place_of = np.unique(part["seq"].to_numpy(object), return_inverse=True)
+        seqs = seqs.tolist()
+        sign = np.sign(part["weight"].fillna(0).to_numpy(float))
+        below = {m: best_windows(seqs, table)[0] for m, table in plain.items()}
+        llr, name = np.full(len(part), -np.inf), np.full(len(part), NONE, object)
+        window = np.full(len(part), None, object)
+        for motif, of, table in tables:
+            m = len(table)
+            best, place = best_windows(seqs, table)
+            with np.errstate(invalid="ignore"):
+                odds = np.round(best - below[m], 9)[place_of]
+            better = (sign == of) & (odds > llr)
+            llr[better], name[better] = odds[better], motif
+            if windows:
+                for i in np.flatnonzero(better):
+                    at, pad = int(place[place_of[i]]), "-" * m
+                    window[i] = f"{pad}{seqs[place_of[i]]}{pad}"[at : at + m]
+        name[llr < 0] = NONE
+        odds = pd.array(np.where(np.isfinite(llr), llr, 0), "Float64")
+        odds[~np.isfinite(llr)] = None
+        return part.assign(motif=name, llr=odds, **({"window": window} if windows else {}))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            whole = batch["seq"].notna()
+            if (~whole).any():
+                yield batch[~whole].assign(motif=NONE, llr=None, **({"window": None} if windows else {}))
+            for part in _parts(batch[whole]):
+                yield of_part(part)
+
+    extra = ", window string" if windows else ""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in peaks.schema.fields if f.name not in ("motif", "llr", "window"))
+    return peaks.drop("motif", "llr", "window").mapInPandas(run, f"{columns}, motif string, llr double{extra}")
 
 
 def group_stats(assigned: DataFrame, motifs: Sequence[Motif] | None = None) -> DataFrame:
@@ -171,18 +213,23 @@ def from_alignment(aligned: DataFrame, options: MotifOptions = MotifOptions()) -
     return inside.select((F.col("pos") - F.col("first") + 1).alias("pos"), *LETTERS, "information")
 
 
+def shift(anchor: str, seq: str) -> int:
+    """By how much a sequence is moved so that most letters agree with the anchor's; of equals the least move, then the one to the left."""
+    scores = np.zeros(len(anchor) + len(seq) - 1)
+    for x in set(anchor) & set(seq):
+        here, there = (np.frombuffer(s.encode("utf-32-le"), np.uint32) == ord(x) for s in (anchor, seq[::-1]))
+        scores += np.convolve(here.astype(float), there.astype(float))
+    moves = np.arange(1 - len(seq), len(anchor))
+    return int(moves[np.lexsort((moves, np.abs(moves), -np.round(scores)))[0]])
+
+
 def align(sequences: Sequence[str], weights: Sequence[float]) -> list[str]:
     """Gapless alignment on the heaviest sequence: each is shifted to where most letters agree."""
     if not sequences:
         return []
     order = sorted(range(len(sequences)), key=lambda i: (-abs(weights[i]), sequences[i]))
     anchor = sequences[order[0]]
-    shifts = []
-    for s in sequences:
-        scores = {
-            d: sum(anchor[i + d] == s[i] for i in range(len(s)) if 0 <= i + d < len(anchor)) for d in range(1 - len(s), len(anchor))
-        }
-        shifts.append(max(scores, key=lambda d: (scores[d], -abs(d), -d)))
+    shifts = [shift(anchor, s) for s in sequences]
     left = min(shifts)
     width = max(d - left + len(s) for d, s in zip(shifts, sequences, strict=True))
     return [("-" * (d - left) + s).ljust(width, "-") for d, s in zip(shifts, sequences, strict=True)]
@@ -259,10 +306,13 @@ def group_counts(assigned: DataFrame, options: MotifOptions = MotifOptions()) ->
     group = each.groupBy("motif").agg(F.min(F.struct((-F.col("w")).alias("w"), "seq"))["seq"].alias("anchor"), F.sum(F.col("w") * F.col("c")).alias("total"))
     # a row a group
     members = each.join(F.broadcast(group), "motif").withColumn("n", F.col("c") * F.greatest(F.floor(F.try_divide("w", "total") * options.weight_scale + 0.5), F.lit(1)))
-    same = "size(filter(sequence(1, length(seq)), i -> i + d between 1 and length(anchor) and substr(anchor, i + d, 1) = substr(seq, i, 1)))"
-    best = F.expr(f"array_max(transform(sequence(1 - length(seq), length(anchor) - 1), d -> struct({same} as same, -abs(d) as near, -d as back)))")
+
+    @F.pandas_udf("int")
+    def moved(anchor: pd.Series, seq: pd.Series) -> pd.Series:
+        return pd.Series([shift(a, x) if a and x else 0 for a, x in zip(anchor, seq, strict=True)])
+
     # each distinct sequence is shifted once
-    shifts = members.select("motif", "seq", "anchor").distinct().select("motif", "seq", (-best["back"]).alias("shift"))
+    shifts = members.select("motif", "seq", "anchor").distinct().select("motif", "seq", moved("anchor", "seq").alias("shift"))
     letters = members.join(shifts, ["motif", "seq"]).select("motif", "n", "shift", F.posexplode(F.split("seq", "")).alias("i", "letter"))
     sums = [F.sum(F.when(F.col("letter") == x, F.col("n")).otherwise(0)).alias(x) for x in LETTERS]
     dashes = F.sum(F.when(F.col("letter") != "-", F.col("n")).otherwise(0)).alias("here")
@@ -271,61 +321,81 @@ def group_counts(assigned: DataFrame, options: MotifOptions = MotifOptions()) ->
     return per.join(F.broadcast(whole), "motif").select("motif", "pos", *LETTERS, (F.col("whole") - F.col("here")).alias("gap"))  # a row a group
 
 
-def rebuild(assigned: DataFrame, sign: int, options: MotifOptions = MotifOptions()) -> list[Motif]:
-    """A motif for every group of peaks of a sign, from all of its peaks; only matrices reach the driver."""
-    groups: dict[str, list] = {}
-    for r in group_counts(assigned.where(F.signum("weight") == sign), options).collect():
-        groups.setdefault(r["motif"], []).append((r["pos"], *(r[x] for x in (*LETTERS, "gap"))))
+def named(groups: dict[str, list[tuple]], sign: int, options: MotifOptions = MotifOptions()) -> list[Motif]:
+    """Motifs from counts of A, C, G, T and dashes by position, named after their consensus; of one name the first."""
     out: dict[str, Motif] = {}
     for name in sorted(groups):
         columns = _matrix(np.array([row[1:] for row in sorted(groups[name])], float), options)
-        name = f"{consensus(columns)}{'+' if sign > 0 else '-'}"
-        out.setdefault(name, Motif(name, sign, columns))
+        if columns:
+            name = f"{consensus(columns)}{'+' if sign > 0 else '-'}"
+            out.setdefault(name, Motif(name, sign, columns))
     return list(out.values())
 
 
-def refine(peaks: DataFrame, motifs: Sequence[Motif], shares: Sequence[float], options: MotifOptions = MotifOptions(), min_weight: float = 0.0) -> tuple[list[Motif], float]:
-    """Hard expectation maximisation: assign and rebuild while the total log2 odds rise.
+def window_counts(assigned: DataFrame, options: MotifOptions = MotifOptions()) -> DataFrame:
+    """``group_counts`` of peaks that have a motif, from the windows that ``assign`` found: as wide as the motif was."""
+    each = assigned.groupBy("motif", "window", F.abs("weight").alias("w")).agg(F.count("*").alias("c"))
+    total = each.groupBy("motif").agg(F.sum(F.col("w") * F.col("c")).alias("total"))
+    # a row a group
+    n = F.col("c") * F.greatest(F.floor(F.try_divide("w", "total") * options.weight_scale + 0.5), F.lit(1))
+    letters = each.join(F.broadcast(total), "motif").select("motif", n.alias("n"), F.posexplode(F.split("window", "")).alias("pos", "letter"))
+    sums = [F.sum(F.when(F.col("letter") == x, F.col("n")).otherwise(0)).alias(c) for x, c in zip(LETTERS + "-", [*LETTERS, "gap"], strict=True)]
+    return letters.groupBy("motif", "pos").agg(*sums)
+
+
+def rebuild(assigned: DataFrame, sign: int, options: MotifOptions = MotifOptions()) -> list[Motif]:
+    """A motif for every group of peaks of a sign, from all of its peaks; only matrices reach the driver.
+
+    Peaks with a motif count by their best windows; those without are a
+    group that is aligned as a whole.
+    """
+    own = assigned.where(F.signum("weight") == sign)
+    groups: dict[str, list] = {}
+    for part in (window_counts(own.where(F.col("motif") != NONE), options), group_counts(own.where(F.col("motif") == NONE), options)):
+        for r in part.collect():
+            groups.setdefault(r["motif"], []).append((r["pos"], *(r[x] for x in (*LETTERS, "gap"))))
+    return named(groups, sign, options)
+
+
+def refine(peaks: DataFrame, motifs: Sequence[Motif], shares: Sequence[float], sign: int, options: MotifOptions = MotifOptions(), min_weight: float = 0.0) -> tuple[list[Motif], float]:
+    """Hard expectation maximisation on the peaks of a sign: assign and rebuild while the total log2 odds rise.
 
     Groups lighter than ``min_weight`` are dropped, but the heaviest stays;
-    peaks without a motif form a group that can become one.
+    peaks without a motif form a group that can become one; motifs without a
+    peak go.
     """
     from kmerloom.sources.tables import stage
 
-    state, best, kept = list(motifs), -math.inf, list(motifs)
+    own = peaks.where(F.signum("weight") == sign).select("seq", "weight")
+    state, best, kept = [m for m in motifs if m.sign == sign], -math.inf, []
     for _ in range(options.max_rounds):
+        if not state:
+            break
         # written once a round, as several aggregations read it
-        assigned = stage(assign(peaks, state, shares, options))
-        total = assigned.agg(F.sum(F.when(F.col("motif") != NONE, F.col("llr")))).first()[0] or 0.0
+        assigned = stage(assign(own, state, shares, options, windows=True))
+        total = assigned.agg(F.sum("llr")).first()[0] or 0.0
         if total <= best:
             break
-        best, kept = total, state
-        weights = {r["motif"]: r["weight"] for r in group_stats(assigned).collect() if r["motif"] != NONE}
+        weights = {r["motif"]: r["weight"] for r in group_stats(assigned).collect()}
+        best, kept = total, [m for m in state if m.name in weights]
         heaviest = max(weights, key=lambda m: (weights[m], m), default=None)
-        names = {m for m, w in weights.items() if w >= min_weight or m == heaviest}
-        own = assigned.where(F.col("motif").isin([*names, NONE]))
-        state = [m for sign in (1, -1) for m in rebuild(own, sign, options)]
-        if not state:
-            break
+        names = [m for m, w in weights.items() if w >= min_weight or m == heaviest]
+        state = rebuild(assigned.where(F.col("motif").isin(names)), sign, options)
     return kept, best
 
 
-def prune(peaks: DataFrame, motifs: Sequence[Motif], shares: Sequence[float], options: MotifOptions = MotifOptions(), min_weight: float = 0.0) -> list[Motif]:
-    """Leave motifs out in ascending order of weight where a refit does not lose log2 odds."""
-    state, best = refine(peaks, motifs, shares, options, min_weight)
-    i = 0
-    while len(state) > 1 and i < len(state):
-        weights = {r["motif"]: r["weight"] for r in group_stats(assign(peaks, state, shares, options)).collect()}
-        order = sorted(state, key=lambda m: (weights.get(m.name, 0.0), m.name))
-        less = [m for m in order if m is not order[i]]
-        if not any(m.sign == order[i].sign for m in less):
-            i += 1
-            continue
-        again, total = refine(peaks, less, shares, replace(options, max_rounds=5), min_weight)
-        if total >= best and len(again) < len(state):
-            state, best = again, total
-        else:
-            i += 1
+def prune(peaks: DataFrame, motifs: Sequence[Motif], shares: Sequence[float], sign: int, options: MotifOptions = MotifOptions(), min_weight: float = 0.0) -> list[Motif]:
+    """Leave each motif out in turn, the lightest first, and refine the others; what comes of it stays, and fewer motifs shorten the turn."""
+    state, _ = refine(peaks, motifs, shares, sign, options, min_weight)
+    own = peaks.where(F.signum("weight") == sign)
+    weights = {r["motif"]: r["weight"] for r in group_stats(assign(own, state, shares, options)).collect()} if state else {}
+    state = sorted(state, key=lambda m: (weights.get(m.name, 0.0), m.name))
+    turn = 0
+    while turn < len(state) - 1:
+        before = len(state)
+        state, _ = refine(peaks, state[:turn] + state[turn + 1 :], shares, sign, options, min_weight)
+        if len(state) >= before:
+            turn += 1
     return state
 
 

@@ -1,59 +1,112 @@
-"""Peaks: runs of positions whose weight stands out."""
+"""Peaks: runs of positions whose weight stands out.
+
+Weights come as one array per sequence (``id``, ``seq``, ``w``), so all that
+concerns a sequence is done in one task; positions count from 1.  What is
+compared with a threshold is rounded to nine digits on both sides, so that
+ties do not hang on the order of additions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions.stats import hazen_percentile
+from kmerloom.operators.kmers import long_weights, position_arrays, position_masses
+
+DIGITS = 9
 
 
-def normalised(weights: DataFrame) -> tuple[DataFrame, float]:
-    """Weights as shares of the largest absolute one, and that one."""
-    top = weights.agg(F.max(F.abs("w"))).first()[0] or 1.0
-    return weights.withColumn("w", F.col("w") / F.lit(top)), top
+def normalised(weights: DataFrame, top: float | None = None) -> tuple[DataFrame, float]:
+    """Weights as shares of the largest absolute one (or of ``top``, that of a fitted model), and that one."""
+    if top is None:
+        most = F.greatest(F.array_max("w"), -F.array_min("w"))
+        top = weights.agg(F.max(most)).first()[0] or 1.0
+    return weights.withColumn("w", F.transform("w", lambda x: x / F.lit(top))), top
 
 
-def moving_means(weights: DataFrame, width: int = 5) -> DataFrame:
-    """``m``: means of |w| over ``width`` positions in a row, full windows only."""
-    ahead = Window.partitionBy("id").orderBy("pos").rowsBetween(0, width - 1)
-    means = weights.select("id", "pos", F.avg(F.abs("w")).over(ahead).alias("m"), F.count("*").over(ahead).alias("n"))
-    return means.where(F.col("n") == width).select("id", "pos", "m")
+def moving_means(weights: DataFrame, used: DataFrame, width: int = 5) -> DataFrame:
+    """``id``, ``m``: means of |w| over ``width`` of the ``used`` positions in a row, full windows only."""
+    kind = weights.schema["id"].dataType.simpleString()
+    marks = position_arrays(used, "used")
+    if marks is None:
+        ahead = Window.partitionBy("id").orderBy("pos").rowsBetween(0, width - 1)
+        rows = long_weights(weights).join(used.where("used").select("pos"), "pos", "left_semi")
+        means = rows.select("id", F.avg(F.abs("w")).over(ahead).alias("m"), F.count("*").over(ahead).alias("n"))
+        return means.where(F.col("n") == width).select("id", "m")
+    mark = marks[0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, w in zip(batch["id"], batch["w"], strict=True):
+                x = np.abs(np.asarray(w, float))[mark[: len(w)]]
+                n = max(len(x) - width + 1, 0)
+                m = sum((x[j : j + n] for j in range(width)), np.zeros(n)) / width
+                yield pd.DataFrame({"id": i, "m": m})
+
+    return weights.select("id", "w").mapInPandas(run, f"id {kind}, m double")
 
 
 def threshold(weights: DataFrame, percentile: float = 0.99, width: int = 5) -> float | None:
     """The peak threshold: a percentile of the moving means, over positions where any sequence has weight."""
-    used = weights.where(F.col("w") != 0).select("pos").distinct()
-    return hazen_percentile(moving_means(weights.join(used, "pos", "left_semi"), width), "m", percentile)
+    return hazen_percentile(moving_means(weights, position_masses(weights), width), "m", percentile)
+
 
+def edges(weights: DataFrame) -> tuple[int, int]:
+    """The first and last position at which any sequence has weight."""
+    first, last = position_masses(weights).where("used").agg(F.min("pos"), F.max("pos")).first()
+    return (first, last) if first else (1, 0)
 
-def runs(weights: DataFrame, seqs: DataFrame, sign: int, least: float, min_width: int = 1, extend: int = 2) -> DataFrame:
+
+def extract(weights: DataFrame, least: float, min_width: int = 1, extend: int = 2, edge: tuple[int, int] | None = None, signs: tuple[int, ...] = (1, -1)) -> DataFrame:
     """``id``, ``start``, ``end``, ``weight``, ``seq`` of maximal runs with sign * w above ``least``.
 
     Runs are widened by ``extend`` on both sides, but not over the first and
     last position that has any weight; their weight is the sum over the
     widened span, and they must be long and heavy enough for it.
     """
-    edge = weights.where(F.col("w") != 0).agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
-    hot = weights.where(F.col("w") * sign > least)
-    island = F.col("pos") - F.row_number().over(Window.partitionBy("id").orderBy("pos"))
-    spans = hot.withColumn("island", island).groupBy("id", "island").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
-    spans = spans.join(F.broadcast(edge)).select(  # one row
-        "id",
-        F.greatest(F.col("a") - extend, "first").alias("start"),
-        F.least(F.col("b") + extend, "last").alias("end"),
-    )
-    # every position of a span once, then an equi-join: a span is as short as a run
-    each = spans.select("id", "start", "end", F.explode(F.sequence("start", "end")).alias("pos"))
-    summed = each.join(weights, ["id", "pos"]).groupBy("id", "start", "end").agg(F.sum("w").alias("weight"), F.count("*").alias("n"))
-    n = F.col("n")
-    kept = summed.where((n >= min_width + 2 * extend) & (F.col("weight") * sign / n >= 0.5 * least))
-    return kept.join(seqs, "id").select("id", "start", "end", "weight", F.expr("substr(seq, start, n)").alias("seq"))
-
-
-def extract(weights: DataFrame, seqs: DataFrame, least: float, min_width: int = 1, extend: int = 2) -> DataFrame:
-    """Positive and negative peaks."""
-    return runs(weights, seqs, 1, least, min_width, extend).unionByName(runs(weights, seqs, -1, least, min_width, extend))
+    first, last = edges(weights) if edge is None else edge
+    least = round(least, DIGITS)
+
+    def of_sequence(w: np.ndarray, seq: str, sign: int) -> tuple | None:
+        hot = np.round(sign * w, DIGITS) > least
+        if not hot.any():
+            return None
+        turn = np.flatnonzero(np.diff(hot, prepend=False, append=False))
+        start = np.maximum(turn[::2] + 1 - extend, first)
+        end = np.minimum(turn[1::2] + extend, last)
+        n = np.minimum(end, len(w)) - start + 1
+        at = np.concatenate([[0], np.cumsum(n)[:-1]])
+        weight = np.add.reduceat(w[np.repeat(start - 1 - at, n) + np.arange(int(n.sum()))], at)
+        kept = (n >= min_width + 2 * extend) & (np.round(sign * weight / n, DIGITS) >= round(0.5 * least, DIGITS))
+        start, end, weight, n = start[kept], end[kept], weight[kept], n[kept]
+        return start, end, weight, [seq[a - 1 : a - 1 + m] for a, m in zip(start.tolist(), n.tolist(), strict=True)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found, ids = [], []
+            for i, seq, w in batch[["id", "seq", "w"]].itertuples(index=False):
+                for sign in signs:
+                    got = of_sequence(np.asarray(w, float), seq, sign)
+                    if got is not None:
+                        found.append(got)
+                        ids.append(i)
+            if found:
+                sizes = [len(f[0]) for f in found]
+                columns = {c: np.concatenate([f[j] for f in found]) for j, c in enumerate(("start", "end", "weight"))}
+                yield pd.DataFrame({"id": pd.Series(ids).repeat(sizes).to_numpy(), **columns, "seq": [s for f in found for s in f[3]]})
+
+    kind = weights.schema["id"].dataType.simpleString()
+    return weights.select("id", "seq", "w").mapInPandas(run, f"id {kind}, start int, end int, weight double, seq string")
+
+
+def runs(weights: DataFrame, sign: int, least: float, min_width: int = 1, extend: int = 2) -> DataFrame:
+    """The peaks of one sign."""
+    return extract(weights, least, min_width, extend, signs=(sign,))
 
 
 def unique_peaks(peaks: DataFrame) -> DataFrame:
@@ -67,21 +120,30 @@ def sequence_totals(peaks: DataFrame) -> DataFrame:
 
 
 def motif_hits(assigned: DataFrame) -> DataFrame:
-    """Per sequence and motif: ``score_sum`` of |weight|, least start and number of peaks."""
-    return assigned.groupBy("id", "motif").agg(
+    """Per sequence and motif (``name:P`` or ``name:N`` by the peak's sign): ``score_sum`` of |weight|, least start and number of peaks."""
+    name = F.concat("motif", F.when(F.col("weight") > 0, ":P").otherwise(":N"))
+    return assigned.groupBy("id", name.alias("motif")).agg(
         F.sum(F.abs("weight")).alias("score_sum"), F.min("start").alias("min_pos"), F.count("*").alias("n")
     )
 
 
-def hit_matrix(hits: DataFrame, motifs: list[str], value: str = "n") -> DataFrame:
-    """Sequences by motifs, 0 where a motif has no hit."""
-    return hits.groupBy("id").pivot("motif", motifs).agg(F.first(value)).fillna(0)
+def hit_columns(motifs: list[tuple[str, int]], none: str = "NA") -> list[str]:
+    """The columns of a hit matrix: motifs with their signs, then the unassigned peaks of both signs."""
+    return [*[f"{name}:{'P' if sign > 0 else 'N'}" for name, sign in motifs], f"{none}:N", f"{none}:P"]
+
+
+def hit_matrix(hits: DataFrame, columns: list[str], value: str = "n", ids: DataFrame | None = None) -> DataFrame:
+    """Sequences by motifs, 0 where a motif has no hit; with ``ids`` sequences without any hit, too."""
+    out = hits.groupBy("id").pivot("motif", columns).agg(F.first(value))
+    if ids is not None:
+        out = ids.select("id").join(out, "id", "left")
+    return out.fillna(0)
 
 
 def hit_summary(assigned: DataFrame) -> DataFrame:
     """Totals of positive and negative hits, mean and largest number of motifs of a sequence."""
     each = assigned.groupBy("id").agg(
-        F.count_if(F.col("weight") > 0).alias("pos"), F.count_if(F.col("weight") < 0).alias("neg"), F.countDistinct("motif").alias("m")
+        F.count_if(F.col("weight") > 0).alias("pos"), F.count_if(F.col("weight") < 0).alias("neg"), F.countDistinct("motif", F.signum("weight")).alias("m")
     )
     return each.agg(
         F.sum("pos").alias("n_positive"), F.sum("neg").alias("n_negative"), F.avg("m").alias("mean_motifs"), F.max("m").alias("max_motifs")

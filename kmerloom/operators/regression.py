@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions.stats import hazen_percentile
 from kmerloom.operators import decay
+from kmerloom.operators.kmers import weight_sums
 
 FOLDS = 10
+#: Letters below which a sequence has no predicted rate: a fifth of a reporter's 110.
+LOW_LENGTH = 22
 
 
 def select_rows(fits: DataFrame, onset: bool = False, max_rows: int = 20_000, alpha: float = 0.01) -> DataFrame:
@@ -213,18 +216,124 @@ def lasso_path(s: Sums, penalties: np.ndarray | None = None, n: int = 100, ratio
 
 
 def lasso(folds: dict[int, Sums], n: int = 100) -> LassoPath:
-    """The path on all rows, errors from fits without each fold."""
+    """The path on all rows, errors from fits without each fold; for few features, whose sums of products are small."""
     whole = total(folds)
     penalties, coefficients, intercepts = lasso_path(whole, n=n)
     errors = []
     for part in folds.values():
         _, b, b0 = lasso_path(whole - part, penalties)
         errors.append([error(part, np.append(x, y)) / part.n for x, y in zip(b, b0, strict=True)])
-    errors = np.array(errors)
+    return _path(penalties, coefficients, intercepts, np.array(errors))
+
+
+def _path(penalties: np.ndarray, coefficients: np.ndarray, intercepts: np.ndarray, errors: np.ndarray) -> LassoPath:
     se = errors.std(0, ddof=1) / math.sqrt(len(errors)) if len(errors) > 1 else np.zeros(len(penalties))
     return LassoPath(penalties, coefficients, intercepts, errors.mean(0), se)
 
 
+class _Sparse:
+    """Sparse features of some rows by column, standardised in thought only."""
+
+    def __init__(self, j: list, v: list, y: np.ndarray, width: int):
+        sizes = [0 if x is None else len(x) for x in j]
+        row = np.repeat(np.arange(len(j)), sizes)
+        column = np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in j if x is not None]])
+        value = np.concatenate([np.zeros(0), *[np.asarray(x, float) for x in v if x is not None]])
+        order = np.argsort(column, kind="stable")
+        self.row, self.column, self.value = row[order], column[order], value[order]
+        self.at = np.searchsorted(self.column, np.arange(width + 1))
+        self.n, self.width, self.y = len(y), width, y
+        self.sum = np.bincount(self.column, self.value, width)
+        self.mean = self.sum / max(self.n, 1)
+        square = np.bincount(self.column, self.value**2, width) / max(self.n, 1) - self.mean**2
+        self.sd = np.where(square > 1e-12, np.sqrt(np.maximum(square, 0)), np.inf)
+
+    def gradient(self, r: np.ndarray, shift: float) -> np.ndarray:
+        """Of all features, at residuals ``r + shift``, which sum to 0."""
+        return (np.bincount(self.column, self.value * r[self.row], self.width) + shift * self.sum) / (self.n * self.sd)
+
+
+def sparse_path(x: _Sparse, penalties: np.ndarray | None = None, n: int = 100, ratio: float = 1e-4, rounds: int = 200, tolerance: float = 1e-4) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """``lasso_path`` by residuals, for many features: only active ones are cycled through, and all are checked in between.
+
+    Coefficients are pairs of places and values; the path ends early when as
+    many features as rows are active, and its last solution stands for the rest.
+    """
+    r, shift = x.y - x.y.mean(), 0.0
+    grad = x.gradient(r, shift)
+    if penalties is None:
+        penalties = max(float(np.abs(grad).max(initial=0)), 1e-12) * np.geomspace(1, ratio, n)
+    beta, active, out = np.zeros(x.width), np.zeros(x.width, bool), []
+    scale = float(x.y.std()) or 1.0
+    for lam in penalties:
+        if out and np.count_nonzero(beta) >= x.n - 1:
+            out.append(out[-1])
+            continue
+        while True:
+            for _ in range(rounds):
+                change = 0.0
+                for j in np.flatnonzero(active):
+                    own = slice(x.at[j], x.at[j + 1])
+                    rows, values = x.row[own], x.value[own]
+                    z = (values @ r[rows] + shift * x.sum[j]) / (x.n * x.sd[j]) + beta[j]
+                    new = math.copysign(max(abs(z) - lam, 0.0), z)
+                    step = (new - beta[j]) / x.sd[j]
+                    if step:
+                        r[rows] -= step * values
+                        shift += step * x.mean[j]
+                        change = max(change, abs(new - beta[j]))
+                        beta[j] = new
+                if change < tolerance * scale:
+                    break
+            late = (np.abs(x.gradient(r, shift)) > lam * (1 + 1e-9)) & ~active & np.isfinite(x.sd)
+            if not late.any():
+                break
+            active |= late
+        places = np.flatnonzero(beta)
+        out.append((places, beta[places] / x.sd[places]))
+    intercepts = np.array([x.y.mean() - b @ x.mean[j] for j, b in out])
+    return penalties, out, intercepts
+
+
+def lasso_rows(rows: DataFrame, width: int, n: int = 100) -> LassoPath:
+    """The path of design rows with many features; every fold is a task of its own.
+
+    A task holds all rows, sparse: ``select_rows`` bounds them (20,000), and
+    the features of a reporter are few.
+    """
+    def problem(f: pd.DataFrame) -> tuple[_Sparse, pd.DataFrame]:
+        out = f["fold"] == f["part"].iloc[0]
+        inside = f[~out].sort_values("id")
+        return _Sparse(list(inside["j"]), list(inside["v"]), inside["y"].to_numpy(float), width), f[out]
+
+    def whole(f: pd.DataFrame) -> pd.DataFrame:
+        penalties, found, intercepts = sparse_path(problem(f)[0], n=n)
+        return pd.DataFrame({"l": penalties, "j": [j for j, _ in found], "b": [b for _, b in found], "b0": intercepts})
+
+    parts = rows.withColumn("part", F.lit(-1))
+    got = parts.groupBy("part").applyInPandas(whole, "l double, j array<int>, b array<double>, b0 double").toPandas()
+    penalties = got["l"].to_numpy()
+
+    def held_out(f: pd.DataFrame) -> pd.DataFrame:
+        x, test = problem(f)
+        _, found, intercepts = sparse_path(x, penalties)
+        errors = []
+        for (places, b), b0 in zip(found, intercepts, strict=True):
+            beta = np.zeros(width)
+            beta[places] = b
+            pred = [b0 + (beta[np.asarray(j, int)] @ np.asarray(v) if j is not None else 0.0) for j, v in zip(test["j"], test["v"], strict=True)]
+            errors.append(float(np.mean((test["y"] - pred) ** 2)))
+        return pd.DataFrame({"errors": [errors]})
+
+    folds = rows.select("fold").distinct().withColumnRenamed("fold", "part")
+    each = rows.join(F.broadcast(folds))  # ten folds
+    errors = each.groupBy("part").applyInPandas(held_out, "errors array<double>").toPandas()
+    coefficients = np.zeros((len(got), width))
+    for i, (j, b) in enumerate(zip(got["j"], got["b"], strict=True)):
+        coefficients[i, np.asarray(j, int)] = b
+    return _path(penalties, coefficients, got["b0"].to_numpy(), np.array(list(errors["errors"]), float))
+
+
 def apply_model(rows: DataFrame, models: dict[int, tuple[np.ndarray, float]]) -> DataFrame:
     """``id``, ``fold``, ``y``, ``pred`` of design rows by their fold's model (key -1: one model for all)."""
 
@@ -256,13 +365,14 @@ def cross_validate(rows: DataFrame, width: int) -> DataFrame:
     return apply_model(rows, models)
 
 
-def score(counts: DataFrame, model: DataFrame, b0: float, ids: DataFrame | None = None) -> DataFrame:
-    """``id``, ``score``: intercept plus the weights of a sequence's k-mers; with ``ids`` those without k-mers, too."""
-    hits = counts.join(F.broadcast(model.select("kmer", "weight")), "kmer")  # a model is a bounded table
-    out = hits.groupBy("id").agg(F.sum(F.col("cnt") * F.col("weight")).alias("s"))
-    if ids is not None:
-        out = ids.select("id").join(out, "id", "left")
-    return out.select("id", (F.lit(b0) + F.coalesce("s", F.lit(0.0))).alias("score"))
+def score(seqs: DataFrame, model: DataFrame, b0: float, low_length: int = LOW_LENGTH) -> DataFrame:
+    """``id``, ``len``, ``raw`` and ``score`` of every sequence: the weights of its k-mers, and that with the intercept.
+
+    Sequences shorter than ``low_length`` have a null score; one without any
+    k-mer of the model has the intercept.
+    """
+    sums = weight_sums(seqs, model)
+    return sums.withColumn("score", F.when(F.col("len") >= low_length, F.col("raw") + F.lit(b0)))
 
 
 def model_table(kmers: list[str], beta: np.ndarray, spark) -> DataFrame:
@@ -279,13 +389,13 @@ def length_slope(scored: DataFrame) -> DataFrame:
     return out.withColumn("correct", F.abs("slope") >= 0.2)
 
 
-def correct_length(scored: DataFrame, b0: float, low_length: int = 22, restarts: int = 25, seed: int = 0, bins: int = 512) -> DataFrame:
+def correct_length(scored: DataFrame, b0: float, low_length: int = LOW_LENGTH, restarts: int = 25, seed: int = 0) -> DataFrame:
     """``id``, ``d``: rates corrected for sequence length, clamped to their bounds.
 
     ``scored`` has ``id``, ``len`` and ``raw``, the weights' sum without the
     intercept.  Raw sums are moved to be positive; if their log2 depends on
-    log2 length, a logistic curve through the means of length bins (a
-    bounded table) tells the factor each length brings.
+    log2 length, a logistic curve through the means of length bins (32 to a
+    doubling, so about a thousand at most) tells the factor each length brings.
     """
     from kmerloom.operators.logistic import fit_logistic, logistic
 
@@ -296,7 +406,7 @@ def correct_length(scored: DataFrame, b0: float, low_length: int = 22, restarts:
     if gate["slope"] is None or not gate["correct"]:
         return scored.select("id", F.when(F.col("len") >= low_length, decay.clamp_rate(F.col("raw") + b0)).alias("d"))
     x = F.round(F.log2("len") * 32) / 32
-    means = moved.where(F.col("d") > 0).groupBy(x.alias("x")).agg(F.avg(F.log2("d")).alias("y"), F.count("*").alias("n")).orderBy(F.desc("n")).limit(bins).toPandas()
+    means = moved.where(F.col("d") > 0).groupBy(x.alias("x")).agg(F.avg(F.log2("d")).alias("y"), F.count("*").alias("n")).toPandas()
     weight = np.maximum(1, np.round(means["n"] / means["n"].sum() * 1000)).astype(int)
     p, _ = fit_logistic(np.repeat(means["x"], weight), np.repeat(means["y"], weight), [0, -np.inf, -np.inf, 0], [10, np.inf, np.inf, 20], restarts, seed)
     base = float(logistic(p, np.zeros(1))[0])

@@ -50,7 +50,7 @@ def scale_fraction(counts: DataFrame, spikes: DataFrame, fraction: float = 0.001
     w = sums.where(F.col("s") >= cut).agg(F.sum("s").alias("w"))
     v = spikes.where("usable").agg(F.sum("q").alias("v"))
     scale = F.try_divide("w", "v") * (fraction / (1 - fraction))
-    one = w.join(v).select(scale.alias("scale"))  # one row
+    one = w.join(v).select(F.coalesce(scale, F.lit(1.0)).alias("scale"))  # one row; without a usable column spikes stay
     return spikes.join(F.broadcast(one)).select("rank", "tm", F.floor(F.col("q") * F.col("scale") + 0.5).cast("double").alias("q"), "usable")
 
 
@@ -122,10 +122,12 @@ def regression_calibration(counts: DataFrame, spikes: DataFrame, poisson: bool =
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("rank")
-        q = np.concatenate([f["q"].to_numpy(float)[:5], [0.0]])
+        q = np.concatenate([f["q"].fillna(0).to_numpy(float)[:5], [0.0]])
         x, w = np.array(AMOUNTS[: len(q) - 1] + AMOUNTS[-1:]), np.array(WEIGHTS[: len(q) - 1] + WEIGHTS[-1:])
         keep = ~((q == 0) & (x > 0))
         trials = None if poisson else float(q.sum() + f["sc"].iloc[0])
+        if not q[keep].any():  # no spike was read
+            return pd.DataFrame({"tm": f["tm"].iloc[:1], "slope": [1.0], "intercept": [0.0]})
         b, a = identity_regression(x[keep], q[keep], w[keep], trials)
         scale = trials or 1.0
         return pd.DataFrame({"tm": f["tm"].iloc[:1], "slope": [a * scale or 1.0], "intercept": [b * scale]})

@@ -13,7 +13,9 @@ LETTERS = "l AS (SELECT unnest(['A', 'C', 'G', 'T']) AS c)"
 MODEL = """lex AS (SELECT a.c || b.c || d.c AS kmer FROM l a, l b, l d),
 model AS (SELECT kmer, ((((instr('ACGT', substr(kmer, 1, 1)) - 1) * 16 + (instr('ACGT', substr(kmer, 2, 1)) - 1) * 4
   + instr('ACGT', substr(kmer, 3, 1)) - 1) * 37) % 101 - 50) / 1024.0::DOUBLE AS weight FROM lex)"""
-SCORE = f"sc AS (SELECT id, {B0}::DOUBLE + sum(cnt * weight) AS score FROM kc JOIN model USING (kmer) GROUP BY id)"
+SCORE = f"""su AS (SELECT id, sum(cnt * weight) AS s FROM kc JOIN model USING (kmer) GROUP BY id),
+sc0 AS (SELECT seqs.id, CASE WHEN length(seq) >= 22 THEN {B0}::DOUBLE + coalesce(s, 0) END AS score FROM seqs LEFT JOIN su USING (id)),
+sc AS (SELECT * FROM sc0 WHERE score IS NOT NULL)"""
 BASE = ", ".join([SEQS, OCC, KC, LETTERS, MODEL])
 W = """w AS (SELECT id, pos, sum(weight) AS w FROM (
   SELECT id, unnest(range(start, start + 3)) AS pos, weight FROM occ JOIN model USING (kmer)
@@ -26,6 +28,9 @@ nw AS (SELECT id, pos, coalesce(CASE WHEN w > 0 THEN w / up WHEN w < 0 THEN w /
 top AS (SELECT max(abs(w)) AS mw FROM nw), wn AS (SELECT id, pos, w / mw AS w FROM nw, top)"""
 
 
+RATE = f"CASE WHEN score IS NOT NULL THEN greatest({math.log(2) / 24!r}, least({math.log(2) / 0.25!r}, score)) END"
+
+
 def hazen(source: str, value: str, p: float, name: str) -> str:
     """A CTE of one row ``v``: percentile with plotting positions (i - 0.5) / n."""
     return f"""{name}_r AS (SELECT {value} AS x, row_number() OVER (ORDER BY {value}) AS rn, count(*) OVER () AS n FROM {source} WHERE {value} IS NOT NULL),
@@ -67,16 +72,26 @@ LABELS = "sco AS (SELECT doc_id AS id, quality::DOUBLE AS s FROM labels)"
 SIZES = "sco AS (SELECT doc_id AS id, n_chars::DOUBLE AS s FROM documents)"
 MEM = "mem0 AS (SELECT DISTINCT kc.id, kmer, s FROM kc JOIN sco USING (id)), mem AS (SELECT * FROM mem0 WHERE kmer IN (SELECT kmer FROM mem0 GROUP BY kmer HAVING count(*) >= 2))"
 
+HYPER = f"""{LABELS}, {MEM}, tot AS (SELECT count(*) AS t FROM sco), va AS (SELECT s AS value, count(*) AS k FROM sco GROUP BY s),
+pe AS (SELECT kmer, count(*) AS n FROM mem GROUP BY kmer), hi AS (SELECT kmer, s AS value, count(*) AS x FROM mem GROUP BY ALL),
+ea AS (SELECT kmer, value, n, k, t, coalesce(x, 0) AS x FROM pe CROSS JOIN va CROSS JOIN tot LEFT JOIN hi USING (kmer, value)),
+pm AS (SELECT *, exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) + lgamma(t - k + 1) - lgamma(n - i + 1) - lgamma(t - k - n + i + 1) - lgamma(t + 1) + lgamma(n + 1) + lgamma(t - n + 1)) AS p
+  FROM (SELECT *, unnest(range(greatest(0, n + k - t), least(n, k) + 1)) AS i FROM ea)),
+hyper AS (SELECT kmer, value, n, x, CASE WHEN least(n, k) < 10 THEN 1.0 ELSE sum(p) FILTER (i >= x) END AS p_right, CASE WHEN least(n, k) < 10 THEN 1.0 ELSE sum(p) FILTER (i <= x) END AS p_left FROM pm GROUP BY kmer, value, n, x, k)"""
+
 
 def _runs(sign: int) -> str:
     n = "pos" if sign > 0 else "neg"
-    return f"""hot_{n} AS (SELECT id, pos, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS island FROM wn, thr WHERE {sign} * w > v),
+    return f"""hot_{n} AS (SELECT id, pos, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS island FROM wn, thr WHERE round({sign} * w, 9) > v),
 sp_{n} AS (SELECT id, greatest(min(pos) - 2, first) AS a, least(max(pos) + 2, last) AS b FROM hot_{n}, edge GROUP BY id, island, first, last),
 ps_{n} AS (SELECT s.id, a, b, sum(w) AS weight, count(*) AS n FROM sp_{n} s JOIN wn ON wn.id = s.id AND wn.pos BETWEEN a AND b GROUP BY ALL),
-peaks_{n} AS (SELECT p.id, a AS start, b AS "end", weight, substr(seq, a::INT, n::INT) AS seq FROM ps_{n} p JOIN seqs USING (id), thr WHERE n >= 5 AND {sign} * weight / n >= 0.5 * v)"""
+peaks_{n} AS (SELECT p.id, a AS start, b AS "end", weight, substr(seq, a::INT, n::INT) AS seq FROM ps_{n} p JOIN seqs USING (id), thr WHERE n >= 5 AND round({sign} * weight / n, 9) >= round(0.5 * v, 9))"""
 
 
-THR = "edge AS (SELECT min(pos) AS first, max(pos) AS last FROM wn WHERE w <> 0), thr AS (SELECT 0.4137::DOUBLE AS v)"
+LEVEL = f"""us AS (SELECT DISTINCT pos FROM wn WHERE w <> 0),
+mo AS (SELECT avg(abs(w)) OVER o AS m, count(*) OVER o AS n FROM wn WHERE pos IN (SELECT pos FROM us) WINDOW o AS (PARTITION BY id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+fw AS (SELECT m FROM mo WHERE n = 5), {hazen('fw', 'm', 0.99, 'pt')}"""
+THR = f"edge AS (SELECT min(pos) AS first, max(pos) AS last FROM wn WHERE w <> 0), {LEVEL}, thr AS (SELECT round(v, 9) AS v FROM pt)"
 PEAKS = ", ".join([BASE, W, NORM, THR, _runs(1), _runs(-1)]) + ", peaks AS (SELECT * FROM peaks_pos UNION ALL SELECT * FROM peaks_neg)"
 
 
@@ -98,10 +113,15 @@ win AS (SELECT sid, m, i, j, substr(s, (i + j)::INT, 1) AS c FROM (SELECT sid, m
 best AS (SELECT sid, motif, n, sign, m, max(sc) AS sc, arg_max(i, (sc, -i)) AS i FROM (SELECT sid, motif, n, sign, win.m, i, round(sum(lp), 9) AS sc FROM win JOIN pwm ON pwm.m = win.m AND pwm.j = win.j AND pwm.c = win.c GROUP BY ALL HAVING count(*) = win.m) GROUP BY ALL)"""
 BACKBEST = "bbest AS (SELECT sid, m, max(sc) AS bsc FROM (SELECT sid, win.m, i, round(sum(lp), 9) AS sc FROM win JOIN bgp ON bgp.m = win.m AND bgp.c = win.c GROUP BY ALL HAVING count(*) = win.m) GROUP BY ALL)"
 SRC = "num AS (SELECT *, row_number() OVER () AS sid FROM peaks), src AS (SELECT sid, seq FROM num)"
-ASSIGNED = f"""{PEAKS}, {SRC}, {PWM}, {PADDED}, {BACKBEST},
-cand AS (SELECT num.*, motif, round(sc - bsc, 9) AS llr, n FROM num JOIN best USING (sid) JOIN bbest USING (sid, m) WHERE sign(weight) = best.sign),
+CAND = """cand AS (SELECT num.*, motif, round(sc - bsc, 9) AS llr, n FROM num JOIN best USING (sid) JOIN bbest USING (sid, m) WHERE sign(weight) = best.sign),
 pick AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY llr DESC, n) AS k FROM cand),
 asg AS (SELECT id, start, "end", weight, seq, CASE WHEN llr >= 0 THEN motif ELSE 'NA' END AS motif, llr FROM pick WHERE k = 1)"""
+ASSIGNED = f"""{PEAKS}, {SRC}, {PWM}, {PADDED}, {BACKBEST},
+{CAND}"""
+OWN_BACK = """bs AS (SELECT c, sum(length(seq) - length(replace(seq, c, ''))) / sum(length(seq)) AS p FROM seqs, l GROUP BY c),
+bn AS (SELECT c, floor(20 * p + 0.5) + 1 AS n FROM bs UNION ALL SELECT '-', 1.0), bgp AS (SELECT m, c, log2(n / (SELECT sum(n) FROM bn)) AS lp FROM bn, (SELECT DISTINCT m FROM pwm))"""
+SIGNED = "motif || CASE WHEN weight > 0 THEN ':P' ELSE ':N' END"
+COLUMNS = [*[f"{m.name}:{'P' if m.sign > 0 else 'N'}" for m in MOTIFS], "NA:N", "NA:P"]
 SEEDS = "src0 AS (SELECT seq, max(weight) AS weight FROM peaks WHERE weight > 0 AND contains(seq, 'TAA') GROUP BY seq)"
 ALIGNED = f"""{PEAKS}, {SEEDS}, se AS (SELECT max(instr(seq, 'TAA')) AS l, max(length(seq) - instr(seq, 'TAA')) AS r FROM src0),
 al AS (SELECT seq, weight, repeat('-', (l - instr(seq, 'TAA'))::INT) || seq || repeat('-', (r - length(seq) + instr(seq, 'TAA'))::INT) AS aligned FROM src0, se)"""
@@ -114,7 +134,11 @@ def _with(ctes: str, select: str) -> str:
 def all_sql() -> dict[str, str]:
     three = "scored AS (SELECT s.id, length(seq) AS len, score FROM sc JOIN seqs s USING (id))"
     return {
-        "kmer_lexicon": _with(LETTERS, "SELECT a.c || b.c || d.c || e.c || f.c AS kmer FROM l a, l b, l d, l e, l f"),
+        "kmer_lexicon": _with(
+            f"{SEQS}, {LETTERS}, o5 AS (SELECT id, substr(seq, i::INT, 5) AS kmer FROM (SELECT id, seq, unnest(range(1, length(seq) - 3)) AS i FROM seqs WHERE length(seq) >= 5)), "
+            "t5 AS (SELECT kmer, count(DISTINCT id) AS n_ids, count(*) AS total FROM o5 GROUP BY kmer)",
+            "SELECT kmer, coalesce(n_ids, 0) AS n_ids, coalesce(total, 0) AS total FROM (SELECT a.c || b.c || d.c || e.c || f.c AS kmer FROM l a, l b, l d, l e, l f) LEFT JOIN t5 USING (kmer)",
+        ),
         "kmer_counts_k3": _with(f"{SEQS}, {OCC}", "SELECT id, kmer, 3 AS k, count(*) AS cnt FROM occ GROUP BY id, kmer"),
         "kmer_counts_k3_7": _with(
             SEQS,
@@ -123,20 +147,19 @@ def all_sql() -> dict[str, str]:
         ),
         "kmer_presence": _with(f"{SEQS}, {OCC}, {KC}", "SELECT kmer, count(*) AS n_ids, sum(cnt)::BIGINT AS total FROM kc GROUP BY kmer HAVING count(*) >= 2"),
         "kmer_positional_weights": _with(f"{BASE}, {W}", "SELECT id, pos::INT AS pos, w FROM w"),
-        "kmer_norm_weights": _with(f"{BASE}, {W}, {NORM}", "SELECT id, pos::INT AS pos, round(w, 10) AS w FROM nw"),
+        "kmer_norm_weights": _with(f"{BASE}, {W}, {NORM}", "SELECT id, pos::INT AS pos, floor(w * 1e10 + 0.5) / 1e10 AS w FROM nw"),
         "kmer_preselect_rank": _with(
-            f"{BASE}, {W}",
-            "SELECT kmer, p_right, p_left, v FROM (SELECT *, rank() OVER (ORDER BY v) AS rk FROM (SELECT kmer, p_right, p_left, least(p_right, p_left) AS v FROM "
-            "(SELECT kmer, round(count(*) / 1000.0, 6)::DOUBLE AS p_right, round(avg(cnt) / 10.0, 6) AS p_left FROM kc GROUP BY kmer))) WHERE rk <= 20",
+            f"{BASE}, {HYPER}, hy AS (SELECT kmer, round(p_right, 9) AS p_right, round(p_left, 9) AS p_left FROM hyper WHERE value = 1)",
+            "SELECT * FROM (SELECT *, least(p_right, p_left) AS v FROM hy) WHERE v <= (SELECT max(v) FROM (SELECT least(p_right, p_left) AS v FROM hy ORDER BY v LIMIT 20))",
         ),
-        "sequence_score": _with(f"{BASE}, {SCORE}", f"SELECT id, score, greatest({-math.log(2) / -24!r}, least({math.log(2) / 0.25!r}, score)) AS rate, round({math.log(2)!r} / greatest({math.log(2) / 24!r}, least({math.log(2) / 0.25!r}, score)), 6) AS half_life FROM sc"),
+        "sequence_score": _with(f"{BASE}, {SCORE}", f"SELECT id, score, {RATE} AS rate, round({math.log(2)!r} / {RATE}, 6) AS half_life FROM sc0"),
         "sequence_length_filter": _with(SEQS, "SELECT id, length(seq) AS len FROM seqs WHERE length(seq) >= 50"),
         "length_slope_gate": _with(
             f"{BASE}, {SCORE}, {three}, ok AS (SELECT log2(score + 40) AS y, log2(len) AS x FROM scored WHERE score + 40 > 0 AND len > 0)",
             "SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, abs(regr_slope(y, x)) >= 0.2 AS correct FROM ok",
         ),
-        "rate_bounds": _with(f"{BASE}, {SCORE}", f"SELECT id, round(greatest({math.log(2) / 24!r}, least({math.log(2) / 0.25!r}, score)), 6) AS rate FROM sc"),
-        "half_life": _with(f"{BASE}, {SCORE}", f"SELECT id, round({math.log(2)!r} / greatest({math.log(2) / 24!r}, least({math.log(2) / 0.25!r}, score)), 6) AS half_life FROM sc"),
+        "rate_bounds": _with(f"{BASE}, {SCORE}", f"SELECT id, round({RATE}, 6) AS rate FROM sc0"),
+        "half_life": _with(f"{BASE}, {SCORE}", f"SELECT id, round({math.log(2)!r} / {RATE}, 6) AS half_life FROM sc0"),
         "counts_unpivot": _with(COUNTS, "SELECT id, t AS tm, coalesce(max(cnt) FILTER (tm = t), 0) AS cnt FROM counts, (SELECT unnest(range(7))::DOUBLE AS t) GROUP BY id, t"),
         "spike_split": _with(
             f"{COUNTS}, {SPIKES}",
@@ -206,14 +229,7 @@ def all_sql() -> dict[str, str]:
             "f AS (SELECT kmer, n, s, upto, sum(coalesce(k, 0)) OVER (PARTITION BY kmer ORDER BY s) AS here FROM kn CROSS JOIN g LEFT JOIN (SELECT kmer, s, count(*) AS k FROM mem GROUP BY ALL) USING (kmer, s))",
             "SELECT kmer, n, round(greatest(max(here / n - upto / total), 0), 6) AS d_less, round(greatest(max(upto / total - here / n), 0), 6) AS d_more FROM f, tot GROUP BY kmer, n",
         ),
-        "enrich_hypergeom": _with(
-            f"{BASE}, {LABELS}, {MEM}, tot AS (SELECT count(*) AS t FROM sco), va AS (SELECT s AS value, count(*) AS k FROM sco GROUP BY s), "
-            "pe AS (SELECT kmer, count(*) AS n FROM mem GROUP BY kmer), hi AS (SELECT kmer, s AS value, count(*) AS x FROM mem GROUP BY ALL), "
-            "ea AS (SELECT kmer, value, n, k, t, coalesce(x, 0) AS x FROM pe CROSS JOIN va CROSS JOIN tot LEFT JOIN hi USING (kmer, value)), "
-            "pm AS (SELECT *, exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) + lgamma(t - k + 1) - lgamma(n - i + 1) - lgamma(t - k - n + i + 1) - lgamma(t + 1) + lgamma(n + 1) + lgamma(t - n + 1)) AS p "
-            "FROM (SELECT *, unnest(range(greatest(0, n + k - t), least(n, k) + 1)) AS i FROM ea))",
-            "SELECT kmer, value, n, x, round(CASE WHEN least(n, k) < 10 THEN 1.0 ELSE sum(p) FILTER (i >= x) END, 6) AS p_right, round(CASE WHEN least(n, k) < 10 THEN 1.0 ELSE sum(p) FILTER (i <= x) END, 6) AS p_left FROM pm GROUP BY kmer, value, n, x, k",
-        ),
+        "enrich_hypergeom": _with(f"{BASE}, {HYPER}", "SELECT kmer, value, n, x, round(p_right, 6) AS p_right, round(p_left, 6) AS p_left FROM hyper"),
         "enrich_mutual_info": _with(
             f"{BASE}, {SIZES}, {MEM}, ed AS (SELECT min(s) AS mn, max(s) AS mx, count(*) AS t FROM sco), "
             "bi AS (SELECT id, floor(100 * (s - mn) / mx + 0.5) AS bin FROM sco, ed), al AS (SELECT bin, count(*) AS b FROM bi GROUP BY bin), "
@@ -235,24 +251,27 @@ def all_sql() -> dict[str, str]:
             "SELECT pred AS threshold, fp::BIGINT AS false_positives, fn::BIGINT AS false_negatives FROM er ORDER BY fp + fn, pred LIMIT 1",
         ),
         "gram_matrix": _with(f"{SEQS}, {OCC}, {KC}", "SELECT a.kmer AS x, b.kmer AS y, sum(a.cnt * b.cnt)::DOUBLE AS v FROM kc a JOIN kc b USING (id) GROUP BY ALL"),
-        "peak_threshold": _with(
-            f"{BASE}, {W}, {NORM}, us AS (SELECT DISTINCT pos FROM wn WHERE w <> 0), "
-            "mo AS (SELECT avg(abs(w)) OVER o AS m, count(*) OVER o AS n FROM wn WHERE pos IN (SELECT pos FROM us) WINDOW o AS (PARTITION BY id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)), "
-            f"fw AS (SELECT m FROM mo WHERE n = 5), {hazen('fw', 'm', 0.99, 'pt')}",
-            "SELECT round(v, 6) AS threshold, round(mw, 6) AS largest FROM pt, top",
-        ),
+        "peak_threshold": _with(f"{BASE}, {W}, {NORM}, {LEVEL}", "SELECT round(v, 6) AS threshold, round(mw, 6) AS largest FROM pt, top"),
         "peak_runs_pos": _with(PEAKS, 'SELECT id, start::INT AS start, "end"::INT AS "end", round(weight, 6) AS weight, seq FROM peaks_pos'),
         "peak_runs_neg": _with(PEAKS, 'SELECT id, start::INT AS start, "end"::INT AS "end", round(weight, 6) AS weight, seq FROM peaks_neg'),
         "peaks_unique": _with(PEAKS, "SELECT DISTINCT round(weight, 6) AS weight, seq FROM peaks"),
-        "peak_sequence_totals": _with(PEAKS, "SELECT seq, round(sum(weight), 5) AS weight FROM (SELECT DISTINCT round(weight, 6) AS weight, seq FROM peaks) GROUP BY seq"),
-        "peak_motif_hits": _with(ASSIGNED, "SELECT id, motif, round(sum(abs(weight)), 6) AS score_sum, min(start)::INT AS min_pos, count(*) AS n FROM asg GROUP BY id, motif"),
-        "peak_hit_matrix": _with(ASSIGNED, "SELECT id, " + ", ".join(f"count(*) FILTER (motif = '{m}') AS {m}" for m in ("m1", "m2", "m3", "m4", "NA")) + " FROM asg GROUP BY id"),
+        "peak_sequence_totals": _with(PEAKS, "SELECT seq, sum(w) / 1e6 AS weight FROM (SELECT DISTINCT round(weight * 1e6)::BIGINT AS w, seq FROM peaks) GROUP BY seq"),
+        "peak_motif_hits": _with(ASSIGNED, f"SELECT id, {SIGNED} AS motif, round(sum(abs(weight)), 6) AS score_sum, min(start)::INT AS min_pos, count(*) AS n FROM asg GROUP BY id, {SIGNED}"),
+        "peak_hit_matrix": _with(
+            f"{ASSIGNED}, h AS (SELECT id, {SIGNED} AS m FROM asg)",
+            "SELECT seqs.id, " + ", ".join(f"count(*) FILTER (m = '{c}') AS \"{c}\"" for c in COLUMNS) + " FROM seqs LEFT JOIN h USING (id) GROUP BY seqs.id",
+        ),
         "peak_summary": _with(
-            f"{ASSIGNED}, e AS (SELECT id, count(*) FILTER (weight > 0) AS p, count(*) FILTER (weight < 0) AS n, count(DISTINCT motif) AS m FROM asg GROUP BY id)",
+            f"{ASSIGNED}, e AS (SELECT id, count(*) FILTER (weight > 0) AS p, count(*) FILTER (weight < 0) AS n, count(DISTINCT {SIGNED}) AS m FROM asg GROUP BY id)",
             "SELECT sum(p)::BIGINT AS n_positive, sum(n)::BIGINT AS n_negative, round(avg(m), 6) AS mean_motifs, max(m) AS max_motifs FROM e",
         ),
-        "pwm_scan": _with(f"{SEQS}, src AS (SELECT id AS sid, substr(seq, 1, 60) AS seq FROM seqs WHERE length(seq) > 0), {PWM}, {PADDED}", "SELECT sid AS id, motif, round(pow(2, sc), 9) AS score, (i - m)::BIGINT AS position FROM best"),
+        "pwm_scan": _with(f"{SEQS}, src AS (SELECT id AS sid, seq FROM seqs WHERE length(seq) > 0), {PWM}, {PADDED}", "SELECT sid AS id, motif, round(pow(2, sc), 9) AS score, (i - m)::BIGINT AS position FROM best"),
         "pwm_assign": _with(ASSIGNED, 'SELECT id, start::INT AS start, "end"::INT AS "end", motif, round(llr, 6) AS llr FROM asg'),
+        "predict_peaks": _with(
+            f"{PEAKS}, {SRC}, {PWM.split(', bgp(m')[0]}, {OWN_BACK}, {PADDED}, {BACKBEST}, {CAND}",
+            'SELECT id, start::INT AS start, "end"::INT AS "end", round(weight, 6) AS weight, motif, round(llr, 6) AS llr FROM asg',
+        ),
+        "fit_rates": _with(DECAY, "SELECT id, round(a, 6) AS a, round(b, 6) AS b, t, round(r, 6) AS r FROM (SELECT DISTINCT id FROM counts) LEFT JOIN fit USING (id)"),
         "motif_group_stats": _with(ASSIGNED, "SELECT motif, sign(weight)::INT AS sign, count(*) AS n_peaks, round(sum(abs(weight)), 5) AS weight FROM asg GROUP BY ALL"),
         "motif_filter": _with(
             f"{ASSIGNED}, g AS (SELECT motif AS consensus, sign(weight)::INT AS sign, sum(abs(weight)) AS weight FROM asg GROUP BY ALL), "
@@ -277,7 +296,11 @@ def all_sql() -> dict[str, str]:
             f"{BASE}, {SCORE}, ed AS (SELECT min(score) AS lo, max(score) AS hi FROM sc)",
             "SELECT least(floor((score - lo) / (hi - lo) * 32), 31)::INT AS bin, count(*) AS n FROM sc, ed GROUP BY ALL",
         ),
-        "weight_topn": _with(f"{LETTERS}, {MODEL}", "SELECT kmer, 3 AS k, weight FROM (SELECT *, rank() OVER (ORDER BY abs(weight) DESC) AS rk FROM model) WHERE rk <= 15"),
+        "weight_topn": _with(
+            f"{BASE}, ct AS (SELECT kmer, 3 AS k, sum(cnt) * any_value(weight) AS weight FROM kc JOIN model USING (kmer) GROUP BY kmer)",
+            "SELECT kmer, k, weight FROM (SELECT *, rank() OVER (ORDER BY abs(weight) DESC) AS rk FROM ct) WHERE rk <= 15",
+        ),
+        "motif_background": _with(PEAKS, "SELECT c AS letter, round(sum(length(seq) - length(replace(seq, c, ''))) / sum(length(seq)), 9) AS share FROM peaks, l GROUP BY c"),
         "confusion_matrix": _with(f"{BASE}, {SCORE}, {SIZES}", "SELECT s > 2000 AS actual, score >= -8 AS called, count(*) AS n FROM sc JOIN sco USING (id) GROUP BY ALL"),
         "fit_quality": _with(f"{BASE}, {SCORE}, {SIZES}", "SELECT round(corr(s, score), 6) AS r, count(*) AS n FROM sc JOIN sco USING (id)"),
         "kmer_list_parse": _with(f"{SEQS}, {OCC}, {KC}", "SELECT kmer, id::VARCHAR AS id, cnt::DOUBLE AS cnt FROM kc"),

@@ -10,16 +10,15 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions import stats
 from kmerloom.operators import decay, enrichment, kmers, logistic, motifs, peaks, presentation, regression, spikes
+from kmerloom.plans import experiment, oracles
 from kmerloom.plans import fixtures as fx
-from kmerloom.plans import oracles
 from kmerloom.sources import tables
 from kmerloom.sources.tables import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
-PEAK_LEVEL = 0.4137
 SEED = "TAA"
-#: Features of the small regressions: all words of two letters.
-PAIRS = [a + b for a in "ACGT" for b in "ACGT"]
+#: Features of the small regressions: all words of three letters.
+WORDS = [a + b + c for a in "ACGT" for b in "ACGT" for c in "ACGT"]
 
 
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -31,11 +30,21 @@ def _counts3(spark, d) -> DataFrame:
 
 
 def _scores(spark, d) -> DataFrame:
-    return regression.score(_counts3(spark, d), fx.model(spark), fx.B0)
+    """``id``, ``len``, ``raw`` and ``score`` of all sequences."""
+    return regression.score(fx.sequences(spark, d), fx.model(spark), fx.B0)
+
+
+def _scored(spark, d) -> DataFrame:
+    """The sequences that are long enough for a score."""
+    return _scores(spark, d).where("score is not null")
+
+
+def _arrays(spark, d) -> DataFrame:
+    return kmers.weight_arrays(fx.sequences(spark, d), fx.model(spark))
 
 
 def _weights(spark, d) -> DataFrame:
-    return kmers.positional_weights(fx.sequences(spark, d), fx.model(spark))
+    return kmers.long_weights(_arrays(spark, d))
 
 
 class _Decay:
@@ -70,14 +79,14 @@ class _Decay:
         return self.fits.join(self.tests, "id")
 
 
-def _peak_tables(spark, d) -> tuple[DataFrame, DataFrame]:
-    weights = stage(peaks.normalised(kmers.norm_weights(_weights(spark, d)))[0])
-    return weights, fx.sequences(spark, d)
+def _peak_weights(spark, d) -> tuple[DataFrame, float]:
+    """Normalised weights and the largest one before."""
+    return peaks.normalised(stage(kmers.norm_weights(stage(_arrays(spark, d)))))
 
 
-def _peaks(spark, d) -> DataFrame:
-    weights, seqs = _peak_tables(spark, d)
-    return peaks.extract(weights, seqs, PEAK_LEVEL)
+def _peaks(spark, d, signs: tuple[int, ...] = (1, -1)) -> DataFrame:
+    weights, _ = _peak_weights(spark, d)
+    return peaks.extract(weights, peaks.threshold(weights), signs=signs)
 
 
 def _assigned(spark, d) -> DataFrame:
@@ -89,13 +98,31 @@ def _seed_peaks(spark, d) -> DataFrame:
 
 
 def kmer_counts_k3_7(spark, d):
-    per = kmers.counts(fx.sequences(spark, d), range(3, 8))
-    return per.groupBy("k", "kmer").agg(F.count("*").alias("n_ids"), F.sum("cnt").alias("total"))
+    return kmers.totals(fx.sequences(spark, d), range(3, 8))
+
+
+def kmer_lexicon(spark, d):
+    """All words of five letters, with the documents that hold them."""
+    found = kmers.totals(fx.sequences(spark, d), 5).drop("k")
+    return kmers.lexicon(spark, 5).join(found, "kmer", "left").fillna(0)
+
+
+def kmer_norm_weights(spark, d):
+    # many values end in the middle of two roundings, which this form decides alike everywhere
+    w = F.floor(F.col("w") * 1e10 + 0.5) / F.lit(1e10)
+    return kmers.long_weights(kmers.norm_weights(stage(_arrays(spark, d)))).withColumn("w", w)
 
 
 def kmer_preselect_rank(spark, d):
-    per = _counts3(spark, d).groupBy("kmer").agg(F.round(F.count("*") / 1000, 6).alias("p_right"), F.round(F.avg("cnt") / 10, 6).alias("p_left"))
-    return kmers.preselect(per, 20)
+    """The words most enriched or depleted in good documents."""
+    tested = enrichment.hypergeometric(_members(spark, d), fx.quality(spark, d)).where("value = 1")
+    return kmers.preselect(_rounded(tested, 9, "p_right", "p_left").select("kmer", "p_right", "p_left"), 20)
+
+
+def weight_topn(spark, d):
+    """The words that add most to the scores of all documents together."""
+    total = kmers.totals(fx.sequences(spark, d), 3).join(fx.model(spark).drop("k"), "kmer")
+    return presentation.top_weights(total.select("kmer", "k", (F.col("weight") * F.col("total")).alias("weight")), 15)
 
 
 def sequence_score(spark, d):
@@ -108,8 +135,7 @@ def sequence_length_filter(spark, d):
 
 
 def length_slope_gate(spark, d):
-    long_ = fx.sequences(spark, d).select("id", F.length("seq").alias("len"))
-    rows = _scores(spark, d).join(long_, "id").select("len", (F.col("score") + 40).alias("d"))
+    rows = _scored(spark, d).select("len", (F.col("score") + 40).alias("d"))
     return _rounded(regression.length_slope(rows), 6, "slope", "intercept")
 
 
@@ -221,60 +247,64 @@ def logistic_series(spark, d):
 
 
 def threshold_classifier(spark, d):
-    pairs = _scores(spark, d).join(fx.lengths(spark, d), "id").select(F.col("score").alias("pred"), F.col("s").alias("d"))
+    pairs = _scored(spark, d).join(fx.lengths(spark, d), "id").select(F.col("score").alias("pred"), F.col("s").alias("d"))
     return regression.best_threshold(pairs, 2000)
 
 
-def gram_matrix(spark, d):
-    c = _counts3(spark, d).select("id", "kmer", "cnt")
-    other = c.select("id", F.col("kmer").alias("y"), F.col("cnt").alias("c2"))
-    return c.join(other, "id").groupBy(F.col("kmer").alias("x"), "y").agg(F.sum(F.col("cnt") * F.col("c2")).cast("double").alias("v"))
-
-
 def _design(spark, d) -> DataFrame:
     targets = fx.lengths(spark, d).select("id", (F.col("s") / 1024).alias("d"))
-    return regression.design(kmers.counts(fx.sequences(spark, d), 2), targets, PAIRS)
+    return regression.design(_counts3(spark, d), targets, WORDS)
+
+
+def gram_matrix(spark, d):
+    """Sums of products of the counts of all words of three letters, as the regressions use them."""
+    xx = regression.total(regression.gram(_design(spark, d), len(WORDS))).xx[:-1, :-1]
+    found = [(WORDS[i], WORDS[j], float(xx[i, j])) for i, j in zip(*xx.nonzero(), strict=True)]
+    return spark.createDataFrame(found, "x string, y string, v double")
 
 
 def ols_predict(spark, d):
-    return regression.ols(_design(spark, d), len(PAIRS))[2]
+    return regression.ols(stage(_design(spark, d)), len(WORDS))[2]
 
 
 def cv_fold_predict(spark, d):
-    return regression.cross_validate(_design(spark, d), len(PAIRS))
+    return regression.cross_validate(stage(_design(spark, d)), len(WORDS))
+
+
+def _targets(spark, d) -> DataFrame:
+    """Fits of documents as if they were reporters: the target is their length."""
+    return fx.lengths(spark, d).select("id", (F.col("s") / 1024).alias("d"))
 
 
 def lasso_path(spark, d):
-    path = regression.lasso(regression.gram(_design(spark, d), len(PAIRS)), 40)
-    rows = [
-        (i, float(lam), k, float(c), float(path.mse[i]), float(path.se[i]), i == path.chosen())
+    features, rows = experiment.features(fx.sequences(spark, d), _targets(spark, d))
+    path = regression.lasso_rows(rows, len(features))
+    found = [
+        (i, float(lam), features[k], float(path.coefficients[i, k]), float(path.mse[i]), float(path.se[i]), i == path.chosen())
         for i, lam in enumerate(path.penalties)
-        for k, c in zip(PAIRS, path.coefficients[i], strict=True)
+        for k in path.coefficients[i].nonzero()[0]
     ]
-    return spark.createDataFrame(rows, "lambda_idx int, lambda double, kmer string, coef double, mse double, se double, chosen boolean")
+    return spark.createDataFrame(found, "lambda_idx int, lambda double, kmer string, coef double, mse double, se double, chosen boolean")
 
 
 def length_correction(spark, d):
-    long_ = fx.sequences(spark, d).select("id", F.length("seq").alias("len"))
-    return regression.correct_length(_scores(spark, d).withColumnRenamed("score", "raw").join(long_, "id"), fx.B0)
+    return regression.correct_length(_scores(spark, d), fx.B0)
 
 
 def peak_threshold(spark, d):
-    weights, top = peaks.normalised(stage(kmers.norm_weights(_weights(spark, d))))
+    weights, top = _peak_weights(spark, d)
     level = peaks.threshold(weights)
     return spark.range(1).select(F.round(F.lit(level), 6).alias("threshold"), F.round(F.lit(top), 6).alias("largest"))
 
 
 def _runs(sign: int) -> Query:
-    def query(spark, d):
-        weights, seqs = _peak_tables(spark, d)
-        return _rounded(peaks.runs(weights, seqs, sign, PEAK_LEVEL), 6, "weight")
-
-    return query
+    return lambda spark, d: _rounded(_peaks(spark, d, (sign,)), 6, "weight")
 
 
 def peak_sequence_totals(spark, d):
-    return _rounded(peaks.sequence_totals(_rounded(_peaks(spark, d), 6, "weight")), 5, "weight")
+    # millionths are whole numbers, whose sums have no rounding
+    whole = _peaks(spark, d).withColumn("weight", F.round(F.col("weight") * 1e6).cast("long"))
+    return peaks.sequence_totals(whole).select("seq", (F.col("weight") / F.lit(1e6)).alias("weight"))
 
 
 def pwm_scan(spark, d):
@@ -296,11 +326,32 @@ def seed_cover(spark, d):
     return motifs.seed_cover(_peaks(spark, d).where(F.col("weight") > 0))
 
 
+def _motif_rows(spark, found: list) -> DataFrame:
+    rows = [(m.name, m.sign, i + 1, *c) for m in found for i, c in enumerate(m.columns)]
+    return spark.createDataFrame(rows, "motif string, sign int, pos int, A double, C double, G double, T double")
+
+
+def _peak_totals(spark, d) -> tuple[DataFrame, list[float]]:
+    """Distinct peaks with their weights, and their letters' shares."""
+    found = stage(peaks.sequence_totals(_peaks(spark, d)))
+    return found, motifs.background(found)
+
+
 def motif_em(spark, d):
-    found = stage(_peaks(spark, d))
-    state, total = motifs.refine(found, fx.MOTIFS, fx.BACKGROUND)
-    rows = [(m.name, m.sign, i + 1, *c, total) for m in state for i, c in enumerate(m.columns)]
-    return spark.createDataFrame(rows, "motif string, sign int, pos int, A double, C double, G double, T double, total double")
+    found, shares = _peak_totals(spark, d)
+    return _motif_rows(spark, [m for sign in (1, -1) for m in motifs.refine(found, fx.MOTIFS, shares, sign)[0]])
+
+
+def motif_prune(spark, d):
+    found, shares = _peak_totals(spark, d)
+    least = motifs.MotifOptions().min_weight_share * (found.agg(F.sum(F.abs("weight"))).first()[0] or 0.0)
+    return _motif_rows(spark, [m for sign in (1, -1) for m in motifs.prune(found, fx.MOTIFS, shares, sign, min_weight=least)])
+
+
+def motif_background(spark, d):
+    """Shares of the letters in all peaks."""
+    shares = motifs.background(_peaks(spark, d))
+    return spark.createDataFrame(list(zip(motifs.LETTERS, [round(x, 9) for x in shares], strict=True)), "letter string, share double")
 
 
 def motif_threshold(spark, d):
@@ -314,12 +365,12 @@ def motif_logo(spark, d):
 
 
 def confusion_matrix(spark, d):
-    pairs = _scores(spark, d).join(fx.lengths(spark, d), "id").select(F.col("score").alias("pred"), F.col("s").alias("d"))
+    pairs = _scored(spark, d).join(fx.lengths(spark, d), "id").select(F.col("score").alias("pred"), F.col("s").alias("d"))
     return presentation.confusion(pairs, -8.0, 2000)
 
 
 def fit_quality(spark, d):
-    pairs = _scores(spark, d).join(fx.lengths(spark, d), "id").select(F.col("score").alias("pred"), F.col("s").alias("d"))
+    pairs = _scored(spark, d).join(fx.lengths(spark, d), "id").select(F.col("score").alias("pred"), F.col("s").alias("d"))
     return _rounded(presentation.fit_quality(pairs), 6, "r")
 
 
@@ -330,10 +381,59 @@ def kmer_list_parse(spark, d):
 
 
 def weight_track(spark, d):
-    scores = _scores(spark, d)
+    scores = _scored(spark, d)
     rate: Column = decay.clamp_rate(F.col("score"))
     tracks = presentation.weight_tracks(_weights(spark, d), scores.select("id", rate.alias("score"))).drop("score")
-    return _rounded(tracks.join(scores, "id"), 6, "half_life_minutes")
+    return _rounded(tracks.join(scores.select("id", "score"), "id"), 6, "half_life_minutes")
+
+
+def fit_rates(spark, d):
+    """Decay of all ids counted, without spikes."""
+    return _rounded(experiment.fit_rates(fx.counts(spark, d)).fits.select("id", "a", "b", "t", "r"), 6, "a", "b", "r")
+
+
+def fit_rates_spiked(spark, d):
+    counted = stage(fx.counts(spark, d))
+    return experiment.fit_rates(counted, fx.spikes(counted)).fits
+
+
+def fit_series(spark, d):
+    counted = stage(fx.counts(spark, d))
+    found = experiment.fit_series(counted, None, {"early": range(1, 4), "whole": range(7)})
+    parts = [r.fits.select(F.lit(name).alias("series"), "id", "a", "b", "t", "r", "p") for name, r in found.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def fit_regression(spark, d):
+    """Weights of k-mers for the decay of documents counted as parts of the same number."""
+    fits = experiment.fit_rates(fx.counts(spark, d)).fits
+    found = experiment.fit_regression(fits, fx.sequences(spark, d))
+    return found.model.withColumn("intercept", F.lit(found.intercept))
+
+
+def fit_peaks(spark, d):
+    return _motif_rows(spark, experiment.fit_peaks(fx.sequences(spark, d), fx.model(spark)).motifs)
+
+
+def predict_rates(spark, d):
+    return experiment.predict_rates(fx.sequences(spark, d), fx.model(spark), fx.B0)
+
+
+def predict_peaks(spark, d):
+    """Peaks of all documents by the motifs and the levels of the same documents."""
+    weights, top = _peak_weights(spark, d)
+    known = experiment.PeakModel(top, peaks.threshold(weights), list(fx.MOTIFS), weights)
+    found = experiment.predict_peaks(fx.sequences(spark, d), fx.model(spark), known)
+    return _rounded(found.select("id", "start", "end", "weight", "motif", "llr"), 6, "weight", "llr")
+
+
+def enrich_dispatch(spark, d):
+    """The tests by name on the same scores."""
+    parts = [enrichment.test(_members(spark, d), fx.lengths(spark, d), kind, tail).select(F.lit(kind).alias("kind"), F.lit(tail).alias("tail"), "kmer", "p") for kind in ("t", "ks") for tail in ("right", "left")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,12 +447,12 @@ def _members(spark, d) -> DataFrame:
 def queries() -> dict[str, Query]:
     """All domain queries by name."""
     return {
-        "kmer_lexicon": lambda s, d: kmers.lexicon(s, 5),
+        "kmer_lexicon": kmer_lexicon,
         "kmer_counts_k3": _counts3,
         "kmer_counts_k3_7": kmer_counts_k3_7,
         "kmer_presence": lambda s, d: kmers.presence(_counts3(s, d)),
         "kmer_positional_weights": _weights,
-        "kmer_norm_weights": lambda s, d: _rounded(kmers.norm_weights(_weights(s, d)), 10, "w"),
+        "kmer_norm_weights": kmer_norm_weights,
         "kmer_preselect_rank": kmer_preselect_rank,
         "kmer_list_parse": kmer_list_parse,
         "sequence_score": sequence_score,
@@ -406,7 +506,7 @@ def queries() -> dict[str, Query]:
         "peaks_unique": lambda s, d: peaks.unique_peaks(_rounded(_peaks(s, d), 6, "weight")),
         "peak_sequence_totals": peak_sequence_totals,
         "peak_motif_hits": lambda s, d: _rounded(peaks.motif_hits(_assigned(s, d)), 6, "score_sum"),
-        "peak_hit_matrix": lambda s, d: peaks.hit_matrix(peaks.motif_hits(_assigned(s, d)), [*[m.name for m in fx.MOTIFS], motifs.NONE]),
+        "peak_hit_matrix": lambda s, d: peaks.hit_matrix(peaks.motif_hits(_assigned(s, d)), peaks.hit_columns([(m.name, m.sign) for m in fx.MOTIFS]), ids=fx.sequences(s, d)),
         "peak_summary": lambda s, d: _rounded(peaks.hit_summary(_assigned(s, d)), 6, "mean_motifs"),
         "pwm_scan": pwm_scan,
         "pwm_assign": lambda s, d: _rounded(_assigned(s, d).select("id", "start", "end", "motif", "llr"), 6, "llr"),
@@ -417,10 +517,20 @@ def queries() -> dict[str, Query]:
         "pwm_build_from_alignment": pwm_build_from_alignment,
         "seed_cover": seed_cover,
         "motif_em": motif_em,
+        "motif_prune": motif_prune,
+        "motif_background": motif_background,
         "motif_logo": motif_logo,
+        "fit_rates": fit_rates,
+        "fit_rates_spiked": fit_rates_spiked,
+        "fit_series": fit_series,
+        "fit_regression": fit_regression,
+        "fit_peaks": fit_peaks,
+        "predict_rates": predict_rates,
+        "predict_peaks": predict_peaks,
+        "enrich_dispatch": enrich_dispatch,
         "hist2d": lambda s, d: presentation.histogram_2d(_Decay(s, d).fits, "a", "b", 20),
-        "rate_hist": lambda s, d: presentation.histogram(_scores(s, d), "score", 32),
-        "weight_topn": lambda s, d: presentation.top_weights(fx.model(s), 15),
+        "rate_hist": lambda s, d: presentation.histogram(_scored(s, d), "score", 32),
+        "weight_topn": weight_topn,
         "weight_track": weight_track,
         "confusion_matrix": confusion_matrix,
         "fit_quality": fit_quality,

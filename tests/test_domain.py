@@ -99,12 +99,80 @@ def test_logistic_recovers():
 
 def test_peak_runs(spark):
     w = [0, 0, 3, 3, 0, 0, 0, 3, 0, 0, 0.1]
-    rows = [(i, p + 1, float(x)) for i in (0, 1) for p, x in enumerate(w)]
-    weights = spark.createDataFrame(rows, "id long, pos int, w double")
-    got = peaks.runs(weights, seqs(spark, "ACGTACGTACG", "ACGTACGTACG"), 1, 1.0).where("id = 0").orderBy("start").collect()
-    # the first run is cut at the first position with weight, so it is too short for its extension
-    assert [(r["start"], r["end"], r["weight"]) for r in got] == [(6, 10, 3.0)] or [(r["start"], r["end"]) for r in got] == [(3, 6), (6, 10)]
-    assert peaks.runs(weights, seqs(spark, "ACGTACGTACG"), -1, 1.0).count() == 0
+    weights = spark.createDataFrame([(i, "ACGTACGTACG", [float(x) for x in w]) for i in (0, 1)], "id long, seq string, w array<double>")
+    got = peaks.runs(weights, 1, 1.0).where("id = 0").orderBy("start").collect()
+    # the first run begins at the first position with weight, and is not widened over it
+    assert [(r["start"], r["end"], r["weight"], r["seq"]) for r in got] == [(6, 10, 3.0, "CGTAC")]
+    assert peaks.runs(weights, -1, 1.0).count() == 0
+    assert peaks.runs(weights.limit(0), 1, 1.0).count() == 0
+
+
+def test_engine_against_plain_counting(spark, monkeypatch):
+    """One pass over letters, in slices of any size, agrees with counting substrings."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("ACGTNacg"), n)) for n in (0, 1, 2, 3, 7, 50, 400)] + ["", "ACGT" * 30]
+    df = seqs(spark, *texts).repartition(2)
+    model = spark.createDataFrame([("ACG", 3, 0.5), ("TA", 2, -0.25), ("GGGAC", 5, 2.0), ("A" * 12, 12, 1.0)], "kmer string, k int, weight double")
+    table = {r["kmer"]: r["weight"] for r in model.collect()}
+    for size in (1 << 22, 16):
+        monkeypatch.setattr(kmers, "SLICE", size)
+        want, weights = {}, {}
+        for i, t in enumerate(texts):
+            u = t.upper()
+            for k in (2, 3, 5):
+                for j in range(len(u) - k + 1):
+                    if set(u[j : j + k]) <= set("ACGT"):
+                        want[i, u[j : j + k]] = want.get((i, u[j : j + k]), 0) + 1
+            w = [0.0] * len(u)
+            for word, x in table.items():
+                for j in range(len(u) - len(word) + 1):
+                    if u[j : j + len(word)] == word:
+                        w[j : j + len(word)] = [y + x for y in w[j : j + len(word)]]
+            weights[i] = w
+        assert {(r["id"], r["kmer"]): r["cnt"] for r in kmers.counts(df, [2, 3, 5]).collect()} == want
+        per = {(r["k"], r["kmer"]): (r["n_ids"], r["total"]) for r in kmers.totals(df, [2, 3, 5]).collect()}
+        assert per == {(len(w), w): (sum(x == w for _, x in want), sum(n for (_, x), n in want.items() if x == w)) for w in {x for _, x in want}}
+        assert {r["id"]: list(r["w"]) for r in kmers.weight_arrays(df, model).collect()} == weights
+        sums = {r["id"]: (r["len"], r["raw"]) for r in kmers.weight_sums(df, model).collect()}
+        assert sums == {i: (len(t), sum(table.get(w, 0) * n for (x, w), n in want.items() if x == i)) for i, t in enumerate(texts)}
+    assert {r["kmer"] for r in kmers.counts(seqs(spark, "ANA"), 2, acgt_only=False).collect()} == {"AN", "NA"}
+    assert kmers.counts(seqs(spark, "A" * 40), 35).first()["cnt"] == 6
+
+
+def test_scales_by_arrays_and_by_joins(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, "A" * n, [float(x) for x in rng.integers(-3, 4, n)]) for i, n in enumerate((5, 9, 9, 20, 0))]
+    weights = spark.createDataFrame(rows, "id long, seq string, w array<double>")
+    fast = {r["id"]: list(r["w"]) for r in kmers.norm_weights(weights).collect()}
+    level = peaks.threshold(weights)
+    monkeypatch.setattr(kmers, "MAX_POSITIONS", 3)
+    assert {r["id"]: list(r["w"]) for r in kmers.norm_weights(weights).collect()} == fast
+    assert peaks.threshold(weights) == pytest.approx(level)
+
+
+def test_sparse_lasso_agrees_with_dense(spark):
+    rng = np.random.default_rng(1)
+    width = 12
+    x = rng.integers(0, 3, (200, width))
+    y = x @ np.concatenate([[1.5, -2.0], np.zeros(width - 2)]) + rng.normal(0, 0.1, 200)
+    rows = [(i, i % 10, float(y[i]), [int(j) for j in x[i].nonzero()[0]], [float(v) for v in x[i][x[i] > 0]]) for i in range(200)]
+    design = spark.createDataFrame(rows, "id long, fold int, y double, j array<int>, v array<double>")
+    dense, sparse = regression.lasso(regression.gram(design, width), 30), regression.lasso_rows(design, width, 30)
+    assert np.allclose(dense.penalties, sparse.penalties)
+    assert np.allclose(dense.coefficients, sparse.coefficients, atol=5e-3) and np.allclose(dense.mse, sparse.mse, rtol=0.05)
+    assert set(sparse.coefficients[sparse.chosen(1)].nonzero()[0]) >= {0, 1}
+
+
+def test_tests_by_name(spark):
+    members = spark.createDataFrame([(i, "AAA") for i in range(20)] + [(i, "CCC") for i in range(0, 40, 2)] + [(0, "GGG"), (1, "GGG"), (5, "TTT")], "id long, kmer string")
+    scores = spark.createDataFrame([(i, (1.0 if i < 20 else 0.0) + i / 1000) for i in range(40)], "id long, s double")
+    for kind in ("t", "ks", "permutation"):
+        up, down = ({r["kmer"]: r["p"] for r in enrichment.test(members, scores, kind, tail).collect()} for tail in ("right", "left"))
+        assert set(up) == {"AAA", "CCC", "GGG"} and up["AAA"] < 0.05 < down["AAA"] and up["GGG"] == down["GGG"] == 1
+    both = {r["kmer"]: (r["p_right"], r["p_left"]) for r in enrichment.both_tails(members, scores).collect()}
+    assert both["AAA"][0] < 1e-6 and both["GGG"] == (1, 1)
+    with pytest.raises(ValueError):
+        enrichment.test(members, scores, "none")
 
 
 def test_pwm_scan_edges(spark):
@@ -171,6 +239,34 @@ def test_threshold(spark):
     assert (r["threshold"], r["false_positives"], r["false_negatives"]) in {(0.15, 1, 0), (0.8, 0, 1)}
 
 
+def test_motifs_are_found_again(spark):
+    """A planted word is refined from a blurred motif; leaving motifs out keeps what peaks need."""
+    rng = np.random.default_rng(3)
+    other = lambda n: "".join(rng.choice(list("ACGT"), n))
+    made = [(other(int(rng.integers(1, 5))) + "TTCAGG" + other(int(rng.integers(1, 5))), 1.0 + i / 1000) for i in range(80)]
+    made += [(other(2) + "GAGAGA" + other(2), -1.0 - i / 1000) for i in range(30)]
+    found = spark.createDataFrame(made, "seq string, weight double")
+    blurred = motifs.Motif("start", 1, tuple(tuple(0.55 if x == c else 0.15 for x in "ACGT") for c in "TTCAGG"))
+    flat = motifs.Motif("flat", 1, ((0.25,) * 4,) * 6)
+    shares = motifs.background(found)
+    assert sum(shares) == pytest.approx(1)
+    state, total = motifs.refine(found, [blurred, flat], shares, 1)
+    assert total > 0 and any("TTCAGG" in m.name and max(max(c) for c in m.columns) > 0.9 for m in state)
+    assert all(m.sign == 1 and len(m.columns) <= 20 for m in state)
+    kept = motifs.prune(found, state, shares, 1, min_weight=5.0)
+    assert any("TTCAGG" in m.name for m in kept) and len(kept) <= max(1, len(state))
+    assert motifs.refine(found, [blurred], shares, -1) == ([], -math.inf)
+
+
+def test_windows_of_assigned_peaks(spark):
+    motif = motifs.Motif("m", 1, tuple(tuple(float(x == c) for x in "ACGT") for c in "TAC"))
+    rows = [("GGTACG", 1.0), ("AC", 1.0), (None, 1.0), ("GGTACG", -1.0), ("", 2.0), ("NNTACN", None)]
+    got = motifs.assign(spark.createDataFrame(rows, "seq string, weight double"), [motif], [0.25] * 4, windows=True).collect()
+    by = {(r["seq"], r["weight"]): (r["motif"], r["window"]) for r in got}
+    assert len(got) == len(rows) and by["GGTACG", 1.0] == ("m", "TAC") and by["AC", 1.0] == ("m", "-AC")
+    assert by[None, 1.0] == by["GGTACG", -1.0] == by["NNTACN", None] == ("NA", None)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "s.txt").write_text("a\tacgt\nb  GGG\n")
     assert {(r["id"], r["seq"]) for r in tables.read_sequences(spark, str(tmp_path / "s.txt")).collect()} == {("a", "ACGT"), ("b", "GGG")}

@@ -54,14 +54,14 @@ def test_seed_cover_goes_on(spark, tmp_path, monkeypatch):
 
 def test_motifs_are_rebuilt_from_all_peaks(spark):
     rng = np.random.default_rng(2)
-    rows = [("m", "TACG" + "".join(rng.choice(list("ACGT"), rng.integers(0, 3))), 2.0 + i / 1024) for i in range(210)]
-    rows += [("m", "".join(rng.choice(list("ACGT"), rng.integers(1, 4))) + "GACC", 1.0) for _ in range(600)] + [("NA", "GG", 1.0), ("NA", "GGT", 1.0)]
-    got = motifs.rebuild(spark.createDataFrame(rows, "motif string, seq string, weight double"), 1)
-    want = []
-    for name in ("NA", "m"):
-        own = sorted((s, w) for m, s, w in rows if m == name)
-        seqs, weights = [s for s, _ in own], [w for _, w in own]
-        want.append(motifs.build_matrix(motifs.align(seqs, weights), weights))
+    rows = [("NA", "TACG" + "".join(rng.choice(list("ACGT"), rng.integers(0, 3))), 2.0 + i / 1024) for i in range(210)]
+    rows += [("NA", "".join(rng.choice(list("ACGT"), rng.integers(1, 4))) + "GACC", 1.0) for _ in range(600)]
+    windows = [("m", "GGTA", "GTA", 1.0), ("m", "CGTA", "GTA", 1.5), ("m", "TA", "-TA", 1.0)]
+    made = spark.createDataFrame([(*r[:2], None, r[2]) for r in rows] + windows, "motif string, seq string, window string, weight double")
+    got = motifs.rebuild(made, 1)
+    own = sorted((s, w) for _, s, w in rows)
+    seqs, weights = [s for s, _ in own], [w for _, w in own]
+    want = [motifs.build_matrix(motifs.align(seqs, weights), weights), motifs.build_matrix([x for _, _, x, _ in windows], [w for *_, w in windows])]
     assert len(got) == len(want)
     for m, columns in zip(got, want, strict=True):
         assert np.allclose(m.columns, columns)
@@ -70,6 +70,6 @@ def test_motifs_are_rebuilt_from_all_peaks(spark):
 def test_motif_em_rounds(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(registry, "_peaks", lambda s, d: s.createDataFrame([("TACG", 1.0)], "seq string, weight double"))
-    monkeypatch.setattr(motifs, "refine", lambda peaks, found, shares, options=motifs.MotifOptions(): seen.append(options) or (list(found), 0.0))
+    monkeypatch.setattr(motifs, "refine", lambda peaks, found, shares, sign, options=motifs.MotifOptions(): seen.append((sign, options)) or (list(found), 0.0))
     registry.motif_em(spark, "")
-    assert seen[0].max_rounds == 25
+    assert [sign for sign, _ in seen] == [1, -1] and seen[0][1].max_rounds == 25
