@@ -47,7 +47,7 @@ from kmerloom.llm.common import key_mod, remove, shared_dir, written, written_in
 
 FOLDS, TEST_FOLD = 7, 2
 #: Tokens that a task gathers before it deals them out, and tokens a bucket is meant to hold.
-CHUNK_TOKENS, BUCKET_TOKENS = 500_000, 1_000_000
+CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 2_000_000
 #: Words with a quarter of a bucket's tokens are hot, but not more words than this.
 MOST_HOT = 1 << 16
 STRENGTH = 1.0
@@ -154,6 +154,11 @@ def _find(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(sorted_[at] == values, at, -1)
 
 
+def _steps(sorted_: np.ndarray) -> np.ndarray:
+    """Ascending hashes as their differences, whose first bytes are mostly 0."""
+    return np.diff(sorted_.view(np.uint64), prepend=np.uint64(0))
+
+
 def _pack(arrays: tuple) -> bytes:
     """Arrays as planes of first, second ... bytes, which compress better than whole numbers."""
 
@@ -177,22 +182,28 @@ def _deal(rows: DataFrame, common: _Common) -> DataFrame:
         part = TaskContext.get().partitionId()
         for number, chunk in enumerate(_chunks(batches)):
             name = (part << 20) + number
+            # words by ascending hashes (as unsigned numbers), so that those of a bucket lie close together
             hashes = chunk.hashes()
+            rank = np.argsort(hashes.view(np.uint64))
+            hashes, number_of = hashes[rank], np.empty(len(rank), np.int64)
+            number_of[rank] = np.arange(len(rank))
             width = len(hashes)
             sizes = np.array([len(x) for x in chunk.ids])
-            w = np.concatenate(chunk.ids).astype(np.int64)
-            u = np.concatenate([[0], w[:-1]])
-            u[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = 0
-            doc = np.repeat(np.arange(len(sizes)), sizes)
+            w = number_of[np.concatenate(chunk.ids)]
+            u = np.concatenate([[number_of[0]], w[:-1]])
+            u[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = number_of[0]
+            doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
             pair = w * width + u
+            del w, u
             order = np.argsort(pair, kind="stable")
             pair, doc = pair[order], doc[order]
+            del order
             fresh = np.concatenate([[True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])])
             times = np.diff(np.concatenate([np.flatnonzero(fresh), [len(pair)]]))
             pair, doc = pair[fresh], doc[fresh]
             w, c = pair // width, pair % width
             spread = hashes[w] ^ np.where((_find(common.hot, hashes) >= 0)[w], hashes[c] * 0x9E3779B97F4A7C1, 0)
-            bucket = ((spread ^ (spread >> 29)) & 0x7FFFFFFF) % common.buckets
+            bucket = ((spread.view(np.uint64) >> np.uint64(33)) * np.uint64(common.buckets) >> np.uint64(31)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(common.buckets + 1))
             held = np.array([d[1] for d in chunk.docs], bool)
@@ -210,7 +221,7 @@ def _deal(rows: DataFrame, common: _Common) -> DataFrame:
                 n_pairs = np.diff(np.append(word_first, len(w[own]))).astype(np.int32)
                 words_.append(n_pairs)
                 behind, context = np.unique(c[own], return_inverse=True)
-                out.append((int(b), name, _pack((hashes[w[own][word_first]], n_pairs, hashes[behind], context.astype(np.int32), train[own].astype(np.int32)))))
+                out.append((int(b), name, _pack((_steps(hashes[w[own][word_first]]), n_pairs, _steps(hashes[behind]), context.astype(np.int32), train[own].astype(np.int32)))))
             # which document a pair stands in stays with the chunk, and meets the scores of its pairs in the end
             kept = (
                 [d[0] for d in chunk.docs],
@@ -222,10 +233,10 @@ def _deal(rows: DataFrame, common: _Common) -> DataFrame:
                 np.minimum(times, 255).astype(np.uint8),
                 times[times >= 255],
             )
-            out.append((name % common.buckets, -1 - name, _pack(kept)))
+            out.append((_home_of_chunk(name, common), -1 - name, _pack(kept)))
             yield pd.DataFrame(out, columns=["bucket", "chunk", "blob"])
 
-    return rows.mapInPandas(run, "bucket int, chunk bigint, blob binary").repartition(common.buckets, "bucket")
+    return rows.mapInPandas(run, "bucket int, chunk bigint, blob binary").repartitionById(common.buckets, F.col("bucket"))
 
 
 def _home(contexts: np.ndarray, common: _Common) -> np.ndarray:
@@ -233,6 +244,11 @@ def _home(contexts: np.ndarray, common: _Common) -> np.ndarray:
     return ((contexts ^ (contexts >> 31)) & 0x7FFFFFFF) % common.buckets
 
 
+def _home_of_chunk(name: int, common: _Common) -> int:
+    """The bucket that keeps what stays with a chunk."""
+    return (name * 0x9E3779B97F4A7C15 % 2**64 >> 33) % common.buckets
+
+
 class _Bucket:
     """All tokens of a bucket's words, pairs of word and context merged over chunks.
 
@@ -245,6 +261,7 @@ class _Bucket:
         at = 0
         for chunk, blob in frame[["chunk", "blob"]].sort_values("chunk").itertuples(index=False):
             word, n_pairs, own, context, train = _unpack(blob)
+            word, own = (np.cumsum(x).view(np.int64) for x in (word, own))
             self.parts.append((chunk, len(word), len(context)))
             hashes.append(word)
             sizes.append(n_pairs)
@@ -499,37 +516,40 @@ def _score(first: DataFrame, swept: DataFrame, common: _Common, state: _State, s
                 del seating
                 for m in sorted(row.maps, key=lambda m: m["at"]):
                     tokens, pairs = _unpack(m["blob"])
-                    yield pd.DataFrame({"bucket": [row.bucket], "chunk": [m["at"]], "blob": [_pack((tokens, score[pairs]))]})
+                    home = np.int32(_home_of_chunk(int(m["at"]), common))
+                    yield pd.DataFrame({"home": [home], "bucket": [row.bucket], "chunk": [m["at"]], "blob": [_pack((tokens, score[pairs]))]})
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [b for b in batches if len(b)]
-        for _, part in pd.concat(frames).groupby("chunk") if frames else ():
-            back, kept = [], None
-            for bucket, blob in part.sort_values("bucket", kind="stable")[["bucket", "blob"]].itertuples(index=False):
-                if bucket < 0:
-                    kept = _unpack(blob)
-                else:
-                    back.append(_unpack(blob))
-            docs, held, sizes, n_pairs, n_docs, doc, times, many = kept
-            times = times.astype(np.int64)
-            times[times == 255] = many
-            tokens = np.repeat(np.repeat(np.concatenate([x[0] for x in back]), n_pairs), n_docs)
-            sums = [np.bincount(doc, times * v, len(docs)) for v in (tokens > 0, np.log10(tokens + 1) - floor, np.repeat(np.concatenate([x[1] for x in back]), n_docs))]
-            yield pd.DataFrame(
-                {
-                    "doc_id": pd.array([None if pd.isna(d) else int(d) for d in docs], "Int64"),
-                    "held_out": held,
-                    "n_tokens": sizes,
-                    "n_known": sums[0].astype(np.int64),
-                    "base_score": sums[1],
-                    "score": sums[2],
-                }
-            )
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                sent: dict[int, list] = {}
+                for x in sorted(row.sent, key=lambda x: x["bucket"]):
+                    sent.setdefault(x["chunk"], []).append(x["blob"])
+                for k in row.kept:
+                    yield of_chunk(_unpack(k["blob"]), [_unpack(x) for x in sent.pop(k["at"])])
+
+    def of_chunk(kept: tuple, back: list[tuple]) -> pd.DataFrame:
+        docs, held, sizes, n_pairs, n_docs, doc, times, many = kept
+        times = times.astype(np.int64)
+        times[times == 255] = many
+        tokens = np.repeat(np.repeat(np.concatenate([x[0] for x in back]), n_pairs), n_docs)
+        sums = [np.bincount(doc, times * v, len(docs)) for v in (tokens > 0, np.log10(tokens + 1) - floor, np.repeat(np.concatenate([x[1] for x in back]), n_docs))]
+        return pd.DataFrame(
+            {
+                "doc_id": pd.array([None if pd.isna(d) else int(d) for d in docs], "Int64"),
+                "held_out": held,
+                "n_tokens": sizes,
+                "n_known": sums[0].astype(np.int64),
+                "base_score": sums[1],
+                "score": sums[2],
+            }
+        )
 
     maps = first.where(F.col("kind") == MAP).groupBy("bucket").agg(F.collect_list(F.struct("at", "blob")).alias("maps"))
-    sent = _met(first, swept, common).join(maps.hint("merge"), "bucket").mapInPandas(work, "bucket int, chunk bigint, blob binary")
-    home = first.where(F.col("kind") == KEPT).select(F.lit(-1).alias("bucket"), F.col("at").alias("chunk"), "blob")
-    met = home.union(sent).repartitionById(common.buckets, F.pmod("chunk", F.lit(common.buckets)).cast("int"))
+    sent = _met(first, swept, common).join(maps.hint("merge"), "bucket").mapInPandas(work, "home int, bucket int, chunk bigint, blob binary")
+    back = sent.groupBy(F.col("home").alias("bucket")).agg(F.collect_list(F.struct("bucket", "chunk", "blob")).alias("sent"))
+    kept = first.where(F.col("kind") == KEPT).groupBy("bucket").agg(F.collect_list(F.struct("at", "blob")).alias("kept"))
+    met = kept.hint("merge").join(back.hint("merge"), "bucket")
     return met.mapInPandas(add_up, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
