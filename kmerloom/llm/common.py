@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of a batch that goes to a Python worker, where the session has Spark's default; texts and blobs are long.
+ARROW_BYTES = 4 << 20
+_ARROW_KEY, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of this session's Python tasks by bytes, unless it was told another bound."""
+    if spark.conf.get(_ARROW_KEY, _ARROW_DEFAULT) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW_KEY, str(ARROW_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -60,3 +71,10 @@ def remove(spark: SparkSession, path: str) -> None:
 def key_mod(key: Column, n: int) -> Column:
     """crc32 of the key's text modulo ``n``; a null key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def sampled(share: float | Column, *columns: str, seed: int = 0) -> Column:
+    """Whether a row is in a sample of this share, by a hash of its columns; no share is too small to be told apart."""
+    share = F.lit(float(share)) if isinstance(share, (int, float)) else share
+    place = F.xxhash64(*columns, F.lit(seed)).bitwiseAND(F.lit(2**63 - 1)).cast("double") / F.lit(2.0**63)
+    return (place < share) | (share >= 1)

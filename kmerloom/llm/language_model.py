@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import key_mod, remove, shared_dir, written, written_in_buckets
+from kmerloom.llm.common import key_mod, remove, shared_dir, small_batches, written, written_in_buckets
 
 FOLDS, TEST_FOLD = 7, 2
 #: Tokens that a task gathers before it deals them out, and tokens a bucket is meant to hold.
@@ -571,6 +571,7 @@ def _common(rows: DataFrame) -> _Common:
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, samples: int = SAMPLES) -> DataFrame:
     """Base score and model score of every document, learned from those whose crc32(key) mod 7 is not 2."""
+    small_batches(docs.sparkSession)
     rows = _rows(docs, key, text)
     common = _common(rows)
     for first, swept, state in _chain(rows, common, rounds + samples, rounds):
