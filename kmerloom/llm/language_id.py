@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import key_mod
+from kmerloom.llm.common import key_mod, sampled, small_batches
 
 FOLDS, TEST_FOLD = 3, 1
 UNKNOWN = "und"
@@ -164,7 +164,7 @@ def _sample(rows: DataFrame) -> pd.DataFrame:
                 counts = ngrams(t)
                 if counts is not None:
                     at = np.flatnonzero(counts)
-                    got.append((k, lang, at.astype("<u2").tobytes(), np.minimum(counts[at], 65535).astype("<u2").tobytes()))
+                    got.append((k, lang, at.astype("<u4").tobytes(), counts[at].astype("<i8").tobytes()))
             yield pd.DataFrame(got, columns=["doc_id", "lang", "at", "n"])
 
     return rows.mapInPandas(run, "doc_id bigint, lang string, at binary, n binary").toPandas()
@@ -172,22 +172,24 @@ def _sample(rows: DataFrame) -> pd.DataFrame:
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_a_language: int = TRAIN_DOCS) -> Model:
     """Fit on documents with a language whose crc32(key) mod 3 is not 1."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (key_mod(F.col("doc_id"), FOLDS) != TEST_FOLD))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES, 0)), np.zeros(0))
     languages = sorted(sizes)
-    shares = F.create_map(*[F.lit(x) for k in languages for x in (k, int(min(1.0, docs_a_language / sizes[k]) * 1_000_000))])
-    uniform = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
-    sample = _sample(rows.where(uniform < shares[F.col("lang")])).sort_values(["doc_id", "at", "n"], kind="stable", ignore_index=True)
+    shares = F.create_map(*[F.lit(x) for k in languages for x in (k, docs_a_language / sizes[k])])
+    # copies of a row are one row of the sample, however many they are
+    some = rows.where(sampled(shares[F.col("lang")], "doc_id", "text")).dropDuplicates(["doc_id", "lang", "text"])
+    sample = _sample(some).sort_values(["doc_id", "at", "n"], kind="stable", ignore_index=True)
     total = sum(sizes.values())
     idf = np.log((1 + total) / (1 + _frequencies(rows))) + 1
     model = Model(languages, idf, np.zeros((FEATURES, len(languages))), np.zeros(len(languages)))
     vectors = []
     for at, n in zip(sample["at"], sample["n"], strict=True):
         counts = np.zeros(FEATURES, np.int64)
-        counts[np.frombuffer(at, "<u2")] = np.frombuffer(n, "<u2")
+        counts[np.frombuffer(at, "<u4")] = np.frombuffer(n, "<i8")
         vectors.append(model.vector(counts))
     labels = np.array([languages.index(x) for x in sample["lang"]], int)
     part = np.arange(len(labels)) % 5 == 4
@@ -208,6 +210,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
             out["lang_pred"], out["score"] = [g[0] for g in got], [g[1] for g in got]
             yield out
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.select("doc_id", (key_mod(F.col("doc_id"), FOLDS) == TEST_FOLD).alias("held_out"), "text")
     return rows.mapInPandas(run, "doc_id bigint, held_out boolean, lang_pred string, score double")

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from kmerloom.llm import tokens
+from kmerloom.llm.common import small_batches
 
 CAPACITY = 2048
 #: Pieces that are packed together.
@@ -105,6 +106,7 @@ def cut(n_tokens: int, capacity: int, longest: int) -> tuple[int, list[int]]:
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = tokens.TOKENIZER, capacity: int = CAPACITY, group: int = GROUP, longest: int = LONGEST) -> DataFrame:
     """One row per piece: where its ids stand in the document and in which sequence."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = tokens.encoder(tokenizer)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import key_mod
+from kmerloom.llm.common import key_mod, sampled, small_batches
 
 #: Expected number of labelled documents to fit on.
 TRAIN_ROWS = 20_000
@@ -178,16 +178,16 @@ def _with_statistics(rows: DataFrame, columns: str, trees: Trees | None) -> Data
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> Trees:
     """Fit on the labelled documents whose crc32(key) mod 5 is not 0; about ``rows`` of them."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (key_mod(F.col(key), FOLDS) != TEST_FOLD))
     known = known.groupBy(F.col(key).alias("k")).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("double").alias("y"))
     n = known.count()
     if not n:
         return fit(np.zeros((0, len(STATISTICS))), np.zeros(0))
-    share = min(1.0, rows / n)
-    chosen = known.where(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = known.where(sampled(rows / n, "k", seed=7))
     # the sample is bounded by ``rows`` in expectation, so it can go to every task
     narrow = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
-    sample = narrow.join(F.broadcast(chosen.withColumn("k", F.col("k").cast("long"))), "k").select("k", "y", "text")
+    sample = narrow.join(F.broadcast(chosen.withColumn("k", F.col("k").cast("long"))), "k").select("k", "y", "text").dropDuplicates()
     got = _with_statistics(sample, "k bigint, y double", None).toPandas().sort_values("k", kind="stable")
     if got.empty:
         return fit(np.zeros((0, len(STATISTICS))), np.zeros(0))

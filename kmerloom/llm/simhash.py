@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import written
+from kmerloom.llm.common import small_batches, written
 from kmerloom.llm.components import components
 
 SHINGLE = 4
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             fp = np.array([fingerprint(t) for t in batch["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fp})
 
+    small_batches(docs.sparkSession)
     rows = docs.selectExpr(f"cast(`{key}` as bigint) as doc_id", f"`{text}` as text")
     return rows.mapInPandas(run, "doc_id bigint, fp bigint")
 

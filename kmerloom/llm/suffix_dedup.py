@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import written
+from kmerloom.llm.common import sampled, small_batches, written
 
 LENGTH = 100
 #: Bytes of an anchor, each for the anchors that those before leave crowded; windows hold LENGTH - gram + 1 of them.
@@ -124,6 +124,7 @@ def _unpack(blob: bytes):
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Key, hash of the text (which Python computes alike) and the text's bytes."""
+    small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
         F.col(key).cast("long").alias("doc_id"),
@@ -205,7 +206,7 @@ def _chunks(batches: Iterator[pd.DataFrame], gram: int) -> Iterator[_Chunk]:
 def _hot(texts: DataFrame, gram: int, total: int) -> np.ndarray:
     """Anchors that would fill a good part of a bucket, as far as a sample tells."""
     share = max(SAMPLE_BYTES / total, SAMPLE_SHARE) if total > SAMPLE_BYTES else 1.0
-    some = texts.where(F.xxhash64("k", "h", "base").bitwiseAND(F.lit(2**63 - 1)) <= min(int(share * 2**63), 2**63 - 1))
+    some = texts.where(sampled(share, "k", "h", "base"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for c in _chunks(batches, gram):

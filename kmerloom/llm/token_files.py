@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import tokens
-from kmerloom.llm.common import shared_dir
+from kmerloom.llm.common import shared_dir, small_batches
 
 MAGIC = b"TOKSHRD1"
 NULL_KEY = -(2**63)
@@ -163,6 +163,7 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     turns the files' counts into the number of ids before each file.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-total // shard_size))
