@@ -9,15 +9,20 @@ towards the query, and once within range through all neighbours within
 range.  What is found is verified by the cosine in double precision.
 A bounded set of vectors is compared with all rows of their label to audit
 the recall; below the asked recall, beam and overlap double and the search
-runs again.
+runs again, and where that leads nowhere all vectors of a label are compared
+in blocks.  The recall that was measured is a column of the result.
 
 Cells above ``BLOCK`` vectors are worked off as pairs of blocks, each in a
 task of its own, so a cell that holds a third of all rows is no single task.
 Exact copies are collapsed first and counted back in.
 
-Defined results: null, zero or non-finite vectors, vectors of another length
-than most and rows without a label link with nothing; rows with the same
-vector link with each other; an empty table gives an empty result.
+Defined results: null, zero or non-finite vectors and rows without a label
+or id link with nothing; vectors of different lengths do not link; rows with
+the same vector link with each other, repeated rows included; an id stands
+for a vector, so different vectors of one id are in one class and no link of
+their own; components of any finite size are scaled before they are
+multiplied; other columns do not matter, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import written
+from kmerloom.llm.common import sampled, small_batches, written
 from kmerloom.llm.components import components
 
 MIN_COSINE = 0.98
@@ -37,15 +42,27 @@ CELL, MAX_CENTROIDS, CENTROID_SAMPLE = 512, 4096, 20_000
 OVERLAP, BLOCK = 3, 2048
 #: Degree, pruning slack, nearest and random candidates of a graph node; members a shard should have.
 DEGREE, ALPHA, NEAREST, RANDOM, SHARD = 16, 1.2, 32, 16, 512
-BEAM, EXPAND = 24, 4
+BEAM, EXPAND, MAX_BEAM = 24, 4, 1000
 #: Vectors whose links the audit knows exactly, and the share of them that must be found.
 AUDIT_ROWS, MIN_RECALL = 256, 0.98
 
 
+def _scaled(rows) -> np.ndarray:
+    """Vectors in double precision times powers of two that bring their largest component near 1, which is exact."""
+    v = np.stack([np.asarray(x, np.float64) for x in rows])
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _folded(v: np.ndarray, width: int) -> np.ndarray:
+    """Vectors of another length as unit vectors of ``width`` components, for the choice of cells alone; equal ones stay equal."""
+    v = np.pad(v, ((0, 0), (0, -v.shape[1] % width))).reshape(len(v), -1, width).sum(1)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
 def clusters(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
     """Centroids of unit vectors by spherical k-means."""
     rng = np.random.default_rng(seed)
@@ -187,18 +204,23 @@ def search(queries: np.ndarray, x: np.ndarray, adjacency: np.ndarray, medoids: n
     return np.concatenate(found_q), np.concatenate(found_x)
 
 
-def _links_in(frame: pd.DataFrame, least: float, beam: int) -> pd.DataFrame:
+def _links_in(frame: pd.DataFrame, least: float, beam: int, exact: bool) -> pd.DataFrame:
     """Verified links between the two blocks of a cell (or inside one)."""
     frame = frame.sort_values("id", kind="stable")
     i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-    v = np.stack(frame["v"].to_numpy()).astype(np.float64)
+    v = _scaled(frame["v"])
     ids, block = frame["id"].to_numpy(np.int64), frame["block"].to_numpy()
     index, query = np.flatnonzero(block == i), np.flatnonzero(block == j)
     if not len(index) or not len(query):
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
     x = _unit(v)
-    adjacency, medoids = build(x[index])
-    a, b = search(x[query], x[index], adjacency, medoids, least - 1e-4, beam)
+    if exact:
+        found = [np.nonzero(x[query[lo : lo + 512]] @ x[index].T >= least - 1e-4) for lo in range(0, len(query), 512)]
+        a = np.concatenate([f[0] + 512 * n for n, f in enumerate(found)])
+        b = np.concatenate([f[1] for f in found])
+    else:
+        adjacency, medoids = build(x[index])
+        a, b = search(x[query], x[index], adjacency, medoids, least - 1e-4, beam)
     a, b = query[a], index[b]
     cosine = (v[a] * v[b]).sum(1) / np.sqrt((v[a] ** 2).sum(1) * (v[b] ** 2).sum(1))
     ok = (cosine >= least) & (ids[a] != ids[b])
@@ -206,50 +228,45 @@ def _links_in(frame: pd.DataFrame, least: float, beam: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
-def _links(points: DataFrame, centers: np.ndarray, least: float, overlap: int, beam: int) -> DataFrame:
-    """Distinct verified links ``a`` < ``b`` of the points (``id``, ``label``, ``v``)."""
+def _links(points: DataFrame, centers: np.ndarray, least: float, overlap: int, beam: int, exact: bool = False) -> DataFrame:
+    """Distinct verified links ``a`` < ``b`` of the points (``id``, ``label``, ``n``, ``v``) of equal label and length; ``exact`` compares all of them."""
 
     def assign(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            x = _unit(np.stack(batch["v"].to_numpy()).astype(np.float64))
-            cells = _top(x, centers, overlap)
-            rows = np.repeat(np.arange(len(batch)), cells.shape[1])
-            out = batch.iloc[rows].copy()
-            out["cell"] = cells.reshape(-1).astype(np.int32)
-            yield out
+            for _, part in batch.groupby("n"):
+                cells = np.zeros((len(part), 1), int) if exact else _top(_folded(_scaled(part["v"]), centers.shape[1]), centers, overlap)
+                out = part.iloc[np.repeat(np.arange(len(part)), cells.shape[1])].copy()
+                out["cell"] = cells.reshape(-1).astype(np.int32)
+                yield out
 
     kind = points.schema["v"].dataType.simpleString()
     label = points.schema["label"].dataType.simpleString()
-    in_cells = points.mapInPandas(assign, f"id bigint, label {label}, v {kind}, cell int")
-    sizes = in_cells.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocked = in_cells.join(sizes, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int"))
+    in_cells = points.mapInPandas(assign, f"id bigint, label {label}, n int, v {kind}, cell int")
+    sizes = in_cells.groupBy("label", "n", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocked = in_cells.join(sizes, ["label", "n", "cell"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int"))
     paired = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = paired.select("id", "label", "v", "cell", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    found = tasks.groupBy("label", "cell", "i", "j").applyInPandas(lambda f: _links_in(f, least, beam), "a bigint, b bigint")
+    tasks = paired.select("id", "label", "n", "v", "cell", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    found = tasks.groupBy("label", "n", "cell", "i", "j").applyInPandas(lambda f: _links_in(f, least, beam, exact), "a bigint, b bigint")
     return found.distinct()
 
 
 def _recall(points: DataFrame, found: DataFrame, least: float, rows: int) -> float:
     """Share of a bounded query set's links that were found; all rows of their labels are compared in blocks."""
-    n = points.count()
-    share = int(min(1.0, rows / max(n, 1)) * 1_000_000)
-    queries = points.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < share).toPandas()
-    if queries.empty:
-        return 1.0
-    q = np.stack(queries["v"].to_numpy()).astype(np.float64)
-    ids, labels = queries["id"].to_numpy(np.int64), queries["label"].to_numpy()
+    queries = points.where(sampled(rows / max(points.count(), 1), "id", seed=5)).toPandas()
+    if queries.empty:  # a table of a few rows, none of which was drawn
+        queries = points.limit(rows).toPandas()
+    groups = {n: (_unit(_scaled(own["v"])), own["id"].to_numpy(np.int64), own["label"].to_numpy()) for n, own in queries.groupby("n")}
 
     def compare(batches):
         for batch in batches:
-            if len(batch):
-                v = np.stack(batch["v"].to_numpy()).astype(np.float64)
-                same = labels[:, None] == batch["label"].to_numpy()[None, :]
-                a, b = np.nonzero((_unit(q) @ _unit(v).T >= least) & same)
-                other = batch["id"].to_numpy(np.int64)
-                ok = ids[a] != other[b]
-                yield pd.DataFrame({"a": np.minimum(ids[a[ok]], other[b[ok]]), "b": np.maximum(ids[a[ok]], other[b[ok]])})
+            for n, part in batch.groupby("n"):
+                if n in groups:
+                    q, ids, labels = groups[n]
+                    same = labels[:, None] == part["label"].to_numpy()[None, :]
+                    a, b = np.nonzero((q @ _unit(_scaled(part["v"])).T >= least) & same)
+                    other = part["id"].to_numpy(np.int64)
+                    ok = ids[a] != other[b]
+                    yield pd.DataFrame({"a": np.minimum(ids[a[ok]], other[b[ok]]), "b": np.maximum(ids[a[ok]], other[b[ok]])})
 
     true = points.mapInPandas(compare, "a bigint, b bigint").distinct()
     total, hit = true.join(found.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
@@ -257,7 +274,8 @@ def _recall(points: DataFrame, found: DataFrame, least: float, rows: int) -> flo
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = MIN_COSINE, overlap: int = OVERLAP, beam: int = BEAM, min_recall: float = MIN_RECALL) -> DataFrame:
-    """Per row: ``vec_id``, ``label``, ``n_links``, ``component_id`` and ``kept``."""
+    """Per row: ``vec_id``, ``label``, ``n_links``, ``component_id`` and ``kept``; ``recall`` is that of the links, as measured."""
+    small_batches(vectors.sparkSession)
     kind = vectors.schema[vector].dataType
     kind = kind if kind.simpleString() == "array<float>" else "array<double>"
     v = F.col(vector).cast(kind)
@@ -270,25 +288,26 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     alike = ["label", "digest"]
     points = rows.where("digest is not null").groupBy(*alike).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
     points = written(points.withColumn("n", F.size("v")))
-    largest = points.groupBy("label", "n").count().groupBy("n").agg(F.sum("count").alias("rows"), F.max("count").alias("largest"))
-    usual = largest.orderBy(F.desc("rows"), "n").first()
-    if usual is not None:
-        points = points.where(F.col("n") == usual["n"])
-        share = int(min(1.0, CENTROID_SAMPLE / usual["rows"]) * 1_000_000)
-        sample = points.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("id", "v").toPandas().sort_values("id")
-        k = min(MAX_CENTROIDS, -(-usual["largest"] // CELL))
-        centers = clusters(_unit(np.stack(sample["v"].to_numpy()).astype(np.float64)), k) if len(sample) else None
-        if centers is None:  # so few rows that the sample missed them all
-            centers = clusters(np.eye(usual["n"]), k)
-    narrow = points.select("id", "label", "v")
-    while True:
-        if usual is None:
-            found = points.select(F.col("id").alias("a"), F.col("id").alias("b"))
-            break
-        found = written(_links(narrow, centers, least, overlap, beam))
-        if _recall(narrow, found, least, AUDIT_ROWS) >= min_recall or overlap >= 2 * len(centers) and beam > 1000:
-            break
-        overlap, beam = 2 * overlap, 2 * beam
+    sizes = points.groupBy("label", "n").count().groupBy("n").agg(F.sum("count").alias("rows"), F.max("count").alias("largest"))
+    usual = sizes.orderBy(F.desc("rows"), "n").first()
+    narrow = points.select("id", "label", "n", "v")
+    if usual is None:
+        found, recall = points.select(F.col("id").alias("a"), F.col("id").alias("b")), 1.0
+    else:
+        largest = sizes.agg(F.max("largest")).first()[0]
+        some = points.where(F.col("n") == usual["n"]).where(sampled(CENTROID_SAMPLE / usual["rows"], "id", seed=1)).select("id", "v").toPandas().sort_values("id")
+        if some.empty:
+            some = points.where(F.col("n") == usual["n"]).select("id", "v").limit(CENTROID_SAMPLE).toPandas()
+        centers = clusters(_unit(_scaled(some["v"])), min(MAX_CENTROIDS, -(-largest // CELL)))
+        while True:
+            found = written(_links(narrow, centers, least, overlap, beam))
+            recall = _recall(narrow, found, least, AUDIT_ROWS)
+            if recall >= min_recall:
+                break
+            if overlap >= 2 * len(centers) or beam > MAX_BEAM:
+                found, recall = written(_links(narrow, centers, least, 1, beam, exact=True)), 1.0
+                break
+            overlap, beam = 2 * overlap, 2 * beam
     copies = points.select("id", "copies")
     both = found.union(found.select("b", "a"))
     linked = both.join(copies.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("others"))
@@ -302,4 +321,5 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
         (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"),
+        F.lit(recall).alias("recall"),
     )

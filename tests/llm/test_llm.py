@@ -401,26 +401,70 @@ def test_language_id(spark):
     assert set(language_id.identify(base.limit(0)).collect()) == set()
 
 
-def test_embeddings(spark):
+def brute_embeddings(data):
+    """Links and classes of (id, vector, label) rows by all pairs."""
+    sound = [(i, np.array(v, float), l) for i, v, l in data if v and l is not None and None not in v and np.isfinite(v).all() and np.any(v)]
+    sound = [(i, v / np.abs(v).max(), l) for i, v, l in sound]
+    links = {i: set() for i, *_ in data}
+    for n, (i, v, l) in enumerate(sound):
+        for j, w, m in sound[n + 1 :]:
+            if l == m and len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.98:
+                links[i].add(j)
+                links[j].add(i)
+    least = {}
+    for i in sorted(links):
+        todo, seen = [i], {i}
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        least[i] = min(seen)
+    return {i: (len(links[i]), least[i]) for i in links}
+
+
+def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(400, 16))
     v[100:200] = v[:100] + rng.normal(size=(100, 16)) * 0.05
     v[200:210] = v[0]
-    labels = [int(i % 3) for i in range(400)]
-    data = [(i, [float(x) for x in v[i]], labels[i]) for i in range(400)]
-    data += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [1.0] * 16, None), (904, [1.0] * 3, 1), (905, [None] * 16, 1)]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
-    got = embedding_dedup.near_duplicates(df).toPandas().set_index("vec_id")
-    assert len(got) == len(data)
-    u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    near = (u @ u.T >= 0.98) & (np.array(labels)[:, None] == np.array(labels)[None, :])
-    np.fill_diagonal(near, False)
-    found = got.loc[range(400), "n_links"].to_numpy()
-    assert found.sum() >= 0.98 * near.sum() and (found <= near.sum(1)).all()
-    assert (got.loc[range(900, 906), "n_links"] == 0).all() and got.loc[range(900, 906), "kept"].all()
+    data = [(i, [float(x) for x in v[i]], int(i % 3)) for i in range(400)]
+    data += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [1.0] * 16, None), (905, [None] * 16, 1), (906, [float("inf")] + [1.0] * 15, 1)]
+    # another length, and components whose squares do not fit
+    data += [(910, [1.0, 2.0, 3.0], 1), (911, [1.0, 2.0, 3.0], 1), (912, [1.0, 2.0, 3.1], 1), (913, [1e200, 2e200], 2), (914, [1.5e200, 3e200], 2), (915, [1e-200, -1e-200], 2)]
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in data], "vec_id long, embedding array<double>, label int, cell string, n int, block int")
+    want = brute_embeddings(data)
+    every = None
+    for names in ({}, {"MAX_BEAM": 0, "MIN_RECALL": 2.0}, {"CENTROID_SAMPLE": 1, "AUDIT_ROWS": 1}):
+        with monkeypatch.context() as m:
+            for name, value in names.items():
+                m.setattr(embedding_dedup, name, value)
+            # the second finds no recall good enough and compares all; the third draws empty samples
+            got = embedding_dedup.near_duplicates(df, min_recall=names.get("MIN_RECALL", 0.98)).toPandas()
+        assert len(got) == len(data) and got["recall"].between(0, 1).all()
+        rows = {r.vec_id: (r.n_links, r.component_id) for r in got.itertuples()}
+        assert all(r.kept == (r.vec_id == r.component_id) for r in got.itertuples())
+        if "MAX_BEAM" in names:
+            assert rows == want
+        assert sum(rows[i] == want[i] for i in want) >= 0.98 * len(want) and all(rows[i][0] <= want[i][0] for i in want)
+        assert {i: rows[i] for i in range(900, 916) if i in rows} == {i: want[i] for i in range(900, 916) if i in want}
+        every = rows
+    assert every is not None
+    again = embedding_dedup.near_duplicates(df.where("vec_id in (1, 4)").union(df.where("vec_id in (1, 4)"))).toPandas()
+    assert len(again) == 4 and (again["n_links"] == 1).all()
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_samples_of_any_share(spark):
+    """Shares far below a millionth draw what they should; whole tables are whole."""
+    from kmerloom.llm.common import sampled
+
+    df = spark.range(200_000)
+    assert df.where(sampled(1.0, "id")).count() == df.where(sampled(2, "id")).count() == 200_000
+    assert 1700 < df.where(sampled(0.01, "id")).count() < 2300
+    least = df.select((F.xxhash64("id", F.lit(0)).bitwiseAND(F.lit(2**63 - 1)) / F.lit(2.0**63)).alias("x")).agg(F.min("x")).first()[0]
+    assert 0 < least < 1e-4 and df.where(sampled(least * 1.001, "id")).count() == 1
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 
