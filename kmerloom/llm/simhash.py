@@ -60,16 +60,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and the fingerprint ``fp`` as a signed 64-bit integer."""
+    """``doc_id``, the text's hash ``h`` and the fingerprint ``fp`` as a signed 64-bit integer."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "h": batch["h"], "fp": fp})
 
     small_batches(docs.sparkSession)
-    rows = docs.selectExpr(f"cast(`{key}` as bigint) as doc_id", f"`{text}` as text")
-    return rows.mapInPandas(run, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
+    return rows.mapInPandas(run, "doc_id bigint, h bigint, fp bigint")
 
 
 @lru_cache(maxsize=1)
@@ -153,22 +153,39 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """Per document: ``doc_id``, ``fp`` and ``component_id``, the smallest key reachable over links."""
+def _grouped(docs: DataFrame, key: str, text: str, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' fingerprints, and the ``component`` (a fingerprint) of each that occurs, with its least key (``first``)."""
     rows = written(fingerprints(docs, key, text))
     first = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(links(first, max_bits), "a", "b").withColumnRenamed("node", "fp")
-    named = first.join(found, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    return rows, first.join(found, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """Per document: ``doc_id``, ``fp`` and ``component_id``, the smallest key reachable over links.
+
+    Null and empty texts share the fingerprint zero; null keys take part and
+    name no group (a group of them alone has a null name); repeated rows come
+    out once each; an empty table gives an empty one.
+    """
+    rows, named = _grouped(docs, key, text, max_bits)
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(smallest, "component").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The document of the smallest key of each group, with all its columns; of rows that agree in key and text, one."""
-    known = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
-    found = groups(docs.select(known.alias("doc_id"), F.col(text).alias("text")), max_bits=max_bits)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_k")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), known.alias("_k"), F.xxhash64(F.col(text)).alias("_h"))
-    one = F.row_number().over(Window.partitionBy("_k", "_h").orderBy("_k"))
-    return rows.join(first, "_k", "left_semi").withColumn("_one", one).where("_one = 1").select("_row.*")
+    """One document of each group, with all its columns: that of the smallest key.
+
+    Null keys come behind all others; of one key's texts the one of the
+    smallest hash stays, and of rows that agree in key and text one.
+    """
+    rows, named = _grouped(docs, key, text, max_bits)
+    # a row per fingerprint first, so no group is joined document by document
+    each = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("one"))
+    chosen = each.join(named, "fp").groupBy("component").agg(F.min("one").alias("one")).select(F.col("one.doc_id").alias("_k"), F.col("one.h").alias("_h"))
+    mine = docs.select(F.struct("*").alias("_row"), F.col(key).cast("long").alias("_k"), F.xxhash64(F.col(text)).alias("_h"))
+    here, there = mine.alias("a"), chosen.alias("b")
+    met = here.join(there, (F.col("a._h") == F.col("b._h")) & F.col("a._k").eqNullSafe(F.col("b._k")), "left_semi")
+    one = F.row_number().over(Window.partitionBy("_k", "_h").orderBy("_h"))
+    return met.withColumn("_one", one).where("_one = 1").select("_row.*")

@@ -102,6 +102,24 @@ def test_simhash(spark, docs):
     left = [r["doc_id"] for r in kept.select("doc_id").collect()]
     assert 4 in left and 5 not in left and left.count(12) == 1 and 1 in left and 2 not in left
     assert simhash.groups(docs.limit(0)).count() == 0
+    # fingerprints by their definition
+    import xxhash
+
+    for i, t in rows():
+        if i is None or i == 10:
+            continue
+        w = (t or "").encode().lower().split()
+        shingles = [b" ".join(w[j : j + 4]) for j in range(len(w) - 3)] or ([b" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(x, 42) for x in shingles]
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        assert set(got.loc[got["doc_id"] == i, "fp"].to_numpy().view(np.uint64)) == {want}, i
+
+
+def test_keep_one_of_a_key(spark):
+    """Different texts of one key are different documents; a null key never displaces another."""
+    made = [(1, text(70, 60)), (1, text(71, 60)), (2, text(71, 60)), (None, text(70, 60)), (None, text(72, 60)), (None, text(72, 60)), (3, None), (4, "")]
+    kept = simhash.keep_one(table(spark, made)).select("doc_id", "text").collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(1, text(70, 60)), (1, text(71, 60)), (0, text(72, 60)), (3, "")])
 
 
 def test_golay_keys_meet():
@@ -465,6 +483,28 @@ def test_samples_of_any_share(spark):
     assert 0 < least < 1e-4 and df.where(sampled(least * 1.001, "id")).count() == 1
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns and empty tables go through every stage."""
+    import corpus_pipeline
+
+    odd = table(spark, [r for r in rows() if r[0] != 10]).withColumn("source", F.lit(None).cast("string")).withColumn("n_chars", F.length("text").cast("long"))
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(1, 13)] + [(None, 1, 0), (4, None, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        for docs_ in (odd, odd.limit(0)):
+            out = stage(spark, docs_, str(tmp_path))
+            assert name == "packing" or out.columns == odd.columns
+            n = out.count()
+            assert n <= odd.count() or name == "packing"
+            assert not n or docs_ is odd
+    texts = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeats(spark, odd, str(tmp_path)).collect()}
+    assert texts[1] is None and texts[2] == "" and texts[4] == text(4, 80) and texts[5] == ""
+    left = {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, odd, str(tmp_path)).collect()}
+    assert (4, text(4, 80)) in left and 5 not in {i for i, _ in left}
+    passing = {r["doc_id"] for r in corpus_pipeline.rules(spark, odd, str(tmp_path)).collect()}
+    assert not passing & {1, 2, 3, 11, 12}
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 
