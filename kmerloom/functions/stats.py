@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kmerloom.sources.tables import stage
+
 
 def hazen(values: Column, p: float, n: Column) -> Column:
     """Percentile with plotting positions (i - 0.5) / n as an aggregate; ``n`` counts the values (not null).
@@ -62,6 +64,22 @@ def hazen_percentile(df: DataFrame, column: str, p: float) -> float | None:
     return a + (h - first) * (b - a)
 
 
+def running_sums(df: DataFrame, by: str, **sums: str) -> DataFrame:
+    """``df`` with running sums of columns in ascending order of ``by``, whose values are distinct.
+
+    Rows are dealt into ranges and summed inside each; what the ranges before
+    hold together is a row a range.  No task sees more than its range.
+    """
+    dealt = stage(df.repartitionByRange(F.col(by)).withColumn("_range", F.spark_partition_id()))
+    per = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_{name}") for name, c in sums.items()])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    per = per.select("_range", *[F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_{name}") for name in sums])
+    run = Window.partitionBy("_range").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = dealt.withColumns({name: F.sum(c).over(run) for name, c in sums.items()})
+    joined = inside.join(F.broadcast(per), "_range")
+    return joined.select(*df.columns, *[(F.col(name) + F.col(f"_{name}")).alias(name) for name in sums])
+
+
 def chi2_upper_even(x: Column, df: int) -> Column:
     """Upper tail of the chi-squared distribution with an even number of degrees of freedom."""
     if df % 2:
@@ -163,8 +181,7 @@ def bh_threshold(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
     if not m:
         return df.sparkSession.range(1).select(F.lit(0.0).alias("threshold"))
     # only p-values up to alpha can be below their line
-    run = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     low = x.select(F.when(F.col("p") == 0, F.lit(least)).otherwise(F.col("p")).alias("p")).where(F.col("p") <= alpha)
-    ranked = low.groupBy("p").count().withColumn("k", F.sum("count").over(run))
+    ranked = running_sums(low.groupBy("p").count(), "p", k="count")
     line = F.lit(alpha) * F.col("k") / F.lit(m)
     return ranked.agg(F.coalesce(F.max(F.when(F.col("p") <= line, line)), F.lit(0.0)).alias("threshold"))

@@ -14,9 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.functions.stats import ks_upper, t_upper
+from kmerloom.functions.stats import ks_upper, running_sums, t_upper
 
 MIN_ITEMS = 10
+#: Distinct values up to which a score counts as discrete.
+MAX_VALUES = 1000
 
 
 def scored(members: DataFrame, scores: DataFrame, min_ids: int = 2) -> DataFrame:
@@ -58,8 +60,7 @@ def ks_statistics(members: DataFrame, scores: DataFrame, min_items: int = MIN_IT
     known = _known(scores)
     size = known.agg(F.count("*").alias("total"))
     # background rank of each distinct score, by counts of distinct values
-    up = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    back = known.groupBy("s").agg(F.count("*").alias("c")).select("s", "c", F.sum("c").over(up).alias("upto"))
+    back = running_sums(known.groupBy("s").agg(F.count("*").alias("c")), "s", upto="c")
     own = scored(members, scores).groupBy("kmer", "s").agg(F.count("*").alias("k"))
     mine = Window.partitionBy("kmer").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy("kmer")
@@ -86,7 +87,9 @@ def hypergeometric(members: DataFrame, scores: DataFrame, min_items: int = MIN_I
     """``kmer``, ``value``, ``x``, ``p_right``, ``p_left`` for each distinct score.
 
     ``x`` of the ``n`` sequences with the k-mer have the value, which ``k`` of
-    all have; tails include x.  1 where one side has too few items.
+    all have; tails include x.  1 where one side has too few items.  Scores
+    with more than ``MAX_VALUES`` distinct values are refused: the test is for
+    discrete ones.
     """
     known = _known(scores)
     values = known.groupBy(F.col("s").alias("value")).agg(F.count("*").alias("k"))
@@ -94,21 +97,25 @@ def hypergeometric(members: DataFrame, scores: DataFrame, min_items: int = MIN_I
     rows = scored(members, scores)
     per = rows.groupBy("kmer").agg(F.count("*").alias("n"))
     hits = rows.groupBy("kmer", F.col("s").alias("value")).agg(F.count("*").alias("x"))
+    # a score that none of the k-mer's sequences has adds nothing to its right tail; pairs are made for discrete scores alone
+    if values.limit(MAX_VALUES + 1).count() > MAX_VALUES:
+        raise ValueError(f"more than {MAX_VALUES} distinct scores are not discrete")
     each = per.join(F.broadcast(values)).join(hits, ["kmer", "value"], "left").fillna(0, ["x"]).join(F.broadcast(size))  # few values, one row
 
     def tails(x: pd.Series, n: pd.Series, k: pd.Series, total: pd.Series) -> pd.DataFrame:
+        top = int(total.max()) if len(total) else 0
+        log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, top + 1)))])
+
         def choose(a, b):
-            return math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
-
-        out = []
-        for xi, ni, ki, ti in zip(x, n, k, total, strict=True):
-            if min(ni, ki) < min_items:
-                out.append((1.0, 1.0))
-                continue
-            lo, hi = max(0, ni + ki - ti), min(ni, ki)
-            pmf = {i: math.exp(choose(ki, i) + choose(ti - ki, ni - i) - choose(ti, ni)) for i in range(lo, hi + 1)}
-            out.append((min(1.0, math.fsum(pmf[i] for i in pmf if i >= xi)), min(1.0, math.fsum(pmf[i] for i in pmf if i <= xi))))
-        return pd.DataFrame(out, columns=["right", "left"])
+            return log_factorial[a] - log_factorial[b] - log_factorial[a - b]
+
+        out = np.ones((len(x), 2))
+        for r, (xi, ni, ki, ti) in enumerate(zip(x.to_numpy(int), n.to_numpy(int), k.to_numpy(int), total.to_numpy(int), strict=True)):
+            if min(ni, ki) >= min_items:
+                i = np.arange(max(0, ni + ki - ti), min(ni, ki) + 1)
+                pmf = np.exp(choose(ki, i) + choose(ti - ki, ni - i) - choose(ti, ni))
+                out[r] = pmf[i >= xi].sum(), pmf[i <= xi].sum()
+        return pd.DataFrame(np.minimum(out, 1.0), columns=["right", "left"])
 
     p = F.pandas_udf(tails, "right double, left double")("x", "n", "k", "total")
     return each.withColumn("p", p).select("kmer", "value", "n", "x", F.col("p.right").alias("p_right"), F.col("p.left").alias("p_left"))

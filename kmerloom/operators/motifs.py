@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kmerloom.functions.stats import running_sums
+
 LETTERS = "ACGT"
 NONE = "NA"
 #: Letters of sequences that are scored together.
@@ -401,10 +403,9 @@ def prune(peaks: DataFrame, motifs: Sequence[Motif], shares: Sequence[float], si
 
 def least_error_threshold(points: DataFrame) -> DataFrame:
     """The value at which the weight of errors is least: errors are negatives (``hit`` false) from it on and positives below it."""
-    up = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     each = points.groupBy("x").agg(
         F.sum(F.when(F.col("hit"), F.col("weight")).otherwise(0.0)).alias("h"), F.sum(F.when(F.col("hit"), 0.0).otherwise(F.col("weight"))).alias("f")
     )
     whole = points.agg(F.sum(F.when(F.col("hit"), 0.0).otherwise(F.col("weight"))).alias("all_f"))
-    error = F.sum("h").over(up) - F.col("h") + F.col("all_f") - F.sum("f").over(up) + F.col("f")
-    return each.join(F.broadcast(whole)).select("x", error.alias("error")).agg(F.min_by("x", F.struct("error", "x")).alias("threshold"), F.min("error").alias("error"))
+    error = F.col("h_upto") - F.col("h") + F.col("all_f") - F.col("f_upto") + F.col("f")
+    return running_sums(each, "x", h_upto="h", f_upto="f").join(F.broadcast(whole)).select("x", error.alias("error")).agg(F.min_by("x", F.struct("error", "x")).alias("threshold"), F.min("error").alias("error"))

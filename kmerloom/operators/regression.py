@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.functions.stats import hazen_percentile
+from kmerloom.functions.stats import hazen_percentile, running_sums
 from kmerloom.operators import decay
 from kmerloom.operators.kmers import weight_sums
 
@@ -71,11 +71,10 @@ def best_threshold(pairs: DataFrame, level: float = 1.0) -> DataFrame:
     """One row: the prediction from which on ``d`` is called above ``level`` with the fewest errors (the least of equals), and its errors."""
     g = F.col("d") > level
     each = pairs.groupBy("pred").agg(F.count_if(g).alias("yes"), F.count_if(~g).alias("no"))
-    up = Window.orderBy("pred").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = pairs.agg(F.count_if(~g).alias("all_no"))
-    fn = F.sum("yes").over(up) - F.col("yes")
-    fp = F.col("all_no") - F.sum("no").over(up) + F.col("no")
-    rows = each.join(F.broadcast(whole)).select("pred", fp.alias("fp"), fn.alias("fn"))
+    fn = F.col("yes_upto") - F.col("yes")
+    fp = F.col("all_no") - F.col("no_upto") + F.col("no")
+    rows = running_sums(each, "pred", yes_upto="yes", no_upto="no").join(F.broadcast(whole)).select("pred", fp.alias("fp"), fn.alias("fn"))
     best = rows.agg(F.min_by(F.struct("pred", "fp", "fn"), F.struct(F.col("fp") + F.col("fn"), F.col("pred"))).alias("b"))
     return best.select(F.col("b.pred").alias("threshold"), F.col("b.fp").alias("false_positives"), F.col("b.fn").alias("false_negatives"))
 
@@ -256,8 +255,9 @@ class _Sparse:
 def sparse_path(x: _Sparse, penalties: np.ndarray | None = None, n: int = 100, ratio: float = 1e-4, rounds: int = 200, tolerance: float = 1e-4) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """``lasso_path`` by residuals, for many features: only active ones are cycled through, and all are checked in between.
 
-    Coefficients are pairs of places and values; the path ends early when as
-    many features as rows are active, and its last solution stands for the rest.
+    Coefficients are pairs of places and values; the path ends early when all
+    but a thousandth of the variance is explained or as many features as rows
+    are active, and its last solution stands for the rest.
     """
     r, shift = x.y - x.y.mean(), 0.0
     grad = x.gradient(r, shift)
@@ -266,7 +266,7 @@ def sparse_path(x: _Sparse, penalties: np.ndarray | None = None, n: int = 100, r
     beta, active, out = np.zeros(x.width), np.zeros(x.width, bool), []
     scale = float(x.y.std()) or 1.0
     for lam in penalties:
-        if out and np.count_nonzero(beta) >= x.n - 1:
+        if out and (np.count_nonzero(beta) >= x.n - 1 or np.mean((r + shift) ** 2) < 1e-3 * scale**2):
             out.append(out[-1])
             continue
         while True:
