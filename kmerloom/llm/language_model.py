@@ -47,7 +47,7 @@ from kmerloom.llm.common import key_mod, remove, shared_dir, small_batches, writ
 
 FOLDS, TEST_FOLD = 7, 2
 #: Tokens that a task gathers before it deals them out, and tokens a bucket is meant to hold.
-CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 2_000_000
+CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 4_000_000
 #: Words with a quarter of a bucket's tokens are hot, but not more words than this.
 MOST_HOT = 1 << 16
 STRENGTH = 1.0
@@ -269,17 +269,20 @@ class _Bucket:
             contexts.append(context.astype(np.int64) + at)
             counts.append(train)
             at += len(own)
-        self.words, self.word_of = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.words, self.word_of = np.unique(np.concatenate(hashes).view(np.uint64), return_inverse=True)
+        self.words = self.words.view(np.int64)
         word = np.repeat(self.word_of, np.concatenate(sizes))
-        self.contexts, number = np.unique(np.concatenate(behind), return_inverse=True)
+        self.contexts, number = np.unique(np.concatenate(behind).view(np.uint64), return_inverse=True)
+        self.contexts = self.contexts.view(np.int64)
         home = _home(self.contexts, common)
         order = np.argsort(home, kind="stable")
         self.contexts, self.home = self.contexts[order], home[order]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         width = len(self.contexts)
-        pairs, self.pair_of = np.unique(word * width + place[number][np.concatenate(contexts)], return_inverse=True)
-        self.word, self.context = pairs // width, pairs % width
+        # in the order of the contexts' hashes, so that the pairs of a chunk ascend
+        pairs, self.pair_of = np.unique(word * width + number[np.concatenate(contexts)], return_inverse=True)
+        self.word, self.context = pairs // width, place[pairs % width]
         self.count = np.bincount(self.pair_of, np.concatenate(counts), len(pairs)).astype(np.int64)
         self.hot = _find(common.hot, self.words)
         self.tokens = np.bincount(self.word, self.count, len(self.words))
@@ -290,11 +293,11 @@ class _Bucket:
         return self.word.astype(np.int32), self.context.astype(np.int32), self.count.astype(np.int32), self.contexts, self.hot.astype(np.int32)
 
     def maps(self) -> list[tuple]:
-        """Per chunk its number, the training tokens of its words and the places of its pairs."""
+        """Per chunk its number, the training tokens of its words and the steps from each of its pairs to the next."""
         out, word_at, pair_at = [], 0, 0
         for chunk, n_words, n_pairs in self.parts:
             tokens = self.tokens[self.word_of[word_at : word_at + n_words]].astype(np.int64)
-            out.append((chunk, _pack((tokens, self.pair_of[pair_at : pair_at + n_pairs].astype(np.int32)))))
+            out.append((chunk, _pack((tokens, np.diff(self.pair_of[pair_at : pair_at + n_pairs], prepend=0).astype(np.int32)))))
             word_at, pair_at = word_at + n_words, pair_at + n_pairs
         return out
 
@@ -515,7 +518,8 @@ def _score(first: DataFrame, swept: DataFrame, common: _Common, state: _State, s
                 score = np.log10(np.maximum((seating.total + seating.probability()) / samples, 1e-300)).astype(np.float32)
                 del seating
                 for m in sorted(row.maps, key=lambda m: m["at"]):
-                    tokens, pairs = _unpack(m["blob"])
+                    tokens, steps = _unpack(m["blob"])
+                    pairs = np.cumsum(steps, dtype=np.int64)
                     home = np.int32(_home_of_chunk(int(m["at"]), common))
                     yield pd.DataFrame({"home": [home], "bucket": [row.bucket], "chunk": [m["at"]], "blob": [_pack((tokens, score[pairs]))]})
 
