@@ -252,9 +252,11 @@ class _Sparse:
         return (np.bincount(self.column, self.value * r[self.row], self.width) + shift * self.sum) / (self.n * self.sd)
 
 
-def sparse_path(x: _Sparse, penalties: np.ndarray | None = None, n: int = 100, ratio: float = 1e-4, rounds: int = 200, tolerance: float = 1e-4) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+def sparse_path(x: _Sparse, penalties: np.ndarray | None = None, n: int = 100, ratio: float | None = None, rounds: int = 100, tolerance: float = 1e-4) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """``lasso_path`` by residuals, for many features: only active ones are cycled through, and all are checked in between.
 
+    The least penalty is ``ratio`` times the greatest: by default a
+    ten-thousandth, and a hundredth where there are more features than rows.
     Coefficients are pairs of places and values; the path ends early when all
     but a thousandth of the variance is explained or as many features as rows
     are active, and its last solution stands for the rest.
@@ -262,6 +264,7 @@ def sparse_path(x: _Sparse, penalties: np.ndarray | None = None, n: int = 100, r
     r, shift = x.y - x.y.mean(), 0.0
     grad = x.gradient(r, shift)
     if penalties is None:
+        ratio = ratio or (1e-4 if x.n > x.width else 1e-2)
         penalties = max(float(np.abs(grad).max(initial=0)), 1e-12) * np.geomspace(1, ratio, n)
     beta, active, out = np.zeros(x.width), np.zeros(x.width, bool), []
     scale = float(x.y.std()) or 1.0
