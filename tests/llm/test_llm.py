@@ -1,5 +1,6 @@
 """The numbered operators on small tables: edge cases, and brute force where SQL has no form."""
 
+import os
 import zlib
 
 import numpy as np
@@ -289,6 +290,27 @@ def test_sentencepiece(spark, docs):
     assert sentencepiece_scan.encode(docs.limit(0)).count() == 0
 
 
+def test_sentencepiece_agrees_with_the_library():
+    """The library's own search over the same pieces and scores, once the model is read as a unigram one."""
+    import public_tokenizers
+    import sentencepiece
+
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    model = pb.ModelProto()
+    model.ParseFromString(open(public_tokenizers.path(sentencepiece_scan.MODEL), "rb").read())
+    model.trainer_spec.model_type = 1
+    least = min(p.score for p in model.pieces if p.score > -1e8)
+    for p in model.pieces:
+        if p.score < -1e8:  # in the library's 32-bit sums these leave no digits
+            p.score = least - 9
+    library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    rng = np.random.default_rng(9)
+    syllables = "th in er an re on at en nd ti es or te of ed is it al ar st Ünï qu xx 7 42 . , --".split()
+    lines = [" ".join("".join(rng.choice(syllables, rng.integers(1, 6))) for _ in range(40)) for _ in range(50)]
+    got = sentencepiece_scan.coder().encode(lines)
+    assert [g.tolist() for g in got] == [library.encode(x) for x in lines]
+
+
 def test_sentencepiece_ties(spark):
     """Chunks of any size give the ids of the whole text, runs of spaces, unknown and rare characters included."""
     rng = np.random.default_rng(5)
@@ -440,6 +462,27 @@ def brute_embeddings(data):
     return {i: (len(links[i]), least[i]) for i in links}
 
 
+def test_packing_windows(spark):
+    """Over several tasks: each id in one piece, windows gapless from 0 and within capacity, and nearly all of it used."""
+    import math
+
+    made = [(i, text(i, 20 + i * 7 % 900)) for i in range(300)] + [(1000, text(5, 9000)), (1001, None), (1002, "")]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = packing.pack(df).toPandas()
+    coder = tokens.encoder()
+    for (i, t), ids in zip(made, coder.encode([t for _, t in made]), strict=True):
+        own = got[got["doc_id"] == i].sort_values("start")
+        assert np.concatenate([np.frombuffer(x, "<u4") for x in own["ids"]]).tolist() == ids.tolist()
+        assert own["start"].tolist() == [0, *np.cumsum(own["length"]).tolist()[:-1]] and (own["doc_tokens"] == len(ids)).all()
+    for _, w in got.groupby("sequence_id"):
+        w = w.sort_values("offset")
+        assert w["offset"].tolist() == [0, *np.cumsum(w["length"]).tolist()[:-1]]
+        assert w["length"].sum() <= packing.CAPACITY and (w["sequence_length"] == w["length"].sum()).all()
+    full, windows = got["length"].sum(), got["sequence_id"].nunique()
+    # at most one window that is not full per task, but for the imbalance of near-equal ones
+    assert windows <= math.ceil(full / packing.CAPACITY) + 2 * 3
+
+
 def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(400, 16))
@@ -515,3 +558,25 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)
     assert 100 not in set(out["doc_id"]) and 1 in set(out["doc_id"])
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_held_out_rows(spark):
+    """Languages and qualities of rows that taught nothing, and the perplexity of held-out texts."""
+    from kmerloom.llm import queries
+
+    docs_ = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang")
+    lang = queries.op9_language_id(spark, DATA).where("held_out and lang_pred <> 'und'").join(docs_.where("lang is not null"), "doc_id")
+    right, n = lang.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
+    assert n > 100 and right > 0.97
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").where("quality is not null").select("doc_id", "quality")
+    good = queries.op5_quality_classifier(spark, DATA).where("held_out").join(labels, "doc_id")
+    right, n = good.agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("quality")).cast("double")), F.count("*")).first()
+    assert n > 30 and right > 0.9
+    scores = queries.op3_language_model(spark, DATA)
+    model = {r["held_out"]: r["perplexity"] for r in language_model.perplexity(scores).collect()}
+    base = {r["held_out"]: r["perplexity"] for r in language_model.perplexity(scores, "base_score").collect()}
+    assert model[True] < 0.5 * base[True] and model[False] < model[True]
