@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions.stats import hazen_percentile
 from kmerloom.operators.kmers import long_weights, position_arrays, position_masses
+from kmerloom.sources.tables import stage
 
 DIGITS = 9
 
@@ -42,23 +43,30 @@ def moving_means(weights: DataFrame, used: DataFrame, width: int = 5) -> DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i, w in zip(batch["id"], batch["w"], strict=True):
+            found = []
+            for w in batch["w"]:
                 x = np.abs(np.asarray(w, float))[mark[: len(w)]]
                 n = max(len(x) - width + 1, 0)
-                m = sum((x[j : j + n] for j in range(width)), np.zeros(n)) / width
-                yield pd.DataFrame({"id": i, "m": m})
+                found.append(sum((x[j : j + n] for j in range(width)), np.zeros(n)) / width)
+            if found:
+                yield pd.DataFrame({"id": batch["id"].repeat([len(m) for m in found]).to_numpy(), "m": np.concatenate(found)})
 
     return weights.select("id", "w").mapInPandas(run, f"id {kind}, m double")
 
 
-def threshold(weights: DataFrame, percentile: float = 0.99, width: int = 5) -> float | None:
-    """The peak threshold: a percentile of the moving means, over positions where any sequence has weight."""
-    return hazen_percentile(moving_means(weights, position_masses(weights), width), "m", percentile)
+def threshold(weights: DataFrame, percentile: float = 0.99, width: int = 5, masses: DataFrame | None = None) -> float | None:
+    """The peak threshold: a percentile of the moving means, over positions where any sequence has weight.
+
+    Means are written once, as their percentile takes several passes.
+    """
+    used = position_masses(weights) if masses is None else masses
+    return hazen_percentile(stage(moving_means(weights, used, width).select("m")), "m", percentile)
 
 
-def edges(weights: DataFrame) -> tuple[int, int]:
+def edges(weights: DataFrame, masses: DataFrame | None = None) -> tuple[int, int]:
     """The first and last position at which any sequence has weight."""
-    first, last = position_masses(weights).where("used").agg(F.min("pos"), F.max("pos")).first()
+    masses = position_masses(weights) if masses is None else masses
+    first, last = masses.where("used").agg(F.min("pos"), F.max("pos")).first()
     return (first, last) if first else (1, 0)
 
 

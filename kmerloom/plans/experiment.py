@@ -146,9 +146,11 @@ def _seed_motifs(found: DataFrame, sign: int, options: MotifOptions) -> list[Mot
 def fit_peaks(seqs: DataFrame, model: DataFrame, options: MotifOptions = MotifOptions(), refit: bool = True) -> PeakModel:
     """Peaks of the model's weights on its sequences, and the motifs that they share."""
     arrays = stage(kmers.weight_arrays(seqs, model))
-    weights, top = peaks.normalised(stage(kmers.norm_weights(arrays)))
-    least = peaks.threshold(weights) or 0.0
-    called = stage(peaks.extract(weights, least))
+    masses = stage(kmers.position_masses(arrays))
+    weights, top = peaks.normalised(stage(kmers.norm_weights(arrays, masses)))
+    weights = stage(weights)
+    least = peaks.threshold(weights, masses=masses) or 0.0
+    called = stage(peaks.extract(weights, least, edge=peaks.edges(weights, masses)))
     found = stage(peaks.sequence_totals(called))
     shares = motifs.background(found)
     lightest = options.min_weight_share * (found.agg(F.sum(F.abs("weight"))).first()[0] or 0.0)

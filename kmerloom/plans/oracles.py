@@ -305,8 +305,8 @@ def all_sql() -> dict[str, str]:
         "fit_quality": _with(f"{BASE}, {SCORE}, {SIZES}", "SELECT round(corr(s, score), 6) AS r, count(*) AS n FROM sc JOIN sco USING (id)"),
         "kmer_list_parse": _with(f"{SEQS}, {OCC}, {KC}", "SELECT kmer, id::VARCHAR AS id, cnt::DOUBLE AS cnt FROM kc"),
         "motif_threshold": _with(
-            f"{ASSIGNED}, pt AS (SELECT llr AS x, weight > 0 AS hit, 1.0 AS w FROM asg), ea AS (SELECT x, coalesce(sum(w) FILTER (hit), 0) AS h, coalesce(sum(w) FILTER (NOT hit), 0) AS f FROM pt GROUP BY x), "
-            "er AS (SELECT x, sum(h) OVER (ORDER BY x) - h + (SELECT coalesce(sum(w) FILTER (NOT hit), 0) FROM pt) - sum(f) OVER (ORDER BY x) + f AS error FROM ea)",
+            f"{ASSIGNED}, pts AS (SELECT llr AS x, weight > 0 AS hit, 1.0 AS w FROM asg), ea AS (SELECT x, coalesce(sum(w) FILTER (hit), 0) AS h, coalesce(sum(w) FILTER (NOT hit), 0) AS f FROM pts GROUP BY x), "
+            "er AS (SELECT x, sum(h) OVER (ORDER BY x) - h + (SELECT coalesce(sum(w) FILTER (NOT hit), 0) FROM pts) - sum(f) OVER (ORDER BY x) + f AS error FROM ea)",
             "SELECT round(x, 6) AS threshold, error::DOUBLE AS error FROM er ORDER BY error, x LIMIT 1",
         ),
         "weight_track": _with(f"{BASE}, {SCORE}, {W}", f"SELECT id, pos::INT AS pos, w, score, round({60 * math.log(2)!r} / greatest({math.log(2) / 24!r}, least({math.log(2) / 0.25!r}, score)), 6) AS half_life_minutes FROM w JOIN sc USING (id)"),

@@ -79,14 +79,17 @@ class _Decay:
         return self.fits.join(self.tests, "id")
 
 
-def _peak_weights(spark, d) -> tuple[DataFrame, float]:
-    """Normalised weights and the largest one before."""
-    return peaks.normalised(stage(kmers.norm_weights(stage(_arrays(spark, d)))))
+def _peak_weights(spark, d) -> tuple[DataFrame, DataFrame, float]:
+    """Normalised weights, which positions they use, and the largest one before."""
+    arrays = stage(_arrays(spark, d))
+    masses = stage(kmers.position_masses(arrays))
+    weights, top = peaks.normalised(stage(kmers.norm_weights(arrays, masses)))
+    return stage(weights), masses, top
 
 
 def _peaks(spark, d, signs: tuple[int, ...] = (1, -1)) -> DataFrame:
-    weights, _ = _peak_weights(spark, d)
-    return peaks.extract(weights, peaks.threshold(weights), signs=signs)
+    weights, masses, _ = _peak_weights(spark, d)
+    return peaks.extract(weights, peaks.threshold(weights, masses=masses), edge=peaks.edges(weights, masses), signs=signs)
 
 
 def _assigned(spark, d) -> DataFrame:
@@ -292,8 +295,8 @@ def length_correction(spark, d):
 
 
 def peak_threshold(spark, d):
-    weights, top = _peak_weights(spark, d)
-    level = peaks.threshold(weights)
+    weights, masses, top = _peak_weights(spark, d)
+    level = peaks.threshold(weights, masses=masses)
     return spark.range(1).select(F.round(F.lit(level), 6).alias("threshold"), F.round(F.lit(top), 6).alias("largest"))
 
 
@@ -421,8 +424,8 @@ def predict_rates(spark, d):
 
 def predict_peaks(spark, d):
     """Peaks of all documents by the motifs and the levels of the same documents."""
-    weights, top = _peak_weights(spark, d)
-    known = experiment.PeakModel(top, peaks.threshold(weights), list(fx.MOTIFS), weights)
+    weights, masses, top = _peak_weights(spark, d)
+    known = experiment.PeakModel(top, peaks.threshold(weights, masses=masses), list(fx.MOTIFS), weights)
     found = experiment.predict_peaks(fx.sequences(spark, d), fx.model(spark), known)
     return _rounded(found.select("id", "start", "end", "weight", "motif", "llr"), 6, "weight", "llr")
 
