@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -24,6 +25,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_ARROW_KEY, str(ARROW_BYTES))
 
 
+def release() -> None:
+    """Give freed memory of this Python worker back, which lives on for later tasks (where the C library can)."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import key_mod, remove, shared_dir, small_batches, written, written_in_buckets
+from kmerloom.llm.common import key_mod, release, remove, shared_dir, small_batches, written, written_in_buckets
 
 FOLDS, TEST_FOLD = 7, 2
 #: Tokens that a task gathers before it deals them out, and tokens a bucket is meant to hold.
@@ -235,6 +235,8 @@ def _deal(rows: DataFrame, common: _Common) -> DataFrame:
             )
             out.append((_home_of_chunk(name, common), -1 - name, _pack(kept)))
             yield pd.DataFrame(out, columns=["bucket", "chunk", "blob"])
+            del out, kept, doc, times, pair, w, c, by, bucket, spread
+            release()
 
     return rows.mapInPandas(run, "bucket int, chunk bigint, blob binary").repartitionById(common.buckets, F.col("bucket"))
 
@@ -266,12 +268,13 @@ class _Bucket:
             hashes.append(word)
             sizes.append(n_pairs)
             behind.append(own)
-            contexts.append(context.astype(np.int64) + at)
+            contexts.append(context + np.int32(at))
             counts.append(train)
             at += len(own)
         self.words, self.word_of = np.unique(np.concatenate(hashes).view(np.uint64), return_inverse=True)
         self.words = self.words.view(np.int64)
-        word = np.repeat(self.word_of, np.concatenate(sizes))
+        word = np.repeat(self.word_of.astype(np.int32), np.concatenate(sizes)).astype(np.int64)
+        del hashes, sizes
         self.contexts, number = np.unique(np.concatenate(behind).view(np.uint64), return_inverse=True)
         self.contexts = self.contexts.view(np.int64)
         home = _home(self.contexts, common)
@@ -281,7 +284,11 @@ class _Bucket:
         place[order] = np.arange(len(order))
         width = len(self.contexts)
         # in the order of the contexts' hashes, so that the pairs of a chunk ascend
-        pairs, self.pair_of = np.unique(word * width + number[np.concatenate(contexts)], return_inverse=True)
+        word *= width
+        word += number[np.concatenate(contexts)]
+        del behind, contexts, number
+        pairs, self.pair_of = np.unique(word, return_inverse=True)
+        del word
         self.word, self.context = pairs // width, place[pairs % width]
         self.count = np.bincount(self.pair_of, np.concatenate(counts), len(pairs)).astype(np.int64)
         self.hot = _find(common.hot, self.words)
@@ -416,6 +423,8 @@ def _start(rows: DataFrame, common: _Common) -> DataFrame:
             stay = [(FIXED, b.number, 0, None, _pack(b.fixed()))] + [(MAP, b.number, chunk, None, blob) for chunk, blob in b.maps()]
             yield pd.DataFrame(stay, columns=["kind", "bucket", "at", "v", "blob"])
             yield from _left(b.number, b.fixed(), tables, root, np.zeros(len(tables)), common)
+            del b, tables, root, stay
+            release()
 
     return written_in_buckets(_deal(rows, common).mapInPandas(run, SWEPT), common.buckets, shared_dir(rows.sparkSession))
 
@@ -484,6 +493,8 @@ def _sweep(first: DataFrame, swept: DataFrame, common: _Common, state: _State, s
                     b.total += b.probability()
                 b.sweep(seed)
                 yield from _left(b.number, b.fixed, b.tables, b.root, b.total, common)
+                del b
+                release()
 
     return written_in_buckets(_met(first, swept, common).mapInPandas(run, SWEPT), common.buckets, path)
 
@@ -522,6 +533,8 @@ def _score(first: DataFrame, swept: DataFrame, common: _Common, state: _State, s
                     pairs = np.cumsum(steps, dtype=np.int64)
                     home = np.int32(_home_of_chunk(int(m["at"]), common))
                     yield pd.DataFrame({"home": [home], "bucket": [row.bucket], "chunk": [m["at"]], "blob": [_pack((tokens, score[pairs]))]})
+                del score
+                release()
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
