@@ -12,8 +12,8 @@ leaves of the next builders.  The place of any node in postorder follows
 from the sizes of the subtrees before it (``position``), which is how proofs
 find the siblings on a leaf's way to the root: in bulk inside the builders'
 logs, top down (``proofs``), or for some leaves in the log of the whole tree
-(``prove``).  No task holds more than the ``ARITY ** HEIGHT`` leaves of a builder, and
-the driver sees counts only.
+(``prove``).  A builder holds at most ``ARITY ** HEIGHT`` leaves at a time, and the
+driver sees counts only.
 
 Digests are SHA-256 of their inputs in a row, digests among them as hex text.
 A leaf hashes its columns: ``-`` for null, else the number of UTF-8 bytes, a
@@ -41,9 +41,8 @@ from pyspark.sql import functions as F
 from kmerloom.llm.common import key_mod, shared_dir, small_batches, written
 
 ARITY = 3
-#: Levels of nodes that a builder adds above its leaves.
+#: Levels of nodes that a builder adds above its leaves: 729 leaves a builder.
 HEIGHT = 6
-BLOCK = ARITY**HEIGHT
 #: Columns that a leaf hashes, in this order (fixed).
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 _BYTES = 32
@@ -164,31 +163,30 @@ def numbered(rows: DataFrame, tree: str, *order: str) -> DataFrame:
     return found.select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias("i"), "n")
 
 
-def _build(rows: DataFrame, payload: str) -> DataFrame:
+def _build(rows: DataFrame, payload: str, height: int) -> DataFrame:
     """Builders' logs of one height: ``tree``, ``block``, ``n`` (nodes of the tree at this height), ``log`` and the payload of each node below."""
 
     def build(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("i")
         n = int(batch["n"].iloc[0])
-        log = append_log([bytes(x) for x in batch["digest"]], min(HEIGHT, levels(n)))
-        head = {"tree": batch["tree"].iloc[:1].tolist(), "block": [int(batch["i"].iloc[0]) // BLOCK], "n": [n], "log": [b"".join(log)]}
+        log = append_log([bytes(x) for x in batch["digest"]], min(height, levels(n)))
+        head = {"tree": batch["tree"].iloc[:1].tolist(), "block": [int(batch["i"].iloc[0]) // ARITY**height], "n": [n], "log": [b"".join(log)]}
         return pd.DataFrame(head | {"payload": [[x if x == x else None for x in batch["payload"]]]})
 
     kind = rows.schema[payload].dataType.simpleString()
-    given = rows.select("tree", "i", "n", "digest", F.col(payload).alias("payload"), F.expr(f"i div {BLOCK}").alias("_block"))
-    made = given.groupBy("tree", "_block").applyInPandas(build, f"tree string, block bigint, n bigint, log binary, payload array<{kind}>")
-    return made
+    given = rows.select("tree", "i", "n", "digest", F.col(payload).alias("payload"), F.expr(f"i div {ARITY**height}").alias("_block"))
+    return given.groupBy("tree", "_block").applyInPandas(build, f"tree string, block bigint, n bigint, log binary, payload array<{kind}>")
 
 
-def grow(rows: DataFrame, payload: str) -> list[DataFrame]:
+def grow(rows: DataFrame, payload: str, height: int = HEIGHT) -> list[DataFrame]:
     """The logs of trees over ``rows`` (``tree``, ``i``, ``n``, ``digest`` and a payload column), written, lowest builders first."""
     most = rows.agg(F.max("n")).first()[0] or 0
     base, out = shared_dir(rows.sparkSession), []
     while not out or most > 1:
-        out.append(written(_build(rows, payload if not out else "i"), f"{base}/{len(out)}"))
-        most = -(-most // BLOCK)
+        out.append(written(_build(rows, "i" if out else payload, height), f"{base}/{len(out)}"))
+        most = -(-most // ARITY**height)
         # every tree has a log in every pass: a tree of one node adds nothing
-        rows = tops(out[-1]).select("tree", F.col("block").alias("i"), F.ceil(F.col("n") / BLOCK).cast("long").alias("n"), "digest")
+        rows = tops(out[-1]).select("tree", F.col("block").alias("i"), F.expr(f"(n + {ARITY**height - 1}) div {ARITY**height}").alias("n"), "digest")
     return out
 
 
@@ -197,7 +195,7 @@ def tops(logs: DataFrame) -> DataFrame:
     return logs.select("tree", "block", "n", F.substring("log", -_BYTES, _BYTES).alias("digest"))
 
 
-def proofs(logs: list[DataFrame], above: DataFrame, carried: dict[str, str]) -> DataFrame:
+def proofs(logs: list[DataFrame], above: DataFrame, carried: dict[str, str], height: int = HEIGHT) -> DataFrame:
     """Per leaf: ``tree``, ``i``, ``n``, ``digest``, ``payload``, ``root`` (its tree's), ``path`` (siblings up to and with ``above``'s).
 
     ``above`` has ``tree``, ``path`` and the ``carried`` columns (name: type)
@@ -212,12 +210,12 @@ def proofs(logs: list[DataFrame], above: DataFrame, carried: dict[str, str]) ->
                 for r in batch.itertuples():
                     here = len(r.payload)
                     nodes = [r.log[a : a + _BYTES] for a in range(0, len(r.log), _BYTES)]
-                    height = min(HEIGHT, levels(int(r.n)))
-                    own = position(0, np.arange(here), here, height)
-                    _, at = siblings(np.arange(here), here, height)
+                    here_levels = min(height, levels(int(r.n)))
+                    own = position(0, np.arange(here), here, here_levels)
+                    _, at = siblings(np.arange(here), here, here_levels)
                     out = {
                         "tree": r.tree,
-                        "i": np.arange(here) + int(r.block) * BLOCK,
+                        "i": np.arange(here) + int(r.block) * ARITY**height,
                         "n": int(r.n),
                         "digest": [nodes[p] for p in own],
                         "payload": list(r.payload),
@@ -234,21 +232,21 @@ def proofs(logs: list[DataFrame], above: DataFrame, carried: dict[str, str]) ->
     return found
 
 
-def node_log(logs: list[DataFrame]) -> DataFrame:
+def node_log(logs: list[DataFrame], height: int = HEIGHT) -> DataFrame:
     """The whole logs: ``tree``, ``position`` (in the tree's postorder), ``level``, ``index`` and ``digest`` of every node."""
     out = None
     for depth, table in enumerate(logs):
         leaves_of = logs[0].groupBy("tree").agg(F.max("n").alias("leaves"))  # equal in all of a tree's logs
 
-        def place(batches: Iterator[pd.DataFrame], lowest: int = depth * HEIGHT) -> Iterator[pd.DataFrame]:
+        def place(batches: Iterator[pd.DataFrame], lowest: int = depth * height) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for r in batch.itertuples():
-                    height = min(HEIGHT, levels(int(r.n)))
-                    sizes = level_sizes(int(r.here), height)
-                    level = np.repeat(np.arange(height + 1), sizes)
+                    here_levels = min(height, levels(int(r.n)))
+                    sizes = level_sizes(int(r.here), here_levels)
+                    level = np.repeat(np.arange(here_levels + 1), sizes)
                     index = np.concatenate([np.arange(s) for s in sizes])
-                    at = position(level, index, int(r.here), height)
-                    index = index + int(r.block) * ARITY ** (HEIGHT - level)
+                    at = position(level, index, int(r.here), here_levels)
+                    index = index + int(r.block) * ARITY ** (height - level)
                     some = level >= (lowest > 0)  # a builder's leaves are nodes of the builders below
                     digests = [r.log[a * _BYTES : (a + 1) * _BYTES] for a in at[some]]
                     whole = position(level[some] + lowest, index[some], int(r.leaves))
@@ -282,7 +280,7 @@ def tree_of(group: Column) -> Column:
     return F.when(group.isNull(), "").otherwise(F.concat(F.lit("="), group.cast("string")))
 
 
-def manifest(docs: DataFrame, key: str = "doc_id", group: str = "source", columns: tuple[str, ...] = COLUMNS, text: str = "text") -> DataFrame:
+def manifest(docs: DataFrame, key: str = "doc_id", group: str = "source", columns: tuple[str, ...] = COLUMNS, text: str = "text", height: int = HEIGHT) -> DataFrame:
     """Per row: key, ``leaf``, ``subroot``, ``root``, ``path`` (siblings' digests in a row), ``folded_root`` and ``verified``.
 
     All but the key and ``verified`` are binary.  ``folded_root`` comes from
@@ -300,11 +298,11 @@ def manifest(docs: DataFrame, key: str = "doc_id", group: str = "source", column
         F.when(F.col("key").isNull(), F.lit(b"\x00")).otherwise(F.concat(F.lit(b"\x01"), F.unhex(F.lpad(F.hex("key"), 16, "0")))),
         F.coalesce("changed", F.lit(b"")),
     )
-    logs = grow(leaves.withColumn("packed", packed), "packed")
+    logs = grow(leaves.withColumn("packed", packed), "packed", height)
     roots = tops(logs[-1]).select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest")
-    upper = grow(numbered(roots, "tree", "name"), "name")
+    upper = grow(numbered(roots, "tree", "name"), "name", height)
     over = docs.sparkSession.range(1).select(F.lit("").alias("tree"), F.lit(b"").alias("path"))
-    way = proofs(upper, over, {})
+    way = proofs(upper, over, {}, height)
     above = way.select(F.col("payload").alias("tree"), "path", F.col("i").alias("tree_i"), F.col("n").alias("trees"), F.col("root").alias("whole"))
     sizes = logs[0].groupBy("tree").agg(F.max("n").alias("leaves"))
     above = above.join(sizes, "tree")
@@ -322,5 +320,5 @@ def manifest(docs: DataFrame, key: str = "doc_id", group: str = "source", column
             out = {"key": pd.array(keys, "Int64"), "leaf": batch["digest"], "subroot": batch["root"], "root": batch["whole"], "path": batch["path"], "folded_root": folded}
             yield pd.DataFrame(out)
 
-    found = proofs(logs, above, carried).mapInPandas(check, "key bigint, leaf binary, subroot binary, root binary, path binary, folded_root binary")
+    found = proofs(logs, above, carried, height).mapInPandas(check, "key bigint, leaf binary, subroot binary, root binary, path binary, folded_root binary")
     return found.withColumn("verified", F.col("folded_root") == F.col("root")).withColumnRenamed("key", key)
