@@ -8,10 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions.stats import running_sums
+from kmerloom.operators.alignment import BIN, align, group_profiles
 
 LETTERS = "ACGT"
 NONE = "NA"
@@ -193,19 +194,23 @@ def seed_alignment(sequences: DataFrame, seed: str) -> DataFrame:
     return found.join(F.broadcast(edge)).select("seq", "weight", padded.alias("aligned"))  # one row
 
 
+def _rounded(sums: Column, scale: float) -> Column:
+    """A weight as a count, 1 at least where there is any."""
+    return F.when(sums > 0, F.greatest(F.floor(sums * scale + 0.5), F.lit(1))).otherwise(0)
+
+
 def from_alignment(aligned: DataFrame, options: MotifOptions = MotifOptions()) -> DataFrame:
     """``pos``, ``A``, ``C``, ``G``, ``T``, ``information`` of the matrix of weighted, aligned sequences.
 
-    A letter counts for its sequence's weight in thousandths of the total, at
-    least 1; a dash gives a quarter of its count to each letter.  Columns
-    outside the first and last informative one are cut off.
+    The weights of a column's letter are summed and then counted in
+    thousandths, at least 1; its dashes give a quarter of their count to each
+    letter.  Columns outside the first and last informative one are cut off.
     """
-    total = aligned.agg(F.sum(F.abs("weight")).alias("total"))
-    n = F.greatest(F.floor(F.abs("weight") / F.col("total") * options.weight_scale + 0.5), F.lit(1)).cast("long")
-    letters = aligned.join(F.broadcast(total)).select(n.alias("n"), F.posexplode(F.split("aligned", "")).alias("pos", "letter"))  # one row
-    sums = letters.groupBy("pos").agg(*[F.sum(F.when(F.col("letter") == x, F.col("n")).otherwise(0)).alias(f"_{x}") for x in LETTERS + "-"])
+    letters = aligned.select(F.abs("weight").alias("w"), F.posexplode(F.split("aligned", "")).alias("pos", "letter"))
+    sums = letters.groupBy("pos").agg(*[F.sum(F.when(F.col("letter") == x, F.col("w")).otherwise(0.0)).alias(x) for x in LETTERS + "-"])
+    counts = sums.select("pos", *[_rounded(F.col(x), options.weight_scale).alias(f"_{x}") for x in LETTERS + "-"])
     gap = F.floor(F.col("_-") / 4 + 0.5)
-    filled = sums.select("pos", *[(F.col(f"_{x}") + gap).alias(x) for x in LETTERS])
+    filled = counts.select("pos", *[(F.col(f"_{x}") + gap).alias(x) for x in LETTERS])
     whole = sum((F.col(x) for x in LETTERS), F.lit(0))
     shares = filled.select("pos", *[F.try_divide(F.col(x).cast("double"), whole).alias(x) for x in LETTERS])
     entropy = sum((F.when(F.col(x) > 0, F.col(x) * F.log2(x)).otherwise(0.0) for x in LETTERS), F.lit(0.0))
@@ -215,42 +220,19 @@ def from_alignment(aligned: DataFrame, options: MotifOptions = MotifOptions()) -
     return inside.select((F.col("pos") - F.col("first") + 1).alias("pos"), *LETTERS, "information")
 
 
-def shift(anchor: str, seq: str) -> int:
-    """By how much a sequence is moved so that most letters agree with the anchor's; of equals the least move, then the one to the left."""
-    scores = np.zeros(len(anchor) + len(seq) - 1)
-    for x in set(anchor) & set(seq):
-        here, there = (np.frombuffer(s.encode("utf-32-le"), np.uint32) == ord(x) for s in (anchor, seq[::-1]))
-        scores += np.convolve(here.astype(float), there.astype(float))
-    moves = np.arange(1 - len(seq), len(anchor))
-    return int(moves[np.lexsort((moves, np.abs(moves), -np.round(scores)))[0]])
-
-
-def align(sequences: Sequence[str], weights: Sequence[float]) -> list[str]:
-    """Gapless alignment on the heaviest sequence: each is shifted to where most letters agree."""
-    if not sequences:
-        return []
-    order = sorted(range(len(sequences)), key=lambda i: (-abs(weights[i]), sequences[i]))
-    anchor = sequences[order[0]]
-    shifts = [shift(anchor, s) for s in sequences]
-    left = min(shifts)
-    width = max(d - left + len(s) for d, s in zip(shifts, sequences, strict=True))
-    return [("-" * (d - left) + s).ljust(width, "-") for d, s in zip(shifts, sequences, strict=True)]
-
-
 def build_matrix(aligned: Sequence[str], weights: Sequence[float], options: MotifOptions = MotifOptions()) -> tuple[tuple[float, ...], ...]:
-    """The matrix of ``from_alignment`` for a few sequences in memory (the members of one motif)."""
-    total = sum(map(abs, weights)) or 1.0
-    counts = np.zeros((len(aligned[0]), 5))
+    """The matrix of ``from_alignment`` for a few sequences in memory."""
+    sums = np.zeros((len(aligned[0]), 5))
     for s, w in zip(aligned, weights, strict=True):
-        n = max(math.floor(abs(w) / total * options.weight_scale + 0.5), 1)
         for i, c in enumerate(s):
             if c in "ACGT-":
-                counts[i, "ACGT-".index(c)] += n
-    return _matrix(counts, options)
+                sums[i, "ACGT-".index(c)] += abs(w)
+    return _matrix(sums, options)
 
 
-def _matrix(counts: np.ndarray, options: MotifOptions) -> tuple[tuple[float, ...], ...]:
-    """Shares of the letters between the first and last informative position, from counts of A, C, G, T and dashes."""
+def _matrix(sums: np.ndarray, options: MotifOptions) -> tuple[tuple[float, ...], ...]:
+    """Shares of the letters between the first and last informative position, from the weights of A, C, G, T and dashes."""
+    counts = np.where(sums > 0, np.maximum(np.floor(sums * options.weight_scale + 0.5), 1), 0)
     letters = counts[:, :4] + np.floor(counts[:, 4:] / 4 + 0.5)
     p = letters / np.maximum(letters.sum(1, keepdims=True), 1)
     info = 2 + np.where(p > 0, p * np.log2(np.maximum(p, 1e-300)), 0).sum(1)
@@ -299,32 +281,27 @@ def seed_cover(peaks: DataFrame, lengths: Sequence[int] = (4, 5, 6), limit: int
     return first.select("seq", "weight", F.coalesce("hit.seed", F.lit(NONE)).alias("seed"), F.col("hit.round").alias("round"))
 
 
-def group_counts(assigned: DataFrame, options: MotifOptions = MotifOptions()) -> DataFrame:
-    """``motif``, ``pos``, weighted counts ``A``, ``C``, ``G``, ``T`` and ``gap`` of all peaks of each group.
+def seed_profiles(covered: DataFrame, bin_size: int = BIN) -> DataFrame:
+    """``motif``, ``pos`` and weights ``A``, ``C``, ``G``, ``T``, ``gap`` of the peaks of each seed (``motif``), first occurrences in one column.
 
-    Peaks are shifted as by ``align`` and weigh as in ``from_alignment``.
+    Two peaks alone are aligned with each other instead, seed or none.
     """
-    each = assigned.groupBy("motif", "seq", F.abs("weight").alias("w")).agg(F.count("*").alias("c"))
-    group = each.groupBy("motif").agg(F.min(F.struct((-F.col("w")).alias("w"), "seq"))["seq"].alias("anchor"), F.sum(F.col("w") * F.col("c")).alias("total"))
-    # a row a group
-    members = each.join(F.broadcast(group), "motif").withColumn("n", F.col("c") * F.greatest(F.floor(F.try_divide("w", "total") * options.weight_scale + 0.5), F.lit(1)))
-
-    @F.pandas_udf("int")
-    def moved(anchor: pd.Series, seq: pd.Series) -> pd.Series:
-        return pd.Series([shift(a, x) if a and x else 0 for a, x in zip(anchor, seq, strict=True)])
-
-    # each distinct sequence is shifted once
-    shifts = members.select("motif", "seq", "anchor").distinct().select("motif", "seq", moved("anchor", "seq").alias("shift"))
-    letters = members.join(shifts, ["motif", "seq"]).select("motif", "n", "shift", F.posexplode(F.split("seq", "")).alias("i", "letter"))
-    sums = [F.sum(F.when(F.col("letter") == x, F.col("n")).otherwise(0)).alias(x) for x in LETTERS]
-    dashes = F.sum(F.when(F.col("letter") != "-", F.col("n")).otherwise(0)).alias("here")
-    per = letters.groupBy("motif", (F.col("shift") + F.col("i")).alias("pos")).agg(*sums, dashes)
-    whole = members.groupBy("motif").agg(F.sum("n").alias("whole"))
-    return per.join(F.broadcast(whole), "motif").select("motif", "pos", *LETTERS, (F.col("whole") - F.col("here")).alias("gap"))  # a row a group
+    each = covered.where(F.col("motif") != NONE).groupBy("motif", "seq").agg(F.sum(F.abs("weight")).alias("w"))
+    sizes = each.groupBy("motif").agg(F.count("*").alias("members"), F.sum("w").alias("whole"))
+    placed = each.join(sizes, "motif")
+    pairs = group_profiles(placed.where("members = 2").select("motif", "seq", F.col("w").alias("weight")), bin_size)
+    at = F.instr("seq", F.col("motif"))
+    letters = placed.where("members <> 2").select("motif", "w", "whole", at.alias("at"), F.posexplode(F.split("seq", "")).alias("i", "letter"))
+    sums = [F.sum(F.when(F.col("letter") == x, F.col("w")).otherwise(0.0)).alias(x) for x in LETTERS]
+    per = letters.groupBy("motif", (F.col("i") - F.col("at")).alias("pos")).agg(*sums, F.sum("w").alias("here"), F.count("*").alias("n"), F.max("whole").alias("whole"))
+    every = per.join(sizes.select("motif", "members"), "motif")
+    # where all have a letter there is no dash, whatever the sums' last digits say
+    gap = F.when(F.col("n") < F.col("members"), F.col("whole") - F.col("here")).otherwise(0.0)
+    return every.select("motif", "pos", *LETTERS, gap.alias("gap")).unionByName(pairs)
 
 
 def named(groups: dict[str, list[tuple]], sign: int, options: MotifOptions = MotifOptions()) -> list[Motif]:
-    """Motifs from counts of A, C, G, T and dashes by position, named after their consensus; of one name the first."""
+    """Motifs from weights of A, C, G, T and dashes by position, named after their consensus; of one name the first."""
     out: dict[str, Motif] = {}
     for name in sorted(groups):
         columns = _matrix(np.array([row[1:] for row in sorted(groups[name])], float), options)
@@ -334,18 +311,14 @@ def named(groups: dict[str, list[tuple]], sign: int, options: MotifOptions = Mot
     return list(out.values())
 
 
-def window_counts(assigned: DataFrame, options: MotifOptions = MotifOptions()) -> DataFrame:
-    """``group_counts`` of peaks that have a motif, from the windows that ``assign`` found: as wide as the motif was."""
-    each = assigned.groupBy("motif", "window", F.abs("weight").alias("w")).agg(F.count("*").alias("c"))
-    total = each.groupBy("motif").agg(F.sum(F.col("w") * F.col("c")).alias("total"))
-    # a row a group
-    n = F.col("c") * F.greatest(F.floor(F.try_divide("w", "total") * options.weight_scale + 0.5), F.lit(1))
-    letters = each.join(F.broadcast(total), "motif").select("motif", n.alias("n"), F.posexplode(F.split("window", "")).alias("pos", "letter"))
-    sums = [F.sum(F.when(F.col("letter") == x, F.col("n")).otherwise(0)).alias(c) for x, c in zip(LETTERS + "-", [*LETTERS, "gap"], strict=True)]
+def window_profiles(assigned: DataFrame) -> DataFrame:
+    """``motif``, ``pos`` and weights of letters and dashes of peaks that have a motif, from the windows that ``assign`` found."""
+    letters = assigned.select("motif", F.abs("weight").alias("w"), F.posexplode(F.split("window", "")).alias("pos", "letter"))
+    sums = [F.sum(F.when(F.col("letter") == x, F.col("w")).otherwise(0.0)).alias(c) for x, c in zip(LETTERS + "-", [*LETTERS, "gap"], strict=True)]
     return letters.groupBy("motif", "pos").agg(*sums)
 
 
-def rebuild(assigned: DataFrame, sign: int, options: MotifOptions = MotifOptions()) -> list[Motif]:
+def rebuild(assigned: DataFrame, sign: int, options: MotifOptions = MotifOptions(), bin_size: int = BIN) -> list[Motif]:
     """A motif for every group of peaks of a sign, from all of its peaks; only matrices reach the driver.
 
     Peaks with a motif count by their best windows; those without are a
@@ -353,7 +326,7 @@ def rebuild(assigned: DataFrame, sign: int, options: MotifOptions = MotifOptions
     """
     own = assigned.where(F.signum("weight") == sign)
     groups: dict[str, list] = {}
-    for part in (window_counts(own.where(F.col("motif") != NONE), options), group_counts(own.where(F.col("motif") == NONE), options)):
+    for part in (window_profiles(own.where(F.col("motif") != NONE)), group_profiles(own.where(F.col("motif") == NONE), bin_size)):
         for r in part.collect():
             groups.setdefault(r["motif"], []).append((r["pos"], *(r[x] for x in (*LETTERS, "gap"))))
     return named(groups, sign, options)

@@ -138,7 +138,7 @@ def _seed_motifs(found: DataFrame, sign: int, options: MotifOptions) -> list[Mot
     groups = motifs.group_stats(covered).withColumnRenamed("motif", "consensus")
     heavy = [r["consensus"] for r in motifs.heavy_motifs(groups, options.min_weight_share).collect()]
     rows: dict[str, list] = {}
-    for r in motifs.group_counts(covered.where(F.col("motif").isin(heavy)), options).collect():
+    for r in motifs.seed_profiles(covered.where(F.col("motif").isin(heavy))).collect():
         rows.setdefault(r["motif"], []).append((r["pos"], *(r[x] for x in (*motifs.LETTERS, "gap"))))
     return motifs.named(rows, sign, options)
 

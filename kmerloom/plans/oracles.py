@@ -280,8 +280,9 @@ def all_sql() -> dict[str, str]:
         ),
         "seed_align": _with(ALIGNED, "SELECT seq, round(weight, 6) AS weight, aligned FROM al"),
         "pwm_build_from_alignment": _with(
-            f"{ALIGNED}, tt AS (SELECT sum(abs(weight)) AS total FROM al), le AS (SELECT greatest(floor(abs(weight) / total * 1000 + 0.5), 1) AS n, i - 1 AS pos, substr(aligned, i::INT, 1) AS c FROM (SELECT *, unnest(range(1, length(aligned) + 1)) AS i FROM al), tt), "
-            "ct AS (SELECT pos, " + ", ".join(f"sum(n) FILTER (c = '{x}') AS n{x}" for x in "ACGT") + ", coalesce(sum(n) FILTER (c = '-'), 0) AS gap FROM le GROUP BY pos), "
+            f"{ALIGNED}, le AS (SELECT abs(weight) AS w, i - 1 AS pos, substr(aligned, i::INT, 1) AS c FROM (SELECT *, unnest(range(1, length(aligned) + 1)) AS i FROM al)), "
+            "su AS (SELECT pos, c, greatest(floor(sum(w) * 1000 + 0.5), 1) AS n FROM le GROUP BY ALL), "
+            "ct AS (SELECT pos, " + ", ".join(f"sum(n) FILTER (c = '{x}') AS n{x}" for x in "ACGT") + ", coalesce(sum(n) FILTER (c = '-'), 0) AS gap FROM su GROUP BY pos), "
             "fi AS (SELECT pos, " + ", ".join(f"coalesce(n{x}, 0) + floor(gap / 4 + 0.5) AS {x}" for x in "ACGT") + " FROM ct), "
             "sh AS (SELECT pos, " + ", ".join(f"{x} / (A + C + G + T) AS {x}" for x in "ACGT") + " FROM fi), "
             "inf AS (SELECT *, 2 + " + " + ".join(f"CASE WHEN {x} > 0 THEN {x} * log2({x}) ELSE 0 END" for x in "ACGT") + " AS information FROM sh), "

@@ -58,10 +58,9 @@ def test_motifs_are_rebuilt_from_all_peaks(spark):
     rows += [("NA", "".join(rng.choice(list("ACGT"), rng.integers(1, 4))) + "GACC", 1.0) for _ in range(600)]
     windows = [("m", "GGTA", "GTA", 1.0), ("m", "CGTA", "GTA", 1.5), ("m", "TA", "-TA", 1.0)]
     made = spark.createDataFrame([(*r[:2], None, r[2]) for r in rows] + windows, "motif string, seq string, window string, weight double")
-    got = motifs.rebuild(made, 1)
-    own = sorted((s, w) for _, s, w in rows)
-    seqs, weights = [s for s, _ in own], [w for _, w in own]
-    want = [motifs.build_matrix(motifs.align(seqs, weights), weights), motifs.build_matrix([x for _, _, x, _ in windows], [w for *_, w in windows])]
+    got = motifs.rebuild(made, 1, bin_size=1000)
+    seqs, weights = [s for _, s, _ in rows], [w for *_, w in rows]
+    want = [motifs.build_matrix(motifs.align(seqs), weights), motifs.build_matrix([x for _, _, x, _ in windows], [w for *_, w in windows])]
     assert len(got) == len(want)
     for m, columns in zip(got, want, strict=True):
         assert np.allclose(m.columns, columns)
