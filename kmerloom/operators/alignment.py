@@ -30,6 +30,8 @@ LETTERS = "ACGT"
 MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 5.0, -4.0, 100.0, 1.25
 #: Sequences of a bin, and heaviest sequences of a group that bins form around.
 BIN, CENTRES = 128, 16
+#: Pairs times columns that are scored together.
+CELLS = 1 << 18
 
 _SCORES = np.where(np.eye(4, dtype=bool), MATCH, MISMATCH)
 _CODES = np.full(256, 4, np.int64)
@@ -80,6 +82,15 @@ def pair(scores: np.ndarray, gap_open: float = GAP_OPEN, extend: float = GAP_EXT
     extensions at an end.  Of equal ways a pair goes before a gap in the
     second, and that before a gap in the first.
     """
+    if scores.shape[0] <= scores.shape[1]:
+        return _pair(scores, gap_open, extend, [0, 1, 2])
+    # the shorter one is gone through step by step
+    best, left, right = _pair(scores.T, gap_open, extend, [0, 2, 1])
+    return best, right, left
+
+
+def _pair(scores: np.ndarray, gap_open: float, extend: float, order: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
+    """``pair`` with the last steps in the order in which they go before each other."""
     m, n = scores.shape
     low = -np.inf
     both, first, second = (np.full((m + 1, n + 1), low) for _ in range(3))  # the last step: a pair, a column of the first or of the second alone
@@ -95,10 +106,15 @@ def pair(scores: np.ndarray, gap_open: float = GAP_OPEN, extend: float = GAP_EXT
         # the best place before where the gap can have begun
         start = np.maximum.accumulate(np.maximum(both[i], first[i]) + steps)
         second[i, 1:] = start[:-1] - opened - (steps[1:] - extend)
+
+    def likeliest(values: list[float]) -> int:
+        most = max(values) - 1e-9
+        return next(k for k in order if values[k] >= most)
+
     i, j = m, n
     tables = (both, first, second)
-    state = int(np.argmax([t[m, n] for t in tables]))
-    best = float(tables[state][m, n])
+    state = likeliest([float(t[m, n]) for t in tables])
+    best = max(float(t[m, n]) for t in tables)
     left: list[int] = []
     right: list[int] = []
     while i or j:
@@ -118,8 +134,7 @@ def pair(scores: np.ndarray, gap_open: float = GAP_OPEN, extend: float = GAP_EXT
             j -= 1
             opened = extend if i in (0, m) else gap_open
             costs = (opened, opened, extend)
-        values = [t[i, j] - c for t, c in zip(tables, costs, strict=True)]
-        state = int(np.argmax(np.asarray(values) >= max(values) - 1e-9))
+        state = likeliest([float(t[i, j] - c) for t, c in zip(tables, costs, strict=True)])
     return best, np.array(left[::-1], int), np.array(right[::-1], int)
 
 
@@ -131,44 +146,55 @@ def merge(a: Profile, b: Profile) -> tuple[Profile, np.ndarray, np.ndarray]:
 
 
 def pair_scores(seqs: Sequence[str]) -> np.ndarray:
-    """Scores of the best alignments of all pairs of sequences, each with itself too; all pairs of a cell are computed at once."""
-    size = np.array([len(s) for s in seqs])
-    longest = int(size.max(initial=0))
-    letters = np.full((len(seqs), longest), 4)
-    for i, s in enumerate(seqs):
-        letters[i, : len(s)] = codes(s)
+    """Scores of the best alignments of all pairs of sequences, each with itself too; pairs of like lengths are computed together."""
+    own = [codes(s) for s in seqs]
+    size = np.array([len(c) for c in own])
     a, b = np.triu_indices(len(seqs))
-    m, n = size[a], size[b]
-    table = np.zeros((5, 5))
-    table[:4, :4] = _SCORES
+    a, b = np.where(size[a] <= size[b], a, b), np.where(size[a] <= size[b], b, a)  # the shorter one first
     out = np.zeros(len(a))
-    low = np.full(len(a), -np.inf)
-    above = None
-    for i in range(longest + 1):
-        row: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        opened_second = np.where((i == 0) | (i == m), GAP_EXTEND, GAP_OPEN)
-        for j in range(longest + 1):
-            both = first = second = low
-            if i and j:
-                both = np.maximum.reduce(above[j - 1]) + table[letters[a, i - 1], letters[b, j - 1]]
-            elif not i and not j:
-                both = np.zeros(len(a))
-            if i:
-                opened = np.where((j == 0) | (j == n), GAP_EXTEND, GAP_OPEN)
-                first = np.maximum(np.maximum(above[j][0], above[j][2]) - opened, above[j][1] - GAP_EXTEND)
-            if j:
-                before = row[j - 1]
-                second = np.maximum(np.maximum(before[0], before[1]) - opened_second, before[2] - GAP_EXTEND)
-            row.append((both, first, second))
-            done = (m == i) & (n == j)
-            if done.any():
-                out[done] = np.maximum.reduce([x[done] for x in row[-1]])
-        above = row
+    like = np.ceil(np.log2(np.maximum(size, 1))).astype(int)
+    kinds = like[a] * 64 + like[b]
+    for kind in np.unique(kinds):
+        at = np.flatnonzero(kinds == kind)
+        step = max(1, CELLS // (int(size[b[at]].max()) + 1))
+        for lo in range(0, len(at), step):
+            some = at[lo : lo + step]
+            out[some] = _scores_of([own[i] for i in a[some]], [own[i] for i in b[some]])
     scores = np.zeros((len(seqs), len(seqs)))
     scores[a, b] = scores[b, a] = out
     return scores
 
 
+def _scores_of(short: list[np.ndarray], long: list[np.ndarray]) -> np.ndarray:
+    """Scores of pairs of coded sequences, as ``pair`` finds them, all pairs a row at a time."""
+    m, n = (np.array([len(c) for c in side]) for side in (short, long))
+    x, y = (np.full((len(short), int(sizes.max(initial=0))), 4) for sizes in (m, n))
+    for letters, side in ((x, short), (y, long)):
+        for i, c in enumerate(side):
+            letters[i, : len(c)] = c
+    table = np.zeros((5, 5))
+    table[:4, :4] = _SCORES
+    places = np.arange(y.shape[1] + 1)
+    first_open = np.where((places == 0) | (places == n[:, None]), GAP_EXTEND, GAP_OPEN)
+    steps = GAP_EXTEND * places
+    both = np.full(first_open.shape, -np.inf)
+    first, second, out = both.copy(), both.copy(), np.zeros(len(m))
+    both[:, 0] = 0.0
+    for i in range(x.shape[1] + 1):
+        if i:
+            reached = np.maximum(np.maximum(both, first), second)
+            first = np.maximum(np.maximum(both, second) - first_open, first - GAP_EXTEND)
+            both = np.full(first.shape, -np.inf)
+            both[:, 1:] = reached[:, :-1] + table[x[:, i - 1, None], y]
+        opened = np.where((i == 0) | (i == m), GAP_EXTEND, GAP_OPEN)[:, None]
+        start = np.maximum.accumulate(np.maximum(both, first) + steps, axis=1)
+        second = np.full(first.shape, -np.inf)
+        second[:, 1:] = start[:, :-1] - opened - (steps[1:] - GAP_EXTEND)
+        done = np.flatnonzero(m == i)
+        out[done] = np.maximum(np.maximum(both[done, n[done]], first[done, n[done]]), second[done, n[done]])
+    return out
+
+
 def distances(seqs: Sequence[str]) -> np.ndarray:
     """1 less the score of a pair over the lesser of both scores with themselves."""
     scores = pair_scores(seqs)

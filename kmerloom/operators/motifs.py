@@ -62,20 +62,58 @@ def best_windows(seqs: Sequence[str], table: Sequence[Sequence[float]], digits:
     letters do not count (minus infinity).
     """
     m = len(table)
+    rows = np.array([[*row, -np.inf] for row in table])
+    sizes = np.fromiter(map(len, seqs), np.int64, len(seqs))
+    best, place = np.zeros(len(seqs)), np.zeros(len(seqs), np.int64)
+    # a table much longer than a sequence is mostly dashes
+    for some, score in ((2 * sizes >= m, _by_columns), (2 * sizes < m, _by_letters)):
+        own = np.flatnonzero(some)
+        if not len(own):
+            continue
+        n = sizes[own] + m  # windows of each sequence
+        at = np.concatenate([[0], np.cumsum(n)[:-1]])
+        total = np.round(score([seqs[i] for i in own], rows, n), digits)
+        top = np.maximum.reduceat(total, at)
+        hit = np.flatnonzero(total == np.repeat(top, n))
+        of = np.repeat(np.arange(len(own)), n)[hit]
+        _, first = np.unique(of, return_index=True)
+        best[own], place[own] = top, hit[first] - at
+    return best, place
+
+
+def _codes_of(text: str) -> np.ndarray:
+    return _CODES[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+
+
+def _by_columns(seqs: Sequence[str], rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Scores of all windows of all sequences, summed over the table's positions."""
+    m = len(rows)
     pad = "-" * m
-    flat = _CODES[np.frombuffer("".join(f"{pad}{x}{pad}" for x in seqs).encode("ascii", "replace"), np.uint8)]
-    n = np.fromiter(map(len, seqs), np.int64, len(seqs)) + m  # windows of each sequence
-    at = np.concatenate([[0], np.cumsum(n)[:-1]])
+    flat = _codes_of("".join(f"{pad}{x}{pad}" for x in seqs))
     place = np.arange(int(n.sum())) + np.repeat(np.arange(len(seqs)) * m, n)
     total = np.zeros(len(place))
-    for j, row in enumerate(table):
-        total += np.array([*row, -np.inf])[flat[place + j]]
-    total = np.round(total, digits)
-    best = np.maximum.reduceat(total, at)
-    hit = np.flatnonzero(total == np.repeat(best, n))
-    of = np.repeat(np.arange(len(seqs)), n)[hit]
-    _, first = np.unique(of, return_index=True)
-    return best, hit[first] - at
+    for j, row in enumerate(rows):
+        total += row[flat[place + j]]
+    return total
+
+
+def _by_letters(seqs: Sequence[str], rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The same, summed over the sequences' letters: each takes the place of a dash."""
+    m = len(rows)
+    dashes = rows[:, 4]
+    gain = rows - dashes[:, None]
+    at = np.concatenate([[0], np.cumsum(n)[:-1]])
+    k = np.arange(int(n.sum())) - np.repeat(at, n)
+    letters = np.zeros((len(seqs), int(n.max()) - m), np.int64)
+    for i, s in enumerate(seqs):
+        letters[i, : len(s)] = _codes_of(s)
+    of = np.repeat(np.arange(len(seqs)), n)
+    total = np.full(len(k), dashes.sum())
+    for i in range(letters.shape[1]):
+        column = m + i - k
+        some = np.flatnonzero((column >= 0) & (column < m) & (i < n[of] - m))
+        total[some] += gain[column[some], letters[of[some], i]]
+    return total
 
 
 def _parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:

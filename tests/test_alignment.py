@@ -142,3 +142,16 @@ def test_seed_groups(spark):
     want = [[0, 0, 4, 0, 3], [0, 0, 4, 1, 2], [7, 0, 0, 0, 0], [0, 7, 0, 0, 0], [0, 0, 7, 0, 0], [2, 0, 0, 1, 4], [0, 2, 0, 0, 5], [0, 0, 2, 0, 5]]
     assert [list(r[1:]) for r in sorted(by["ACG"])] == want
     assert len(by["GGG"]) == 3 and len(by["TTT"]) == 5  # two alone: -TTTA with ATTT-
+
+
+def test_windows_of_long_and_short_tables():
+    rng = np.random.default_rng(4)
+    for m in (1, 3, 9, 30):
+        table = np.log2(rng.dirichlet(np.ones(5), m)).tolist()
+        seqs = ["".join(rng.choice(list("ACGTN"), rng.integers(0, 25), p=[0.24] * 4 + [0.04])) for _ in range(40)]
+        best, place = motifs.best_windows(seqs, table)
+        for s, b, p in zip(seqs, best, place, strict=True):
+            padded = "-" * m + s + "-" * m
+            scores = [sum(dict(zip("ACGT-", table[j], strict=True)).get(padded[k + j], -np.inf) for j in range(m)) for k in range(len(s) + m)]
+            assert b == max(scores) or b == pytest.approx(max(scores), abs=1e-8)
+            assert scores[p] == pytest.approx(b, abs=1e-8) or scores[p] == b
