@@ -1,8 +1,8 @@
 """Linear models of rates on k-mer counts.
 
-Sums of products are aggregated once by Spark, per fold; every solver works
-on them: least squares, cross-validation (total less a fold), and the lasso
-path by coordinate descent.  The number of features is bounded by selection
+Sums of products are aggregated once by Spark, per fold; the solvers of few
+features work on them: least squares, cross-validation (total less a fold),
+and the lasso path by coordinate descent (``lasso`` has that of many).  The number of features is bounded by selection
 before, so the matrix of sums is as well.
 """
 
@@ -252,26 +252,19 @@ class _Sparse:
         return (np.bincount(self.column, self.value * r[self.row], self.width) + shift * self.sum) / (self.n * self.sd)
 
 
-def sparse_path(x: _Sparse, penalties: np.ndarray | None = None, n: int = 100, ratio: float | None = None, rounds: int = 100, tolerance: float = 1e-4) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """``lasso_path`` by residuals, for many features: only active ones are cycled through, and all are checked in between.
+def sparse_path(x: _Sparse, penalties: np.ndarray | None = None, n: int = 100, ratio: float = 1e-4, rounds: int = 100, tolerance: float = 1e-4) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """``lasso_path`` by residuals, of a few rows in memory: only active features are cycled through, and all are checked in between.
 
-    The least penalty is ``ratio`` times the greatest: by default a
-    ten-thousandth, and a hundredth where there are more features than rows.
-    Coefficients are pairs of places and values; the path ends early when all
-    but a thousandth of the variance is explained or as many features as rows
-    are active, and its last solution stands for the rest.
+    The least penalty is ``ratio`` times the greatest; coefficients are pairs
+    of places and values.
     """
     r, shift = x.y - x.y.mean(), 0.0
     grad = x.gradient(r, shift)
     if penalties is None:
-        ratio = ratio or (1e-4 if x.n > x.width else 1e-2)
         penalties = max(float(np.abs(grad).max(initial=0)), 1e-12) * np.geomspace(1, ratio, n)
     beta, active, out = np.zeros(x.width), np.zeros(x.width, bool), []
     scale = float(x.y.std()) or 1.0
     for lam in penalties:
-        if out and (np.count_nonzero(beta) >= x.n - 1 or np.mean((r + shift) ** 2) < 1e-3 * scale**2):
-            out.append(out[-1])
-            continue
         while True:
             for _ in range(rounds):
                 change = 0.0
@@ -298,45 +291,6 @@ def sparse_path(x: _Sparse, penalties: np.ndarray | None = None, n: int = 100, r
     return penalties, out, intercepts
 
 
-def lasso_rows(rows: DataFrame, width: int, n: int = 100) -> LassoPath:
-    """The path of design rows with many features; every fold is a task of its own.
-
-    A task holds all rows, sparse: ``select_rows`` bounds them (20,000), and
-    the features of a reporter are few.
-    """
-    def problem(f: pd.DataFrame) -> tuple[_Sparse, pd.DataFrame]:
-        out = f["fold"] == f["part"].iloc[0]
-        inside = f[~out].sort_values("id")
-        return _Sparse(list(inside["j"]), list(inside["v"]), inside["y"].to_numpy(float), width), f[out]
-
-    def whole(f: pd.DataFrame) -> pd.DataFrame:
-        penalties, found, intercepts = sparse_path(problem(f)[0], n=n)
-        return pd.DataFrame({"l": penalties, "j": [j for j, _ in found], "b": [b for _, b in found], "b0": intercepts})
-
-    parts = rows.withColumn("part", F.lit(-1))
-    got = parts.groupBy("part").applyInPandas(whole, "l double, j array<int>, b array<double>, b0 double").toPandas()
-    penalties = got["l"].to_numpy()
-
-    def held_out(f: pd.DataFrame) -> pd.DataFrame:
-        x, test = problem(f)
-        _, found, intercepts = sparse_path(x, penalties)
-        errors = []
-        for (places, b), b0 in zip(found, intercepts, strict=True):
-            beta = np.zeros(width)
-            beta[places] = b
-            pred = [b0 + (beta[np.asarray(j, int)] @ np.asarray(v) if j is not None else 0.0) for j, v in zip(test["j"], test["v"], strict=True)]
-            errors.append(float(np.mean((test["y"] - pred) ** 2)))
-        return pd.DataFrame({"errors": [errors]})
-
-    folds = rows.select("fold").distinct().withColumnRenamed("fold", "part")
-    each = rows.join(F.broadcast(folds))  # ten folds
-    errors = each.groupBy("part").applyInPandas(held_out, "errors array<double>").toPandas()
-    coefficients = np.zeros((len(got), width))
-    for i, (j, b) in enumerate(zip(got["j"], got["b"], strict=True)):
-        coefficients[i, np.asarray(j, int)] = b
-    return _path(penalties, coefficients, got["b0"].to_numpy(), np.array(list(errors["errors"]), float))
-
-
 def apply_model(rows: DataFrame, models: dict[int, tuple[np.ndarray, float]]) -> DataFrame:
     """``id``, ``fold``, ``y``, ``pred`` of design rows by their fold's model (key -1: one model for all)."""
 

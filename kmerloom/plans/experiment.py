@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.functions.stats import bh_threshold
-from kmerloom.operators import decay, enrichment, kmers, motifs, peaks, regression, spikes
+from kmerloom.operators import decay, enrichment, kmers, lasso, motifs, peaks, regression, spikes
 from kmerloom.operators.motifs import Motif, MotifOptions
 from kmerloom.sources import tables
 from kmerloom.sources.tables import memoised, stage
@@ -87,8 +87,12 @@ def ranked_spikes(counted: DataFrame) -> DataFrame:
 
 
 def features(seqs: DataFrame, targets: DataFrame, ks: Sequence[int] = KS, max_kmers: int = MAX_KMERS) -> tuple[list[str], DataFrame]:
-    """The k-mers to learn from, and design rows: those in two sequences or more, and of too many the most enriched or depleted."""
-    rows = stage(targets.select("id", "d").where("d is not null"))
+    """The k-mers to learn from, and design rows: those in two sequences or more, and of too many the most enriched or depleted.
+
+    Targets without a sequence take no part.
+    """
+    known = targets.select("id", "d").where("d is not null")
+    rows = stage(known.join(seqs.where("seq is not null").select("id").distinct(), "id", "left_semi"))
     counted = stage(kmers.counts(seqs.join(rows.select("id"), "id", "left_semi"), list(ks)))
     chosen = kmers.presence(counted).select("kmer")
     if chosen.count() > max_kmers:
@@ -110,10 +114,14 @@ class RateModel:
 
 
 def fit_regression(fits: DataFrame, seqs: DataFrame, ks: Sequence[int] = KS, max_kmers: int = MAX_KMERS, onset: bool = False, penalties: int = 100) -> RateModel:
-    """Rates (or onsets) by k-mers: the lasso chooses, least squares fit again, ten folds check."""
-    chosen = regression.select_rows(fits, onset)
+    """Rates (or onsets) by k-mers: the lasso chooses, least squares fit again, ten folds check.
+
+    Fits without a sequence are left out before the best ones are chosen.
+    """
+    with_sequence = fits.join(seqs.where("seq is not null").select("id").distinct(), "id", "left_semi")
+    chosen = stage(regression.select_rows(with_sequence, onset))
     names, rows = features(seqs, chosen, ks, max_kmers)
-    path = regression.lasso_rows(rows, len(names), penalties)
+    path = lasso.lasso_rows(rows, len(names), penalties)
     kept = [names[i] for i in np.flatnonzero(path.coefficients[path.chosen()])]
     counted = kmers.counts(seqs.join(chosen.select("id"), "id", "left_semi"), sorted({len(k) for k in kept} or {min(ks)}))
     again = stage(regression.design(counted, chosen.select("id", "d"), kept))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.operators import kmers
@@ -41,6 +41,19 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("id", F.col("tm").cast("double").alias("tm"), F.floor(F.col("q") / (1 + F.col("tm") * (1 + F.col("id") % 4))).cast("double").alias("cnt"))
 
 
+def reporter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id``, ``tm``, ``cnt``: documents as reporters, whose counts fall faster the more ``TAA`` and slower the more ``GCA`` they hold."""
+
+    def held(word: str) -> Column:
+        return (F.length("seq") - F.length(F.replace("seq", F.lit(word), F.lit("")))) / len(word)
+
+    rate = F.greatest(F.lit(0.05), F.least(F.lit(1.0), 0.4 + 0.004 * held("TAA") - 0.008 * held("GCA")))
+    each = sequences(spark, sf_dir).select("id", rate.alias("rate"), F.explode(F.array(*[F.lit(float(t)) for t in range(8)])).alias("tm"))
+    # a part in twenty more or less, by the id and the time
+    noise = 1 + (F.pmod(F.col("id") * 7 + F.col("tm").cast("long") * 13, F.lit(11)) - 5) / 100.0
+    return each.select("id", "tm", F.floor(4000 * F.exp(-F.col("rate") * F.col("tm")) * noise).cast("double").alias("cnt"))
+
+
 def spikes(counted: DataFrame, scale: float = 500.0) -> DataFrame:
     """``rank`` 0 to 4, ``tm``, ``q``: halving shares of each time's total."""
     per = counted.groupBy("tm").agg(F.sum("cnt").alias("total"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.functions import stats
-from kmerloom.operators import decay, enrichment, kmers, logistic, motifs, peaks, presentation, regression, spikes
+from kmerloom.operators import decay, enrichment, kmers, lasso, logistic, motifs, peaks, presentation, regression, spikes
 from kmerloom.plans import experiment, oracles
 from kmerloom.plans import fixtures as fx
 from kmerloom.sources import tables
@@ -280,8 +280,8 @@ def _targets(spark, d) -> DataFrame:
 
 
 def lasso_path(spark, d):
-    features, rows = experiment.features(fx.sequences(spark, d), _targets(spark, d))
-    path = regression.lasso_rows(rows, len(features))
+    features, rows = experiment.features(fx.sequences(spark, d), _targets(spark, d), range(3, 6))
+    path = lasso.lasso_rows(rows, len(features))
     found = [
         (i, float(lam), features[k], float(path.coefficients[i, k]), float(path.mse[i]), float(path.se[i]), i == path.chosen())
         for i, lam in enumerate(path.penalties)
@@ -408,9 +408,9 @@ def fit_series(spark, d):
 
 
 def fit_regression(spark, d):
-    """Weights of k-mers for the decay of documents counted as parts of the same number."""
-    fits = experiment.fit_rates(fx.counts(spark, d)).fits
-    found = experiment.fit_regression(fits, fx.sequences(spark, d))
+    """Weights of k-mers for the decay of documents, which depends on two of them."""
+    fits = experiment.fit_rates(fx.reporter_counts(spark, d)).fits
+    found = experiment.fit_regression(fits, fx.sequences(spark, d), ks=range(3, 5))
     return found.model.withColumn("intercept", F.lit(found.intercept))
 
 

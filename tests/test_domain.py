@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.functions import stats
-from kmerloom.operators import decay, enrichment, kmers, logistic, motifs, peaks, presentation, regression, spikes
+from kmerloom.operators import decay, enrichment, kmers, lasso, logistic, motifs, peaks, presentation, regression, spikes
 from kmerloom.sources import tables
 
 
@@ -157,7 +157,7 @@ def test_sparse_lasso_agrees_with_dense(spark):
     y = x @ np.concatenate([[1.5, -2.0], np.zeros(width - 2)]) + rng.normal(0, 0.1, 200)
     rows = [(i, i % 10, float(y[i]), [int(j) for j in x[i].nonzero()[0]], [float(v) for v in x[i][x[i] > 0]]) for i in range(200)]
     design = spark.createDataFrame(rows, "id long, fold int, y double, j array<int>, v array<double>")
-    dense, sparse = regression.lasso(regression.gram(design, width), 30), regression.lasso_rows(design, width, 30)
+    dense, sparse = regression.lasso(regression.gram(design, width), 30), lasso.lasso_rows(design, width, 30)
     assert np.allclose(dense.penalties, sparse.penalties)
     assert np.allclose(dense.coefficients, sparse.coefficients, atol=5e-3) and np.allclose(dense.mse, sparse.mse, rtol=0.05)
     assert set(sparse.coefficients[sparse.chosen(1)].nonzero()[0]) >= {0, 1}
