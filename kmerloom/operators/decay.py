@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.functions.stats import chi2_upper, hazen
+from kmerloom.functions.stats import RANKED, chi2_upper, grouped_percentiles, hazen
+from kmerloom.sources.tables import stage
 
 LOG2E = math.log2(math.e)
 #: Rates of a half-life of a day and of a quarter of an hour, per hour.
@@ -46,21 +47,20 @@ def detection_floor(counts: DataFrame, min_count: float = 5.0) -> DataFrame:
     return values.agg(hazen(F.col("log_x"), 0.25, F.count("log_x")).alias("floor"))
 
 
-def column_noise(logs: DataFrame, kind: str = "std", factor: float = 0.32) -> DataFrame:
+def column_noise(logs: DataFrame, kind: str = "std", factor: float = 0.32, keep: float = 1e6, ranked: int = RANKED) -> DataFrame:
     """``tm``, ``sd``: spread of a time's log values above a low percentile, moved to factor * [1, 1.5].
 
-    The percentile is 0 up to a million rows a time, so only the least value
-    is left out; beyond that the lowest so that a million remain.
+    The percentile is the whole one above which about ``keep`` values remain:
+    0, so that only the least value is left out, up to a million rows a time.
+    It is exact at any size.
     """
     per = logs.groupBy("tm").agg(F.count("*").alias("n"), F.min("log_x").alias("lo"))
-    percent = F.greatest(F.lit(0), 100 - F.ceil(F.lit(1e6) / F.col("n"))).cast("int")
+    percent = F.greatest(F.lit(0), 100 - F.ceil(F.lit(float(keep)) / F.col("n"))).cast("int")
     cut = per.select("tm", "lo")
-    big = per.where(percent > 0).select("tm", percent.alias("percent"))
+    big = stage(per.where(percent > 0).select("tm", (percent / F.lit(100.0)).alias("p")))
     if big.limit(1).count():
-        grid = F.percentile_approx("log_x", [i / 100 for i in range(1, 100)], 10_000)
-        limits = logs.join(F.broadcast(big), "tm").groupBy("tm", "percent").agg(grid.alias("grid"))
-        high = limits.select("tm", F.element_at("grid", F.col("percent")).alias("high"))
-        cut = per.join(high, "tm", "left").select("tm", F.coalesce("high", "lo").alias("lo"))
+        high = grouped_percentiles(logs.join(F.broadcast(big.select("tm")), "tm"), "tm", "log_x", big, ranked)  # a row a time
+        cut = cut.join(high, "tm", "left").select("tm", F.coalesce("value", "lo").alias("lo"))
     spread = {"std": F.stddev_samp("log_x"), "var": F.var_samp("log_x"), "cv": F.stddev_samp("log_x") / F.median("log_x")}[kind]
     s = logs.join(F.broadcast(cut), "tm").where(F.col("log_x") > F.col("lo")).groupBy("tm").agg(spread.alias("s"))
     every = Window.partitionBy()

@@ -14,11 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.functions.stats import ks_upper, running_sums, t_upper
+from kmerloom.functions.stats import hypergeometric_tails, ks_upper, running_sums, t_upper
 
 MIN_ITEMS = 10
-#: Distinct values up to which a score counts as discrete.
-MAX_VALUES = 1000
+#: Distinct scores of a block.
+BLOCK_VALUES = 1000
 
 
 def scored(members: DataFrame, scores: DataFrame, min_ids: int = 2) -> DataFrame:
@@ -87,35 +87,24 @@ def hypergeometric(members: DataFrame, scores: DataFrame, min_items: int = MIN_I
     """``kmer``, ``value``, ``x``, ``p_right``, ``p_left`` for each distinct score.
 
     ``x`` of the ``n`` sequences with the k-mer have the value, which ``k`` of
-    all have; tails include x.  1 where one side has too few items.  Scores
-    with more than ``MAX_VALUES`` distinct values are refused: the test is for
-    discrete ones.
+    all have; tails include x.  1 where one side has too few items.  Values
+    meet k-mers in blocks, so there may be any number of them.
     """
     known = _known(scores)
     values = known.groupBy(F.col("s").alias("value")).agg(F.count("*").alias("k"))
-    size = known.agg(F.count("*").alias("total"))
+    size = known.agg(F.count("*").alias("total"), F.ceil(F.count_distinct("s") / BLOCK_VALUES).alias("parts"))
+    part = F.pmod(F.xxhash64("value"), F.greatest("parts", F.lit(1))).alias("part")
+    blocks = values.join(F.broadcast(size)).groupBy(part, "total").agg(F.collect_list(F.struct("value", "k")).alias("values"))  # one row
     rows = scored(members, scores)
     per = rows.groupBy("kmer").agg(F.count("*").alias("n"))
     hits = rows.groupBy("kmer", F.col("s").alias("value")).agg(F.count("*").alias("x"))
-    # a score that none of the k-mer's sequences has adds nothing to its right tail; pairs are made for discrete scores alone
-    if values.limit(MAX_VALUES + 1).count() > MAX_VALUES:
-        raise ValueError(f"more than {MAX_VALUES} distinct scores are not discrete")
-    each = per.join(F.broadcast(values)).join(hits, ["kmer", "value"], "left").fillna(0, ["x"]).join(F.broadcast(size))  # few values, one row
+    every = per.join(blocks).select("kmer", "n", "total", F.inline("values"))
+    each = every.join(hits, ["kmer", "value"], "left").fillna(0, ["x"])
 
     def tails(x: pd.Series, n: pd.Series, k: pd.Series, total: pd.Series) -> pd.DataFrame:
-        top = int(total.max()) if len(total) else 0
-        log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, top + 1)))])
-
-        def choose(a, b):
-            return log_factorial[a] - log_factorial[b] - log_factorial[a - b]
-
-        out = np.ones((len(x), 2))
-        for r, (xi, ni, ki, ti) in enumerate(zip(x.to_numpy(int), n.to_numpy(int), k.to_numpy(int), total.to_numpy(int), strict=True)):
-            if min(ni, ki) >= min_items:
-                i = np.arange(max(0, ni + ki - ti), min(ni, ki) + 1)
-                pmf = np.exp(choose(ki, i) + choose(ti - ki, ni - i) - choose(ti, ni))
-                out[r] = pmf[i >= xi].sum(), pmf[i <= xi].sum()
-        return pd.DataFrame(np.minimum(out, 1.0), columns=["right", "left"])
+        right, left = hypergeometric_tails(x, n, k, total)
+        few = np.minimum(n, k) < min_items
+        return pd.DataFrame({"right": np.where(few, 1.0, right), "left": np.where(few, 1.0, left)})
 
     p = F.pandas_udf(tails, "right double, left double")("x", "n", "k", "total")
     return each.withColumn("p", p).select("kmer", "value", "n", "x", F.col("p.right").alias("p_right"), F.col("p.left").alias("p_left"))
