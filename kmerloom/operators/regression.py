@@ -1,8 +1,9 @@
 """Linear models of rates on k-mer counts.
 
-Sums of products are aggregated once by Spark, per fold; the solvers of few
-features work on them: least squares, cross-validation (total less a fold),
-and the lasso path by coordinate descent (``lasso`` has that of many).  The number of features is bounded by selection
+Least squares and cross-validation work on triangles that tasks factor and a
+tree of tasks joins, per fold, so no digits are lost and any rank will do.
+Sums of products are aggregated by Spark, too, for the lasso path of few
+features by coordinate descent (``lasso`` has that of many).  The number of features is bounded by selection
 before, so the matrix of sums is as well.
 """
 
@@ -14,12 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.functions.stats import hazen_percentile, running_sums
 from kmerloom.operators import decay
 from kmerloom.operators.kmers import weight_sums
+from kmerloom.sources.tables import stage
 
 FOLDS = 10
 #: Letters below which a sequence has no predicted rate: a fifth of a reporter's 110.
@@ -148,6 +151,116 @@ def least_squares(s: Sums, intercept: bool = True) -> tuple[np.ndarray, float, f
     return beta[:-1], float(beta[-1]), error(s, beta)
 
 
+def _triangle(x: np.ndarray) -> np.ndarray:
+    """The square upper triangle of a matrix's QR factorisation."""
+    r = np.linalg.qr(x, mode="r")
+    return np.vstack([r, np.zeros((x.shape[1] - len(r), x.shape[1]))]) if len(r) < x.shape[1] else r
+
+
+def factors(rows: DataFrame, width: int) -> dict[int, np.ndarray]:
+    """Per fold the triangle of features, 1 and target: each task factors its rows, and triangles are factored together, eight at a time."""
+    size = width + 2
+    step = max(256, size)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        node = TaskContext.get().partitionId()
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for fold, part in batch.groupby("fold"):
+                for lo in range(0, len(part), step):
+                    some = part.iloc[lo : lo + step]
+                    x = np.zeros((len(some), size))
+                    for i, (j, v) in enumerate(zip(some["j"], some["v"], strict=True)):
+                        if j is not None:
+                            x[i, np.asarray(j, int)] = v
+                    x[:, width], x[:, width + 1] = 1.0, some["y"]
+                    found[fold] = _triangle(np.vstack([found[fold], x]) if fold in found else x)
+        for fold, r in found.items():
+            yield pd.DataFrame({"fold": [fold], "node": [node], "r": [r.tobytes()]})
+
+    def together(part: pd.DataFrame) -> pd.DataFrame:
+        stacked = np.vstack([np.frombuffer(r).reshape(size, size) for r in part.sort_values("node")["r"]])
+        return pd.DataFrame({"fold": part["fold"].iloc[:1], "node": part["node"].iloc[:1] // 8, "r": [_triangle(stacked).tobytes()]})
+
+    kind = "fold int, node int, r binary"
+    parts = stage(rows.mapInPandas(partial, kind))
+    while (parts.agg(F.max("node")).first()[0] or 0) > 0:
+        parts = stage(parts.groupBy("fold", F.expr("node div 8")).applyInPandas(together, kind))
+    return {r["fold"]: np.frombuffer(bytes(r["r"])).reshape(size, size) for r in parts.collect()}  # a triangle a fold
+
+
+@dataclass
+class LinearFit:
+    """Coefficients, intercept, sum of squared errors and rank of a least-squares fit."""
+
+    beta: np.ndarray
+    b0: float
+    error: float
+    rank: int
+
+
+def basic_solution(triangle: np.ndarray, intercept: bool = True, tolerance: float = 1e-10) -> LinearFit:
+    """Least squares from a triangle of features, 1 and target: columns are pivoted by what is left of them.
+
+    A column of which the chosen ones leave less than ``tolerance`` is their
+    sum and has no coefficient, so there are as many coefficients as the rank.
+    """
+    a, c = triangle[:, :-1].copy(), triangle[:, -1].copy()
+    if not intercept:
+        a[:, -1] = 0.0
+    whole = np.sqrt((a**2).sum(0))
+    order, m = [], min(a.shape)
+    left = np.ones(a.shape[1], bool)
+    for k in range(m):
+        size = np.where(left & (whole > 0), np.sqrt((a[k:] ** 2).sum(0)), 0.0)
+        size[size <= tolerance * whole] = 0.0
+        j = int(size.argmax())
+        if not size[j]:
+            break
+        # a reflection that leaves the column at its k-th place alone
+        v = a[k:, j].copy()
+        v[0] += math.copysign(size[j], v[0])
+        v /= np.linalg.norm(v)
+        a[k:] -= 2 * np.outer(v, v @ a[k:])
+        c[k:] -= 2 * v * (v @ c[k:])
+        order.append(j)
+        left[j] = False
+    rank = len(order)
+    beta = np.zeros(a.shape[1])
+    if rank:
+        beta[order] = np.linalg.solve(np.triu(a[:rank, order]), c[:rank])
+    return LinearFit(beta[:-1], float(beta[-1]), float(c[rank:] @ c[rank:]), rank)
+
+
+def stacked(parts: list[np.ndarray]) -> np.ndarray:
+    """The triangle of all rows of some triangles."""
+    return _triangle(np.vstack(parts))
+
+
+#: Ways to fit: sums of products (quick, loses half the digits), pivoted QR (any rank), and the lasso at one standard error.
+SOLVERS = ("normal", "qr", "lasso")
+
+
+def linear_fit(rows: DataFrame, width: int, solver: str = "qr", intercept: bool = True) -> LinearFit:
+    """Design rows fitted by a solver's name; the lasso has an intercept always."""
+    if solver not in SOLVERS:
+        raise ValueError(f"no solver named {solver}")
+    triangles = factors(rows, width)
+    whole = stacked(list(triangles.values())) if triangles else np.zeros((width + 2, width + 2))
+    if solver == "qr":
+        return basic_solution(whole, intercept)
+    if solver == "normal":
+        beta, b0, wrong = least_squares(total(gram(rows, width)), intercept)
+        return LinearFit(beta, b0, wrong, int(np.linalg.matrix_rank(whole[:, : width + intercept])))
+    from kmerloom.operators.lasso import lasso_rows
+
+    path = lasso_rows(rows, width)
+    beta, b0 = path.coefficients[path.one_se], float(path.intercepts[path.one_se])
+    # the triangle keeps lengths, so errors of any coefficients follow from it
+    left = whole @ np.concatenate([-beta, [-b0, 1.0]])
+    return LinearFit(beta, b0, float(left @ left), int(np.count_nonzero(beta)))
+
+
 def error(s: Sums, beta: np.ndarray) -> float:
     """Sum of squared errors of coefficients (the intercept last) on some rows."""
     return float(max(s.yy - 2 * beta @ s.xy + beta @ s.xx @ beta, 0.0))
@@ -309,16 +422,19 @@ def apply_model(rows: DataFrame, models: dict[int, tuple[np.ndarray, float]]) ->
 
 
 def ols(rows: DataFrame, width: int) -> tuple[np.ndarray, float, DataFrame]:
-    """Coefficients, intercept and fitted values of design rows."""
-    beta, b0, _ = least_squares(total(gram(rows, width)))
-    return beta, b0, apply_model(rows, {-1: (beta, b0)})
+    """Coefficients, intercept and fitted values of design rows; features that are sums of others have none."""
+    found = linear_fit(rows, width)
+    return found.beta, found.b0, apply_model(rows, {-1: (found.beta, found.b0)})
 
 
 def cross_validate(rows: DataFrame, width: int) -> DataFrame:
-    """Held-out predictions: ten solves from one aggregation."""
-    folds = gram(rows, width)
-    whole = total(folds)
-    models = {f: least_squares(whole - s)[:2] for f, s in folds.items()}
+    """Held-out predictions: ten solves from one factorisation of each fold."""
+    folds = factors(rows, width)
+    models = {}
+    for f in folds:
+        others = [r for g, r in folds.items() if g != f]
+        found = basic_solution(stacked(others)) if others else LinearFit(np.zeros(width), 0.0, 0.0, 0)
+        models[f] = (found.beta, found.b0)
     return apply_model(rows, models)
 
 
