@@ -8,9 +8,11 @@ and every vector of the cell is searched from the shards' medoids: greedily
 towards the query, and once within range through all neighbours within
 range.  What is found is verified by the cosine in double precision.
 A bounded set of vectors is compared with all rows of their label to audit
-the recall; below the asked recall, beam and overlap double and the search
-runs again, and where that leads nowhere all vectors of a label are compared
-in blocks.  The recall that was measured is a column of the result.
+the recall, and a larger one while too few true links are known; below the
+asked recall, or where it stays unknown, beam and overlap double and the
+search runs again, and where that leads nowhere all vectors of a label are
+compared in blocks.  The recall that was measured and the true links it rests
+on are columns of the result: ``recall`` is null on tables without a link.
 
 Cells above ``BLOCK`` vectors are worked off as pairs of blocks, each in a
 task of its own, so a cell that holds a third of all rows is no single task.
@@ -43,8 +45,8 @@ OVERLAP, BLOCK = 3, 2048
 #: Degree, pruning slack, nearest and random candidates of a graph node; members a shard should have.
 DEGREE, ALPHA, NEAREST, RANDOM, SHARD = 16, 1.2, 32, 16, 512
 BEAM, EXPAND, MAX_BEAM = 24, 4, 1000
-#: Vectors whose links the audit knows exactly, and the share of them that must be found.
-AUDIT_ROWS, MIN_RECALL = 256, 0.98
+#: Vectors whose links the audit knows exactly at first and at most, links it should know, and the share of them that must be found.
+AUDIT_ROWS, MAX_AUDIT_ROWS, AUDIT_LINKS, MIN_RECALL = 256, 4096, 200, 0.98
 
 
 def _scaled(rows) -> np.ndarray:
@@ -250,11 +252,23 @@ def _links(points: DataFrame, centers: np.ndarray, least: float, overlap: int, b
     return found.distinct()
 
 
-def _recall(points: DataFrame, found: DataFrame, least: float, rows: int) -> float:
-    """Share of a bounded query set's links that were found; all rows of their labels are compared in blocks."""
-    queries = points.where(sampled(rows / max(points.count(), 1), "id", seed=5)).toPandas()
-    if queries.empty:  # a table of a few rows, none of which was drawn
-        queries = points.limit(rows).toPandas()
+def _recall(points: DataFrame, found: DataFrame, least: float, rows: int, links: int = AUDIT_LINKS) -> tuple[float | None, int]:
+    """Share of a bounded query set's links that were found, and how many they are; all rows of their labels are compared in blocks.
+
+    The set grows fourfold while fewer than ``links`` are known; without any
+    link the share is unknown.
+    """
+    size = max(points.count(), 1)
+    while True:
+        total, hit = _known_links(points, found, least, rows / size)
+        if total >= links or rows >= min(size, MAX_AUDIT_ROWS):
+            return (hit / total if total else None), total
+        rows = min(4 * rows, MAX_AUDIT_ROWS)
+
+
+def _known_links(points: DataFrame, found: DataFrame, least: float, share: float) -> tuple[int, int]:
+    """True links of a share of the points, and how many of them were found."""
+    queries = points.where(sampled(share, "id", seed=5)).toPandas()
     groups = {n: (_unit(_scaled(own["v"])), own["id"].to_numpy(np.int64), own["label"].to_numpy()) for n, own in queries.groupby("n")}
 
     def compare(batches):
@@ -269,12 +283,11 @@ def _recall(points: DataFrame, found: DataFrame, least: float, rows: int) -> flo
                     yield pd.DataFrame({"a": np.minimum(ids[a[ok]], other[b[ok]]), "b": np.maximum(ids[a[ok]], other[b[ok]])})
 
     true = points.mapInPandas(compare, "a bigint, b bigint").distinct()
-    total, hit = true.join(found.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
-    return hit / total if total else 1.0
+    return tuple(true.join(found.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first())
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = MIN_COSINE, overlap: int = OVERLAP, beam: int = BEAM, min_recall: float = MIN_RECALL) -> DataFrame:
-    """Per row: ``vec_id``, ``label``, ``n_links``, ``component_id`` and ``kept``; ``recall`` is that of the links, as measured."""
+    """Per row: ``vec_id``, ``label``, ``n_links``, ``component_id`` and ``kept``; ``recall`` is that of the links, as measured on ``recall_links`` true ones (all of them, where all vectors were compared)."""
     small_batches(vectors.sparkSession)
     kind = vectors.schema[vector].dataType
     kind = kind if kind.simpleString() == "array<float>" else "array<double>"
@@ -292,7 +305,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     usual = sizes.orderBy(F.desc("rows"), "n").first()
     narrow = points.select("id", "label", "n", "v")
     if usual is None:
-        found, recall = points.select(F.col("id").alias("a"), F.col("id").alias("b")), 1.0
+        found, recall, links = points.select(F.col("id").alias("a"), F.col("id").alias("b")), None, 0
     else:
         largest = sizes.agg(F.max("largest")).first()[0]
         some = points.where(F.col("n") == usual["n"]).where(sampled(CENTROID_SAMPLE / usual["rows"], "id", seed=1)).select("id", "v").toPandas().sort_values("id")
@@ -301,11 +314,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         centers = clusters(_unit(_scaled(some["v"])), min(MAX_CENTROIDS, -(-largest // CELL)))
         while True:
             found = written(_links(narrow, centers, least, overlap, beam))
-            recall = _recall(narrow, found, least, AUDIT_ROWS)
-            if recall >= min_recall:
+            recall, links = _recall(narrow, found, least, AUDIT_ROWS)
+            if recall is not None and recall >= min_recall:
                 break
             if overlap >= 2 * len(centers) or beam > MAX_BEAM:
-                found, recall = written(_links(narrow, centers, least, 1, beam, exact=True)), 1.0
+                found = written(_links(narrow, centers, least, 1, beam, exact=True))
+                links = found.count()
+                recall = 1.0 if links else None
                 break
             overlap, beam = 2 * overlap, 2 * beam
     copies = points.select("id", "copies")
@@ -321,5 +336,6 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
         (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"),
-        F.lit(recall).alias("recall"),
+        F.lit(recall).cast("double").alias("recall"),
+        F.lit(links).cast("long").alias("recall_links"),
     )

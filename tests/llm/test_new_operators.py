@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from kmerloom.llm import merkle, queries, secrets, whitening
+from kmerloom.llm import embedding_dedup, merkle, queries, secrets, whitening
 
 DOCS = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType())]
@@ -266,3 +266,18 @@ def test_whitening_steps_end_early_and_deviations_stay_exact(spark):
     sums = [int(s) for s in large.sum(0)]
     assert whitening._deviations(large, 3, sums, 2) == [d if (d := sum((3 * int(a) - s) ** 2 for a, s in zip(r, sums, strict=True))) < 2**63 else None for r in large]
     assert whitening.whiten(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_recall_is_unknown_without_links(spark):
+    rng = np.random.default_rng(5)
+    kind = "vec_id long, embedding array<float>, label int"
+    lonely = [(i, rng.standard_normal(32).tolist(), i % 2) for i in range(60)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(lonely, kind)).toPandas()
+    assert got["recall"].isna().all() and (got["recall_links"] == 0).all() and (got["n_links"] == 0).all()
+    near = lonely + [(100 + i, (np.asarray(v) * 1.001 + 0.001 * rng.standard_normal(32)).tolist(), label) for i, v, label in lonely[:20]]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(near, kind)).toPandas()
+    assert (got["recall_links"] == 20).all() and (got["recall"] == 1).all() and got["n_links"].sum() == 40
+    # few links on many vectors: the audit grows until it meets them
+    points = spark.createDataFrame([(i, 0, 32, v) for i, v, _ in near], "id long, label int, n int, v array<float>")
+    links = spark.createDataFrame([(i, 100 + i) for i in range(10)], "a long, b long")
+    assert embedding_dedup._recall(points, links, 0.98, 1) == (0.5, 20)
