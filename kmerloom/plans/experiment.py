@@ -45,9 +45,10 @@ def calibrate(counted: DataFrame, spiked: DataFrame, fraction: float = 0.001) ->
     return spikes.normalise(counted, spikes.regression_calibration(counted, stage(spikes.cap(counted, course))))
 
 
-def fit_rates(counted: DataFrame, spiked: DataFrame | None = None) -> Rates:
+def fit_rates(counted: DataFrame, spiked: DataFrame | None = None, reporters: DataFrame | None = None) -> Rates:
     """Decay of every reporter of one series; without spikes counts are taken as they are.
 
+    ``reporters`` (``id``) takes the place of the series' own selection.
     ``fits`` has a row for every id counted: ``a``, ``b``, ``t``, ``r``,
     ``chi2`` and ``p`` are null for those that were not fitted.
     """
@@ -57,7 +58,7 @@ def fit_rates(counted: DataFrame, spiked: DataFrame | None = None) -> Rates:
     else:
         logs = stage(calibrate(counted, spiked))
     times = decay.usable_times(counted)
-    reporters = decay.select_reporters(counted, times)
+    reporters = decay.select_reporters(counted, times) if reporters is None else reporters
     data = stage(logs.where("log_x is not null").join(F.broadcast(times), "tm").join(reporters.select("id"), "id"))  # a row a time
     floor = decay.detection_floor(logs).first()[0]
     floor = decay.LOWEST if floor is None else floor
@@ -69,12 +70,25 @@ def fit_rates(counted: DataFrame, spiked: DataFrame | None = None) -> Rates:
     return Rates(logs, fits, noise, floor, bh_threshold(tested, "p").first()[0])
 
 
+def common_reporters(counted: DataFrame, series: dict[str, Sequence[float]]) -> DataFrame:
+    """``id`` of the reporters whose counts are high enough in each of the series."""
+    every = None
+    for times in series.values():
+        own = counted.where(F.col("tm").isin([float(t) for t in times]))
+        chosen = decay.select_reporters(own, decay.usable_times(own)).select("id")
+        every = chosen if every is None else every.unionAll(chosen)
+    return every.groupBy("id").count().where(F.col("count") == len(series)).select("id")
+
+
 def fit_series(counted: DataFrame, spiked: DataFrame | None, series: dict[str, Sequence[float]]) -> dict[str, Rates]:
-    """``fit_rates`` of several series of samples, each by its times; ``tm`` tells samples apart."""
+    """``fit_rates`` of several series of samples, each by its times, for the reporters that are good in all of them; ``tm`` tells samples apart."""
+    if not series:
+        return {}
+    reporters = stage(common_reporters(counted, series))
     out = {}
     for name, times in series.items():
         own = F.col("tm").isin([float(t) for t in times])
-        out[name] = fit_rates(counted.where(own), None if spiked is None else spiked.where(own))
+        out[name] = fit_rates(counted.where(own), None if spiked is None else spiked.where(own), reporters)
     return out
 
 

@@ -16,6 +16,8 @@ MOTIFS = (
     Motif("m3", -1, ((0.125, 0.125, 0.625, 0.125), (0.25, 0.125, 0.125, 0.5), (0.0, 0.875, 0.125, 0.0), (0.5, 0.125, 0.25, 0.125))),
     Motif("m4", -1, ((0.875, 0.0, 0.125, 0.0), (0.125, 0.125, 0.125, 0.625), (0.0, 0.25, 0.0, 0.75), (0.25, 0.5, 0.125, 0.125), (0.125, 0.25, 0.5, 0.125), (0.75, 0.0, 0.125, 0.125))),
 )
+#: Two series of samples by their times.
+SERIES = {"early": (1, 2, 3, 4), "whole": tuple(range(7))}
 BACKGROUND = (0.25, 0.25, 0.25, 0.25)
 
 

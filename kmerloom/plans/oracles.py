@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from kmerloom.plans.fixtures import B0, BACKGROUND, MOTIFS
+from kmerloom.plans.fixtures import B0, BACKGROUND, MOTIFS, SERIES
 
 SEQS = "seqs AS (SELECT doc_id AS id, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', '', 'g') AS seq FROM documents)"
 OCC = "occ AS (SELECT id, i AS start, substr(seq, i::INT, 3) AS kmer FROM (SELECT id, seq, unnest(range(1, length(seq) - 1)) AS i FROM seqs))"
@@ -127,6 +127,26 @@ ALIGNED = f"""{PEAKS}, {SEEDS}, se AS (SELECT max(instr(seq, 'TAA')) AS l, max(l
 al AS (SELECT seq, weight, repeat('-', (l - instr(seq, 'TAA'))::INT) || seq || repeat('-', (r - length(seq) + instr(seq, 'TAA'))::INT) AS aligned FROM src0, se)"""
 
 
+def _series(own: tuple, reporters: str, select: str) -> str:
+    """A query on the counts of some times, with a table of reporters."""
+    some = f"counts AS (SELECT * FROM every WHERE tm IN ({', '.join(map(str, own))}))"
+    return f"(WITH {some}, {SHARES}, {USABLE}, {reporters} {select})"
+
+
+def _fit_series() -> str:
+    good = " INTERSECT ".join(_series(own, REPORTERS, "SELECT id FROM rep") for own in SERIES.values())
+    parts = [
+        "SELECT * FROM "
+        + _series(
+            own,
+            ", ".join(["rep AS (SELECT id FROM good)", LOGS, FLOOR, DATA, NOISE, FITTED]),
+            f"SELECT '{name}' AS series, id, round(a, 6) AS a, round(b, 6) AS b, t, round(r, 6) AS r FROM (SELECT DISTINCT id FROM counts) LEFT JOIN fit USING (id)",
+        )
+        for name, own in SERIES.items()
+    ]
+    return f"WITH {COUNTS.replace('counts AS', 'every AS', 1)}, good AS ({good}) " + " UNION ALL ".join(parts)
+
+
 def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes} {select}"
 
@@ -250,6 +270,13 @@ def all_sql() -> dict[str, str]:
             "er AS (SELECT pred, (SELECT count(*) FROM pa WHERE NOT g) - sum(o) OVER (ORDER BY pred) + o AS fp, sum(y) OVER (ORDER BY pred) - y AS fn FROM ea)",
             "SELECT pred AS threshold, fp::BIGINT AS false_positives, fn::BIGINT AS false_negatives FROM er ORDER BY fp + fn, pred LIMIT 1",
         ),
+        "fit_series": _fit_series(),
+        "linear_fit_basic": _with(
+            f"{SEQS}, {OCC}, {KC}, {SIZES}, n AS (SELECT id, sum(cnt) FILTER (kmer = 'TAA') AS a, sum(cnt) FILTER (kmer = 'CAC') AS b FROM kc GROUP BY id), "
+            "x AS (SELECT sco.id, s / 1024 AS y, coalesce(a, 0)::DOUBLE AS a, coalesce(b, 0)::DOUBLE AS b FROM sco LEFT JOIN n USING (id)), "
+            "m AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb FROM x)",
+            "SELECT id, round(my + (ay * bb - yb * ab) / (aa * bb - ab * ab) * (a - ma) + (yb * aa - ay * ab) / (aa * bb - ab * ab) * (b - mb), 6) AS pred FROM x, m",
+        ),
         "gram_matrix": _with(f"{SEQS}, {OCC}, {KC}", "SELECT a.kmer AS x, b.kmer AS y, sum(a.cnt * b.cnt)::DOUBLE AS v FROM kc a JOIN kc b USING (id) GROUP BY ALL"),
         "peak_threshold": _with(f"{BASE}, {W}, {NORM}, {LEVEL}", "SELECT round(v, 6) AS threshold, round(mw, 6) AS largest FROM pt, top"),
         "peak_runs_pos": _with(PEAKS, 'SELECT id, start::INT AS start, "end"::INT AS "end", round(weight, 6) AS weight, seq FROM peaks_pos'),

@@ -400,13 +400,33 @@ def fit_rates_spiked(spark, d):
     return experiment.fit_rates(counted, fx.spikes(counted)).fits
 
 
-def fit_series(spark, d):
-    counted = stage(fx.counts(spark, d))
-    found = experiment.fit_series(counted, None, {"early": range(1, 4), "whole": range(7)})
+def _series(spark, d) -> DataFrame:
+    found = experiment.fit_series(stage(fx.counts(spark, d)), None, fx.SERIES)
     parts = [r.fits.select(F.lit(name).alias("series"), "id", "a", "b", "t", "r", "p") for name, r in found.items()]
     return parts[0].unionByName(parts[1])
 
 
+def fit_series(spark, d):
+    """Decay by two series of samples, of the parts that are counted often enough in both."""
+    return _rounded(_series(spark, d).drop("p"), 6, "a", "b", "r")
+
+
+def fit_series_tests(spark, d):
+    """The goodness of the fits of both series."""
+    return _series(spark, d).select("series", "id", "p")
+
+
+def linear_fit_basic(spark, d):
+    """Lengths by three counts of which one is the sum of the others: any basic solution predicts the same."""
+    words = _counts3(spark, d).where(F.col("kmer").isin("TAA", "CAC"))
+    n = words.groupBy("id").pivot("kmer", ["TAA", "CAC"]).agg(F.sum("cnt").cast("double"))
+    rows = _targets(spark, d).join(n, "id", "left").fillna(0.0, ["TAA", "CAC"])
+    fold = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(regression.FOLDS)).cast("int")
+    x = F.array("TAA", "CAC", F.col("TAA") + F.col("CAC"))
+    made = stage(rows.select("id", fold.alias("fold"), F.col("d").alias("y"), F.array(F.lit(0), F.lit(1), F.lit(2)).alias("j"), x.alias("v")))
+    return _rounded(regression.ols(made, 3)[2].select("id", "pred"), 6, "pred")
+
+
 def fit_regression(spark, d):
     """Weights of k-mers for the decay of documents, which depends on two of them."""
     fits = experiment.fit_rates(fx.reporter_counts(spark, d)).fits
@@ -526,6 +546,8 @@ def queries() -> dict[str, Query]:
         "fit_rates": fit_rates,
         "fit_rates_spiked": fit_rates_spiked,
         "fit_series": fit_series,
+        "fit_series_tests": fit_series_tests,
+        "linear_fit_basic": linear_fit_basic,
         "fit_regression": fit_regression,
         "fit_peaks": fit_peaks,
         "predict_rates": predict_rates,
