@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions.stats import hypergeometric_tails, ks_upper, running_sums, t_upper
+from kmerloom.sources.tables import stage
 
 MIN_ITEMS = 10
 #: Distinct scores of a block.
@@ -134,32 +135,71 @@ def mutual_information(members: DataFrame, scores: DataFrame, bins: int = 100, m
     return sums.select("kmer", "n", F.when(enough, mi).alias("mi"))
 
 
-def permutation_test(members: DataFrame, scores: DataFrame, tail: str = "right", rounds: int = 1000, min_items: int = MIN_ITEMS, seed: int = 0) -> DataFrame:
+#: Distinct scores of a range that a draw is made from, and parts of a range's k-mers.
+RANGE_SCORES, PARTS = 10_000, 16
+
+
+def permutation_test(members: DataFrame, scores: DataFrame, tail: str = "right", rounds: int = 1000, min_items: int = MIN_ITEMS, seed: int = 0, range_scores: int = RANGE_SCORES) -> DataFrame:
     """``kmer``, ``n``, ``diff``, ``p``: difference of means against random subsets of the pooled scores.
 
     The pool is the k-mer's scores and the background (which holds them, too),
-    kept as counts of distinct scores; a subset's mean is drawn from them.
-    p = (1 + 10 * hits) / (1 + 10 * rounds).
+    kept as counts of distinct scores in ranges.  A draw is dealt to the
+    ranges by their sizes first, and made inside each by a task of its own;
+    the driver has the ranges' sizes alone.  p = (1 + 10 * hits) / (1 + 10 *
+    rounds), and 1 below ``min_items``.
     """
-    back = _known(scores).groupBy("s").agg(F.count("*").alias("c")).orderBy("s").toPandas()
-    own = scored(members, scores).groupBy("kmer", "s").agg(F.count("*").alias("k"))
-    total, mean = int(back["c"].sum()), float((back["s"] * back["c"]).sum() / max(back["c"].sum(), 1))
-
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        kmer, n = f["kmer"].iloc[0], int(f["k"].sum())
-        diff = float((f["s"] * f["k"]).sum() / n) - mean
-        p = 1.0
-        if n >= min_items:
-            pool = back.merge(f[["s", "k"]], "left", "s").fillna({"k": 0})
-            counts, s = (pool["c"] + pool["k"]).to_numpy(np.int64), pool["s"].to_numpy()
-            rng = np.random.default_rng([seed, *kmer.encode()])
-            x = rng.multivariate_hypergeometric(counts, n, rounds, method="marginals") @ s
-            drawn = x / n - ((counts @ s) - x) / total
-            hits = {"right": drawn >= diff, "left": drawn <= diff, "two": np.abs(drawn) >= abs(diff)}[tail].sum()
-            p = (1 + 10 * int(hits)) / (1 + 10 * rounds)
-        return pd.DataFrame({"kmer": [kmer], "n": [n], "diff": [diff], "p": [p]})
-
-    return own.groupBy("kmer").applyInPandas(one, "kmer string, n bigint, diff double, p double")
+    known = _known(scores)
+    back = known.groupBy("s").agg(F.count("*").alias("c"))
+    n_values, total, mean = known.agg(F.count_distinct("s"), F.count("*"), F.avg("s")).first()
+    kind = "kmer string, n bigint, diff double, p double"
+    if not total:
+        return members.sparkSession.createDataFrame([], kind)
+    dealt = stage(back.repartitionByRange(-(-n_values // range_scores), "s").withColumn("range", F.spark_partition_id()))
+    sizes = {r["range"]: r["c"] for r in dealt.groupBy("range").agg(F.sum("c").alias("c")).collect()}  # a row a range
+    names = sorted(sizes)
+    whole = np.array([sizes[r] for r in names], np.int64)
+    own = stage(scored(members, scores).groupBy("kmer", "s").agg(F.count("*").alias("k")).join(dealt.select("s", "range"), "s"))
+    per = own.groupBy("kmer").agg(F.sum("k").alias("n"), (F.sum(F.col("s") * F.col("k")) / F.sum("k") - mean).alias("diff"), F.sum(F.col("s") * F.col("k")).alias("own"))
+    in_range = own.groupBy("kmer", "range").agg(F.sum("k").alias("k"), F.collect_list(F.struct("s", "k")).alias("values"))
+
+    def deal(part: pd.DataFrame) -> pd.DataFrame:
+        kmer, n = part["kmer"].iloc[0], int(part["k"].sum())
+        held = dict(zip(part["range"], part["k"], strict=True))
+        pool = whole + np.array([held.get(r, 0) for r in names])
+        rng = np.random.default_rng([seed, *kmer.encode()])
+        drawn = rng.multivariate_hypergeometric(pool, n, rounds, method="marginals") if len(names) > 1 else np.full((rounds, 1), n)
+        values = dict(zip(part["range"], part["values"], strict=True))
+        used = np.flatnonzero(drawn.any(0))
+        return pd.DataFrame({"kmer": kmer, "range": [names[i] for i in used], "drawn": [drawn[:, i] for i in used], "values": [values.get(names[i], []) for i in used]})
+
+    enough = in_range.join(per.where(F.col("n") >= min_items).select("kmer"), "kmer")
+    pairs = "array<struct<s:double,k:bigint>>"
+    asked = enough.groupBy("kmer").applyInPandas(deal, f"kmer string, range int, drawn array<bigint>, values {pairs}")
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("kmer"), F.lit(PARTS)))
+    content = dealt.withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(PARTS)])))
+
+    def draw(wanted: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
+        if wanted.empty:
+            return pd.DataFrame({"kmer": [], "sums": []}, dtype=object)
+        pool = pool.sort_values("s")
+        s, c = pool["s"].to_numpy(), pool["c"].to_numpy(np.int64)
+        sums = []
+        for r in wanted.itertuples():
+            counts = c.copy()
+            for v in r.values:
+                counts[np.searchsorted(s, v["s"])] += v["k"]
+            rng = np.random.default_rng([seed, int(r.range), *r.kmer.encode()])
+            sums.append(np.array([rng.multivariate_hypergeometric(counts, int(m), method="marginals") @ s if m else 0.0 for m in r.drawn]))
+        return pd.DataFrame({"kmer": wanted["kmer"], "sums": sums})
+
+    made = asked.groupBy("range", "part").cogroup(content.groupBy("range", "part")).applyInPandas(draw, "kmer string, sums array<double>")
+    drawn = made.select("kmer", F.posexplode("sums").alias("round", "x")).groupBy("kmer", "round").agg(F.sum("x").alias("x"))
+    pooled = F.lit(float(mean) * total) + F.col("own")
+    each = drawn.join(per, "kmer").withColumn("d", F.col("x") / F.col("n") - (pooled - F.col("x")) / F.lit(total))
+    hit = {"right": F.col("d") >= F.col("diff"), "left": F.col("d") <= F.col("diff"), "two": F.abs("d") >= F.abs("diff")}[tail]
+    hits = each.groupBy("kmer").agg(F.count_if(hit).alias("hits"))
+    p = F.when(F.col("n") >= min_items, (1 + 10 * F.coalesce("hits", F.lit(0))) / F.lit(1.0 + 10 * rounds)).otherwise(1.0)
+    return per.join(hits, "kmer", "left").select("kmer", "n", "diff", p.alias("p"))
 
 
 def both_tails(members: DataFrame, scores: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:

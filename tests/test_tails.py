@@ -78,3 +78,39 @@ def test_noise_above_the_bar_is_exact(spark):
     low, high = min(s.values()), max(s.values())
     for t in x:
         assert got[t] == pytest.approx(0.16 * (2 + (s[t] - low) / (high - low)), rel=1e-12)
+
+
+@pytest.mark.parametrize("range_scores", [7, 10_000])
+def test_permutations_over_ranges(spark, range_scores):
+    rng = np.random.default_rng(3)
+    n = 300
+    s = np.round(rng.normal(size=n), 1)
+    held = {"UP": [i for i in range(n) if s[i] > 0.3][:25], "ANY": list(range(0, n, 11)), "FEW": [1, 2, 3]}
+    members = spark.createDataFrame([(i, k) for k, ids in held.items() for i in ids], "id long, kmer string")
+    scores = spark.createDataFrame([(i, float(v)) for i, v in enumerate(s)] + [(900, None)], "id long, s double")
+    got = {r["kmer"]: r for r in enrichment.permutation_test(members, scores, rounds=2000, range_scores=range_scores).collect()}
+    assert got["FEW"]["p"] == 1 and got["UP"]["p"] < 0.01
+    for kmer, ids in held.items():
+        diff = s[ids].mean() - s.mean()
+        assert got[kmer]["diff"] == pytest.approx(diff) and got[kmer]["n"] == len(ids)
+    # plain permutations of the pooled scores
+    ids = held["ANY"]
+    pool, diff = np.concatenate([s, s[ids]]), s[ids].mean() - s.mean()
+    hits = 0
+    for _ in range(4000):
+        p = rng.permutation(pool)
+        hits += p[: len(ids)].mean() - p[len(ids) :].mean() >= diff - 1e-12
+    assert got["ANY"]["p"] == pytest.approx(hits / 4000, abs=0.04)
+    assert enrichment.permutation_test(members, scores.limit(0)).count() == 0
+
+
+def test_reporters_good_in_every_series(spark):
+    from kmerloom.plans import experiment
+
+    rows = [(i, float(t), c) for i, early, late in ((1, 100.0, 100.0), (2, 100.0, 1.0), (3, 1.0, 100.0), (4, 90.0, 90.0)) for t, c in [(1, early), (2, early), (3, early), (4, late), (5, late), (6, late)]]
+    counted = spark.createDataFrame(rows, "id long, tm double, cnt double")
+    got = experiment.common_reporters(counted, {"early": (1, 2, 3), "late": (4, 5, 6)})
+    assert {r["id"] for r in got.collect()} == {1, 4}
+    found = experiment.fit_series(counted, None, {"early": (1, 2, 3), "late": (4, 5, 6)})
+    assert all({r["id"] for r in x.fits.where("a is not null").collect()} == {1, 4} for x in found.values())
+    assert experiment.fit_series(counted, None, {}) == {}
