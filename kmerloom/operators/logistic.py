@@ -39,33 +39,47 @@ def _starts(x: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray, n:
     return lo + rng.random((n, 4)) * (hi - lo)
 
 
-def fit_logistic(x, y, low, high, restarts: int = 100, seed: int = 0, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Bounded least squares by projected Levenberg-Marquardt from seeded random starts: parameters and error."""
+def _curves(p: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of many curves at ``x`` (a row a curve) and their derivatives (a matrix a curve)."""
+    b, h0, h1, t = (p[:, i, None] for i in range(4))
+    s = 1 / (1 + np.exp(np.clip(b * (x - t), -700, 700)))
+    d = s * (1 - s)
+    return h0 + (h1 - h0) * s, np.stack([-(h1 - h0) * (x - t) * d, 1 - s, s, (h1 - h0) * b * d], 2)
+
+
+def fit_logistic(x, y, low, high, restarts: int = 100, seed: int = 0, rounds: int = 200, weights=None) -> tuple[np.ndarray, float]:
+    """Bounded, weighted least squares by projected Levenberg-Marquardt from seeded random starts, all at once: parameters and error."""
     x, y = np.asarray(x, float), np.asarray(y, float)
     low, high = np.asarray(low, float), np.asarray(high, float)
-    best, least = np.zeros(4), np.inf
-    for p in _starts(x, y, low, high, restarts, np.random.default_rng(seed)):
-        damp, r = 1e-2, logistic(p, x) - y
-        error = float(r @ r)
-        for _ in range(rounds):
-            j = gradient(p, x)
-            a = j.T @ j
-            step = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), -j.T @ r, rcond=None)[0]
-            q = np.clip(p + step, low, high)
-            r_new = logistic(q, x) - y
-            new = float(r_new @ r_new)
-            if new < error:
-                gain = error - new
-                p, r, error, damp = q, r_new, new, max(damp / 3, 1e-12)
-                if gain < 1e-12 * (1 + error):
-                    break
-            else:
-                damp *= 4
-                if damp > 1e10:
-                    break
-        if error < least:
-            best, least = p, error
-    return best, least
+    w = np.ones(len(x)) if weights is None else np.asarray(weights, float)
+    p = _starts(x, y, low, high, restarts, np.random.default_rng(seed))
+    damp = np.full(restarts, 1e-2)
+    values, slopes = _curves(p, x)
+    r = values - y
+    error = (w * r * r).sum(1)
+    active = np.arange(restarts)
+    for _ in range(rounds):
+        if not len(active):
+            break
+        j = slopes[active]
+        a = np.einsum("rni,n,rnj->rij", j, w, j)
+        g = np.einsum("rni,n,rn->ri", j, w, r[active])
+        diagonal = np.einsum("rii->ri", a) + 1e-12
+        steep = a + np.einsum("r,ri,ij->rij", damp[active], diagonal, np.eye(4))
+        step = -np.einsum("rij,rj->ri", np.linalg.pinv(steep, rcond=4 * np.finfo(float).eps, hermitian=True), g)
+        q = np.clip(p[active] + step, low, high)
+        values, new_slopes = _curves(q, x)
+        r_new = values - y
+        new = (w * r_new * r_new).sum(1)
+        better = new < error[active]
+        won, lost = active[better], active[~better]
+        gain = error[won] - new[better]
+        p[won], r[won], error[won], slopes[won] = q[better], r_new[better], new[better], new_slopes[better]
+        damp[won] = np.maximum(damp[won] / 3, 1e-12)
+        damp[lost] *= 4
+        active = np.sort(np.concatenate([won[gain >= 1e-12 * (1 + error[won])], lost[damp[lost] <= 1e10]]))
+    best = int(error.argmin())
+    return p[best], float(error[best])
 
 
 def fit_series(points: DataFrame, low, high, restarts: int = 100, seed: int = 0) -> DataFrame:

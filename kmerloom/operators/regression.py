@@ -480,8 +480,7 @@ def correct_length(scored: DataFrame, b0: float, low_length: int = LOW_LENGTH, r
         return scored.select("id", F.when(F.col("len") >= low_length, decay.clamp_rate(F.col("raw") + b0)).alias("d"))
     x = F.round(F.log2("len") * 32) / 32
     means = moved.where(F.col("d") > 0).groupBy(x.alias("x")).agg(F.avg(F.log2("d")).alias("y"), F.count("*").alias("n")).toPandas()
-    weight = np.maximum(1, np.round(means["n"] / means["n"].sum() * 1000)).astype(int)
-    p, _ = fit_logistic(np.repeat(means["x"], weight), np.repeat(means["y"], weight), [0, -np.inf, -np.inf, 0], [10, np.inf, np.inf, 20], restarts, seed)
+    p, _ = fit_logistic(means["x"], means["y"], [0, -np.inf, -np.inf, 0], [10, np.inf, np.inf, 20], restarts, seed, weights=means["n"] / means["n"].sum())
     base = float(logistic(p, np.zeros(1))[0])
     b, h0, h1, t = (float(v) for v in p)
     curve = F.lit(h0) + F.lit(h1 - h0) / (1 + F.exp(F.lit(b) * (F.log2("len") - t)))

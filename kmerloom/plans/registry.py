@@ -246,7 +246,7 @@ def logistic_eval(spark, d):
 
 def logistic_series(spark, d):
     rows = fx.logs(fx.counts(spark, d)).groupBy((F.col("id") % 10).alias("series"), F.col("tm").alias("x")).agg(F.avg("log_x").alias("y"))
-    return logistic.fit_series(rows, [0, -20, -20, 0], [5, 20, 20, 24], restarts=10)
+    return logistic.fit_series(rows, [0, -20, -20, 0], [5, 20, 20, 24])
 
 
 def threshold_classifier(spark, d):

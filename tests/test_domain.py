@@ -291,3 +291,50 @@ def test_presentation(spark):
     assert presentation.smoothed(grid, 5)["density"].sum() == pytest.approx(1, abs=0.2)
     top = presentation.top_weights(spark.createDataFrame([("a", 1.0), ("b", -1.0), ("c", 0.5)], "kmer string, weight double"), 1)
     assert top.count() == 2
+
+
+def one_by_one(x, y, w, low, high, restarts, seed=0):
+    """The fits of all starts, one after the other."""
+    found = []
+    for p in logistic._starts(x, y, low, high, restarts, np.random.default_rng(seed)):
+        damp, r = 1e-2, logistic.logistic(p, x) - y
+        error = float(w @ (r * r))
+        for _ in range(200):
+            j = logistic.gradient(p, x)
+            a = j.T @ (w[:, None] * j)
+            step = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), -j.T @ (w * r), rcond=None)[0]
+            q = np.clip(p + step, low, high)
+            new = float(w @ ((logistic.logistic(q, x) - y) ** 2))
+            if new < error:
+                gain, p, r, error, damp = error - new, q, logistic.logistic(q, x) - y, new, max(damp / 3, 1e-12)
+                if gain < 1e-12 * (1 + error):
+                    break
+            else:
+                damp *= 4
+                if damp > 1e10:
+                    break
+        found.append((error, p))
+    return min(found, key=lambda f: f[0])
+
+
+def test_logistic_starts_together_and_one_by_one():
+    import time
+
+    rng = np.random.default_rng(4)
+    low, high = np.array([0, -20, -20, 0.0]), np.array([5, 20, 20, 24.0])
+    spent = {"together": 0.0, "one": 0.0}
+    for weights in (np.ones(12), rng.integers(1, 9, 12).astype(float)):
+        x = np.linspace(0, 11, 12)
+        y = logistic.logistic(np.array([1.2, 1.0, 7.0, 5.0]), x) + rng.normal(0, 0.05, 12)
+        start = time.perf_counter()
+        p, error = logistic.fit_logistic(x, y, low, high, 100, weights=weights)
+        spent["together"] += time.perf_counter() - start
+        start = time.perf_counter()
+        want, q = one_by_one(x, y, weights, low, high, 100)
+        spent["one"] += time.perf_counter() - start
+        assert error == pytest.approx(want, rel=1e-8) and np.allclose(p, q, atol=1e-4)
+        assert (p >= low).all() and (p <= high).all()
+    assert spent["together"] < spent["one"] / 3
+    # weights stand for repeats
+    twice = logistic.fit_logistic(np.repeat(x, 2), np.repeat(y, 2), low, high, 40)
+    assert twice[1] == pytest.approx(logistic.fit_logistic(x, y, low, high, 40, weights=np.full(12, 2.0))[1], rel=1e-8)
