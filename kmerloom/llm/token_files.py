@@ -8,12 +8,14 @@ ascending keys.  A shard is one file:
     ends          uint64 per record: ids of the shard up to its end
     keys          int64 per record, ascending
     bits          the levels of the hash, one bit per place
+    ranks         per 512 places: set bits before them (uint32)
     slots         per distinct key: fingerprint, first record, number of records (uint32)
 
 The hash places every key at the first level where no other key of the shard
 meets it; its slot is the number of set bits before its place.  A lookup
-therefore reads a few bits and one slot, and the stored fingerprint tells
-keys that the shard does not hold.
+therefore reads the header, 64 bytes of bits a level (two levels or so), a
+rank, a slot and the record, each by its offset (``ShardFile``), and the
+stored fingerprint tells keys that the shard does not hold.
 
 Files are written under another name and then renamed, so a task that runs
 again leaves one whole file.
@@ -42,8 +44,8 @@ MAGIC = b"TOKSHRD1"
 NULL_KEY = -(2**63)
 #: Bytes of text that a shard is meant to hold.
 SHARD_BYTES = 16 << 20
-#: Places per key in a level of the hash.
-GAMMA = 2
+#: Places per key in a level of the hash, and places whose bits are read together.
+GAMMA, RANKED = 2, 512
 RECORDS = "doc_id bigint, shard bigint, start bigint, n_tokens bigint, ids binary"
 
 
@@ -128,6 +130,57 @@ class Shard:
         return start, self.ids[start : self.ends[i]].astype("<u4")
 
 
+class ShardFile:
+    """A shard file in its store, read by offsets: what a key needs and no more."""
+
+    def __init__(self, source):
+        self.source, self.bytes_read = source, 0
+        lead = self._read(0, 16)
+        if lead[:8] != MAGIC:
+            raise ValueError("not a token shard")
+        size = int.from_bytes(lead[8:16], "little")
+        head = json.loads(self._read(16, size))
+        self.levels, self.at, at = head["levels"], {}, 16 + size
+        for name, kind, n in head["parts"]:
+            self.at[name] = (at, np.dtype(kind))
+            at += np.dtype(kind).itemsize * n
+        self.n_places = sum(self.levels)
+
+    def _read(self, offset: int, n: int) -> bytes:
+        got = self.source.read_at(n, offset) if n else b""
+        self.bytes_read += len(got)
+        return got
+
+    def _part(self, name: str, first: int, n: int) -> np.ndarray:
+        at, kind = self.at[name]
+        return np.frombuffer(self._read(at + first * kind.itemsize, n * kind.itemsize), kind)
+
+    def find(self, key: int) -> tuple[int, int]:
+        """The key's first record and how many it has (none if the shard lacks it)."""
+        own = np.array([key], np.int64)
+        before = 0
+        for level, m in enumerate(self.levels):
+            place = before + int(_mix(own, level)[0] % np.uint64(m))
+            before += m
+            block = place // RANKED
+            n = min(RANKED // 8, -(-(self.n_places - block * RANKED) // 8))
+            bits = np.unpackbits(self._part("bits", block * (RANKED // 8), n))
+            if bits[place % RANKED]:
+                slot = int(self._part("ranks", block, 1)[0]) + int(bits[: place % RANKED].sum())
+                mark, first, n = (int(v) for v in self._part("slots", 3 * slot, 3))
+                # a fingerprint can agree by chance: the key of the record decides
+                if mark == int(_fingerprint(own)[0]) and int(self._part("keys", first, 1)[0]) == key:
+                    return first, n
+                return 0, 0
+        return 0, 0
+
+    def record(self, i: int) -> tuple[int, np.ndarray]:
+        """Start in the shard and ids (uint32) of a record."""
+        ends = self._part("ends", max(i - 1, 0), 1 + (i > 0)).astype(np.int64)
+        start = int(ends[0]) if i else 0
+        return start, self._part("payload", start, int(ends[-1]) - start).astype("<u4")
+
+
 def shard_bytes(keys: np.ndarray, ids: list[np.ndarray]) -> bytes:
     """A shard of records in ascending order of their keys."""
     ends = np.cumsum([len(x) for x in ids]).astype("<u8")
@@ -137,7 +190,7 @@ def shard_bytes(keys: np.ndarray, ids: list[np.ndarray]) -> bytes:
     perfect = PerfectHash.build(distinct)
     slots = np.zeros((len(distinct), 3), "<u4")
     slots[perfect.slot(distinct)] = np.stack([_fingerprint(distinct), first, n], 1)
-    parts = {"payload": flat, "ends": ends, "keys": keys.astype("<i8"), "bits": np.packbits(perfect.bits), "slots": slots.reshape(-1)}
+    parts = {"payload": flat, "ends": ends, "keys": keys.astype("<i8"), "bits": np.packbits(perfect.bits), "ranks": perfect.rank[:-1:RANKED].astype("<u4"), "slots": slots.reshape(-1)}
     head = json.dumps({"levels": perfect.sizes, "parts": [[k, v.dtype.str, len(v)] for k, v in parts.items()]}).encode()
     return b"".join([MAGIC, len(head).to_bytes(8, "little"), head, *(v.tobytes() for v in parts.values())])
 
@@ -226,21 +279,25 @@ def _load(folder: str, shard: int) -> Shard:
         return Shard(f.read())
 
 
+def _frame(rows: list[tuple[int, int, np.ndarray]], number: int, before: int) -> pd.DataFrame:
+    """Records (key, start, ids) of a shard as rows."""
+    return pd.DataFrame(
+        {
+            "doc_id": pd.array([None if k == NULL_KEY else int(k) for k, _, _ in rows], "Int64"),
+            "shard": number,
+            "start": [before + s for _, s, _ in rows],
+            "n_tokens": [len(x) for _, _, x in rows],
+            "ids": [x.tobytes() for _, _, x in rows],
+        }
+    )
+
+
 def _records(shard: Shard, keys: np.ndarray, number: int, before: int) -> Iterator[pd.DataFrame]:
     first, n = shard.find(keys)
     found = np.repeat(keys, n)
     at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
     for lo in range(0, len(at), 4096):
-        got = [shard.record(int(i)) for i in at[lo : lo + 4096]]
-        yield pd.DataFrame(
-            {
-                "doc_id": pd.array([None if k == NULL_KEY else int(k) for k in found[lo : lo + 4096]], "Int64"),
-                "shard": number,
-                "start": [before + s for s, _ in got],
-                "n_tokens": [len(x) for _, x in got],
-                "ids": [x.tobytes() for _, x in got],
-            }
-        )
+        yield _frame([(k, *shard.record(int(i))) for k, i in zip(found[lo : lo + 4096], at[lo : lo + 4096], strict=True)], number, before)
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -260,7 +317,7 @@ def lookup(keys: DataFrame, manifest: DataFrame, key: str = "doc_id") -> DataFra
     """The records of the given keys; keys that no file holds give no row.
 
     The manifest's key ranges (small, a row per file) send a key to its
-    file; each file is read once for all keys that it may hold.
+    file, of which only the key's own bytes are read.
     """
     files = sorted(manifest.collect(), key=lambda r: r["shard"])
     starts = [r["first_key"] for r in files]
@@ -278,8 +335,12 @@ def lookup(keys: DataFrame, manifest: DataFrame, key: str = "doc_id") -> DataFra
             for file, part in batch.groupby("file"):
                 folder, number, before = info[file]
                 if file != at:
-                    shard, at = _load(folder, number), file
-                yield from _records(shard, part["doc_id"].to_numpy(), number, before)
+                    store, base = _store(folder)
+                    shard, at = ShardFile(store.open_input_file(_path(base, number))), file
+                for key in part["doc_id"].tolist():
+                    first, n = shard.find(key)
+                    for i in range(first, first + n):
+                        yield _frame([(key, *shard.record(i))], number, before)
 
     wanted = keys.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("doc_id")).distinct()
     if not files:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from kmerloom.llm import embedding_dedup, merkle, queries, secrets, whitening
+from kmerloom.llm import embedding_dedup, merkle, queries, secrets, token_files, whitening
 
 DOCS = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType())]
@@ -281,3 +281,29 @@ def test_recall_is_unknown_without_links(spark):
     points = spark.createDataFrame([(i, 0, 32, v) for i, v, _ in near], "id long, label int, n int, v array<float>")
     links = spark.createDataFrame([(i, 100 + i) for i in range(10)], "a long, b long")
     assert embedding_dedup._recall(points, links, 0.98, 1) == (0.5, 20)
+
+
+def test_lookups_read_their_own_bytes():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    keys = np.sort(rng.choice(10**9, 5000, replace=False))
+    keys = np.sort(np.concatenate([keys, keys[100:103], keys[100:101], [token_files.NULL_KEY]]))
+    ids = [rng.integers(0, 70_000 if i % 2 else 60_000, int(rng.integers(1, 200))).astype(np.uint32) for i in range(len(keys))]
+    ids[2500] = rng.integers(0, 60_000, 100_000).astype(np.uint32)
+    data = token_files.shard_bytes(keys, ids)
+    whole = token_files.Shard(data)
+    for key in [*keys[::97].tolist(), int(keys[100]), int(keys[2500]), token_files.NULL_KEY, 1, 2, 3, -7]:
+        file = token_files.ShardFile(pa.BufferReader(data))
+        first, n = file.find(key)
+        want = whole.find(np.array([key]))
+        assert n == want[1][0] == (keys == key).sum() and (not n or first == want[0][0])
+        length = 0
+        for i in range(first, first + n):
+            start, got = file.record(i)
+            assert start == whole.record(i)[0] and got.tolist() == ids[i].tolist() == whole.record(i)[1].tolist()
+            length += 4 * len(got)
+        assert file.bytes_read <= length + 16 * n + 4096  # of more than a million
+    assert len(data) > 1_000_000
+    empty = token_files.ShardFile(pa.BufferReader(token_files.shard_bytes(np.zeros(0, np.int64), [])))
+    assert empty.find(5) == (0, 0)
