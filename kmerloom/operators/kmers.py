@@ -9,6 +9,7 @@ array per sequence (``id``, ``seq``, ``w``) until a long table is asked for.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -333,3 +334,22 @@ def preselect(tested: DataFrame, max_kmers: int) -> DataFrame:
     # the bound is the max_kmers-th least value, so all that tie with it stay
     bound = scored.select("v").where("v is not null").orderBy("v").limit(max_kmers).agg(F.max("v").alias("bound"))
     return scored.join(F.broadcast(bound), F.col("v") <= F.col("bound")).drop("bound")
+
+
+class _Words:
+    """Rows of a table function: the distinct words of ``k`` of the four letters in a sequence, and how often each occurs."""
+
+    def eval(self, seq: str, k: int) -> Iterator[tuple[str, int]]:
+        if seq is None or k is None or k < 1:
+            return
+        found: dict[str, int] = {}
+        for part in re.split("[^ACGT]+", seq):
+            for i in range(len(part) - k + 1):
+                word = part[i : i + k]
+                found[word] = found.get(word, 0) + 1
+        yield from found.items()
+
+
+def register_table_function(spark: SparkSession, name: str = "kmers") -> None:
+    """Let SQL ask for words: ``SELECT id, kmer, cnt FROM seqs, LATERAL kmers(seq, 3)``; null sequences have none."""
+    spark.udtf.register(name, F.udtf(_Words, returnType="kmer string, cnt bigint"))

@@ -160,6 +160,7 @@ def all_sql() -> dict[str, str]:
             "SELECT kmer, coalesce(n_ids, 0) AS n_ids, coalesce(total, 0) AS total FROM (SELECT a.c || b.c || d.c || e.c || f.c AS kmer FROM l a, l b, l d, l e, l f) LEFT JOIN t5 USING (kmer)",
         ),
         "kmer_counts_k3": _with(f"{SEQS}, {OCC}", "SELECT id, kmer, 3 AS k, count(*) AS cnt FROM occ GROUP BY id, kmer"),
+        "kmer_table_function": _with(f"{SEQS}, {OCC}", "SELECT id, kmer, 3 AS k, count(*) AS cnt FROM occ GROUP BY id, kmer"),
         "kmer_counts_k3_7": _with(
             SEQS,
             "SELECT k::INT AS k, kmer, count(DISTINCT id) AS n_ids, count(*) AS total FROM (SELECT id, k, substr(seq, i::INT, k::INT) AS kmer FROM "

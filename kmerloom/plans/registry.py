@@ -100,6 +100,12 @@ def _seed_peaks(spark, d) -> DataFrame:
     return _peaks(spark, d).where(F.col("weight") > 0).groupBy("seq").agg(F.max("weight").alias("weight"))
 
 
+def kmer_table_function(spark, d):
+    """Counts of words of three letters through SQL."""
+    kmers.register_table_function(spark)
+    return spark.sql("SELECT id, kmer, 3 AS k, cnt FROM {seqs}, LATERAL kmers(seq, 3)", seqs=fx.sequences(spark, d))
+
+
 def kmer_counts_k3_7(spark, d):
     return kmers.totals(fx.sequences(spark, d), range(3, 8))
 
@@ -472,6 +478,7 @@ def queries() -> dict[str, Query]:
     return {
         "kmer_lexicon": kmer_lexicon,
         "kmer_counts_k3": _counts3,
+        "kmer_table_function": kmer_table_function,
         "kmer_counts_k3_7": kmer_counts_k3_7,
         "kmer_presence": lambda s, d: kmers.presence(_counts3(s, d)),
         "kmer_positional_weights": _weights,

@@ -338,3 +338,11 @@ def test_logistic_starts_together_and_one_by_one():
     # weights stand for repeats
     twice = logistic.fit_logistic(np.repeat(x, 2), np.repeat(y, 2), low, high, 40)
     assert twice[1] == pytest.approx(logistic.fit_logistic(x, y, low, high, 40, weights=np.full(12, 2.0))[1], rel=1e-8)
+
+
+def test_kmers_as_a_table_function(spark):
+    table = seqs(spark, "AAACAAAC", "ACGNACG", "A", None)
+    kmers.register_table_function(spark)
+    got = {(r["id"], r["kmer"]): r["cnt"] for r in spark.sql("SELECT id, kmer, cnt FROM {t}, LATERAL kmers(seq, 3)", t=table).collect()}
+    want = {(r["id"], r["kmer"]): r["cnt"] for r in kmers.counts(table.where("seq is not null"), 3).collect()}
+    assert got == want and got[0, "AAA"] == 2 and got[1, "ACG"] == 2
