@@ -64,9 +64,11 @@ pr AS (SELECT id, tm, log_x, a, b, t, greatest(a * {L2E} * greatest(tm - t, 0) +
 r2 AS (SELECT id, CASE WHEN var_pop(pow(2, log_x)) > 0 THEN greatest(0, 1 - sum(pow(pow(2, log_x) - pow(2, y_hat), 2)) / (var_pop(pow(2, log_x)) * count(*))) ELSE 0 END AS r FROM pr GROUP BY id),
 fit AS (SELECT mv.*, r FROM mv JOIN r2 USING (id))"""
 DECAY = ", ".join([COUNTS, LOGS, SHARES, USABLE, REPORTERS, FLOOR, DATA, NOISE, FITTED])
-GOF = f"""four AS (SELECT tm FROM noise ORDER BY tm LIMIT 4),
-chi AS (SELECT id, sum(pow((log_x - greatest(a * {L2E} * greatest(tm - t, 0) + b, v)) / sd, 2)) AS chi2 FROM data JOIN four USING (tm) JOIN noise USING (tm) JOIN mv USING (id), flo WHERE log_x >= v GROUP BY id),
-gof AS (SELECT id, chi2, exp(-chi2 / 2) * (1 + chi2 / 2) AS p FROM chi)"""
+#: The tail is what the series of the lower incomplete gamma function leaves, for any number of times.
+GOF = f"""chi AS (SELECT id, sum(pow((log_x - greatest(a * {L2E} * greatest(tm - t, 0) + b, v)) / sd, 2)) AS chi2 FROM data JOIN noise USING (tm) JOIN mv USING (id), flo WHERE log_x >= v GROUP BY id),
+gof AS (SELECT id, chi2, CASE WHEN chi2 <= 0 THEN 1.0 WHEN chi2 > 300 THEN 0.0
+  ELSE greatest(0.0, 1 - list_sum(list_transform(range(500), lambda n: exp((n + df / 2) * ln(chi2 / 2) - chi2 / 2 - lgamma(n + df / 2 + 1))))) END AS p
+  FROM chi, (SELECT count(*) AS df FROM noise) AS times_used)"""
 
 LABELS = "sco AS (SELECT doc_id AS id, quality::DOUBLE AS s FROM labels)"
 SIZES = "sco AS (SELECT doc_id AS id, n_chars::DOUBLE AS s FROM documents)"

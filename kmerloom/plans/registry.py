@@ -71,8 +71,7 @@ class _Decay:
 
     @cached_property
     def tests(self) -> DataFrame:
-        four = stage(self.noise.orderBy("tm").limit(4))
-        return stage(decay.goodness_of_fit(self.data, self.fits, four, self.floor))
+        return stage(decay.goodness_of_fit(self.data, self.fits, self.noise, self.floor))
 
     @property
     def tested(self) -> DataFrame:
