@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -284,39 +285,54 @@ def consensus(columns: Sequence[Sequence[float]]) -> str:
     return "".join(LETTERS[int(np.argmax(c))] for c in columns)
 
 
-def seed_cover(peaks: DataFrame, lengths: Sequence[int] = (4, 5, 6), limit: int | None = None) -> DataFrame:
+def seed_cover(peaks: DataFrame, lengths: Sequence[int] = (4, 5, 6)) -> DataFrame:
     """Greedy cover of peaks (``seq``, ``weight``) by k-mers: ``seq``, ``weight``, ``seed``, ``round``.
 
     A k-mer weighs, over the peaks not yet covered, the sum of its length
     times the peak's weight over the peak's length.  Each round takes the
     heaviest (then the longest, then the first), and the peaks that hold it
     are covered; peaks without any k-mer stay without a seed.
+
+    A k-mer that comes before all others of its peaks keeps its weight until
+    its round, since only seeds of its own peaks could lower it.  So all such
+    k-mers are taken at once, and rounds are numbered at the end: a pass takes
+    as many seeds as do not touch each other, and no seed reaches the driver.
     """
     from kmerloom.sources.tables import stage
 
-    whole = peaks.select("seq", "weight").distinct()
-    parts, pairs = [], None
-    for k in lengths:
-        each = whole.where(F.length("seq") >= k).select("seq", "weight", F.explode(F.sequence(F.lit(1), F.length("seq") - (k - 1))).alias("i"))
-        one = each.select("seq", "weight", F.expr(f"substr(seq, i, {k})").alias("seed")).distinct()
-        pairs = one if pairs is None else pairs.union(one)
-    held = pairs = stage(pairs.select("seq", "weight", "seed", (F.length("seed") * F.abs("weight") / F.length("seq")).alias("v")))
-    while limit is None or len(parts) < limit:
-        sums = pairs.groupBy("seed").agg(F.sum("v").alias("v"))
-        best = sums.orderBy(F.desc(F.round("v", 9)), F.desc(F.length("seed")), "seed").first()
-        if best is None or not best["v"]:
+    # pairs carry a number in place of the sequence
+    whole = stage(peaks.select("seq", "weight").distinct().withColumn("peak", F.monotonically_increasing_id()))
+    words = F.array_distinct(F.flatten(F.array(*[_words_of(F.col("seq"), k) for k in lengths])))
+    pairs = whole.select("peak", (F.abs("weight") / F.length("seq")).alias("unit"), F.explode(words).alias("seed"))
+    tops, taken = [], []
+    while True:
+        sums = pairs.groupBy("seed").agg(F.sum(F.length("seed") * F.col("unit")).alias("v")).where("v > 0")
+        rank = F.struct((-F.round("v", 9)).alias("v"), (-F.length("seed")).alias("len"), "seed")
+        ranked = pairs.join(sums, "seed").select("peak", "unit", "seed", rank.alias("rank"))
+        first = stage(ranked.groupBy("peak", "unit").agg(F.min("rank").alias("best"), F.collect_list("seed").alias("seeds")))
+        if first.isEmpty():
             break
-        parts.append((best["seed"], len(parts) + 1))
-        pairs = pairs.where(~F.col("seq").contains(best["seed"]))
-        if len(parts) % 8 == 0:
-            pairs = stage(pairs)
-    # the first seed in the order of the rounds that a peak holds
-    seeds = peaks.sparkSession.createDataFrame(parts, "seed string, round int")
-    hit = F.struct("round", "seed")
-    hits = held.join(seeds, "seed").select("seq", "weight", hit.alias("hit"))
-    every = whole.select("seq", "weight", F.lit(None).cast("struct<round:int,seed:string>").alias("hit")).union(hits)
-    first = every.groupBy("seq", "weight").agg(F.min("hit").alias("hit"))
-    return first.select("seq", "weight", F.coalesce("hit.seed", F.lit(NONE)).alias("seed"), F.col("hit.round").alias("round"))
+        # a k-mer is taken where each of its peaks puts it first
+        each = first.select("best", F.explode("seeds").alias("seed"))
+        ready = each.groupBy("seed").agg(F.min("best").alias("best"), F.bool_and(F.col("seed") == F.col("best.seed")).alias("ready"))
+        ready = stage(ready.where("ready").select("best", F.lit(1).alias("one"), F.lit(len(taken)).alias("pass")))
+        tops.append(first.select("peak", "best", F.lit(len(taken)).alias("pass")))
+        taken.append(ready)
+        pairs = first.join(ready, "best", "left_anti").select("peak", "unit", F.explode("seeds").alias("seed"))
+    if not taken:
+        return whole.select("seq", "weight", F.lit(NONE).alias("seed"), F.lit(None).cast("int").alias("round"))
+    seeds = running_sums(reduce(DataFrame.union, taken), "best", round="one")
+    covered = reduce(DataFrame.union, tops).join(seeds, ["best", "pass"])
+    numbered = covered.select("peak", F.col("best.seed").alias("seed"), F.col("round").cast("int").alias("round"))
+    out = whole.join(numbered, "peak", "left")
+    return out.select("seq", "weight", F.coalesce("seed", F.lit(NONE)).alias("seed"), "round")
+
+
+def _words_of(seq: Column, k: int) -> Column:
+    """All words of ``k`` letters of a sequence, with repeats."""
+    last = F.length(seq) - (k - 1)
+    at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.substring(seq, i, F.lit(k)))
 
 
 def seed_profiles(covered: DataFrame, bin_size: int = BIN) -> DataFrame:

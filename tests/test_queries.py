@@ -33,25 +33,55 @@ def test_pwm_scan_reads_whole_sequences(spark, tmp_path):
     assert max(position for position, _ in got.values()) > 60
 
 
-def test_seed_cover_goes_on(spark, tmp_path, monkeypatch):
-    words = ["".join(x) for x in np.random.default_rng(1).permutation([(a, b, c, a, b) for a in "ACGT" for b in "ACGT" for c in "ACGT"])][:30]
-    made = spark.createDataFrame([(w, 1.0 + i / 8) for i, w in enumerate(words)] + [("AC", 1.0)], "seq string, weight double")
-    monkeypatch.setattr(registry, "_peaks", lambda s, d: made)
-    got = {r["seq"]: (r["seed"], r["round"]) for r in registry.seed_cover(spark, str(tmp_path)).collect()}
-    rest, want = {w: 1.0 + i / 8 for i, w in enumerate(words)}, {"AC": ("NA", None)}
+def plain_cover(peaks, lengths=(4, 5, 6)):
+    """Seed and round by distinct peak, one seed after the other."""
+    rest = {(s, w): {s[i : i + k] for k in lengths for i in range(len(s) - k + 1)} for s, w in peaks}
+    want = {p: ("NA", None) for p in rest}
     number = 0
-    while rest:
-        number += 1
+    while True:
         sums = {}
-        for w, v in rest.items():
-            for seed in {w[i : i + k] for k in (4, 5, 6) for i in range(len(w) - k + 1)}:
-                sums[seed] = sums.get(seed, 0) + len(seed) * v / len(w)
+        for (s, w), seeds in rest.items():
+            for seed in seeds:
+                sums[seed] = sums.get(seed, 0) + len(seed) * abs(w) / len(s)
+        sums = {x: v for x, v in sums.items() if v > 0}
+        if not sums:
+            return want, number
+        number += 1
         seed = min(sums, key=lambda x: (-round(sums[x], 9), -len(x), x))
-        want |= {w: (seed, number) for w in rest if seed in w}
-        rest = {w: v for w, v in rest.items() if seed not in w}
+        want |= {p: (seed, number) for p, seeds in rest.items() if seed in seeds}
+        rest = {p: seeds for p, seeds in rest.items() if seed not in seeds}
+
+
+def test_seed_cover_goes_on(spark, tmp_path, monkeypatch):
+    words = ["".join(x) for x in np.random.default_rng(1).permutation([(a, b, c, a, b) for a in "ACGT" for b in "ACGT" for c in "ACGT"])][:30]
+    peaks = [(w, 1.0 + i / 8) for i, w in enumerate(words)] + [("AC", 1.0)]
+    monkeypatch.setattr(registry, "_peaks", lambda s, d: spark.createDataFrame(peaks, "seq string, weight double"))
+    got = {(r["seq"], r["weight"]): (r["seed"], r["round"]) for r in registry.seed_cover(spark, str(tmp_path)).collect()}
+    want, number = plain_cover(peaks)
     assert number > 20 and got == want
 
 
+def test_seed_cover_takes_many_seeds_a_pass(spark, monkeypatch):
+    from kmerloom.sources import tables
+
+    rng = np.random.default_rng(3)
+    core = ["TGCATT", "GGGG", "ACGTA"]
+    peaks = []
+    for i in range(160):
+        body = "".join(rng.choice(list("ACGT"), rng.integers(0, 14)))
+        peaks.append((body + (core[i % 3] if i % 2 else ""), float(rng.integers(-8, 9)) / 4))
+    peaks += [peaks[1], ("", 1.0), ("AAAAAAAA", 0.0), ("CCCCC", -2.0), ("CCCCC", 2.0)]
+    written = []
+    monkeypatch.setattr(tables, "stage", lambda df, plain=tables.stage: written.append(1) or plain(df))
+    rows = motifs.seed_cover(spark.createDataFrame(peaks, "seq string, weight double")).collect()
+    want, number = plain_cover(peaks)
+    assert {(r["seq"], r["weight"]): (r["seed"], r["round"]) for r in rows} == want and len(rows) == len(want)
+    assert number > 20 and len(written) < number, (number, len(written))
+    none = motifs.seed_cover(spark.createDataFrame([("AC", 1.0), (None, 1.0), ("ACGTT", None)], "seq string, weight double")).collect()
+    assert {(r["seq"], r["seed"], r["round"]) for r in none} == {("AC", "NA", None), (None, "NA", None), ("ACGTT", "NA", None)}
+    assert motifs.seed_cover(spark.createDataFrame([], "seq string, weight double")).collect() == []
+
+
 def test_motifs_are_rebuilt_from_all_peaks(spark):
     rng = np.random.default_rng(2)
     rows = [("NA", "TACG" + "".join(rng.choice(list("ACGT"), rng.integers(0, 3))), 2.0 + i / 1024) for i in range(210)]
