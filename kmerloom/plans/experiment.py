@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from kmerloom.functions.stats import bh_threshold
 from kmerloom.operators import decay, enrichment, kmers, lasso, motifs, peaks, regression, spikes
 from kmerloom.operators.motifs import Motif, MotifOptions
-from kmerloom.sources import tables
+from kmerloom.sources import kmer_store, tables
+from kmerloom.sources.kmer_store import KmerStore
 from kmerloom.sources.tables import memoised, stage
 
 KS = range(3, 8)
@@ -100,14 +101,24 @@ def ranked_spikes(counted: DataFrame) -> DataFrame:
     return found.select(rank.cast("int").alias("rank"), "tm", F.col("cnt").cast("double").alias("q"))
 
 
-def features(seqs: DataFrame, targets: DataFrame, ks: Sequence[int] = KS, max_kmers: int = MAX_KMERS) -> tuple[list[str], DataFrame]:
+def _words(seqs: DataFrame, ids: DataFrame, ks: Sequence[int], store: KmerStore | None) -> DataFrame:
+    """Counts of the words of ``ids``, from the store if there is one, which has to hold each of them once."""
+    if store is None:
+        return kmers.counts(seqs.join(ids.select("id"), "id", "left_semi"), list(ks))
+    counted, bad = store.stack(list(ks), ids)
+    if bad:
+        raise ValueError(f"sequences that the store lacks or holds twice, by k: {bad}")
+    return counted
+
+
+def features(seqs: DataFrame, targets: DataFrame, ks: Sequence[int] = KS, max_kmers: int = MAX_KMERS, store: KmerStore | None = None) -> tuple[list[str], DataFrame]:
     """The k-mers to learn from, and design rows: those in two sequences or more, and of too many the most enriched or depleted.
 
-    Targets without a sequence take no part.
+    Targets without a sequence take no part.  Words are counted unless a store holds them.
     """
     known = targets.select("id", "d").where("d is not null")
     rows = stage(known.join(seqs.where("seq is not null").select("id").distinct(), "id", "left_semi"))
-    counted = stage(kmers.counts(seqs.join(rows.select("id"), "id", "left_semi"), list(ks)))
+    counted = stage(_words(seqs, rows, ks, store))
     chosen = kmers.presence(counted).select("kmer")
     if chosen.count() > max_kmers:
         members = counted.join(chosen, "kmer", "left_semi").select("id", "kmer")
@@ -127,17 +138,18 @@ class RateModel:
     held_out: DataFrame
 
 
-def fit_regression(fits: DataFrame, seqs: DataFrame, ks: Sequence[int] = KS, max_kmers: int = MAX_KMERS, onset: bool = False, penalties: int = 100) -> RateModel:
+def fit_regression(fits: DataFrame, seqs: DataFrame, ks: Sequence[int] = KS, max_kmers: int = MAX_KMERS, onset: bool = False, penalties: int = 100, store: KmerStore | None = None) -> RateModel:
     """Rates (or onsets) by k-mers: the lasso chooses, least squares fit again, ten folds check.
 
     Fits without a sequence are left out before the best ones are chosen.
+    With a store its words are read instead of counted.
     """
     with_sequence = fits.join(seqs.where("seq is not null").select("id").distinct(), "id", "left_semi")
     chosen = stage(regression.select_rows(with_sequence, onset))
-    names, rows = features(seqs, chosen, ks, max_kmers)
+    names, rows = features(seqs, chosen, ks, max_kmers, store)
     path = lasso.lasso_rows(rows, len(names), penalties)
     kept = [names[i] for i in np.flatnonzero(path.coefficients[path.chosen()])]
-    counted = kmers.counts(seqs.join(chosen.select("id"), "id", "left_semi"), sorted({len(k) for k in kept} or {min(ks)}))
+    counted = _words(seqs, chosen, sorted({len(k) for k in kept} or {min(ks)}), store)
     again = stage(regression.design(counted, chosen.select("id", "d"), kept))
     beta, b0, fitted = regression.ols(again, len(kept))
     return RateModel(stage(regression.model_table(kept, beta, seqs.sparkSession)), b0, fitted, regression.cross_validate(again, len(kept)))
@@ -217,7 +229,7 @@ def _stored(spark: SparkSession, folder: str, name: str, parameters: dict, make:
 
 
 def fit_all(spark: SparkSession, seq_path: str, count_path: str, times: Sequence[float], folder: str, ks: Sequence[int] = KS, max_kmers: int = MAX_KMERS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fits, k-mer weights and motif matrices of an experiment's two files; stored under ``folder``."""
+    """Fits, k-mer weights and motif matrices of an experiment's two files; stored under ``folder``, as are the words of the sequences."""
     files = {"seqs": seq_path, "counts": count_path, "times": list(times)}
     seqs = tables.read_sequences(spark, seq_path)
     counted = tables.read_counts(spark, count_path, list(times))
@@ -230,7 +242,9 @@ def fit_all(spark: SparkSession, seq_path: str, count_path: str, times: Sequence
     how = {**files, "ks": list(ks), "max_kmers": max_kmers}
 
     def weights() -> DataFrame:
-        m = fit_regression(fits, seqs, ks, max_kmers)
+        path = tables.stored_path(folder, "kmers", {"seqs": seq_path, "ks": list(ks)})
+        known = kmer_store.open_store(spark, path) if kmer_store.exists(spark, path) else kmer_store.save(kmers.counts(seqs, list(ks)), seqs, ks, path)
+        m = fit_regression(fits, seqs, ks, max_kmers, store=known)
         return m.model.withColumn("intercept", F.lit(m.intercept))
 
     model = _stored(spark, folder, "model", how, weights)

@@ -163,6 +163,17 @@ def all_sql() -> dict[str, str]:
         ),
         "kmer_counts_k3": _with(f"{SEQS}, {OCC}", "SELECT id, kmer, 3 AS k, count(*) AS cnt FROM occ GROUP BY id, kmer"),
         "kmer_table_function": _with(f"{SEQS}, {OCC}", "SELECT id, kmer, 3 AS k, count(*) AS cnt FROM occ GROUP BY id, kmer"),
+        "kmer_store_stack": _with(
+            SEQS,
+            "SELECT id, count(*) AS words, sum(n)::BIGINT AS total, max(k)::INT AS longest FROM (SELECT id, k, substr(seq, i::INT, k::INT) AS kmer, count(*) AS n FROM "
+            "(SELECT id, seq, k, unnest(range(1, length(seq) - k + 2)) AS i FROM seqs, (VALUES (3), (5)) AS t(k) WHERE length(seq) >= k) GROUP BY ALL) "
+            "WHERE id IN (SELECT doc_id FROM labels) GROUP BY id",
+        ),
+        "kmer_store_filled": _with(
+            f"{SEQS}, four AS (SELECT id, substr(seq, i::INT, 4) AS kmer FROM (SELECT id, seq, unnest(range(1, length(seq) - 2)) AS i FROM seqs WHERE length(seq) >= 4)), "
+            "per AS (SELECT id, count(DISTINCT kmer) AS words, count(*) AS total FROM four GROUP BY id)",
+            "SELECT p_partkey AS id, coalesce(words, 0) AS words, coalesce(total, 0) AS total FROM part LEFT JOIN per ON id = p_partkey",
+        ),
         "kmer_counts_k3_7": _with(
             SEQS,
             "SELECT k::INT AS k, kmer, count(DISTINCT id) AS n_ids, count(*) AS total FROM (SELECT id, k, substr(seq, i::INT, k::INT) AS kmer FROM "

@@ -12,7 +12,7 @@ from kmerloom.functions import stats
 from kmerloom.operators import decay, enrichment, kmers, lasso, logistic, motifs, peaks, presentation, regression, spikes
 from kmerloom.plans import experiment, oracles
 from kmerloom.plans import fixtures as fx
-from kmerloom.sources import tables
+from kmerloom.sources import kmer_store, tables
 from kmerloom.sources.tables import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +109,27 @@ def kmer_counts_k3_7(spark, d):
     return kmers.totals(fx.sequences(spark, d), range(3, 8))
 
 
+def _store(spark, d, ks=(3, 4, 5)) -> kmer_store.KmerStore:
+    """A new store of the words of all documents."""
+    seqs = fx.sequences(spark, d)
+    return kmer_store.save(kmers.counts(seqs, list(ks)), seqs, ks, tables.work_dir(spark), buckets=8)
+
+
+def kmer_store_stack(spark, d):
+    """Words of three and five letters per document, read from a store that also holds those of four; ids come from the labels."""
+    found, bad = _store(spark, d).stack((3, 5), fx.quality(spark, d))
+    if bad:
+        raise ValueError(f"documents without words: {bad}")
+    return found.groupBy("id").agg(F.count("*").alias("words"), F.sum("cnt").alias("total"), F.max("k").alias("longest"))
+
+
+def kmer_store_filled(spark, d):
+    """Words of four letters by part number, from the document of that number; numbers without a document count 0."""
+    ids = fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    found = _store(spark, d).filled((4,), ids)
+    return found.groupBy("id").agg(F.count("kmer").alias("words"), F.sum("cnt").alias("total"))
+
+
 def kmer_lexicon(spark, d):
     """All words of five letters, with the documents that hold them."""
     found = kmers.totals(fx.sequences(spark, d), 5).drop("k")
@@ -479,6 +500,8 @@ def queries() -> dict[str, Query]:
         "kmer_counts_k3": _counts3,
         "kmer_table_function": kmer_table_function,
         "kmer_counts_k3_7": kmer_counts_k3_7,
+        "kmer_store_stack": kmer_store_stack,
+        "kmer_store_filled": kmer_store_filled,
         "kmer_presence": lambda s, d: kmers.presence(_counts3(s, d)),
         "kmer_positional_weights": _weights,
         "kmer_norm_weights": kmer_norm_weights,

@@ -65,23 +65,6 @@ def parse_kmer_list(lines: DataFrame) -> DataFrame:
     return each.groupBy("kmer", F.col("z.ids").alias("id")).agg(F.sum(F.col("z.ws").cast("double")).alias("cnt"))
 
 
-def load_kmers(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
-    """A stored k-mer table, for all or some sequences."""
-    out = spark.read.parquet(path)
-    return out if ids is None else out.join(ids.select("id"), "id", "left_semi")
-
-
-def stack_kmers(tables: list[DataFrame], ids: DataFrame | None = None) -> DataFrame:
-    """K-mer tables of several k on top of each other, underscores in ids as dots; with ``ids`` missing ones have a null k-mer and count 0."""
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    out = out.withColumn("id", F.regexp_replace(F.col("id").cast("string"), "_", "."))
-    if ids is not None:
-        out = ids.select(F.col("id").cast("string").alias("id")).join(out, "id", "left").fillna(0, ["cnt"])
-    return out
-
-
 def _number(c: Column) -> Column:
     """At most five significant digits; whole numbers plain."""
     digits = F.greatest(F.lit(0), 4 - F.floor(F.log10(F.nullif(F.abs(c), F.lit(0.0)))).cast("int"))
@@ -132,10 +115,15 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_path(folder: str, name: str, parameters: dict) -> str:
+    """Where a result with these parameters is kept."""
+    key = hashlib.sha256(repr(sorted(parameters.items())).encode()).hexdigest()[:16]
+    return f"{folder}/{name}-{key}"
+
+
 def memoised(spark: SparkSession, folder: str, name: str, parameters: dict, make) -> DataFrame:
     """A stage's stored result, made first if no run with the same parameters left one."""
-    key = hashlib.sha256(repr(sorted(parameters.items())).encode()).hexdigest()[:16]
-    path = f"{folder}/{name}-{key}"
+    path = stored_path(folder, name, parameters)
     target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         make().write.mode("overwrite").parquet(path)

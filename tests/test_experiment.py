@@ -5,8 +5,9 @@ import os
 import numpy as np
 import pytest
 
-from kmerloom.operators import regression
+from kmerloom.operators import kmers, regression
 from kmerloom.plans import experiment
+from kmerloom.sources import kmer_store
 
 
 def reporters(n, seed, length=(100, 121)):
@@ -43,6 +44,20 @@ def test_regression_finds_planted_weights_and_skips_fits_without_sequence(spark)
     assert np.corrcoef(held["y"], held["pred"])[0, 1] > 0.999
 
 
+def test_regression_reads_words_from_a_store(spark, tmp_path):
+    seqs = reporters(60, 5)
+    table = spark.createDataFrame(list(enumerate(seqs)), "id long, seq string")
+    fits = spark.createDataFrame([(i, -rate(s), 10.0, 1.0, 0.99, 0.9) for i, s in enumerate(seqs)], "id long, a double, b double, t double, r double, p double")
+    store = kmer_store.save(kmers.counts(table, [3]), table, [3], f"file://{tmp_path}/store", buckets=4)
+    plain = experiment.features(table, fits.withColumn("d", -fits.a), [3])
+    names, rows = experiment.features(table, fits.withColumn("d", -fits.a), [3], store=store)
+    assert names == plain[0] and sorted(rows.collect()) == sorted(plain[1].collect())
+    part = table.where("id > 3")
+    lacking = kmer_store.save(kmers.counts(part, [3]), part, [3], f"file://{tmp_path}/part", buckets=4)
+    with pytest.raises(ValueError, match="{3: 4}"):
+        experiment.features(table, fits.withColumn("d", -fits.a), [3], store=lacking)
+
+
 def test_from_files_to_predictions(spark, tmp_path):
     write(tmp_path, reporters(90, 1))
     folder = f"file://{tmp_path}/out"
