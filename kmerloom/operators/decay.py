@@ -81,14 +81,15 @@ def bound_onset(a: Column, t: Column, t0: Column) -> Column:
     return F.when(a >= SLOWEST, t0).otherwise(t)
 
 
-def weighted_line(points: DataFrame) -> DataFrame:
+def weighted_line(points: DataFrame, **kept: Column) -> DataFrame:
     """``id``, ``a`` (natural rate, bounded), ``b``: weighted least squares of ``y`` on ``x``.
 
     Weights are clamped to [1e-10, 1] and squared; with fewer than two
     points that weigh more than that the rate is 0 and ``b`` the mean.
+    ``kept`` are further aggregates of the points with a ``y``.
     """
     w = F.greatest(F.lit(1e-10), F.least(F.lit(1.0), F.abs("w")))
-    p = points.where(F.col("y").isNotNull()).select("id", "x", "y", w.alias("w"), (w * w).alias("v"))
+    p = points.where(F.col("y").isNotNull()).withColumns({"w": w, "v": w * w})
     s = p.groupBy("id").agg(
         F.sum("v").alias("sw"),
         F.sum(F.col("v") * F.col("x")).alias("sx"),
@@ -97,12 +98,13 @@ def weighted_line(points: DataFrame) -> DataFrame:
         F.sum(F.col("v") * F.col("x") * F.col("y")).alias("sxy"),
         F.avg("y").alias("my"),
         F.count_if(F.col("w") > 1e-10).alias("n"),
+        *[c.alias(name) for name, c in kept.items()],
     )
     slope = F.coalesce(F.try_divide(F.col("sxy") - F.col("sy") / F.col("sw") * F.col("sx"), F.col("sxx") - F.col("sx") / F.col("sw") * F.col("sx")), F.lit(0.0))
-    line = s.select("id", "my", "n", slope.alias("k"), (F.col("sy") / F.col("sw")).alias("ym"), (F.col("sx") / F.col("sw")).alias("xm"))
+    line = s.select("id", *kept, "my", "n", slope.alias("k"), (F.col("sy") / F.col("sw")).alias("ym"), (F.col("sx") / F.col("sw")).alias("xm"))
     a = F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.col("k"))
     b = F.when(F.col("n") < 2, F.col("my")).otherwise(F.col("ym") - F.col("k") * F.col("xm"))
-    return line.select("id", bound_rate(a / LOG2E).alias("a"), bound_level(b).alias("b"))
+    return line.select("id", bound_rate(a / LOG2E).alias("a"), bound_level(b).alias("b"), *kept)
 
 
 def predict(tm: Column, a: Column, b: Column, t: Column, floor: Column | float | None = None) -> Column:
@@ -118,13 +120,22 @@ def predict_two_phase(tm: Column, a1: Column, a2: Column, b: Column, t: Column,
     return y if floor is None else F.greatest(y, floor)
 
 
-def r_squared(pairs: DataFrame) -> DataFrame:
-    """``id``, ``r``: coefficient of determination of ``y`` by ``y_hat`` on the linear scale; 0 where it would be negative."""
-    x, h = F.pow(F.lit(2.0), "y"), F.pow(F.lit(2.0), "y_hat")
-    lin = pairs.where(F.col("y").isNotNull()).select("id", x.alias("x"), h.alias("h"))
-    s = lin.groupBy("id").agg(F.sum((F.col("x") - F.col("h")) ** 2).alias("err"), F.var_pop("x").alias("v"), F.count("*").alias("n"))
-    total = F.col("v") * F.col("n")
-    return s.select("id", F.when(total > 0, F.greatest(F.lit(0.0), 1 - F.col("err") / total)).otherwise(0.0).alias("r"))
+def _total(values: Column) -> Column:
+    """The sum of an array of doubles."""
+    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+
+
+def r_squared(pairs: Column) -> Column:
+    """Coefficient of determination on the linear scale of an array of structs ``y``, ``y_hat`` (both log2); 0 where it would be negative."""
+
+    def linear(c: Column) -> Column:
+        return F.pow(F.lit(2.0), c)
+
+    error = _total(F.transform(pairs, lambda p: F.pow(linear(p["y"]) - linear(p["y_hat"]), F.lit(2.0))))
+    # deviations from the first value, which are exactly 0 among equals
+    off = F.transform(pairs, lambda p: linear(p["y"]) - linear(pairs[0]["y"]))
+    spread = _total(F.transform(off, lambda d: d * d)) - F.pow(_total(off), F.lit(2.0)) / F.size(pairs)
+    return F.when(spread > 0, F.greatest(F.lit(0.0), 1 - error / spread)).otherwise(0.0)
 
 
 def fit(logs: DataFrame, noise: DataFrame, floor: float) -> DataFrame:
@@ -137,15 +148,18 @@ def fit(logs: DataFrame, noise: DataFrame, floor: float) -> DataFrame:
     rows = logs.join(F.broadcast(noise), "tm").join(F.broadcast(t0))  # a row a time, one row
     w = F.when(F.col("log_x") <= floor, 0.0).otherwise(1 / F.col("sd"))
     x = F.greatest(F.col("tm") - F.col("t0"), F.lit(0.0))
-    line = weighted_line(rows.select("id", x.alias("x"), F.col("log_x").alias("y"), w.alias("w")))
-    first = line.join(F.broadcast(t0)).select("id", "a", "b", bound_onset(F.col("a"), F.col("t0"), F.col("t0")).alias("t"))
-    y = predict(F.col("tm"), F.col("a"), F.col("b"), F.col("t"), floor)
-    both = logs.select("id", "tm", "log_x").join(first, "id")
-    shift = both.groupBy("id", "a", "b", "t").agg(F.avg(y - F.col("log_x")).alias("d"))
-    moved = shift.select("id", "a", bound_level(F.col("b") - F.col("d")).alias("b"), "t")
-    again = logs.select("id", "tm", "log_x").join(moved, "id")
-    r = r_squared(again.select("id", F.col("log_x").alias("y"), predict(F.col("tm"), F.col("a"), F.col("b"), F.col("t"), floor).alias("y_hat")))
-    return moved.join(r, "id")
+    # a sequence's points stay with it as an array, one element a time
+    weighed = rows.select("id", x.alias("x"), F.col("log_x").alias("y"), w.alias("w"), "tm", "t0")
+    line = weighted_line(weighed, t0=F.min("t0"), pts=F.sort_array(F.collect_list(F.struct("tm", "y"))))
+    first = line.withColumn("t", bound_onset(F.col("a"), F.col("t0"), F.col("t0")))
+
+    def level(p: Column) -> Column:
+        return predict(p["tm"], F.col("a"), F.col("b"), F.col("t"), floor)
+
+    shift = _total(F.transform("pts", lambda p: level(p) - p["y"])) / F.size("pts")
+    moved = first.withColumn("b", bound_level(F.col("b") - shift))
+    both = moved.withColumn("pairs", F.transform("pts", lambda p: F.struct(p["y"].alias("y"), level(p).alias("y_hat"))))
+    return both.select("id", "a", "b", "t", r_squared(F.col("pairs")).alias("r"))
 
 
 def goodness_of_fit(logs: DataFrame, fits: DataFrame, noise: DataFrame, floor: float) -> DataFrame:

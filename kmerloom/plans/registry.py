@@ -55,7 +55,7 @@ class _Decay:
         self.logs = fx.logs(self.counts)
         self.times = decay.usable_times(self.counts)
         self.reporters = decay.select_reporters(self.counts, self.times)
-        self.data = self.logs.join(F.broadcast(self.times), "tm").join(self.reporters.select("id"), "id")
+        self.data = stage(self.logs.join(F.broadcast(self.times), "tm").join(self.reporters.select("id"), "id"))
 
     @cached_property
     def noise(self) -> DataFrame:
