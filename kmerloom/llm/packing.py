@@ -3,8 +3,9 @@
 Long documents first give whole windows; what is left of every document is
 dealt over windows by differencing: partial partitions are merged so that
 the heavy parts of one meet the light parts of the other, which leaves
-near-equal windows.  Where a window exceeds the capacity, one more window is
-taken and the differencing runs again.
+near-equal windows.  Their number starts a little above the least that could
+hold all ids; where a window exceeds the capacity, more windows are taken and
+the differencing runs again.
 
 Each task packs the documents of its partition in groups of bounded size,
 so there is no shuffle, and a lost task gives the same pieces again.
@@ -29,6 +30,10 @@ from kmerloom.llm.common import small_batches
 CAPACITY = 2048
 #: Pieces that are packed together.
 GROUP = 4096
+#: Ids of a window that the first differencing leaves free, as a share, since windows are nearly equal only.
+SPARE = 1 / 96
+#: Parts up to which a merge is quicker on lists than on arrays.
+FEW = 16
 #: What is left of a document is cut to at most this many ids, so that a window holds several pieces.
 LONGEST = 200
 
@@ -49,33 +54,49 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     if k == 1 or n == 0:
         return np.zeros(n, np.int64)
     # A node keeps the sums that are not zero; made[] tells where the parts of its two halves went.
-    sums: list[np.ndarray | None] = [np.array([x]) for x in sizes.tolist()]
-    heap = [(-x, i) for i, x in enumerate(sizes.tolist())]
+    sums: list[list | np.ndarray | None] = [[x] for x in sizes.tolist()]
+    heap = [(-x[0], i) for i, x in enumerate(sums)]
     heapq.heapify(heap)
-    made: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+    made: list[tuple] = []
     while len(heap) > 1:
         i, j = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
         a, b = sums[i], sums[j]
         sums[i] = sums[j] = None
-        over = max(0, len(a) + len(b) - k)
-        # the lightest of a go onto the heaviest of b
-        at_a = np.arange(len(a))
-        at_b = np.concatenate([np.arange(len(a), len(a) + len(b) - over), np.arange(over)[::-1]])
-        both = np.zeros(len(a) + len(b) - over, np.int64)
-        both[at_a] = a
-        both[at_b] += b
-        order = np.argsort(both, kind="stable")
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        both = both[order]
-        made.append((i, j, place[at_a], place[at_b]))
+        width = len(a) + len(b)
+        if width <= min(k, FEW):
+            both = a + b
+            order = sorted(range(width), key=both.__getitem__)
+            place = [0] * width
+            for rank, at in enumerate(order):
+                place[at] = rank
+            both = [both[at] for at in order]
+            made.append((i, j, place[: len(a)], place[len(a) :]))
+        else:
+            a, b = np.asarray(a), np.asarray(b)
+            over = max(0, width - k)
+            # the lightest of a go onto the heaviest of b
+            at_a = np.arange(len(a))
+            at_b = np.concatenate([np.arange(len(a), width - over), np.arange(over)[::-1]])
+            both = np.zeros(width - over, np.int64)
+            both[at_a] = a
+            both[at_b] += b
+            order = np.argsort(both, kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            both = both[order]
+            made.append((i, j, place[at_a], place[at_b]))
         sums.append(both)
         heapq.heappush(heap, (-int(both[-1] - (both[0] if len(both) == k else 0)), len(sums) - 1))
-    name: list[np.ndarray | None] = [None] * len(sums)
+    name: list[list | np.ndarray | None] = [None] * len(sums)
     name[-1] = np.arange(len(sums[-1]))
     for node in range(len(sums) - 1, n - 1, -1):
         i, j, at_a, at_b = made[node - n]
-        name[i], name[j], name[node] = name[node][at_a], name[node][at_b], None
+        own, name[node] = name[node], None
+        if isinstance(at_a, list):
+            own = own if isinstance(own, list) else own.tolist()
+            name[i], name[j] = [own[x] for x in at_a], [own[x] for x in at_b]
+        else:
+            name[i], name[j] = own[at_a], own[at_b]
     return np.array([x[0] for x in name[:n]], np.int64)
 
 
@@ -85,6 +106,8 @@ def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
         raise ValueError("a piece is larger than a window")
     total = int(sizes.sum())
     k = max(1, -(-total // capacity))
+    if k > 1:
+        k = max(k, round(total / (capacity * (1 - SPARE))))
     while True:
         part = differencing(sizes, k)
         fullest = int(np.bincount(part, weights=sizes, minlength=k).max(initial=0))
@@ -144,7 +167,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
             return out
 
         for batch in batches:
-            for docs_ in tokens.slices(batch):
+            for docs_ in tokens.slices(batch, size=tokens.WORD_SLICE_BYTES):
                 full = []
                 for doc, ids in zip(docs_["doc_id"], coder.encode(docs_["text"]), strict=True):
                     doc = None if pd.isna(doc) else int(doc)
