@@ -34,9 +34,12 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -73,42 +76,65 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("doc_id", (key_mod(F.col("doc_id"), FOLDS) == TEST_FOLD).alias("held_out"), "text")
 
 
+def _split(texts: pd.Series) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, and how many each text has."""
+    lower = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string(), from_pandas=True).fill_null("")))
+    split = pc.ascii_split_whitespace(lower)
+    counts = pc.list_value_length(split).to_numpy().astype(np.int64)
+    words_ = split.flatten()
+    blank = pc.equal(lower, "").to_numpy(zero_copy_only=False)
+    if blank.any():  # an empty text is split into one empty word
+        words_, counts[blank] = words_.filter(pc.not_equal(words_, "")), 0
+    return words_, counts
+
+
 class _Chunk:
     """Tokens of some documents as numbers of a vocabulary of their own; 0 begins, 1 ends."""
 
-    def __init__(self) -> None:
-        self.index: dict[bytes, int] = {BEGIN: 0, END: 1}
-        self.ids: list[np.ndarray] = []
-        self.docs: list[tuple] = []
-        self.n = 0
-
-    def add(self, doc, held: bool, text: str | None) -> None:
-        index = self.index
-        got = words(text)
-        for w in got:
-            if w not in index:
-                index[w] = len(index)
-        ids = np.fromiter(map(index.__getitem__, got), np.int32, len(got))
-        self.ids.append(np.concatenate([ids, [1]]).astype(np.int32))
-        self.docs.append((doc, held, len(ids) + 1))
-        self.n += len(ids) + 1
+    def __init__(self, docs: list[tuple], words_: list[pa.Array], counts: list[np.ndarray]):
+        #: Key and side of every document, and its tokens.
+        self.docs, self.sizes = docs, np.concatenate(counts) + 1
+        coded = pa.concat_arrays(words_).dictionary_encode()
+        self.types = coded.dictionary.cast(pa.large_binary())
+        ends = np.cumsum(self.sizes) - 1
+        self.tokens = np.ones(int(self.sizes.sum()), np.int32)
+        inner = np.ones(len(self.tokens), bool)
+        inner[ends] = False
+        self.tokens[inner] = coded.indices.to_numpy() + 2
 
     def hashes(self) -> np.ndarray:
-        return np.fromiter(map(_hash, self.index), np.int64, len(self.index))
+        """As ``_hash`` has them."""
+        own = map(xxhash.xxh64_intdigest, chain((BEGIN, END), self.types.to_numpy(zero_copy_only=False)))
+        return (np.fromiter(own, np.uint64, len(self.types) + 2) ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def _chunks(batches: Iterator[pd.DataFrame], only_train: bool = False) -> Iterator[_Chunk]:
-    chunk = _Chunk()
+    docs: list[tuple] = []
+    words_: list[pa.Array] = []
+    counts: list[np.ndarray] = []
+    n = 0
     for batch in batches:
-        for doc, held, text in batch[["doc_id", "held_out", "text"]].itertuples(index=False):
-            if only_train and held:
-                continue
-            chunk.add(doc, held, text)
-            if chunk.n >= CHUNK_TOKENS:
+        if only_train:
+            batch = batch[~batch["held_out"]]
+        got, sizes = _split(batch["text"])
+        names = list(batch[["doc_id", "held_out"]].itertuples(index=False, name=None))
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        lo = 0
+        while lo < len(sizes):
+            # up to the document that fills the chunk
+            hi = min(len(sizes), lo + 1 + int(np.searchsorted(np.cumsum(sizes[lo:] + 1), CHUNK_TOKENS - n)))
+            docs += names[lo:hi]
+            words_.append(got[first[lo] : first[hi]])
+            counts.append(sizes[lo:hi])
+            n += int(first[hi] - first[lo]) + hi - lo
+            lo = hi
+            if n >= CHUNK_TOKENS:
+                chunk = _Chunk(docs, words_, counts)
+                docs, words_, counts, n = [], [], [], 0
                 yield chunk
-                chunk = _Chunk()
-    if chunk.n:
-        yield chunk
+                del chunk
+    if n:
+        yield _Chunk(docs, words_, counts)
 
 
 def vocabulary(rows: DataFrame) -> DataFrame:
@@ -116,9 +142,12 @@ def vocabulary(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in _chunks(batches, True):
-            n = np.bincount(np.concatenate(chunk.ids), minlength=len(chunk.index))
+            hashes = chunk.hashes()
+            n = np.bincount(chunk.tokens, minlength=len(hashes))
             used = n > 0
-            yield pd.DataFrame({"word": chunk.hashes()[used], "n": n[used]})
+            yield pd.DataFrame({"word": hashes[used], "n": n[used]})
+            del chunk, hashes, n, used
+            release()
 
     return rows.mapInPandas(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -188,8 +217,9 @@ def _deal(rows: DataFrame, common: _Common) -> DataFrame:
             hashes, number_of = hashes[rank], np.empty(len(rank), np.int64)
             number_of[rank] = np.arange(len(rank))
             width = len(hashes)
-            sizes = np.array([len(x) for x in chunk.ids])
-            w = number_of[np.concatenate(chunk.ids)]
+            sizes = chunk.sizes
+            w = number_of[chunk.tokens]
+            chunk.types = chunk.tokens = None
             u = np.concatenate([[number_of[0]], w[:-1]])
             u[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = number_of[0]
             doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
@@ -335,12 +365,16 @@ class _Seating:
         """Seat the customers of every pair, then those of the words in the root, given all others' tables."""
         s = self.state
         rng = np.random.default_rng([seed, self.number])
-        others = self.customers[self.word] - self.tables
-        root = np.minimum(self.root[self.word], others)
-        new = (STRENGTH + s.root_discount * (s.root_tables - self.root[self.word] + root)) * self.base
-        parent = (others - s.root_discount * root + new) / (STRENGTH + s.customers - self.tables)
-        back = STRENGTH + s.discount * (self.context_tables[self.context] - self.tables)
-        self.tables = seat(self.count, back * parent, s.discount, rng, s.discount * parent)
+        # a lone customer has a table, whatever the chances
+        many = np.flatnonzero(self.count > 1)
+        word, tables = self.word[many], self.tables[many]
+        others = self.customers[word] - tables
+        root = np.minimum(self.root[word], others)
+        new = (STRENGTH + s.root_discount * (s.root_tables - self.root[word] + root)) * self.base
+        parent = (others - s.root_discount * root + new) / (STRENGTH + s.customers - tables)
+        back = STRENGTH + s.discount * (self.context_tables[self.context[many]] - tables)
+        self.tables = (self.count > 0).astype(np.float64)
+        self.tables[many] = seat(self.count[many], back * parent, s.discount, rng, s.discount * parent)
         sent = np.bincount(self.word, self.tables, len(self.hot))
         self.root = _seat_root(sent, self.root, s, self.base, rng)
 
@@ -358,10 +392,12 @@ def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random
     table that the row has already, and joins the others by their number less the discount for each table.  Behind the 64th, an
     eighth of those present sit down at a time by the same chances.
     """
-    order = np.argsort(-customers, kind="stable")
+    out = (customers > 0).astype(np.float64)
+    order = np.flatnonzero(customers > 1)
+    order = order[np.argsort(-customers[order], kind="stable")]
     n, weight = customers[order], new[order]
     extra = np.zeros(len(n)) if more is None else more[order]
-    tables = (n > 0).astype(np.float64)
+    tables = np.ones(len(n))
     present = 1
     while len(n) and present < n[0]:
         step = 1 if present < 64 else present // 8
@@ -374,7 +410,6 @@ def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random
         else:
             t += rng.binomial(np.minimum(step, n[:active] - present), chance)
         present += step
-    out = np.empty_like(tables)
     out[order] = np.minimum(tables, n)
     return out
 

@@ -1,10 +1,11 @@
-"""What tokenising and packing cost, counted, and that the results stay those of the library."""
+"""What tokens and packing cost, counted, and that the results stay those of the plain way."""
 
 import random
 
 import numpy as np
+import pandas as pd
 
-from kmerloom.llm import packing, tokens
+from kmerloom.llm import language_model, packing, tokens
 
 
 class Counting:
@@ -59,3 +60,22 @@ def test_differencing_on_lists_equals_that_on_arrays(monkeypatch):
     monkeypatch.setattr(packing, "FEW", 0)
     for (sizes, k), part in zip(groups, got, strict=True):
         assert (packing.differencing(sizes, k) == part).all()
+
+
+def test_chunks_split_texts_in_columns(monkeypatch):
+    rng = random.Random(1)
+    letters = [*" \t\n\x0b\x0c\r" * 4, *"abAB.,éÉİΣ中\x1c\x85\u00a0"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(600)] + [None, "", " ", "\n a"]
+    want = [language_model.words(t) for t in texts]
+    held = [i % 3 == 0 for i in range(len(texts))]
+    frame = pd.DataFrame({"doc_id": range(len(texts)), "held_out": held, "text": texts})
+    monkeypatch.setattr(language_model, "words", None)  # no text goes word by word through Python
+    monkeypatch.setattr(language_model, "CHUNK_TOKENS", 500)
+    for only_train in (False, True):
+        kept = [i for i in range(len(texts)) if not (only_train and held[i])]
+        chunks = list(language_model._chunks(iter([frame[:250], frame[250:]]), only_train))
+        assert [d for c in chunks for d in c.docs] == [(i, held[i]) for i in kept]
+        # a chunk ends with the document that fills it
+        assert all(c.sizes.sum() >= 500 > c.sizes[:-1].sum() for c in chunks[:-1])
+        got = np.concatenate([c.hashes()[c.tokens] for c in chunks])
+        assert got.tolist() == [language_model._hash(w) for i in kept for w in [*want[i], language_model.END]]
