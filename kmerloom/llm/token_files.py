@@ -229,7 +229,7 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
         edges = np.array(bounds, np.int64)
         coder = tokens.encoder(tokenizer)
         for batch in batches:
-            for part in tokens.slices(batch):
+            for part in tokens.slices(batch, size=tokens.WORD_SLICE_BYTES):
                 keys = part["doc_id"].to_numpy()
                 ids = [_narrow(x) for x in coder.encode(part["text"])]
                 yield pd.DataFrame({"shard": np.searchsorted(edges, keys, side="left").astype(np.int32), "doc_id": keys, "ids": ids})
