@@ -13,9 +13,9 @@ earlier: in a document of a smaller key, or earlier in the same one.
    shared passage.  Their bytes are fetched from the documents and dealt over
    tasks by anchor.  A task builds suffix arrays and Burrows-Wheeler
    transforms of shards of its segments and merges them by refining their
-   interleave one character at a time, to the depth of ``LENGTH``.  The depth
-   at which the refinement tells a suffix from its neighbours is its common
-   prefix; intervals it never splits are the repeated strings.
+   interleave one character at a time, to the depth of ``LENGTH``.  Only
+   suffixes behind a whole window enter, which are a quarter or so; intervals
+   that the refinement never splits are the repeated strings.
 3. An anchor with more than ``MOST_SEGMENTS`` different segments is split:
    its segments go through both steps again as if they were documents, with
    longer grams, which share fewer neighbours (``GRAMS``).  At the longest,
@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import functools
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import sampled, small_batches, written
+from kmerloom.llm.common import release, sampled, small_batches, written
 
 LENGTH = 100
 #: Bytes of an anchor, each for the anchors that those before leave crowded; windows hold LENGTH - gram + 1 of them.
@@ -122,6 +122,16 @@ def _unpack(blob: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
+def _releasing(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable:
+    """``run``, after which the worker gives its memory back: it waits, with what it holds, beside those of the next stages."""
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Key, hash of the text (which Python computes alike) and the text's bytes."""
     small_batches(docs.sparkSession)
@@ -213,7 +223,7 @@ def _hot(texts: DataFrame, gram: int, total: int) -> np.ndarray:
             anchor, n = np.unique(c.anchor[c.order], return_counts=True)
             yield pd.DataFrame({"anchor": anchor, "n": n})
 
-    found = some.mapInPandas(run, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
+    found = some.mapInPandas(_releasing(run), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
     # a segment stands for 30 bytes of text or so
     least = max(share * BUCKET_BYTES / 120, share * total / 30 / MOST_HOT, 16)
     return np.sort(np.array([r["anchor"] for r in found.where(F.col("n") >= least).select("anchor").collect()], np.int64))
@@ -246,7 +256,7 @@ def _deal(texts: DataFrame, buckets: int, gram: int, hot: np.ndarray) -> DataFra
         for number, c in enumerate(_chunks(batches, gram), TaskContext.get().partitionId()):
             yield blobs(c, number)
 
-    return texts.mapInPandas(run, "bucket int, blob binary").repartitionById(buckets, F.col("bucket"))
+    return texts.mapInPandas(_releasing(run), "bucket int, blob binary").repartitionById(buckets, F.col("bucket"))
 
 
 def _sort_out(dealt: DataFrame, hot: np.ndarray, last: bool, most: int) -> DataFrame:
@@ -291,101 +301,110 @@ def _sort_out(dealt: DataFrame, hot: np.ndarray, last: bool, most: int) -> DataF
         i = text[left]
         yield from frame(k[i], h[i], base[i], start[left], count[left], anchor[left], split[left])
 
-    return dealt.mapInPandas(run, "k bigint, h bigint, base bigint, start bigint, windows bigint, anchor bigint, crowd boolean")
+    return dealt.mapInPandas(_releasing(run), "k bigint, h bigint, base bigint, start bigint, windows bigint, anchor bigint, crowd boolean")
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; the last character is the only least one."""
-    rank = text.astype(np.int64)
-    n, step = len(text), 1
+    """Suffix array by prefix doubling; the last character is the only least one.
+
+    The first order is by as many characters as 64 bits hold; a round sorts
+    only the suffixes that are not told apart yet.
+    """
+    key, n = text.astype(np.uint64), len(text)
+    bits, width = max(int(key.max()).bit_length(), 1), 1
+    while 2 * width * bits <= 64 and width < n:
+        further = key[width:].copy()
+        key <<= np.uint64(width * bits)
+        key[:-width] |= further
+        width *= 2
+    order = np.argsort(key)
+    key = key[order]
+    rank = np.empty(n, np.int64)  # of a suffix: the place of the first one that equals it so far
+    left = np.arange(n)  # places whose suffixes are to be ranked
     while True:
-        second = np.zeros(n, np.int64)
-        second[:-step] = rank[step:] + 1
-        both = rank * (int(second.max(initial=0)) + 1) + second
-        order = np.argsort(both, kind="stable")
-        fresh = np.concatenate([[False], both[order][1:] != both[order][:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
-        step *= 2
-        if step >= n or rank[order[-1]] == n - 1:
+        fresh = np.ones(len(left) + 1, bool)
+        fresh[1:-1] = key[1:] != key[:-1]
+        first = np.flatnonzero(fresh)
+        rank[order[left]] = np.repeat(left[first[:-1]], np.diff(first))
+        left = left[~(fresh[1:] & fresh[:-1])]
+        if not len(left):
             return order
+        suffix = order[left]
+        key = rank[suffix] * n + rank[suffix + width]
+        by = np.argsort(key)
+        key, order[left] = key[by], suffix[by]
+        width *= 2
 
 
-def merge(transforms: list[np.ndarray], room: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge(transforms: list[np.ndarray], behind: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Repeated intervals of sorted shards, from their transforms alone.
 
     The interleave of the shards' suffixes starts with one shard behind the
     other.  A round sorts it stably by the characters before the suffixes,
     which orders by one character more the suffixes that begin there; a
-    block is split where character or former block change.  A suffix leaves
-    when it is alone in its block or when the depth passes its ``room`` (the
-    characters up to its string's end).  Given are the suffixes left at
-    ``depth`` (numbers in the stacked shards), their blocks, and for every
-    suffix the common prefix at which it left.
+    block is split where character or former block change.  Only suffixes
+    ``behind`` a whole window of ``depth`` characters enter, since the rounds
+    of no other one end in a window; a suffix leaves when it is alone in its
+    block.  Given are the suffixes left at ``depth`` (numbers in the stacked
+    shards) and their blocks.
     """
     stacked = np.concatenate(transforms)
     before = np.empty(len(stacked), np.int32)  # of a suffix: the number of the one that begins a character earlier
     at = 0
     for t in transforms:
-        before[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t))
+        before[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t), dtype=np.int32)
         at += len(t)
-    prefix = np.full(len(stacked), depth)
-    suffix, block = np.arange(len(stacked), dtype=np.int32), np.zeros(len(stacked), np.int32)
-    for t in range(1, depth + 1):
+    suffix = np.flatnonzero(behind).astype(np.int32)
+    block = np.zeros(len(suffix), np.int32)
+    for _ in range(depth):
         character = stacked[suffix]
         order = np.argsort(character, kind="stable")
-        character, block, suffix = character[order], block[order], before[suffix][order]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (character[1:] != character[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(fresh, dtype=np.int32) - 1
-        stays = room[suffix] >= t
-        stays &= np.bincount(block[stays], minlength=int(block[-1]) + 1)[block] > 1 if len(block) else True
-        prefix[suffix[~stays]] = t - 1
-        suffix, block = suffix[stays], block[stays]
+        character, block, suffix = character[order], block[order], before[suffix[order]]
+        fresh = np.ones(len(order) + 1, bool)
+        fresh[1:-1] = (character[1:] != character[:-1]) | (block[1:] != block[:-1])
+        stays = ~(fresh[1:] & fresh[:-1])
+        suffix, block = suffix[stays], np.cumsum(fresh[:-1], dtype=np.int32)[stays]
         if not len(suffix):
             break
-    return suffix, block, prefix
+    return suffix, block
 
 
-def repeats(strings: list[bytes], order: np.ndarray, length: int = LENGTH, shards: int = SHARDS) -> list[np.ndarray]:
-    """Per string the starts of windows that also start earlier.
-
-    ``order`` ranks the strings' windows: a window's place is its string's
-    rank and then its start.
-    """
+def _repeated(strings: list[bytes], order: np.ndarray, length: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that also start earlier: their string's number and their start, ascending."""
     parts = np.array_split(np.arange(len(strings)), min(shards, len(strings)))
     transforms, where = [], []
     for part in parts:
         sizes = np.array([len(strings[i]) + 1 for i in part])
         flat = np.frombuffer(b"\x00".join(strings[i] for i in part) + b"\x00", np.uint8)
-        text = np.concatenate([flat.astype(np.uint16) + 2, np.zeros(1, np.uint16)])
+        text = np.zeros(len(flat) + 1, np.uint8 if flat.max() < 254 else np.uint16)
+        np.add(flat, 2, out=text[:-1], dtype=text.dtype)
         ends = np.cumsum(sizes)
         text[ends - 1] = 1
         suffixes = suffix_array(text)
         transforms.append(text[suffixes - 1])
-        own = np.minimum(np.searchsorted(ends, suffixes, side="right"), len(part) - 1)
-        start = suffixes - (ends - sizes)[own]
-        where.append((part[own], start, np.where(suffixes < len(flat), sizes[own] - 1 - start, 0)))
-    string, start, room = (np.concatenate(x) for x in zip(*where, strict=True))
-    suffix, interval, _ = merge(transforms, room, length)
+        own = np.append(np.repeat(np.arange(len(part), dtype=np.int32), sizes), np.int32(len(part) - 1))
+        start = np.append(np.arange(len(flat)) - np.repeat(ends - sizes, sizes), -1)  # the last character is behind no window
+        where.append((part[own[suffixes]], start[suffixes]))
+    string, start = (np.concatenate(x) for x in zip(*where, strict=True))
+    suffix, interval = merge(transforms, start >= length, length)
     string, start = string[suffix], start[suffix]
     by = np.lexsort((start, order[string], interval))
     later = np.zeros(len(by), bool)
     later[1:] = interval[by][1:] == interval[by][:-1]
     hit = by[later]
     hit = hit[np.lexsort((start[hit], string[hit]))]
-    cuts = np.searchsorted(string[hit], np.arange(len(strings) + 1))
-    return [start[hit[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return string[hit], start[hit]
 
 
-def _runs(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
-    """Spans that windows at ascending starts cover."""
-    if not len(starts):
-        return []
-    new = np.concatenate([[True], np.diff(starts) > length])
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:] - 1, [len(starts) - 1]])
-    return [(int(starts[a]), int(starts[b]) + length) for a, b in zip(first, last, strict=True)]
+def repeats(strings: list[bytes], order: np.ndarray, length: int = LENGTH, shards: int = SHARDS) -> list[np.ndarray]:
+    """Per string the starts of windows that also start earlier.
+
+    ``order`` ranks the strings' windows: a window's place is its string's
+    rank and then its start.
+    """
+    string, start = _repeated(strings, order, length, shards)
+    cuts = np.searchsorted(string, np.arange(len(strings) + 1))
+    return [start[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _fetch(texts: DataFrame, open_: DataFrame) -> DataFrame:
@@ -405,7 +424,7 @@ def _fetch(texts: DataFrame, open_: DataFrame) -> DataFrame:
                     out = []
             yield pd.DataFrame(out, columns=["anchor", "crowd", "k", "h", "start", "data"])
 
-    return joined.mapInPandas(run, "anchor bigint, crowd boolean, k bigint, h bigint, start bigint, data binary")
+    return joined.mapInPandas(_releasing(run), "anchor bigint, crowd boolean, k bigint, h bigint, start bigint, data binary")
 
 
 def _by_suffixes(fetched: DataFrame, parts: int) -> DataFrame:
@@ -416,11 +435,12 @@ def _by_suffixes(fetched: DataFrame, parts: int) -> DataFrame:
         order = np.empty(len(f), np.int64)
         order[np.lexsort((f["start"], f["h"], f["k"]))] = np.arange(len(f))
         # windows of one document may come from several segments; their absolute starts keep their order
-        found = repeats([bytes(x) for x in f["data"]], order)
-        out = []
-        for k, h, start, hits in zip(f["k"], f["h"], f["start"], found, strict=True):
-            out += [(k, h, start + a, start + b) for a, b in _runs(hits)]
-        return pd.DataFrame(out, columns=["k", "h", "lo", "hi"])
+        string, start = _repeated(f["data"].tolist(), order, LENGTH, SHARDS)
+        breaks = (string[1:] != string[:-1]) | (start[1:] - start[:-1] > LENGTH)
+        first = np.flatnonzero(np.append(True, breaks)[: len(start)])
+        last = np.flatnonzero(np.append(breaks, True)[: len(start)])
+        k, h, base = (f[c].to_numpy()[string[first]] for c in ("k", "h", "start"))
+        return pd.DataFrame({"k": k, "h": h, "lo": base + start[first], "hi": base + start[last] + LENGTH})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -448,7 +468,7 @@ def _by_suffixes(fetched: DataFrame, parts: int) -> DataFrame:
             yield batch_spans(pd.concat(held, ignore_index=True))
 
     dealt = fetched.repartition(parts, F.col("anchor")).sortWithinPartitions("anchor")
-    return dealt.select("anchor", "k", "h", "start", "data").mapInPandas(run, "k bigint, h bigint, lo bigint, hi bigint")
+    return dealt.select("anchor", "k", "h", "start", "data").mapInPandas(_releasing(run), "k bigint, h bigint, lo bigint, hi bigint")
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -492,11 +512,13 @@ def _cut(data: bytes, spans_) -> tuple[bytes, list[int]]:
 
 
 def _cut_rows(data: pd.Series, spans_: pd.Series) -> pd.DataFrame:
+    release()
     got = [_cut(bytes(d), s) for d, s in zip(data, spans_, strict=True)]
     return pd.DataFrame({"kept": [g[0] for g in got], "removed": [np.array(g[1], np.int64) for g in got]})
 
 
 def _readable(kept: pd.Series) -> pd.Series:
+    release()
     return pd.Series([bytes(k).decode("utf-8", "ignore") for k in kept], dtype=object)
 
 
