@@ -34,7 +34,7 @@ def rows_of(frame):
     return sorted(tuple(None if pd.isna(v) else v for v in row) for row in frame[columns].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["column_noise", "decay_gof_even_df", "good_fit_mask"])
+@pytest.mark.parametrize("name", ["column_noise", "decay_gof_even_df", "good_fit_mask", "regression_select_rows"])
 def test_more_than_ten_thousand_values_a_time(spark, lineitem, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{lineitem}/lineitem.parquet/*.parquet')")
