@@ -16,11 +16,11 @@ aligned along one guide tree.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerloom.sources.tables import stage
@@ -32,6 +32,8 @@ MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 5.0, -4.0, 100.0, 1.25
 BIN, CENTRES = 128, 16
 #: Pairs times columns that are scored together.
 CELLS = 1 << 18
+#: Cells of bins below which they are aligned at once, without tasks; bins that are remembered.
+AT_ONCE, REMEMBERED = 1 << 20, 20_000
 
 _SCORES = np.where(np.eye(4, dtype=bool), MATCH, MISMATCH)
 _CODES = np.full(256, 4, np.int64)
@@ -277,9 +279,14 @@ def _binned(rows: DataFrame, bin_size: int) -> DataFrame:
     return placed.join(counts, ["motif", "near"]).withColumn("part", F.pmod(F.xxhash64("name", "weight"), "parts").cast("int")).drop("parts")
 
 
+def _parts_of(s: str) -> set[str]:
+    """Pairs and triples of letters."""
+    return {s[i : i + k] for k in (2, 3) for i in range(len(s) - k + 1)}
+
+
 def _alike(a: str, b: str) -> float:
     """Share of common pairs and triples of letters, for the choice of bins alone."""
-    x, y = ({s[i : i + k] for k in (2, 3) for i in range(len(s) - k + 1)} for s in (a, b))
+    x, y = _parts_of(a), _parts_of(b)
     return len(x & y) / max(1, min(len(x), len(y)))
 
 
@@ -313,3 +320,121 @@ def group_profiles(members: DataFrame, bin_size: int = BIN) -> DataFrame:
         most = fewer
     columns = F.posexplode(F.transform(F.sequence(F.lit(0), F.expr("size(w) div 5 - 1")), lambda i: F.slice("w", i * 5 + 1, 5))).alias("pos", "c")
     return rows.where(F.size("w") > 0).select("motif", columns).select("motif", "pos", *[F.col("c")[i].alias(x) for i, x in enumerate((*LETTERS, "gap"))])
+
+
+_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+_ALL = (1 << 64) - 1
+
+
+def _turned(x: int, n: int) -> int:
+    return (x << n | x >> (64 - n)) & _ALL
+
+
+def _hash(data: bytes, seed: int) -> int:
+    """xxHash of 64 bits, as ``F.xxhash64`` has it of one value."""
+    n, at = len(data), 0
+
+    def step(acc: int, word: int) -> int:
+        return _turned((acc + word * _P2) & _ALL, 31) * _P1 & _ALL
+
+    if n >= 32:
+        v = [(seed + _P1 + _P2) & _ALL, (seed + _P2) & _ALL, seed, (seed - _P1) & _ALL]
+        while at + 32 <= n:
+            v = [step(x, int.from_bytes(data[at + 8 * i : at + 8 * i + 8], "little")) for i, x in enumerate(v)]
+            at += 32
+        h = sum(_turned(x, r) for x, r in zip(v, (1, 7, 12, 18), strict=True)) & _ALL
+        for x in v:
+            h = ((h ^ step(0, x)) * _P1 + _P4) & _ALL
+    else:
+        h = (seed + _P5) & _ALL
+    h = (h + n) & _ALL
+    while at + 8 <= n:
+        h = (_turned(h ^ step(0, int.from_bytes(data[at : at + 8], "little")), 27) * _P1 + _P4) & _ALL
+        at += 8
+    if at + 4 <= n:
+        h = (_turned(h ^ int.from_bytes(data[at : at + 4], "little") * _P1 & _ALL, 23) * _P2 + _P3) & _ALL
+        at += 4
+    for byte in data[at:]:
+        h = _turned(h ^ byte * _P5 & _ALL, 11) * _P1 & _ALL
+    h = (h ^ h >> 33) * _P2 & _ALL
+    h = (h ^ h >> 29) * _P3 & _ALL
+    return h ^ h >> 32
+
+
+def _part(name: str, weight: float, parts: int) -> int:
+    """``pmod(xxhash64(name, weight), parts)``."""
+    h = _hash(np.float64(weight).tobytes(), _hash(name.encode(), 42))
+    return (h - (1 << 64) if h >> 63 else h) % parts
+
+
+@dataclass
+class GroupAligner:
+    """``group_profiles`` of one group whose sequences are in memory, bin by bin in tasks.
+
+    Bins are those of ``group_profiles``.  A bin that was aligned before, in
+    this or another group, is not aligned again: rounds of refinement change
+    groups little.
+    """
+
+    spark: SparkSession
+    bin_size: int = BIN
+    known: dict[tuple, Profile] = field(default_factory=dict)
+    parts: dict[str, set[str]] = field(default_factory=dict)
+
+    def profile(self, seqs: Sequence[str], weights: Sequence[float]) -> np.ndarray:
+        """Weights of A, C, G, T and dash by column; equal sequences are one."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        alone: dict[str, float] = {}
+        for s, w in zip(seqs, weights, strict=True):
+            if s:
+                alone[s] = alone.get(s, 0.0) + abs(w)
+        # name, weight, and what the profile is made from
+        rows = [(s, w, (s, w)) for s, w in alone.items()]
+        size = self.bin_size
+        if len(rows) == 1:
+            return Profile.of(*rows[0][:2]).w
+        while len(rows) > 1:
+            most = len(rows)
+            bins = [sorted(b, key=lambda r: r[:2]) for b in self._bins(rows, size)]
+            made = self._aligned([tuple(r[2] for r in b) for b in bins], bins)
+            rows = [(p.consensus or b[0][0], p.weight, key) for (key, p), b in zip(made, bins, strict=True)]
+            size = size if len(rows) <= most // 2 else 2 * size
+        return self.known[rows[0][2]].w if rows else np.zeros((0, 5))
+
+    def _bins(self, rows: list[tuple], size: int) -> list[list[tuple]]:
+        if len(rows) <= size:
+            return [rows]
+        centres = [self._parts(r[0]) for r in sorted(rows, key=lambda r: (-round(r[1], 9), r[0]))[:CENTRES]]
+        near: dict[int, list] = {}
+        for r in rows:
+            x = self._parts(r[0])
+            near.setdefault(int(np.argmax([len(x & y) / max(1, min(len(x), len(y))) for y in centres])), []).append(r)
+        out: dict[tuple, list] = {}
+        for k, own in near.items():
+            parts = -(-len(own) // size)
+            for r in own:
+                out.setdefault((k, _part(r[0], r[1], parts) if parts > 1 else 0), []).append(r)
+        return list(out.values())
+
+    def _parts(self, name: str) -> set[str]:
+        if name not in self.parts:
+            self.parts[name] = _parts_of(name)
+        return self.parts[name]
+
+    def _aligned(self, keys: list[tuple], bins: list[list[tuple]]) -> list[tuple[tuple, Profile]]:
+        todo = {}
+        for key, b in zip(keys, bins, strict=True):
+            if key not in self.known:
+                todo[key] = [(name, self.known.get(made) or Profile.of(*made)) for name, _, made in b]
+        cells = sum(sum(len(name) for name, _ in b) ** 2 for b in todo.values())
+        if len(todo) < 2 or cells < AT_ONCE:
+            found = list(map(_of_bin, todo.values()))
+        else:
+            found = self.spark.sparkContext.parallelize(list(todo.values()), len(todo)).map(_of_bin).collect()
+        self.known.update(zip(todo, found, strict=True))
+        return [(key, self.known[key]) for key in keys]
+
+
+def _of_bin(rows: list[tuple[str, Profile]]) -> Profile:
+    return progressive([p for _, p in rows], [name for name, _ in rows])[0]

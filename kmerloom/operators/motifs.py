@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions.stats import running_sums
-from kmerloom.operators.alignment import BIN, align, group_profiles
+from kmerloom.operators.alignment import BIN, GroupAligner, align, group_profiles
 
 LETTERS = "ACGT"
 NONE = "NA"
-#: Letters of sequences that are scored together.
-SLICE = 1 << 20
+#: Letters of sequences that are scored together, and of a sign's peaks that refinement keeps in memory.
+SLICE, IN_MEMORY = 1 << 20, 4 << 20
+#: Windows that are scored together.
+WINDOWS = 1 << 20
 
 _CODES = np.full(256, 5, np.uint8)
 _CODES[np.frombuffer(b"ACGT-", np.uint8)] = np.arange(5)
@@ -69,16 +71,19 @@ def best_windows(seqs: Sequence[str], table: Sequence[Sequence[float]], digits:
     # a table much longer than a sequence is mostly dashes
     for some, score in ((2 * sizes >= m, _by_columns), (2 * sizes < m, _by_letters)):
         own = np.flatnonzero(some)
-        if not len(own):
-            continue
-        n = sizes[own] + m  # windows of each sequence
-        at = np.concatenate([[0], np.cumsum(n)[:-1]])
-        total = np.round(score([seqs[i] for i in own], rows, n), digits)
-        top = np.maximum.reduceat(total, at)
-        hit = np.flatnonzero(total == np.repeat(top, n))
-        of = np.repeat(np.arange(len(own)), n)[hit]
-        _, first = np.unique(of, return_index=True)
-        best[own], place[own] = top, hit[first] - at
+        # like lengths together
+        own = own[np.argsort(sizes[own], kind="stable")]
+        for own in np.split(own, np.flatnonzero(np.diff(np.cumsum(sizes[own] + m) // WINDOWS)) + 1):
+            if not len(own):
+                continue
+            n = sizes[own] + m  # windows of each sequence
+            at = np.concatenate([[0], np.cumsum(n)[:-1]])
+            total = np.round(score([seqs[i] for i in own], rows, n), digits)
+            top = np.maximum.reduceat(total, at)
+            hit = np.flatnonzero(total == np.repeat(top, n))
+            of = np.repeat(np.arange(len(own)), n)[hit]
+            _, first = np.unique(of, return_index=True)
+            best[own], place[own] = top, hit[first] - at
     return best, place
 
 
@@ -99,21 +104,21 @@ def _by_columns(seqs: Sequence[str], rows: np.ndarray, n: np.ndarray) -> np.ndar
 
 
 def _by_letters(seqs: Sequence[str], rows: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The same, summed over the sequences' letters: each takes the place of a dash."""
+    """The same, summed over the sequences' letters: each takes the place of a dash.  Sequences come in ascending order of length."""
     m = len(rows)
     dashes = rows[:, 4]
-    gain = rows - dashes[:, None]
-    at = np.concatenate([[0], np.cumsum(n)[:-1]])
-    k = np.arange(int(n.sum())) - np.repeat(at, n)
-    letters = np.zeros((len(seqs), int(n.max()) - m), np.int64)
-    for i, s in enumerate(seqs):
-        letters[i, : len(s)] = _codes_of(s)
-    of = np.repeat(np.arange(len(seqs)), n)
-    total = np.full(len(k), dashes.sum())
-    for i in range(letters.shape[1]):
-        column = m + i - k
-        some = np.flatnonzero((column >= 0) & (column < m) & (i < n[of] - m))
-        total[some] += gain[column[some], letters[of[some], i]]
+    # the last position first, as the window moves over a letter
+    gain = np.ascontiguousarray((rows - dashes[:, None])[::-1].T)
+    total = np.full(int(n.sum()), dashes.sum())
+    lo = at = 0
+    while lo < len(seqs):
+        hi = int(np.searchsorted(n, n[lo], side="right"))
+        count, size = hi - lo, int(n[lo])
+        letters = _codes_of("".join(seqs[lo:hi])).reshape(count, size - m)
+        part = total[at : at + count * size].reshape(count, size)
+        for i in range(size - m):
+            part[:, i + 1 : i + 1 + m] += gain[letters[:, i]]
+        lo, at = hi, at + count * size
     return total
 
 
@@ -393,41 +398,204 @@ def refine(peaks: DataFrame, motifs: Sequence[Motif], shares: Sequence[float], s
     peaks without a motif form a group that can become one; motifs without a
     peak go.
     """
-    from kmerloom.sources.tables import stage
+    return _refine(members_of(peaks, sign), [m for m in motifs if m.sign == sign], shares, sign, options, min_weight)
 
-    own = peaks.where(F.signum("weight") == sign).select("seq", "weight")
-    state, best, kept = [m for m in motifs if m.sign == sign], -math.inf, []
+
+def _refine(own: DataFrame | Members, state: list[Motif], shares: Sequence[float], sign: int, options: MotifOptions, min_weight: float) -> tuple[list[Motif], float]:
+    best, kept = -math.inf, []
     for _ in range(options.max_rounds):
         if not state:
             break
-        # written once a round, as several aggregations read it
-        assigned = stage(assign(own, state, shares, options, windows=True))
-        total = assigned.agg(F.sum("llr")).first()[0] or 0.0
+        assigned = _assigned(own, state, shares, sign, options)
+        total = assigned.total()
         if total <= best:
             break
-        weights = {r["motif"]: r["weight"] for r in group_stats(assigned).collect()}
+        weights = assigned.weights()
         best, kept = total, [m for m in state if m.name in weights]
         heaviest = max(weights, key=lambda m: (weights[m], m), default=None)
         names = [m for m, w in weights.items() if w >= min_weight or m == heaviest]
-        state = rebuild(assigned.where(F.col("motif").isin(names)), sign, options)
+        state = assigned.rebuilt(names)
     return kept, best
 
 
 def prune(peaks: DataFrame, motifs: Sequence[Motif], shares: Sequence[float], sign: int, options: MotifOptions = MotifOptions(), min_weight: float = 0.0) -> list[Motif]:
     """Leave each motif out in turn, the lightest first, and refine the others; what comes of it stays, and fewer motifs shorten the turn."""
-    state, _ = refine(peaks, motifs, shares, sign, options, min_weight)
-    own = peaks.where(F.signum("weight") == sign)
-    weights = {r["motif"]: r["weight"] for r in group_stats(assign(own, state, shares, options)).collect()} if state else {}
+    own = members_of(peaks, sign)
+    state, _ = _refine(own, [m for m in motifs if m.sign == sign], shares, sign, options, min_weight)
+    weights = _assigned(own, state, shares, sign, options).weights() if state else {}
     state = sorted(state, key=lambda m: (weights.get(m.name, 0.0), m.name))
     turn = 0
     while turn < len(state) - 1:
         before = len(state)
-        state, _ = refine(peaks, state[:turn] + state[turn + 1 :], shares, sign, options, min_weight)
+        state, _ = _refine(own, state[:turn] + state[turn + 1 :], shares, sign, options, min_weight)
         if len(state) >= before:
             turn += 1
     return state
 
 
+class _InTasks:
+    """Peaks of a sign with their motifs, as a table that is written once, as several aggregations read it."""
+
+    def __init__(self, own: DataFrame, state: Sequence[Motif], shares: Sequence[float], sign: int, options: MotifOptions):
+        from kmerloom.sources.tables import stage
+
+        self.rows, self.sign, self.options = stage(assign(own, state, shares, options, windows=True)), sign, options
+
+    def total(self) -> float:
+        return self.rows.agg(F.sum("llr")).first()[0] or 0.0
+
+    def weights(self) -> dict[str, float]:
+        return {r["motif"]: r["weight"] for r in group_stats(self.rows).collect()}
+
+    def rebuilt(self, names: list[str]) -> list[Motif]:
+        return rebuild(self.rows.where(F.col("motif").isin(names)), self.sign, self.options)
+
+
+class Members:
+    """Peaks of a sign in memory, with the best windows of the matrices that were looked for last.
+
+    The columns are those of a table of peaks with a sequence and a weight;
+    scores of a matrix do not change while it stays as it is, which most do
+    from round to round.
+    """
+
+    def __init__(self, spark, seqs: Sequence[str], weights: Sequence[float]):
+        self.seqs, self.weight = list(seqs), np.abs(np.asarray(weights, float))
+        self.aligner = GroupAligner(spark)
+        self.found: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        sizes = np.cumsum([len(s) for s in self.seqs])
+        cuts = np.searchsorted(sizes, np.arange(SLICE, int(sizes[-1]) if len(sizes) else 0, SLICE)).tolist()
+        self.slices = [self.seqs[a:b] for a, b in zip([0, *cuts], [*cuts, len(self.seqs)], strict=True) if b > a]
+
+    def look(self, tables: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The best windows of each table; those of other tables are forgotten."""
+        kept = {t: self.found[t] for t in tables if t in self.found}
+        for t in tables:
+            if t not in kept:
+                parts = [best_windows(s, t) for s in self.slices]
+                kept[t] = tuple(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kind) for i, kind in ((0, float), (1, np.int64)))
+        self.found = kept
+        return [kept[t] for t in tables]
+
+
+class _InMemory:
+    """``_InTasks`` of peaks in memory, with the same rules as ``assign``, ``window_profiles`` and ``rebuild``."""
+
+    def __init__(self, own: Members, state: Sequence[Motif], shares: Sequence[float], sign: int, options: MotifOptions):
+        def table(m: Motif) -> tuple:
+            return tuple(map(tuple, m.log2(options.count_scale, options.pseudo_count)))
+
+        self.own, self.sign, self.options = own, sign, options
+        tables = [table(m) for m in state]
+        plain = {len(t): table(Motif(NONE, 0, (tuple(shares),) * len(t))) for t in tables}
+        looked = own.look([*tables, *plain.values()])
+        below = {m: looked[len(tables) + i][0] for i, m in enumerate(plain)}
+        self.names = [*(m.name for m in state), NONE]
+        self.llr, self.place = np.full(len(own.seqs), -np.inf), np.zeros(len(own.seqs), np.int64)
+        self.motif = np.full(len(own.seqs), len(state))
+        self.widths = [len(t) for t in tables]
+        for i, (t, (best, place)) in enumerate(zip(tables, looked, strict=False)):
+            with np.errstate(invalid="ignore"):
+                odds = np.round(best - below[len(t)], 9)
+            better = odds > self.llr
+            self.llr[better], self.place[better], self.motif[better] = odds[better], place[better], i
+        self.motif[self.llr < 0] = len(state)
+
+    def total(self) -> float:
+        return float(self.llr[np.isfinite(self.llr)].sum())
+
+    def weights(self) -> dict[str, float]:
+        n = np.bincount(self.motif, minlength=len(self.names))
+        sums = np.bincount(self.motif, self.own.weight, len(self.names))
+        return {name: float(w) for name, w, k in zip(self.names, sums, n, strict=True) if k}
+
+    def rebuilt(self, names: list[str]) -> list[Motif]:
+        groups: dict[str, list] = {}
+        for i, name in enumerate(self.names):
+            rows = np.flatnonzero(self.motif == i)
+            if name not in names or not len(rows):
+                continue
+            seqs, weight = [self.own.seqs[r] for r in rows], self.own.weight[rows]
+            if name == NONE:
+                sums = self.own.aligner.profile(seqs, weight)
+            else:
+                pad, m = "-" * self.widths[i], self.widths[i]
+                place, step, sums = self.place[rows].tolist(), max(1, SLICE // m), np.zeros((m, 5))
+                for lo in range(0, len(rows), step):
+                    some = slice(lo, lo + step)
+                    windows = "".join([f"{pad}{s}{pad}"[a : a + m] for s, a in zip(seqs[some], place[some], strict=True)])
+                    sums += np.stack([np.bincount(c, weight[some], 6)[:5] for c in _codes_of(windows).reshape(-1, m).T])
+            if len(sums):
+                groups[name] = [(pos, *map(float, row)) for pos, row in enumerate(sums)]
+        return named(groups, self.sign, self.options)
+
+
+def cover_in_memory(own: Members, lengths: Sequence[int] = (4, 5, 6)) -> list[str]:
+    """``seed_cover`` of peaks in memory that are distinct: the seed of each."""
+    words = [{s[i : i + k] for k in lengths for i in range(len(s) - k + 1)} for s in own.seqs]
+    # the first of equal weights is the longest and then the first
+    names = sorted(set().union(*words), key=lambda x: (-len(x), x)) if words else []
+    number = {x: i for i, x in enumerate(names)}
+    peak = np.repeat(np.arange(len(words)), [len(x) for x in words])
+    word = np.fromiter((number[x] for own_words in words for x in own_words), np.int64, len(peak))
+    unit = own.weight / np.maximum([len(s) for s in own.seqs], 1)
+    value = unit[peak] * np.array([len(x) for x in names], float)[word]
+    seeds = [NONE] * len(words)
+    while len(peak):
+        v = np.round(np.bincount(word, value, len(names)), 9)
+        first = int(v.argmax())
+        if v[first] <= 0:
+            break
+        covered = np.zeros(len(words), bool)
+        covered[peak[word == first]] = True
+        for i in np.flatnonzero(covered):
+            seeds[i] = names[first]
+        rest = ~covered[peak]
+        peak, word, value = peak[rest], word[rest], value[rest]
+    return seeds
+
+
+def seed_motifs_in_memory(own: Members, sign: int, options: MotifOptions = MotifOptions()) -> list[Motif]:
+    """Motifs of the heavy groups of a cover, as ``heavy_motifs`` and ``seed_profiles`` make them of tables."""
+    members: dict[str, list[int]] = {}
+    for i, seed in enumerate(cover_in_memory(own, options.seed_lengths)):
+        members.setdefault(seed, []).append(i)
+    weights = {seed: float(own.weight[rows].sum()) for seed, rows in members.items()}
+    least, heaviest = options.min_weight_share * sum(weights.values()), min(weights, key=lambda x: (-weights[x], x), default=None)
+    groups: dict[str, list] = {}
+    for seed, rows in members.items():
+        if seed == NONE or (weights[seed] < least and seed != heaviest):
+            continue
+        seqs, weight = [own.seqs[r] for r in rows], own.weight[rows]
+        if len(rows) == 2:
+            groups[seed] = [(pos, *map(float, row)) for pos, row in enumerate(own.aligner.profile(seqs, weight))]
+            continue
+        sizes = np.array([len(s) for s in seqs])
+        at = np.array([s.index(seed) for s in seqs])
+        pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes + at, sizes) + at.max()
+        each = np.repeat(weight, sizes)
+        sums = np.bincount(pos * 6 + _codes_of("".join(seqs)), each, 6 * (int(pos.max()) + 1)).reshape(-1, 6)
+        # where all have a letter there is no dash, whatever the sums' last digits say
+        gap = np.where(np.bincount(pos) < len(rows), weight.sum() - np.bincount(pos, each), 0.0)
+        groups[seed] = [(i, *map(float, row[:4]), float(g)) for i, (row, g) in enumerate(zip(sums, gap, strict=True))]
+    return named(groups, sign, options)
+
+
+def members_of(peaks: DataFrame, sign: int) -> DataFrame | Members:
+    """Peaks of a sign: in memory up to ``IN_MEMORY`` letters, else as they are."""
+    own = peaks.where(F.signum("weight") == sign).select("seq", "weight")
+    # what a peak takes beside its letters counts as 64 of them
+    held = own.agg(F.sum(F.length("seq") + 64)).first()[0] or 0
+    if held > IN_MEMORY or own.where("seq is null").limit(1).count():
+        return own
+    rows = own.toPandas().sort_values(["seq", "weight"], kind="stable")
+    return Members(own.sparkSession, rows["seq"].tolist(), rows["weight"].to_numpy(float))
+
+
+def _assigned(own: DataFrame | Members, state: Sequence[Motif], shares: Sequence[float], sign: int, options: MotifOptions) -> _InTasks | _InMemory:
+    return (_InMemory if isinstance(own, Members) else _InTasks)(own, state, shares, sign, options)
+
+
 def least_error_threshold(points: DataFrame) -> DataFrame:
     """The value at which the weight of errors is least: errors are negatives (``hit`` false) from it on and positives below it."""
     each = points.groupBy("x").agg(
