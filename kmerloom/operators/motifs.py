@@ -250,8 +250,22 @@ def from_alignment(aligned: DataFrame, options: MotifOptions = MotifOptions()) -
     thousandths, at least 1; its dashes give a quarter of their count to each
     letter.  Columns outside the first and last informative one are cut off.
     """
-    letters = aligned.select(F.abs("weight").alias("w"), F.posexplode(F.split("aligned", "")).alias("pos", "letter"))
-    sums = letters.groupBy("pos").agg(*[F.sum(F.when(F.col("letter") == x, F.col("w")).otherwise(0.0)).alias(x) for x in LETTERS + "-"])
+    from kmerloom.sources.tables import stage
+
+    # dashes at the ends are most of a long alignment: they are what the other rows leave
+    w, inner = F.abs("weight"), F.trim(F.col("aligned"), F.lit("-"))
+    lead = F.length("aligned") - F.length(F.ltrim(F.col("aligned"), F.lit("-")))
+    letters = aligned.select(w.alias("w"), lead.alias("lead"), F.posexplode(F.split(inner, "")).alias("i", "letter")).where("letter <> ''")
+    per = letters.groupBy((F.col("lead") + F.col("i")).alias("pos")).agg(
+        *[F.sum(F.when(F.col("letter") == x, F.col("w")).otherwise(0.0)).alias(x) for x in LETTERS + "-"], F.sum("w").alias("here"), F.count("*").alias("n")
+    )
+    whole = aligned.agg(F.max(F.length("aligned")).alias("width"), F.sum(w).alias("whole"), F.count("aligned").alias("members"))
+    columns = whole.where("width > 0").select("whole", "members", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("pos"))
+    filled = columns.join(per, "pos", "left").fillna(0.0, [*LETTERS, "-", "here"]).fillna(0, ["n"])
+    # where all have a letter there is no dash, whatever the sums' last digits say
+    outside = F.when(F.col("n") < F.col("members"), F.col("whole") - F.col("here")).otherwise(0.0)
+    # a row a column of the alignment, read for the edges and the matrix
+    sums = stage(filled.select("pos", *LETTERS, (F.col("-") + outside).alias("-")))
     counts = sums.select("pos", *[_rounded(F.col(x), options.weight_scale).alias(f"_{x}") for x in LETTERS + "-"])
     gap = F.floor(F.col("_-") / 4 + 0.5)
     filled = counts.select("pos", *[(F.col(f"_{x}") + gap).alias(x) for x in LETTERS])

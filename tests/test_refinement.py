@@ -95,3 +95,19 @@ def test_seeds_in_memory_equal_tables(spark, monkeypatch):
     want = experiment._seed_motifs(peaks, 1, options)
     assert len(got) > 2
     same(got, want)
+
+
+def test_long_alignments_leave_their_outer_dashes(spark, monkeypatch):
+    from kmerloom.sources import tables
+
+    rng = np.random.default_rng(10)
+    seqs = ["".join(rng.choice(list("ACGT"), n)) for n in rng.integers(3, 20, 40)] + ["AC--GT", "T" * 70]
+    rows = [("-" * int(a) + s + "-" * int(200 - len(s) - a), float(w) / 32) for s, a, w in zip(seqs, rng.integers(60, 120, 42), [*rng.integers(1, 99, 41), 9000], strict=True)]
+    read = []
+    monkeypatch.setattr(tables, "stage", lambda df, plain=tables.stage: read.append(plain(df)) or read[-1])
+    got = motifs.from_alignment(spark.createDataFrame(rows, "aligned string, weight double")).orderBy("pos").collect()
+    want = motifs.build_matrix(*zip(*rows, strict=True))
+    assert np.allclose([[r[x] for x in "ACGT"] for r in got], want)
+    # the sums are a row a column, made once for the edges and the matrix
+    assert len(read) == 1 and read[0].count() == 200
+    assert motifs.from_alignment(spark.createDataFrame([], "aligned string, weight double")).collect() == []
