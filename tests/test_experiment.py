@@ -100,3 +100,29 @@ def test_rates_are_corrected_for_length(spark):
     assert (d >= low - 1e-3).all() and (d <= high + 1e-3).all()
     plain = np.clip(raw + 0.1, low, high)
     assert abs(np.polyfit(np.log2(lengths), np.log2(d), 1)[0]) < 0.3 * abs(np.polyfit(np.log2(lengths), np.log2(plain), 1)[0])
+
+
+def test_regression_reads_its_sequences_once(spark, monkeypatch):
+    """The selection's many passes and all later steps read what was written of the fits and sequences, without a join."""
+    n = 40
+    seqs = spark.createDataFrame([(i, "ACGTTGCA" * 4 if i % 2 else None) for i in range(n)], "id long, seq string")
+    fits = spark.createDataFrame([(i, -0.1 - i / 100, 5.0, 1.0, 0.9, 0.5) for i in range(n)], "id long, a double, b double, t double, r double, p double")
+    seen = []
+
+    def selected(rows, onset, plain=regression.select_rows):
+        seen.append(rows)
+        return plain(rows, onset)
+
+    class Enough(Exception):
+        pass
+
+    def features(rows, *rest):
+        seen.append(rows)
+        raise Enough
+
+    monkeypatch.setattr(regression, "select_rows", selected)
+    monkeypatch.setattr(experiment, "features", features)
+    with pytest.raises(Enough):
+        experiment.fit_regression(fits.where("id < 30"), seqs, ks=[3])
+    assert all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in seen)
+    assert [df.count() for df in seen] == [15, 15]
